@@ -1,0 +1,6 @@
+"""No streaming operator exists: every input of this library is a finished table.
+
+The row-wise column expressions (``adspark.functions.temporal`` and the split
+rule in ``adspark.functions.hashing``) hold no state and can be selected on a
+streaming DataFrame as they are; ``tests/test_features.py`` checks this.
+"""
