@@ -2,7 +2,7 @@
 
 from adspark.operators.association import adjust_p, association, chi_squared, contingency
 from adspark.operators.evaluate import (
-    align_predictions, auc, confusion, delong, failure_counts, is_false_negative,
+    align_predictions, auc, confusion, delong, failure_counts, fit_quality, is_false_negative,
     is_false_positive, log_loss, metrics_long, metrics_table, roc_points, score_curve,
     score_groups, youden,
 )
@@ -14,7 +14,9 @@ from adspark.operators.levels import (
     dominant_levels, keep_top_levels, level_counts, overall_rate, target_rates, top_levels,
 )
 from adspark.operators.lookup import lookup_join
-from adspark.operators.prefix import cut_points, running_totals, with_bucket
+from adspark.operators.prefix import (
+    cut_points, running_totals, text_cut_points, with_bucket,
+)
 from adspark.operators.profile import (
     cardinality, coverage, histogram, integrity, level_distribution,
     level_distribution_pair, metric_by_level, preview, rate_by_hour, split_summary,

@@ -176,6 +176,20 @@ def log_loss(preds: DataFrame, eps: float = LOG_LOSS_EPS) -> DataFrame:
     return preds.groupBy("model").agg(loss.alias("log_loss"))
 
 
+def fit_quality(preds: DataFrame, eps: float = LOG_LOSS_EPS) -> DataFrame:
+    """``model, log_loss, auc`` from the same pass over the score groups."""
+    p = F.greatest(F.lit(eps), F.least(F.lit(1.0 - eps), F.col("prediction")))
+    loss = -F.sum(F.col("pos") * F.log(p) + F.col("neg") * F.log(1.0 - p))
+    won = F.sum(F.col("pos") * (F.col("neg_below").cast("double") + F.col("neg") / 2.0))
+    pos, neg = F.col("p").cast("double"), F.col("n").cast("double")
+    return score_curve(preds).groupBy("model").agg(
+        loss.alias("loss"), won.alias("w"),
+        F.max("pos_total").alias("p"), F.max("neg_total").alias("n"),
+    ).select(
+        "model", (F.col("loss") / (pos + neg)).alias("log_loss"),
+        _needs_both(pos, neg, F.col("w") / F.nullif(pos * neg, F.lit(0.0))).alias("auc"))
+
+
 def failure_counts(preds: DataFrame, thresholds: Mapping[str, float] | float = 0.5) -> DataFrame:
     """``model, n_failures, n_fp, n_fn``."""
     return confusion(preds, thresholds).select(

@@ -9,22 +9,27 @@ from pyspark.sql import DataFrame, Window, functions as F
 from adspark._checks import require_columns, require_names, require_positive_int
 
 
-def level_counts(df: DataFrame, columns: Sequence[str], target: str | None = None) -> DataFrame:
-    """``column, level, n`` and, with a 0/1 ``target``, ``pos``.
+def level_counts(df: DataFrame, columns: Sequence[str], target: str | None = None,
+                 by: str | None = None) -> DataFrame:
+    """``[by,] column, level, n`` and, with a 0/1 ``target``, ``pos``.
 
     Levels are compared as text and null is a level of its own. The columns are
     stacked and counted together: one scan, with partial counts before the
     shuffle, so a level that fills a third of the rows is one row per task.
     """
     columns = require_names(list(dict.fromkeys(columns)))
-    require_columns(df, [*columns, *([target] if target else [])])
-    keep = [F.col(target).cast("int").alias("_target")] if target else []
+    require_columns(df, [*columns, *([target] if target else []), *([by] if by else [])])
+    keep = [F.col(by).alias("_by")] if by else []
+    keep += [F.col(target).cast("int").alias("_target")] if target else []
     text = df.select(*keep, *[F.col(c).cast("string").alias(c) for c in columns])
-    stacked = text.unpivot(["_target"] if target else [], columns, "column", "level")
+    ids = (["_by"] if by else []) + (["_target"] if target else [])
+    stacked = text.unpivot(ids, columns, "column", "level")
     aggs = [F.count("*").alias("n")]
     if target:
         aggs.append(F.sum(F.when(F.col("_target") == 1, 1).otherwise(0)).alias("pos"))
-    return stacked.groupBy("column", "level").agg(*aggs)
+    if not by:
+        return stacked.groupBy("column", "level").agg(*aggs)
+    return stacked.groupBy(F.col("_by").alias(by), "column", "level").agg(*aggs)
 
 
 def dominant_levels(counts: DataFrame) -> DataFrame:

@@ -33,13 +33,33 @@ def cut_points(df: DataFrame, key: str, buckets: int | None = None) -> list[floa
     return sorted({float(x) for x in found if x == x})
 
 
-def with_bucket(df: DataFrame, key: str, cuts: Sequence[float],
+def text_cut_points(df: DataFrame, key: str, buckets: int = MIN_BUCKETS,
+                    per_bucket: int = 16) -> list[str]:
+    """Cut points for text keys, from a hash-ordered sample of fixed size.
+
+    ``df`` holds distinct keys. ``buckets x per_bucket`` of them reach the
+    driver, where every ``per_bucket``-th in sorted order becomes a cut point.
+    """
+    seen = df.select(key).where(F.col(key).isNotNull()).orderBy(
+        F.xxhash64(key), key).limit(buckets * per_bucket).collect()
+    keys = sorted({r[0] for r in seen})
+    return keys[per_bucket::per_bucket]
+
+
+def with_bucket(df: DataFrame, key: str, cuts: Sequence[float] | Sequence[str],
                 name: str = "_bucket") -> DataFrame:
     """Add the bucket number of ``key``; null and NaN share the last bucket."""
+    if cuts and isinstance(cuts[0], str):
+        listed = F.array(*[F.lit(c) for c in cuts])
+        place = F.size(F.filter(listed, lambda c: c <= F.col(key)))
+        return df.withColumn(
+            name, F.when(F.col(key).isNull(), len(cuts) + 1).otherwise(place))
     splits = [float("-inf"), *cuts, float("inf")]
     if len(splits) < 3:
-        return df.withColumn(name, F.when(
-            F.col(key).isNull() | F.isnan(F.col(key).cast("double")), 1).otherwise(0))
+        last = F.col(key).isNull()
+        if dict(df.dtypes)[key] in ("double", "float"):
+            last = last | F.isnan(key)
+        return df.withColumn(name, F.when(last, 1).otherwise(0))
     ready = df.withColumn("_bucket_key", F.col(key).cast("double"))
     return (
         Bucketizer(splits=splits, inputCol="_bucket_key", outputCol=name,
@@ -53,7 +73,7 @@ def running_totals(
     df: DataFrame,
     key: str,
     sums: Sequence[str],
-    cuts: Sequence[float],
+    cuts: Sequence[float] | Sequence[str],
     by: Sequence[str] = (),
 ) -> DataFrame:
     """Add ``<s>_below`` and ``<s>_total`` for every column in ``sums``.

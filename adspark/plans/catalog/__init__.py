@@ -1,10 +1,10 @@
 """Registered queries and the SQL they are checked against."""
 
 from adspark.plans.catalog import (
-    evaluation, profiling, sampling, statistics, temporal,
+    encoding, evaluation, modelling, profiling, sampling, statistics, temporal,
 )
 
-_PARTS = [temporal, profiling, statistics, sampling, evaluation]
+_PARTS = [temporal, profiling, statistics, sampling, encoding, evaluation, modelling]
 
 
 def all_queries() -> dict:
