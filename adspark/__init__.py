@@ -9,4 +9,19 @@ Sub-packages
 ``plans``      end-to-end jobs and the registered queries
 """
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+
+def _ship_task_functions() -> None:
+    """Let Python workers run the few task functions without this package installed."""
+    from adspark.functions import tails
+    from adspark.ml import explain  # noqa: F401 (imports the module below)
+    cloudpickle.register_pickle_by_value(tails)
+    cloudpickle.register_pickle_by_value(sys.modules["adspark.ml.explain"])
+
+
+_ship_task_functions()

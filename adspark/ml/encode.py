@@ -26,15 +26,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from adspark._checks import require_columns
 from adspark.config import OTHER, EncodingConfig
-from adspark.operators.levels import (
-    dominant_levels, level_counts, overall_rate, top_levels,
-)
-from adspark.operators.lookup import lookup_join
+from adspark.operators.levels import level_counts, top_levels
+from adspark.operators.lookup import BROADCAST_ROWS, lookup_join
 from adspark.operators.prefix import running_totals, text_cut_points
 from adspark.sources.scratch import materialize
 
-# a rate table of this many short rows is a few megabytes
-BROADCAST_LEVELS = 100_000
 MAX_ONE_HOT_LEVELS = 1_000
 
 
@@ -81,6 +77,11 @@ class LevelEncoderModel(Model, MLReadable, MLWritable):
         """Columns that get a target rate."""
         return (*self.config.hybrid, *self.config.target_rate)
 
+    def with_smoothing(self, smoothing: float) -> LevelEncoderModel:
+        """The same counts with another weight of the overall rate."""
+        return LevelEncoderModel(
+            self.config, {**self.state, "smoothing": float(smoothing)}, self.counts)
+
     def rates(self, column: str) -> DataFrame:
         """``level, n, rate`` of one column."""
         s = self.state
@@ -95,12 +96,14 @@ class LevelEncoderModel(Model, MLReadable, MLWritable):
     def _add_rate(self, df: DataFrame, column: str, spread_by: Sequence[str]) -> DataFrame:
         keyed = df.withColumn("_level", F.col(column).cast("string"))
         rates = self.rates(column)
-        if self.state["n_levels"].get(column, 0) <= BROADCAST_LEVELS:
+        # the number of levels was counted by fit
+        if self.state["n_levels"].get(column, 0) <= BROADCAST_ROWS:
             small = rates.select(F.col("level").alias("_level"), "rate")
             joined = keyed.join(F.broadcast(small), "_level", "left")
         else:
             joined = lookup_join(
-                keyed, rates.withColumnRenamed("level", "_level"), "_level", ["rate"], spread_by)
+                keyed, rates.withColumnRenamed("level", "_level"), "_level", ["rate"],
+                spread_by, stored=True)
         return joined.withColumn(
             f"{column}_te", F.coalesce("rate", F.lit(self.state["mean"]))).drop("_level", "rate")
 
@@ -136,7 +139,7 @@ class _LevelEncoderWriter(MLWriter):
             m, path, session,
             extraMetadata={"encoding": config_to_json(m.config), "state": m.state})
         wanted = F.col("column").isin(list(m.rate_columns))
-        m.counts.where(wanted).write.partitionBy("column").parquet(f"{path}/levels")
+        m.counts.where(wanted).sortWithinPartitions("column").write.parquet(f"{path}/levels")
 
 
 class _LevelEncoderReader(MLReader):
@@ -151,7 +154,7 @@ class _LevelEncoderReader(MLReader):
         model = self.cls(config_from_json(meta["encoding"]), meta["state"])
         if model.rate_columns:
             counts = session.read.schema(
-                "level string, n long, pos long, column string").parquet(f"{path}/levels")
+                "column string, level string, n long, pos long").parquet(f"{path}/levels")
         model.counts = counts
         model._resetUid(meta["uid"])
         return model
@@ -168,47 +171,41 @@ def encoder_from_counts(
     What reaches the driver is one row per column, K rows per collapsed column
     and the levels of the one-hot columns, whose number is checked first.
     """
-    flagged = [*config.dichotomize, *config.hybrid]
     sizes = {
-        r["column"]: (r["levels"], r["nulls"])
-        for r in counts.groupBy("column").agg(
-            F.count("level").alias("levels"),
+        r["column"]: r for r in counts.groupBy("column").agg(
+            F.count("level").alias("levels"), F.sum("n").alias("n"), F.sum("pos").alias("pos"),
             F.sum(F.when(F.col("level").isNull(), F.col("n")).otherwise(0)).alias("nulls"),
         ).collect()
     }
     if not sizes:
         raise ValueError("there are no training rows")
     for c in config.one_hot:
-        if sizes[c][0] > MAX_ONE_HOT_LEVELS:
+        if sizes[c]["levels"] > MAX_ONE_HOT_LEVELS:
             raise ValueError(
-                f"column {c!r} has {sizes[c][0]} levels, too many for one slot each")
-    dominant = {}
-    if flagged:
-        picked = dominant_levels(counts.where(F.col("column").isin(flagged)))
-        dominant = {r["column"]: r["level"] for r in picked.collect()}
-    top = {c: [] for c in config.top_k}
-    if config.top_k:
-        picked = top_levels(counts.where(F.col("column").isin(list(config.top_k))),
-                            dict(config.top_k))
-        for r in picked.orderBy("column", "rank").collect():
-            top[r["column"]].append(r["level"])
-    slots = {}
-    for c in config.top_k:
-        levels, nulls = sizes[c]
-        rest = [OTHER] if levels > len(top[c]) or nulls else []
-        slots[c] = sorted({*top[c], *rest})
-    if config.one_hot:
-        rows = counts.where(
-            F.col("column").isin(list(config.one_hot)) & F.col("level").isNotNull(),
-        ).select("column", "level").collect()
-        for c in config.one_hot:
-            slots[c] = sorted(r["level"] for r in rows if r["column"] == c)
+                f"column {c!r} has {sizes[c]['levels']} levels, too many for one slot each")
+    wanted = {c: 1 for c in (*config.dichotomize, *config.hybrid)}
+    for c, k in config.top_k.items():
+        wanted[c] = max(k, wanted.get(c, 0))
+    wanted |= {c: MAX_ONE_HOT_LEVELS for c in config.one_hot}
+    best: dict[str, list[str]] = {c: [] for c in wanted}
+    if wanted:
+        picked = top_levels(counts.where(F.col("column").isin(list(wanted))), wanted)
+        for r in sorted(picked.collect(), key=lambda r: r["rank"]):
+            best[r["column"]].append(r["level"])
+    top = {c: best[c][:k] for c, k in config.top_k.items()}
+    slots = {c: sorted(best[c]) for c in config.one_hot}
+    for c, kept in top.items():
+        rest = [OTHER] if sizes[c]["levels"] > len(kept) or sizes[c]["nulls"] else []
+        slots[c] = sorted({*kept, *rest})
+    any_column = next(iter(sizes.values()))
     state = {
         "smoothing": float(smoothing),
         "min_category_size": int(min_category_size),
-        "mean": float(overall_rate(counts).first()["rate"]),
-        "dominant": dominant, "top": top, "slots": slots,
-        "n_levels": {c: int(v[0]) for c, v in sizes.items()},
+        "mean": any_column["pos"] / any_column["n"],
+        "dominant": {c: best[c][0] if best[c] else None
+                     for c in (*config.dichotomize, *config.hybrid)},
+        "top": top, "slots": slots,
+        "n_levels": {c: int(r["levels"]) for c, r in sizes.items()},
     }
     return LevelEncoderModel(config, state, counts)
 
@@ -316,7 +313,8 @@ class ImpressionEncoder(Estimator, DefaultParamsReadable, DefaultParamsWritable)
         config = config_from_json(get(self.encoding))
         require_columns(dataset, [*config.inputs, config.target])
         counts = materialize(
-            level_counts(dataset, config.categorical, config.target), "levels", ("column",))
+            level_counts(dataset, config.categorical, config.target), "levels",
+            sort_by=("column",))
         levels = encoder_from_counts(
             counts, config, get(self.smoothing), get(self.minCategorySize))
         return assemble_encoder(

@@ -16,6 +16,7 @@ from adspark._checks import require_columns, require_number
 from adspark.functions import above, safe_ratio, two_sided_p
 from adspark.operators.lookup import lookup_join
 from adspark.operators.prefix import cut_points, running_totals
+from adspark.sources.scratch import materialize
 
 LOG_LOSS_EPS = 2.220446049250313e-16
 
@@ -228,17 +229,19 @@ def align_predictions(first: DataFrame, second: DataFrame) -> DataFrame:
     return both.select("id", target.alias("target"), "score_1", "score_2")
 
 
-def _placements(rows: DataFrame, score: str, name: str) -> DataFrame:
-    """Share of the other class below each row's score, ties one half."""
-    one = rows.select(F.lit(name).alias("model"), "target", F.col(score).alias("prediction"))
-    curve = score_curve(one)
+def _placements(base: DataFrame) -> DataFrame:
+    """Per model and score: the share of the other class below it, ties one half.
+
+    ``model, prediction, n, v_pos, v_neg``, for both models in one pass.
+    """
+    wide = base.select("target", F.col("s1").alias("1"), F.col("s2").alias("2"))
+    curve = score_curve(wide.unpivot(["target"], ["1", "2"], "model", "prediction"))
     low = (F.col("neg_below") + F.col("neg") / 2.0) / F.col("neg_total")
     high = 1.0 - (F.col("pos_below") + F.col("pos") / 2.0) / F.col("pos_total")
     pos, neg = F.col("pos_total"), F.col("neg_total")
     return curve.select(
-        F.col("prediction").alias(score), (F.col("pos") + F.col("neg")).alias("n"),
-        _needs_both(pos, neg, low).alias(f"{name}_pos"),
-        _needs_both(pos, neg, high).alias(f"{name}_neg"))
+        "model", "prediction", (F.col("pos") + F.col("neg")).alias("n"),
+        _needs_both(pos, neg, low).alias("v_pos"), _needs_both(pos, neg, high).alias("v_neg"))
 
 
 def delong(rows: DataFrame, score_1: str = "score_1", score_2: str = "score_2",
@@ -255,15 +258,17 @@ def delong(rows: DataFrame, score_1: str = "score_1", score_2: str = "score_2",
     base = rows.select(
         F.col(id_column).alias("id"), F.col(target).cast("int").alias("target"),
         F.col(score_1).cast("double").alias("s1"), F.col(score_2).cast("double").alias("s2"))
-    placed = base
-    for score, name in (("s1", "a"), ("s2", "b")):
-        placed = lookup_join(placed, _placements(base, score, name), score,
-                             [f"{name}_pos", f"{name}_neg"], ["id"])
-    is_pos = F.col("target") == 1
-    values = placed.select(
-        "target",
-        F.when(is_pos, F.col("a_pos")).otherwise(F.col("a_neg")).alias("v1"),
-        F.when(is_pos, F.col("b_pos")).otherwise(F.col("b_neg")).alias("v2"))
+    table = materialize(_placements(base), "placements", sort_by=("model",))
+    sizes = {r["model"]: r["count"] for r in table.groupBy("model").count().collect()}
+    placed, is_pos = base, F.col("target") == 1
+    for m in ("1", "2"):
+        one = table.where(F.col("model") == m).select(
+            F.col("prediction").alias(f"s{m}"), "n", "v_pos", "v_neg")
+        placed = lookup_join(placed, one, f"s{m}", ["v_pos", "v_neg"], ["id"],
+                             stored=True, rows=sizes.get(m, 0))
+        placed = placed.withColumn(
+            f"v{m}", F.when(is_pos, F.col("v_pos")).otherwise(F.col("v_neg"))).drop("v_pos", "v_neg")
+    values = placed.select("target", "v1", "v2")
     moments = values.groupBy("target").agg(
         F.count("*").alias("m"), F.avg("v1").alias("mean_1"), F.avg("v2").alias("mean_2"),
         F.var_samp("v1").alias("var_1"), F.var_samp("v2").alias("var_2"),

@@ -69,14 +69,15 @@ def attach_frequency(
     name: str,
     placeholder=None,
     spread_by: Sequence[str] = ("id",),
+    stored: bool = False,
 ) -> DataFrame:
     """Add the frequency of ``key`` as ``name``; absent keys get 0.
 
     The placeholder, which may fill most of the table, takes no part in the
-    join.
+    join. ``stored`` says that ``freq`` is a written table.
     """
     hit = None if placeholder is None else F.col(key) == F.lit(placeholder)
-    joined = lookup_join(df, freq, key, ["n"], spread_by, no_match=hit)
+    joined = lookup_join(df, freq, key, ["n"], spread_by, no_match=hit, stored=stored)
     return joined.withColumn(name, F.coalesce("n", F.lit(0)).cast("long")).drop("n")
 
 
@@ -140,22 +141,24 @@ def model_features(
     target: str = config.TARGET,
     bands: tuple[str, ...] = config.TIME_BANDS,
     extra: Sequence[str] = (),
+    stored: bool = False,
 ) -> DataFrame:
     """The modelling table: target, temporal and frequency features, ``keep``.
 
     The frequency tables come from the training part only. Training rows count
     themselves, keys unseen in training get 0. ``extra`` columns (an identifier,
-    a split label) are put in front.
+    a split label) are put in front. ``stored`` says that the frequency tables
+    are written tables.
     """
     require_columns(df, [id_column, hour, device_id, device_ip, target, *keep, *extra])
     used = list(dict.fromkeys([id_column, hour, device_id, device_ip, target, *keep, *extra]))
     rows = df.select(*used)
     rows = attach_frequency(
         rows, freq_id.select(F.col(freq_id.columns[0]).alias(device_id), "n"),
-        device_id, "_n_id", placeholder, [id_column])
+        device_id, "_n_id", placeholder, [id_column], stored)
     rows = attach_frequency(
         rows, freq_ip.select(F.col(freq_ip.columns[0]).alias(device_ip), "n"),
-        device_ip, "_n_ip", None, [id_column])
+        device_ip, "_n_ip", None, [id_column], stored)
     return rows.select(
         *extra,
         target,

@@ -6,7 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from adspark.sources.scratch import materialize
+
 HOT_KEYS = 64
+# rows of one key and a few numbers: some megabytes
+BROADCAST_ROWS = 100_000
 
 
 def lookup_join(
@@ -18,10 +22,19 @@ def lookup_join(
     weight: str = "n",
     no_match: Column | None = None,
     null_matches: bool = False,
+    stored: bool = False,
+    rows: int | None = None,
     hot_keys: int = HOT_KEYS,
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Left join ``facts`` with ``dim`` (one row per ``key``) on ``key``.
 
+    ``dim`` is written to the scratch folder first (unless ``stored`` says it is
+    a written table already), so it is computed once and its row count is known
+    (a caller that has counted it passes ``rows``). Up to ``broadcast_rows``
+    rows it is broadcast. Beyond that both sides are
+    shuffled by key, with hot keys taken out of the way:
+
     ``dim`` carries in ``weight`` how many rows each key stands for. A key that
     stands for more than ``1/hot_keys`` of the total is hot; the weights sum to
     the total, so there are fewer than ``hot_keys`` of them, whatever the size
@@ -29,18 +42,38 @@ def lookup_join(
     ``no_match`` marks as having no entry, and rows with a null key then need no
     partner from the shuffled join, so their join key is replaced by a hash of
     ``spread_by``: they are spread evenly instead of meeting in one task.
-
-    The remaining join is left to Spark, which broadcasts ``dim`` when its
-    measured size allows and shuffles both sides otherwise.
     """
+    if not stored:
+        dim = materialize(dim.select(*dict.fromkeys([key, weight, *values])), "lookup")
+    if (dim.count() if rows is None else rows) <= broadcast_rows:
+        return _small_join(facts, dim, key, values, null_matches)
+    return _salted_join(
+        facts, dim, key, values, spread_by, weight, no_match, null_matches, hot_keys)
+
+
+def _matches(key: str, other: str, null_matches: bool) -> Column:
+    if null_matches:
+        return F.col(key).eqNullSafe(F.col(other))
+    return F.col(key) == F.col(other)
+
+
+def _small_join(facts: DataFrame, dim: DataFrame, key: str, values: Sequence[str],
+                null_matches: bool) -> DataFrame:
+    small = dim.select(F.col(key).alias("_dim_key"), *values)
+    joined = facts.join(
+        F.broadcast(small), _matches(key, "_dim_key", null_matches), "left")
+    return joined.select(*facts.columns, *values)
+
+
+def _salted_join(facts: DataFrame, dim: DataFrame, key: str, values: Sequence[str],
+                 spread_by: Sequence[str], weight: str, no_match: Column | None,
+                 null_matches: bool, hot_keys: int) -> DataFrame:
     total = dim.agg(F.sum(weight)).scalar()
     hot = dim.where(F.col(weight) * hot_keys > total).select(
         F.col(key).alias("_hot_key"), F.lit(True).alias("_hot"),
         *[F.col(v).alias(f"_hot_{v}") for v in values],
     )
-    same = (F.col(key).eqNullSafe(F.col("_hot_key")) if null_matches
-            else F.col(key) == F.col("_hot_key"))
-    marked = facts.join(F.broadcast(hot), same, "left")
+    marked = facts.join(F.broadcast(hot), _matches(key, "_hot_key", null_matches), "left")
 
     alone = F.coalesce(F.col("_hot"), F.lit(False))
     if not null_matches:

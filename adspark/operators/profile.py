@@ -42,16 +42,19 @@ def integrity(df: DataFrame) -> DataFrame:
 
 
 def cardinality(df: DataFrame, columns: Sequence[str], approx: bool = False,
-                rsd: float = 0.02, sort_descending: bool = True) -> DataFrame:
+                log2_size: int = 12, sort_descending: bool = True) -> DataFrame:
     """``column, n_distinct`` without nulls.
 
     The exact form counts the levels of all columns in one scan. The approximate
-    form keeps one sketch per column and task and shuffles only sketches.
+    form keeps one sketch of ``2**log2_size`` registers per column and task and
+    shuffles only sketches.
     """
     columns = require_names(columns)
     require_columns(df, columns)
     if approx:
-        one = df.agg(*[F.approx_count_distinct(c, rsd).alias(c) for c in columns])
+        one = df.agg(*[
+            F.hll_sketch_estimate(F.hll_sketch_agg(F.col(c).cast("string"), log2_size)).alias(c)
+            for c in columns])
         out = one.unpivot([], columns, "column", "n_distinct")
     else:
         found = level_counts(df, columns).groupBy("column").agg(

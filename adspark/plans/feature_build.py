@@ -39,25 +39,20 @@ def build_features(
     placeholder=config.DEVICE_PLACEHOLDER,
     target: str = config.TARGET,
     bands: tuple[str, ...] = config.TIME_BANDS,
-    keep_frequencies: bool = False,
 ) -> FeatureBuild:
     """Split by hash, count devices on the training part, derive all features.
 
-    One lazy plan for both subsets: the counts use the training rows only, and
-    nothing else in the features looks beyond its own row. With
-    ``keep_frequencies`` the two frequency tables are written to the scratch
-    folder first, which gives Spark their true size when it picks the joins.
+    The two frequency tables are counted on the training rows and written to the
+    scratch folder; everything else is one lazy plan for both subsets, and
+    nothing else in the features looks beyond its own row.
     """
     marked = add_split(df, id_column, train_ratio, "split", train_label, holdout_label)
     train = marked.where(F.col("split") == train_label)
-    freq_id = key_frequencies(train, "device_id", placeholder)
-    freq_ip = key_frequencies(train, "device_ip")
-    if keep_frequencies:
-        freq_id = materialize(freq_id, "freq-id")
-        freq_ip = materialize(freq_ip, "freq-ip")
+    freq_id = materialize(key_frequencies(train, "device_id", placeholder), "freq-id")
+    freq_ip = materialize(key_frequencies(train, "device_ip"), "freq-ip")
     features = model_features(
         marked, freq_id, freq_ip, keep, id_column, placeholder=placeholder,
-        target=target, bands=bands, extra=[id_column, "split"])
+        target=target, bands=bands, extra=[id_column, "split"], stored=True)
     if id_column != "id":
         features = features.withColumnRenamed(id_column, "id")
     return FeatureBuild(features, freq_id, freq_ip, split_rates(marked, "split", target))
@@ -65,7 +60,6 @@ def build_features(
 
 def run_feature_build(df: DataFrame, output: str, **options) -> FeatureBuild:
     """Build the features and write both subsets in one pass, by split."""
-    options.setdefault("keep_frequencies", True)
     built = build_features(df, **options)
     write_subsets(built.features, output)
     return built

@@ -47,11 +47,17 @@ def new_scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/adspark/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """Write ``df`` to the shared folder and return the table read back."""
+def materialize(df: DataFrame, label: str, partition_by: tuple[str, ...] = (),
+                sort_by: tuple[str, ...] = ()) -> DataFrame:
+    """Write ``df`` to the shared folder and return the table read back.
+
+    ``partition_by`` suits columns with a handful of values; ``sort_by`` orders
+    rows inside each task, so that readers of one value skip row groups without
+    a file per value and task.
+    """
     spark = df.sparkSession
     path = new_scratch_path(spark, label)
-    writer = df.write.mode("errorifexists")
+    writer = (df.sortWithinPartitions(*sort_by) if sort_by else df).write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
