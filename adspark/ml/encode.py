@@ -238,17 +238,20 @@ def assemble_encoder(
     parts += [f"{c}_te" for c in levels.rate_columns]
     sparse = [*cfg.top_k, *cfg.one_hot]
     if sparse:
-        index = StringIndexerModel.from_arrays_of_labels(
-            [levels.state["slots"][c] for c in sparse],
-            inputCols=[f"{c}_top" for c in sparse], outputCols=[f"{c}_idx" for c in sparse],
-            handleInvalid="keep")
+        # one model per column: label lists of unequal length cannot share one
+        index = PipelineModel([
+            StringIndexerModel.from_labels(
+                levels.state["slots"][c], inputCol=f"{c}_top", outputCol=f"{c}_idx",
+                handleInvalid="keep")
+            for c in sparse
+        ])
         one_hot = OneHotEncoder(
             inputCols=[f"{c}_idx" for c in sparse], outputCols=[f"{c}_ohe" for c in sparse],
             dropLast=not unknown_slot)
         # the sizes are in the column metadata, so this fit runs no job
         empty = train.sparkSession.createDataFrame([], ", ".join(
             f"`{c}_top` string" for c in sparse))
-        stages += [index, one_hot.fit(index.transform(empty))]
+        stages += [*index.stages, one_hot.fit(index.transform(empty))]
         parts += [f"{c}_ohe" for c in sparse]
     stages.append(VectorAssembler(
         inputCols=parts, outputCol="features", handleInvalid=handle_invalid))

@@ -65,7 +65,7 @@ def with_bucket(df: DataFrame, key: str, cuts: Sequence[float] | Sequence[str],
         Bucketizer(splits=splits, inputCol="_bucket_key", outputCol=name,
                    handleInvalid="keep")
         .transform(ready).drop("_bucket_key")
-        .withColumn(name, F.col(name).cast("int"))
+        .withColumn(name, F.coalesce(F.col(name).cast("int"), F.lit(len(splits) - 1)))
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import (
     ByteType, IntegerType, ShortType, StringType, StructField, StructType,
 )
@@ -97,8 +97,8 @@ def read_split(spark: SparkSession, path: str, label: str,
 def read_grid_json(spark: SparkSession, path: str) -> DataFrame:
     """Results of a nested grid-search JSON file, one row per combination.
 
-    The parameter keys vary from grid to grid, so the whole object is read as
-    text and parsed with a map of text values.
+    The parameter keys vary from grid to grid, so they are read as a map of text
+    values; list values lose their line breaks.
     """
     if not path_exists(spark, path):
         raise FileNotFoundError(path)
@@ -111,9 +111,14 @@ def read_grid_json(spark: SparkSession, path: str) -> DataFrame:
         spark.read.option("multiLine", True).schema(schema).json(path)
         .select(F.explode("results").alias("r"))
         .select("r.*")
+        .withColumn("params", F.transform_values("params", _one_line))
     )
 
 
+def _one_line(_: Column, value: Column) -> Column:
+    return F.when(value.startswith("["), F.regexp_replace(value, r"\s+", "")).otherwise(value)
+
+
 def read_history_json(spark: SparkSession, path: str) -> DataFrame:
     """Per-round history stored as parallel arrays, one row per round."""
     if not path_exists(spark, path):
