@@ -334,8 +334,9 @@ def standardize(df: DataFrame, columns: Sequence[str], output: str = "scaled") -
 
 def code_book(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``column, level, code``: levels of every column numbered in sorted order."""
-    levels = level_counts(df, columns).where(F.col("level").isNotNull()).select(
-        "column", "level", F.lit(1).cast("long").alias("one"))
+    levels = materialize(
+        level_counts(df, columns).where(F.col("level").isNotNull()).select(
+            "column", "level", F.lit(1).cast("long").alias("one")), "levels")
     placed = running_totals(
         levels, "level", ["one"], text_cut_points(levels, "level"), by=["column"])
     return placed.select("column", "level", F.col("one_below").cast("long").alias("code"))

@@ -42,10 +42,14 @@ def score_groups(preds: DataFrame) -> DataFrame:
 
 
 def score_curve(preds: DataFrame) -> DataFrame:
-    """``score_groups`` with the totals below each score and overall."""
+    """``score_groups`` with the totals below each score and overall.
+
+    The groups are written once, so that whatever made the predictions (a model,
+    joins) runs once, and the cut points balance distinct scores.
+    """
+    groups = materialize(score_groups(preds), "scores")
     return running_totals(
-        score_groups(preds), "prediction", ["pos", "neg"],
-        cut_points(preds, "prediction"), by=["model"])
+        groups, "prediction", ["pos", "neg"], cut_points(groups, "prediction"), by=["model"])
 
 
 def roc_points(preds: DataFrame, origin: bool = True,

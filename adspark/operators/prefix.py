@@ -21,8 +21,9 @@ MAX_BUCKETS = 4096
 def cut_points(df: DataFrame, key: str, buckets: int | None = None) -> list[float]:
     """Distinct approximate quantiles of ``key``, at most ``buckets - 1`` numbers.
 
-    A mergeable sketch per task; only the quantiles reach the driver. With a
-    value that fills many rows several quantiles coincide and are kept once.
+    A mergeable sketch per task; only the quantiles reach the driver. ``df``
+    should hold distinct keys, so that buckets are even in distinct keys; with
+    repeated keys several quantiles may coincide and are kept once.
     """
     if buckets is None:
         wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -27,9 +27,10 @@ def value_ranks(df: DataFrame, columns: Sequence[str], ties: str = "min") -> Dat
     require_columns(df, columns)
     stacked = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
         [], columns, "column", "value")
-    cuts = cut_points(stacked, "value")
-    counts = stacked.groupBy("column", "value").agg(F.count("*").alias("n"))
-    placed = running_totals(counts, "value", ["n"], cuts, by=["column"])
+    counts = materialize(
+        stacked.groupBy("column", "value").agg(F.count("*").alias("n")), "values")
+    placed = running_totals(
+        counts, "value", ["n"], cut_points(counts, "value"), by=["column"])
     shift = F.lit(1.0) if ties == "min" else (F.col("n") + 1) / 2.0
     return placed.select("column", "value", "n", (F.col("n_below") + shift).alias("rank"))
 

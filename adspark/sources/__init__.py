@@ -8,7 +8,7 @@ from adspark.sources.readers import (
 from adspark.sources.relation import (
     as_df, as_predictions, stack_predictions, stack_scores,
 )
-from adspark.sources.scratch import materialize, path_exists, scratch_root
+from adspark.sources.scratch import materialize, path_exists, release, scratch_root
 from adspark.sources.writers import (
     append_results, predictions_path, save_model, write_history,
     write_predictions, write_subset, write_subsets,
@@ -18,7 +18,7 @@ __all__ = [
     "IMPRESSIONS_SCHEMA", "append_results", "as_df", "as_predictions",
     "csv_to_parquet", "materialize", "missing_columns", "path_exists",
     "predictions_path", "read_grid_json", "read_history_json",
-    "read_impressions_csv", "read_split", "register_parquet",
+    "read_impressions_csv", "read_split", "register_parquet", "release",
     "require_columns", "require_rows", "save_model", "scratch_root",
     "stack_predictions", "stack_scores", "write_history",
     "write_predictions", "write_subset", "write_subsets",

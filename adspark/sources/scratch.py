@@ -23,7 +23,7 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
-    """Remove a scratch table that is no longer needed."""
+    """Remove a path and what is below it."""
     p = spark._jvm.org.apache.hadoop.fs.Path(str(path))
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
@@ -61,4 +61,13 @@ def materialize(df: DataFrame, label: str, partition_by: tuple[str, ...] = (),
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.__dict__["_scratch_path"] = path
+    return table
+
+
+def release(table: DataFrame) -> None:
+    """Delete a table that ``materialize`` returned, once nothing reads it any more."""
+    path = table.__dict__.pop("_scratch_path", None)
+    if path is not None:
+        delete_path(table.sparkSession, path)

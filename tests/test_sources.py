@@ -6,9 +6,9 @@ import pytest
 from adspark.config import CATEGORICAL_COLUMNS
 from adspark.operators import add_split
 from adspark.sources import (
-    IMPRESSIONS_SCHEMA, as_df, as_predictions, csv_to_parquet, missing_columns,
-    read_grid_json, read_history_json, read_split, register_parquet, stack_predictions,
-    write_subset, write_subsets,
+    IMPRESSIONS_SCHEMA, as_df, as_predictions, csv_to_parquet, materialize, missing_columns,
+    path_exists, read_grid_json, read_history_json, read_split, register_parquet, release,
+    scratch_root, stack_predictions, write_subset, write_subsets,
 )
 
 LONG_ID = "10000174058809263569"
@@ -82,6 +82,15 @@ def test_subsets_in_one_pass(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(split" in plan
 
 
+def test_stored_tables(spark):
+    table = materialize(spark.range(10), "ids", sort_by=("id",))
+    path = table.__dict__["_scratch_path"]
+    assert path.startswith(scratch_root(spark)) and path_exists(spark, path)
+    assert table.count() == 10
+    release(table)
+    assert not path_exists(spark, path)
+
+
 def test_result_files(spark, tmp_path):
     grid = tmp_path / "g.json"
     entry = {"signature": "s", "params": {"net__alpha": 0.1, "net__layers": [100, 50]},
