@@ -21,6 +21,17 @@ CATEGORICAL_COLUMNS = (
     "app_category", "device_model", "device_type", "device_conn_type",
     "banner_pos", "C1", "C14", "C15", "C16", "C17", "C18", "C19", "C20", "C21",
 )
+DICHOTOMIZE = ("C1", "C15", "C16", "device_type", "device_conn_type")
+TOP_K = {
+    "banner_pos": 2, "C18": 3, "app_category": 3, "site_category": 3,
+    "app_domain": 6, "C19": 10, "C20": 10, "C21": 10,
+}
+HYBRID = ("app_id", "site_domain", "site_id")
+TARGET_RATE = ("C14", "C17", "device_model")
+ONE_HOT = ("time_band",)
+SCALED = ("log_freq_device_id", "log_freq_device_ip")
+NUMERIC = ("day", "hour_sin", "hour_cos")
+DERIVED = ("device_id", "device_ip")
 # ----------------------------------------------------------------------------
 
 
@@ -37,18 +48,13 @@ class EncodingConfig:
     ``numeric``      numeric, passed through
     """
 
-    dichotomize: tuple[str, ...] = (
-        "C1", "C15", "C16", "device_type", "device_conn_type",
-    )
-    top_k: dict[str, int] = field(default_factory=lambda: {
-        "banner_pos": 2, "C18": 3, "app_category": 3, "site_category": 3,
-        "app_domain": 6, "C19": 10, "C20": 10, "C21": 10,
-    })
-    hybrid: tuple[str, ...] = ("app_id", "site_domain", "site_id")
-    target_rate: tuple[str, ...] = ("C14", "C17", "device_model")
-    one_hot: tuple[str, ...] = ("time_band",)
-    scaled: tuple[str, ...] = ("log_freq_device_id", "log_freq_device_ip")
-    numeric: tuple[str, ...] = ("day", "hour_sin", "hour_cos")
+    dichotomize: tuple[str, ...] = DICHOTOMIZE
+    top_k: dict[str, int] = field(default_factory=lambda: dict(TOP_K))
+    hybrid: tuple[str, ...] = HYBRID
+    target_rate: tuple[str, ...] = TARGET_RATE
+    one_hot: tuple[str, ...] = ONE_HOT
+    scaled: tuple[str, ...] = SCALED
+    numeric: tuple[str, ...] = NUMERIC
     target: str = TARGET
 
     @property

@@ -2,7 +2,7 @@
 
 from adspark.ml.encode import (
     ImpressionEncoder, LevelEncoderModel, assemble_encoder, code_book,
-    encoder_from_counts, encoder_width, feature_names, standardize,
+    encoder_from_counts, encoder_width, encoding_plan, feature_names, standardize,
 )
 from adspark.ml.explain import explain
 from adspark.ml.score import Scoring, predict, predict_and_save
@@ -15,7 +15,7 @@ from adspark.ml.train import (
 __all__ = [
     "ImpressionEncoder", "LevelEncoderModel", "Scoring", "TrainingRun",
     "assemble_encoder", "code_book", "encode_rows", "encoder_from_counts",
-    "encoder_width", "explain", "feature_names", "grid_search", "model_width",
+    "encoder_width", "encoding_plan", "explain", "feature_names", "grid_search", "model_width",
     "perceptron", "positive_probability", "predict", "predict_and_save",
     "read_results", "show_results", "standardize", "top_results",
     "train_classifier", "train_in_rounds",

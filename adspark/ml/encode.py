@@ -22,10 +22,10 @@ from pyspark.ml.util import (
     DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable,
     DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter,
 )
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from adspark._checks import require_columns
-from adspark.config import OTHER, EncodingConfig
+from adspark.config import DERIVED, OTHER, EncodingConfig
 from adspark.operators.levels import level_counts, top_levels
 from adspark.operators.lookup import BROADCAST_ROWS, lookup_join
 from adspark.operators.prefix import running_totals, text_cut_points
@@ -324,6 +324,21 @@ class ImpressionEncoder(Estimator, DefaultParamsReadable, DefaultParamsWritable)
             levels, dataset, get(self.unknownSlot), get(self.handleInvalid))
 
 
+def encoding_plan(spark: SparkSession, config: EncodingConfig | None = None,
+                  derived: Sequence[str] = DERIVED) -> DataFrame:
+    """``column, strategy, k`` of a configuration.
+
+    ``derived`` names the columns that enter through a feature made of them.
+    """
+    cfg = config or EncodingConfig()
+    rows = [(c, "dichotomize", None) for c in sorted(cfg.dichotomize)]
+    rows += [(c, "top_k", k) for c, k in sorted(cfg.top_k.items())]
+    rows += [(c, "hybrid", None) for c in sorted(cfg.hybrid)]
+    rows += [(c, "target_rate", None) for c in sorted(cfg.target_rate)]
+    rows += [(c, "derived", None) for c in sorted(derived)]
+    return spark.createDataFrame(rows, "column string, strategy string, k int")
+
+
 def standardize(df: DataFrame, columns: Sequence[str], output: str = "scaled") -> PipelineModel:
     """Fitted stages that standardise only ``columns`` (sample deviation)."""
     gather = VectorAssembler(inputCols=list(columns), outputCol="_to_scale")
@@ -344,6 +359,6 @@ def code_book(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 __all__ = [
     "ImpressionEncoder", "LevelEncoderModel", "assemble_encoder", "code_book",
-    "encoder_from_counts", "encoder_width", "feature_names", "is_dominant",
+    "encoder_from_counts", "encoder_width", "encoding_plan", "feature_names", "is_dominant",
     "standardize", "top_or_other",
 ]

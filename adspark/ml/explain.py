@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from adspark._checks import require_columns, require_positive_int
 from adspark.ml.train import positive_probability
-from adspark.operators.sampling import cut_keys
+from adspark.operators.sampling import cut_keys, with_cuts
 
 QUARTILES = [0.25, 0.5, 0.75]
 SELECT_PENALTY = 0.01
@@ -67,8 +67,7 @@ def value_pool(reference: DataFrame, columns: Sequence[str], draws: int,
     keyed = stacked.withColumn(
         "_key", F.md5(F.concat_ws("|", "_id", "column", F.lit(str(seed)))))
     cuts = cut_keys(keyed, ["column"], F.lit(draws))
-    # one cut per listed column
-    picked = keyed.join(F.broadcast(cuts), "column").where(F.col("_key") <= F.col("_cut"))
+    picked = with_cuts(keyed, cuts, ["column"]).where(F.col("_key") <= F.col("_cut"))
     # groups of at most `draws` rows
     order = Window.partitionBy("column").orderBy("_key")
     numbered = picked.withColumn("draw", F.row_number().over(order) - 1)

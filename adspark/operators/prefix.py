@@ -81,8 +81,9 @@ def running_totals(
 
     ``df`` holds one row per ``(by, key)``; ``<s>_below`` sums ``s`` over the
     smaller keys of the same ``by`` group (nulls order last) and ``<s>_total``
-    over the whole group. ``by`` names a short list of groups (models, columns):
-    the offset table has ``groups x (cuts + 2)`` rows and is broadcast.
+    over the whole group. ``by`` columns hold no nulls. The offset table has
+    ``groups x (cuts + 2)`` rows and is joined on the partitioning that the
+    running sums have already.
     """
     by = list(by)
     placed = with_bucket(df, key, cuts)
@@ -95,17 +96,14 @@ def running_totals(
     offsets = placed.groupBy(*by, "_bucket").agg(
         *[F.sum(s).alias(f"_b_{s}") for s in sums])
     offsets = offsets.select(
-        *[F.col(b).alias(f"_o_{b}") for b in by],
-        F.col("_bucket").alias("_o_bucket"),
+        *by, "_bucket",
         *[F.coalesce(F.sum(f"_b_{s}").over(earlier), F.lit(0)).alias(f"_o_{s}") for s in sums],
         *[F.sum(f"_b_{s}").over(groups).alias(f"{s}_total") for s in sums],
     )
-    same = F.col("_bucket") == F.col("_o_bucket")
-    for b in by:
-        same = same & F.col(b).eqNullSafe(F.col(f"_o_{b}"))
     run = placed.select(
         "*", *[(F.sum(s).over(inside) - F.col(s)).alias(f"_r_{s}") for s in sums])
-    return run.join(F.broadcast(offsets), same).select(
+    # both sides are partitioned by the join keys already: no further shuffle
+    return run.join(offsets, [*by, "_bucket"]).select(
         *df.columns,
         *[(F.col(f"_r_{s}") + F.col(f"_o_{s}")).alias(f"{s}_below") for s in sums],
         *[F.col(f"{s}_total") for s in sums],

@@ -18,6 +18,7 @@ from adspark._checks import require_columns, require_number, require_positive_in
 from adspark.functions import order_key
 
 PREFIX_DIGITS = 4
+MAX_STRATA = 1_000
 
 
 def _keyed(df: DataFrame, id_column: str, seed: int) -> DataFrame:
@@ -32,12 +33,21 @@ def _bucket_counts(keyed: DataFrame, strata: Sequence[str]) -> DataFrame:
     return keyed.groupBy(*strata, _prefix().alias("_p")).agg(F.count("*").alias("_n"))
 
 
+def _few_rows(df: DataFrame) -> DataFrame:
+    """A table with one row per stratum, as a local table of checked length."""
+    rows = df.limit(MAX_STRATA + 1).collect()
+    if len(rows) > MAX_STRATA:
+        raise ValueError(f"more than {MAX_STRATA} strata")
+    return df.sparkSession.createDataFrame(rows, df.schema)
+
+
 def cut_keys(keyed: DataFrame, strata: Sequence[str], quota: Column) -> DataFrame:
     """The key of the ``quota``-th row of each stratum: ``strata..., _cut``.
 
     ``quota`` is an expression over ``_size`` (rows of the stratum) and ``_all``
     (rows of the relation). A stratum with a quota of 0 has no row in the
-    result.
+    result. A stratum is a class or a listed column; their number is checked,
+    and the result is a local table.
     """
     strata = list(strata)
     whole = Window.partitionBy(*strata)
@@ -48,32 +58,29 @@ def cut_keys(keyed: DataFrame, strata: Sequence[str], quota: Column) -> DataFram
         (F.sum("_n").over(upto) - F.col("_n")).alias("_before"),
         F.sum("_n").over(whole).alias("_size"),
     ).withColumn("_all", counts.agg(F.sum("_n")).scalar())
-    edge = (
+    edge = _few_rows(
         placed.withColumn("_quota", F.least(quota.cast("long"), F.col("_size")))
         .where((F.col("_before") < F.col("_quota"))
                & (F.col("_quota") <= F.col("_before") + F.col("_n")))
         .select(*[F.col(s).alias(f"_e_{s}") for s in strata], F.col("_p").alias("_e_p"),
-                (F.col("_quota") - F.col("_before")).alias("_left"))
-    )
+                (F.col("_quota") - F.col("_before")).alias("_left")))
     same = _prefix() == F.col("_e_p")
     for s in strata:
         same = same & F.col(s).eqNullSafe(F.col(f"_e_{s}"))
-    # one row per stratum; a stratum is a class or a listed column
     last = keyed.select(*strata, "_key").join(F.broadcast(edge), same)
     ranked = last.withColumn(
         "_rank", F.row_number().over(Window.partitionBy(*strata).orderBy("_key")))
-    return ranked.where(F.col("_rank") == F.col("_left")).select(
-        *strata, F.col("_key").alias("_cut"))
+    return _few_rows(ranked.where(F.col("_rank") == F.col("_left")).select(
+        *strata, F.col("_key").alias("_cut")))
 
 
-def _up_to_cut(keyed: DataFrame, cuts: DataFrame, strata: Sequence[str]) -> DataFrame:
-    """Attach ``_cut`` to every row; one cut row per stratum is broadcast."""
+def with_cuts(keyed: DataFrame, cuts: DataFrame, strata: Sequence[str]) -> DataFrame:
+    """Attach the ``_cut`` of its stratum to every row."""
     small = cuts.select(*[F.col(s).alias(f"_c_{s}") for s in strata], "_cut")
-    same = None
+    same = F.lit(True)
     for s in strata:
-        one = F.col(s).eqNullSafe(F.col(f"_c_{s}"))
-        same = one if same is None else same & one
-    return keyed.join(F.broadcast(small), same, "left")
+        same = same & F.col(s).eqNullSafe(F.col(f"_c_{s}"))
+    return keyed.join(F.broadcast(small), same, "left").drop(*[f"_c_{s}" for s in strata])
 
 
 def stratified_sample(
@@ -86,8 +93,7 @@ def stratified_sample(
     """``n`` rows that keep the class proportions, each class sampled exactly.
 
     A class of ``c`` rows out of ``N`` contributes ``max(1, round(n c / N))``
-    rows, halves rounding to even. ``n`` must be below ``N``; this is checked
-    when the plan runs.
+    rows, halves rounding to even. ``n`` must be below ``N``.
     """
     require_positive_int(n, "n")
     require_columns(df, [target, id_column])
@@ -98,7 +104,7 @@ def stratified_sample(
         F.raise_error(F.lit("'n' must be smaller than the number of rows")).cast("double"),
     ).otherwise(F.greatest(F.lit(1.0), share))
     cuts = cut_keys(keyed, [target], quota)
-    return _up_to_cut(keyed, cuts, [target]).where(
+    return with_cuts(keyed, cuts, [target]).where(
         F.col("_key") <= F.col("_cut")).select(*df.columns)
 
 
@@ -107,8 +113,9 @@ def row_sample(df: DataFrame, n: int, id_column: str = "id", seed: int = 42) ->
     require_positive_int(n, "n")
     require_columns(df, [id_column])
     keyed = _keyed(df, id_column, seed)
-    cut = cut_keys(keyed, [], F.lit(n)).select("_cut").scalar()
-    return keyed.where(F.col("_key") <= cut).select(*df.columns)
+    cut = cut_keys(keyed, [], F.lit(n)).first()
+    # no cut: the relation has no rows
+    return keyed.where(F.col("_key") <= F.lit(cut["_cut"] if cut else "")).select(*df.columns)
 
 
 def train_valid_split(
@@ -125,7 +132,7 @@ def train_valid_split(
     keyed = _keyed(df, id_column, seed)
     cuts = cut_keys(keyed, [target], F.bround(F.lit(float(valid_ratio)) * F.col("_size"), 0))
     chosen = F.coalesce(F.col("_key") <= F.col("_cut"), F.lit(False))
-    return _up_to_cut(keyed, cuts, [target]).select(
+    return with_cuts(keyed, cuts, [target]).select(
         *df.columns, F.when(chosen, "valid").otherwise("train").alias(name))
 
 

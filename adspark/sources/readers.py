@@ -56,9 +56,9 @@ def csv_to_parquet(
     """Convert CSV to Snappy Parquet and return the Parquet table.
 
     One gzip file is one input split, whatever its size, so the rows are spread
-    over ``partitions`` tasks (default: the session's parallelism) before the
-    write; only the decompression stays single-threaded per file. Many gzip
-    files read in parallel already. ``if_exists="ignore"`` keeps a finished
+    before the write: over ``partitions`` tasks, or over as many as Spark's
+    advisory partition size asks for. Only the decompression stays
+    single-threaded per file; many gzip files read in parallel already. ``if_exists="ignore"`` keeps a finished
     output as it is.
     """
     if if_exists not in ("ignore", "error", "overwrite"):
@@ -68,10 +68,9 @@ def csv_to_parquet(
     for one in [source] if isinstance(source, str) else source:
         if not path_exists(spark, one):
             raise FileNotFoundError(one)
-    n = partitions or spark.sparkContext.defaultParallelism
+    rows = read_impressions_csv(spark, source, schema)
     (
-        read_impressions_csv(spark, source, schema)
-        .repartition(n)
+        (rows.repartition(partitions) if partitions else rows.hint("rebalance"))
         .write.mode(if_exists)
         .option("compression", "snappy")
         .parquet(destination)

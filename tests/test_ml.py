@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from adspark.config import EncodingConfig
 from adspark.ml import (
-    ImpressionEncoder, code_book, encode_rows, explain, feature_names, grid_search,
+    ImpressionEncoder, code_book, encode_rows, encoding_plan, explain, feature_names, grid_search,
     model_width,
     perceptron, predict, predict_and_save, read_results, show_results, top_results,
     train_classifier, train_in_rounds,
@@ -98,6 +98,12 @@ def test_small_levels_get_the_overall_rate(spark):
     assert got == {"a": 0.5, "b": 0.5}
 
 
+def test_default_plan(spark):
+    rows = {r["column"]: (r["strategy"], r["k"]) for r in encoding_plan(spark).collect()}
+    assert len(rows) == 21
+    assert rows["C19"] == ("top_k", 10) and rows["device_ip"] == ("derived", None)
+
+
 def test_codes(spark, rows):
     got = {(r["column"], r["level"]): r["code"] for r in code_book(rows, ["h", "d"]).collect()}
     assert got == {**{("h", f"h{i}"): i for i in range(5)}, ("d", "big"): 0, ("d", "small"): 1}
