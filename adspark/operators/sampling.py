@@ -34,11 +34,17 @@ def _bucket_counts(keyed: DataFrame, strata: Sequence[str]) -> DataFrame:
 
 
 def _few_rows(df: DataFrame) -> DataFrame:
-    """A table with one row per stratum, as a local table of checked length."""
+    """A table with one row per stratum, as literals of checked number."""
     rows = df.limit(MAX_STRATA + 1).collect()
     if len(rows) > MAX_STRATA:
         raise ValueError(f"more than {MAX_STRATA} strata")
-    return df.sparkSession.createDataFrame(rows, df.schema)
+    if not rows:
+        return df.limit(0)
+    listed = F.array(*[
+        F.struct(*[F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in df.schema])
+        for r in rows
+    ])
+    return df.sparkSession.range(1).select(F.inline(listed))
 
 
 def cut_keys(keyed: DataFrame, strata: Sequence[str], quota: Column) -> DataFrame:
@@ -47,7 +53,7 @@ def cut_keys(keyed: DataFrame, strata: Sequence[str], quota: Column) -> DataFram
     ``quota`` is an expression over ``_size`` (rows of the stratum) and ``_all``
     (rows of the relation). A stratum with a quota of 0 has no row in the
     result. A stratum is a class or a listed column; their number is checked,
-    and the result is a local table.
+    and the result consists of literals.
     """
     strata = list(strata)
     whole = Window.partitionBy(*strata)
