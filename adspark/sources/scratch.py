@@ -7,7 +7,6 @@ lost executor costs a re-read and not a recomputation of the lineage.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,17 +28,15 @@ def delete_path(spark: SparkSession, path: str) -> None:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables."""
+    """The shared folder for intermediate tables.
+
+    That is ``spark.checkpoint.dir``. Where it is unset, a folder beside the tables
+    of the warehouse, which every executor can reach as well.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     named = named or spark.sparkContext.getCheckpointDir()
-    if named:
-        return str(named).rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(
-            "set spark.checkpoint.dir to a folder every executor can reach")
-    local = tempfile.mkdtemp(prefix="adspark-")
-    spark.sparkContext.setCheckpointDir(local)
-    return local
+    named = named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
+    return str(named).rstrip("/")
 
 
 def new_scratch_path(spark: SparkSession, label: str) -> str:
