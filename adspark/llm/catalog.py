@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from adspark.llm import chat, mixing, topk, warc
+from adspark.llm import chat, idfile, mixing, packing, topk, warc
 from adspark.llm._common import stored
 from adspark.llm.files import as_uri
 from adspark.sources.scratch import new_scratch_path
@@ -14,6 +15,16 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents tokenized, written as token-id files and read back."""
+    folder = as_uri(new_scratch_path(spark, "ids"))
+    path = public_tokenizers.path("word_bpe_49k.json")
+    idfile.write_id_files(_read(spark, sf_dir, "documents"), folder, path, end_id=2)
+    return idfile.read_id_files(spark, folder).select(
+        "doc_id", "start", "n_tokens", "ids").mapInArrow(
+        idfile.crc_of_ids, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+
+
 def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed at source weights 5, 2, 1 in turn, three epochs at most."""
     return mixing.mix(_read(spark, sf_dir, "documents"), (5.0, 2.0, 1.0)).select(
@@ -46,6 +57,12 @@ def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 1024 tokens."""
+    return packing.packed_pieces(
+        _read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages archived, then read from the archives."""
     folder = as_uri(new_scratch_path(spark, "warc"))
@@ -57,9 +74,11 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_token_ids": op4_token_ids,
     "op5_mix": op5_mix,
     "op6_chat": op6_chat,
     "op7_topk": op7_topk,
+    "op8_packing": op8_packing,
     "op9_warc": op9_warc,
 }
 
