@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from adspark.llm import chat, idfile, mixing, packing, topk, warc
+from adspark.llm import chat, idfile, mixing, packing, quality, topk, warc
 from adspark.llm._common import stored
 from adspark.llm.files import as_uri
 from adspark.sources.scratch import new_scratch_path
@@ -15,6 +15,13 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents judged by the fixed rules and the likelihood ratio."""
+    return quality.quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept", "score")
+
+
 def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents tokenized, written as token-id files and read back."""
     folder = as_uri(new_scratch_path(spark, "ids"))
@@ -74,6 +81,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_quality": op3_quality,
     "op4_token_ids": op4_token_ids,
     "op5_mix": op5_mix,
     "op6_chat": op6_chat,
