@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from adspark.llm import chat, idfile, mixing, packing, quality, topk, warc
+from adspark.llm import chat, idfile, jaccard, lines, mixing, packing, quality, topk, warc
 from adspark.llm._common import stored
 from adspark.llm.files import as_uri
 from adspark.sources.scratch import new_scratch_path
@@ -15,6 +15,14 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without lines that are within two edits of an earlier one."""
+    out = lines.dedup_lines(_read(spark, sf_dir, "documents"))
+    return out.select(
+        "doc_id", "n_lines", "n_removed", "kept_in",
+        F.length("text").cast("bigint").alias("n_chars_left"), F.md5("text").alias("text_md5"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents judged by the fixed rules and the likelihood ratio."""
     return quality.quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")).select(
@@ -80,7 +88,13 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
                           "refers_to")
 
 
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents linked by Jaccard similarity 0.9 of 3-word shingles."""
+    return jaccard.jaccard_components(_read(spark, sf_dir, "documents"), 3, 9, 10)
+
+
 QUERIES = {
+    "op1_lines": op1_lines,
     "op3_quality": op3_quality,
     "op4_token_ids": op4_token_ids,
     "op5_mix": op5_mix,
@@ -88,6 +102,7 @@ QUERIES = {
     "op7_topk": op7_topk,
     "op8_packing": op8_packing,
     "op9_warc": op9_warc,
+    "op10_jaccard": op10_jaccard,
 }
 
 ORACLE = {
