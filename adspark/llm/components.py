@@ -43,5 +43,6 @@ def components(links: DataFrame) -> DataFrame:
         release(edges)
         edges = fresh
         if state == seen:
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
+            roots = edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct()
+            return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(roots)
         seen = state

@@ -154,7 +154,7 @@ def within(a: np.ndarray, others: np.ndarray, size: np.ndarray, distance: int) -
     m = min(n, width)
     same = others[live, :m] == a[:m]
     same &= np.arange(m) < size[live, None]
-    at = np.where(same.all(axis=1), m, np.argmin(same, axis=1))
+    at = np.argmin(np.c_[same, np.zeros(len(live), bool)], axis=1)
     reach = np.zeros((k + 1, len(live)), np.uint64)
     for e in range(k + 1):  # edits e alone reach e diagonals to the right
         reach[e] = (1 << (k + e + 1)) - (1 << k)
