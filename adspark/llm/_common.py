@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from adspark.sources.scratch import materialize
 
+BATCH = ("spark.sql.execution.arrow.maxRecordsPerBatch",
+         "spark.sql.execution.arrow.maxBytesPerBatch")
 #: A word, in SQL: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Entries of a worker's hash cache; it starts again when full.
@@ -66,9 +68,20 @@ def parts_for(n_bytes: int, per_part: int, least: int = 1) -> int:
     return max(least, math.ceil(n_bytes / per_part))
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write to the shared folder and read back: computed once, lineage cut."""
-    return materialize(df, f"llm-{label}")
+def stored(df: DataFrame, label: str, rows_per_batch: int = 1000) -> DataFrame:
+    """Write to the shared folder and read back: computed once, lineage cut.
+
+    Python tasks of this job get their rows in batches of so many and of 32 MB.
+    """
+    conf = df.sparkSession.conf
+    held = {k: conf.get(k, None) for k in BATCH}
+    for k, v in zip(BATCH, (rows_per_batch, 32 << 20)):
+        conf.set(k, str(v))
+    try:
+        return materialize(df, f"llm-{label}")
+    finally:
+        for k, v in held.items():
+            conf.unset(k) if v is None else conf.set(k, v)
 
 
 def text_bytes(docs: DataFrame, text: str = "text") -> int:

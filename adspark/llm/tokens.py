@@ -10,20 +10,20 @@ the vocabulary's special tokens are handed to the tokenizer whole.
 from __future__ import annotations
 
 import re
+import struct
 import sys
 import types
 
 import numpy as np
 from tokenizers import Tokenizer
 
-CACHE_PIECES = 300_000
-BATCH_BYTES = 1_000_000
+CACHE_PIECES = 400_000
+BATCH_BYTES = 2_000_000
+#: Pieces that are encoded as one text, kept apart by a special token.
+JOINED = 1000
 #: A word, or a word with the one space before it, or a run of white space.
-PIECES = {
-    "word": re.compile(rb"[^\x20\x09-\x0d]+"),
-    "byte": re.compile(
-        rb" ?[^\x20\x09-\x0d]+|[\x20\x09-\x0d]+(?![^\x20\x09-\x0d])|[\x20\x09-\x0d]+"),
-}
+BYTE_PIECES = re.compile(
+    rb" ?[^\x20\x09-\x0d]+|[\x20\x09-\x0d]+(?![^\x20\x09-\x0d])|[\x20\x09-\x0d]+")
 #: UTF-8 of the white space that is not among the six ASCII characters above, and
 #: of the separators that some definitions count as white space.
 ODD_SPACE = re.compile(
@@ -31,31 +31,95 @@ ODD_SPACE = re.compile(
     rb"|\xe2\x81\x9f|\xe3\x80\x80")
 
 
+#: Letters below U+0100, which compose with nothing, and signs that never join them:
+#: a run of each is one piece of the vocabulary's own cutting.
+SIMPLE = re.compile(
+    rb"( ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,;:!?|%$&*#]*)").fullmatch
+
+
+def byte_letters() -> dict[int, str]:
+    """The printable letter that stands for each byte in a byte-level vocabulary."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    out = {b: chr(b) for b in plain}
+    for i, b in enumerate(b for b in range(256) if b not in out):
+        out[b] = chr(256 + i)
+    return out
+
+
+LETTERS = byte_letters()
+
+
 def _kept(name: str) -> dict:
     """A dictionary that lives as long as the worker process, not just as the task."""
     holder = sys.modules.setdefault("_worker_memory", types.ModuleType("_worker_memory"))
     return holder.__dict__.setdefault(name, {})
 
 
+def byte_pieces(text: bytes) -> list[bytes]:
+    """Pieces of a text whose white space matters."""
+    return BYTE_PIECES.findall(text)
+
+
 class Encoder:
-    """``kind``: "word" where white space is dropped, "byte" where it is kept."""
+    """``kind``: "word" where white space is dropped and case ignored, "byte" where both count.
+
+    Needs a vocabulary with a special token, which keeps pieces apart that are
+    encoded together. Pieces of letters go to the vocabulary's model directly.
+    """
 
     def __init__(self, path: str, kind: str):
         kept = _kept(f"tokenizer:{path}")
         if "tokenizer" not in kept:
             tokenizer = Tokenizer.from_file(path)
-            special = [t.content.encode() for t in
-                       tokenizer.get_added_tokens_decoder().values()]
-            kept.update(tokenizer=tokenizer, pieces={}, special=special)
-        self.tokenizer, self.cache, special = kept["tokenizer"], kept["pieces"], kept["special"]
-        self.cut = PIECES[kind].findall
+            special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
+            kept.update(tokenizer=tokenizer, pieces={}, special=special, model=tokenizer.model)
+        self.tokenizer, self.model = kept["tokenizer"], kept["model"]
+        self.cache, special = kept["pieces"], kept["special"]
+        self.lower = kind == "word"
+        self.cut = bytes.split if self.lower else byte_pieces
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65_536 else "<u4")
-        self.whole = re.compile(b"|".join([ODD_SPACE.pattern, *map(re.escape, special)])).search
+        self.code = "H" if self.type.itemsize == 2 else "I"
+        self.border, self.border_id = max(special.items(), key=lambda x: x[1])
+        odd = [ODD_SPACE.pattern, *(re.escape(s.encode()) for s in special)]
+        self.whole = re.compile(b"|".join(odd)).search
+
+    def _ids(self, text: str) -> np.ndarray:
+        found = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+        return np.array(found[0].ids, self.type)
+
+    def _apart(self, pieces: list[bytes]) -> None:
+        """Adds the ids of any pieces that hold no special token to the cache."""
+        width = self.type.itemsize
+        for at in range(0, len(pieces), JOINED):
+            some = pieces[at:at + JOINED]
+            ids = self._ids(self.border.join([p.decode() for p in some]))
+            edge = (np.flatnonzero(ids == self.border_id) * width).tolist()
+            raw = ids.tobytes()
+            ends = zip([0, *(e + width for e in edge)], [*edge, len(raw)])
+            self.cache.update(zip(some, [raw[a:b] for a, b in ends]))
+
+    def _letters(self, piece: bytes) -> bytes:
+        text = piece.decode()
+        text = (text.lower() if self.lower else text).encode().decode("latin-1")
+        ids = [t.id for t in self.model.tokenize(text.translate(LETTERS))]
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
 
-    def _encode(self, texts: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(
-            [t.decode() for t in texts], add_special_tokens=False)
-        return [np.array(e.ids, self.type).tobytes() for e in found]
+    def _learn(self, pieces: list[bytes]) -> None:
+        cache, other, signs, split = self.cache, [], set(), []
+        for p in pieces:
+            m = SIMPLE(p)
+            if m is None:
+                other.append(p)
+            elif m[2]:
+                split.append((p, m[1], m[2]))
+                signs.add(m[2])
+            else:
+                cache[p] = self._letters(p)
+        self._apart(other + list(signs.difference(cache, other)))
+        for p, word, sign in split:
+            if word not in cache:
+                cache[word] = self._letters(word)
+            cache[p] = cache[word] + cache[sign]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """For each text its ids, as bytes of ``self.type``; a few texts at a time."""
@@ -70,16 +134,9 @@ class Encoder:
 
     def _some(self, texts: list[bytes]) -> list[bytes]:
         cache = self.cache
-        pieces = [None if self.whole(t) else self.cut(t) for t in texts]
-        new = set()
-        for p in pieces:
-            if p:
-                new.update(p)
-        new = list(new.difference(cache))
-        cache.update(zip(new, self._encode(new)))
-        out = [self._encode([t])[0] if p is None else b"".join(map(cache.__getitem__, p))
-               for t, p in zip(texts, pieces)]
         if len(cache) > CACHE_PIECES:
-            for p in new:
-                del cache[p]
-        return out
+            cache.clear()
+        pieces = [None if self.whole(t) else self.cut(t) for t in texts]
+        self._learn(list(set().union(*filter(None, pieces)).difference(cache)))
+        return [self._ids(t.decode()).tobytes() if p is None
+                else b"".join(map(cache.__getitem__, p)) for t, p in zip(texts, pieces)]
