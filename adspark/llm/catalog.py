@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from adspark.llm import chat, idfile, jaccard, lines, mixing, packing, quality, topk, warc
+from adspark.llm import chat, idfile, jaccard, lines, mixing, packing, pitman_yor, quality, topk, warc
 from adspark.llm._common import stored
 from adspark.llm.files import as_uri
 from adspark.sources.scratch import new_scratch_path
@@ -23,6 +23,11 @@ def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("text").cast("bigint").alias("n_chars_left"), F.md5("text").alias("text_md5"))
 
 
+def op2_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored by a model of those that are not held out."""
+    return pitman_yor.score_texts(_read(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents judged by the fixed rules and the likelihood ratio."""
     return quality.quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")).select(
@@ -95,6 +100,7 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_lines": op1_lines,
+    "op2_pitman_yor": op2_pitman_yor,
     "op3_quality": op3_quality,
     "op4_token_ids": op4_token_ids,
     "op5_mix": op5_mix,
