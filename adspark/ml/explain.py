@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from adspark._checks import require_columns, require_positive_int
 from adspark.ml.train import positive_probability
-from adspark.operators.sampling import cut_keys, with_cuts
+from adspark.operators.sampling import chosen_rows
 
 QUARTILES = [0.25, 0.5, 0.75]
 SELECT_PENALTY = 0.01
@@ -65,9 +65,8 @@ def value_pool(reference: DataFrame, columns: Sequence[str], draws: int,
         *[F.col(c).cast("string").alias(c) for c in columns])
     stacked = text.unpivot(["_id"], list(columns), "column", "value")
     keyed = stacked.withColumn(
-        "_key", F.md5(F.concat_ws("|", "_id", "column", F.lit(str(seed)))))
-    cuts = cut_keys(keyed, ["column"], F.lit(draws))
-    picked = with_cuts(keyed, cuts, ["column"]).where(F.col("_key") <= F.col("_cut"))
+        "_key", F.md5(F.concat_ws("|", F.coalesce("_id", F.lit("")), "column", F.lit(str(seed)))))
+    picked = chosen_rows(keyed, "column", F.lit(draws)).where("_chosen").drop("_chosen")
     # groups of at most `draws` rows
     order = Window.partitionBy("column").orderBy("_key")
     numbered = picked.withColumn("draw", F.row_number().over(order) - 1)

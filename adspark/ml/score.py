@@ -46,14 +46,14 @@ def predict_and_save(
     relation: DataFrame | str,
     target: str = "click",
     output_dir: str | None = None,
-    n_rows: int | None = 200_000,
+    n_rows: int | None = None,
     threshold: float = 0.5,
     extract: bool = True,
     cases_per_kind: int = 1,
     id_column: str = "id",
     seed: int = 42,
 ) -> Scoring:
-    """Score a reproducible sample of ``relation`` (all of it with ``n_rows=None``).
+    """Score all of ``relation``, or a reproducible sample of ``n_rows`` of it.
 
     Predictions are written next to the model, or to ``output_dir``, under the
     model's name; failures are counted on the written table. With ``extract``

@@ -33,10 +33,23 @@ def _needs_both(pos: Column, neg: Column, value: Column) -> Column:
     ).otherwise(value)
 
 
+def checked_score() -> Column:
+    """The prediction; an error where it is null or not a number."""
+    score = F.col("prediction")
+    return F.when(score.isNull() | F.isnan(score), F.raise_error(F.lit(
+        "a prediction is null or not a number")).cast("double")).otherwise(score)
+
+
+def count_bad_scores(preds: DataFrame) -> DataFrame:
+    """``model, n_bad``: predictions that are null or not a number."""
+    bad = F.col("prediction").isNull() | F.isnan("prediction")
+    return preds.groupBy("model").agg(_count_if(bad).alias("n_bad"))
+
+
 def score_groups(preds: DataFrame) -> DataFrame:
     """Positives and negatives per distinct score: ``model, prediction, pos, neg``."""
     require_columns(preds, ["model", "target", "prediction"])
-    return preds.groupBy("model", "prediction").agg(
+    return preds.withColumn("prediction", checked_score()).groupBy("model", "prediction").agg(
         _count_if(F.col("target") == 1).alias("pos"),
         _count_if(F.col("target") == 0).alias("neg"))
 
@@ -138,7 +151,7 @@ def confusion(preds: DataFrame, thresholds: Mapping[str, float] | float = 0.5) -
     pos, neg = F.col("target") == 1, F.col("target") == 0
     return preds.select(
         "model", limit.alias("threshold"), "target",
-        above("prediction", limit).alias("hit"),
+        above(checked_score(), limit).alias("hit"),
     ).groupBy("model", "threshold").agg(
         _count_if(pos | neg).alias("n"), _count_if(pos).alias("n_pos"),
         _count_if(neg).alias("n_neg"), _count_if(hit & pos).alias("tp"),
@@ -176,7 +189,7 @@ def metrics_long(table: DataFrame) -> DataFrame:
 def log_loss(preds: DataFrame, eps: float = LOG_LOSS_EPS) -> DataFrame:
     """Mean negative log likelihood per model, scores clipped to ``[eps, 1-eps]``."""
     require_columns(preds, ["model", "target", "prediction"])
-    p = F.greatest(F.lit(eps), F.least(F.lit(1.0 - eps), F.col("prediction")))
+    p = F.greatest(F.lit(eps), F.least(F.lit(1.0 - eps), checked_score()))
     loss = -F.avg(F.when(F.col("target") == 1, F.log(p)).otherwise(F.log(1.0 - p)))
     return preds.groupBy("model").agg(loss.alias("log_loss"))
 

@@ -4,23 +4,33 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from adspark._checks import require_columns, require_names, require_positive_int
 
 
+def checked_target(target: str) -> Column:
+    """The target as 0 or 1; an error on other values, null stays null."""
+    value = F.col(target).cast("double")
+    return F.when(value.isin(0.0, 1.0) | value.isNull(), value.cast("int")).otherwise(
+        F.raise_error(F.concat(F.lit("the target must be 0 or 1, not "), value.cast("string")))
+        .cast("int"))
+
+
 def level_counts(df: DataFrame, columns: Sequence[str], target: str | None = None,
                  by: str | None = None) -> DataFrame:
     """``[by,] column, level, n`` and, with a 0/1 ``target``, ``pos``.
 
-    Levels are compared as text and null is a level of its own. The columns are
+    Levels are compared as text and null is a level of its own. Rows with a null
+    target are left out; a target other than 0 and 1 is an error. The columns are
     stacked and counted together: one scan, with partial counts before the
     shuffle, so a level that fills a third of the rows is one row per task.
     """
     columns = require_names(list(dict.fromkeys(columns)))
     require_columns(df, [*columns, *([target] if target else []), *([by] if by else [])])
     keep = [F.col(by).alias("_by")] if by else []
-    keep += [F.col(target).cast("int").alias("_target")] if target else []
+    keep += [checked_target(target).alias("_target")] if target else []
+    df = df.where(F.col(target).isNotNull()) if target else df
     text = df.select(*keep, *[F.col(c).cast("string").alias(c) for c in columns])
     ids = (["_by"] if by else []) + (["_target"] if target else [])
     stacked = text.unpivot(ids, columns, "column", "level")

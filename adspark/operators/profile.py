@@ -190,37 +190,47 @@ def split_summary(
     """``split, level, n, pct``: target levels within each subset, and totals.
 
     ``pct`` is the share within the subset; on the total rows it is the subset's
-    share of all rows. Levels absent from a subset appear with 0. With label
-    maps only the listed levels and subsets appear, as their labels; the shares
-    still refer to all rows.
+    share of all rows. Levels absent from a subset appear with 0, and so do listed
+    subsets that the relation lacks. A null level or subset is one of its own. With
+    label maps only the listed levels and subsets appear, as their labels; the
+    shares still refer to all rows.
     """
     require_columns(df, [split, target])
     counts = df.groupBy(
         F.col(split).cast("string").alias("split"), F.col(target).cast("string").alias("level"),
     ).agg(F.count("*").alias("n"))
-    levels = (
-        F.array(*[F.lit(str(k)) for k in target_labels]) if target_labels
-        else counts.agg(F.sort_array(F.collect_set("level"))).scalar()
-    )
-    per_split = counts.groupBy("split").agg(
-        F.sum("n").alias("split_n"),
-        F.map_from_entries(F.collect_list(F.struct("level", "n"))).alias("by_level"),
-    ).withColumn("all_n", F.sum("split_n").over(Window.partitionBy()))
-    if split_labels:
-        per_split = per_split.where(F.col("split").isin([str(k) for k in split_labels]))
-    cells = per_split.select("split", "split_n", "by_level", F.explode(levels).alias("level"))
-    n = F.coalesce(F.col("by_level")[F.col("level")], F.lit(0)).cast("long")
-    detail = cells.select(
+    spark = df.sparkSession
+
+    def listed(labels: Mapping | None, column: str) -> DataFrame:
+        if not labels:
+            return counts.select(column).distinct()
+        return spark.createDataFrame([(str(k),) for k in labels], f"{column} string")
+
+    # subsets and levels are few: every pair of a listed subset and level is a cell
+    subsets = listed(split_labels, "split").withColumn("_one", F.lit(1))
+    cells = subsets.join(listed(target_labels, "level").withColumn("_one", F.lit(1)), "_one")
+    found = counts.select(F.col("split").alias("_s"), F.col("level").alias("_l"), "n")
+    cells = cells.join(found, F.col("split").eqNullSafe(F.col("_s"))
+                       & F.col("level").eqNullSafe(F.col("_l")), "left")
+    sizes = counts.groupBy(F.col("split").alias("_s")).agg(F.sum("n").alias("split_n"))
+    all_n = counts.agg(F.sum("n")).scalar()
+
+    def sized(rows: DataFrame) -> DataFrame:
+        out = rows.drop("_s").join(sizes, F.col("split").eqNullSafe(F.col("_s")), "left")
+        return out.withColumn("split_n", F.coalesce("split_n", F.lit(0)).cast("long"))
+
+    n = F.coalesce(F.col("n"), F.lit(0)).cast("long")
+    share = F.lit(100.0) * n / F.nullif(F.col("split_n"), F.lit(0).cast("long"))
+    detail = sized(cells).select(
         level_label("split", split_labels).alias("split"),
         level_label("level", target_labels).alias("level"),
-        n.alias("n"),
-        (F.lit(100.0) * n / F.col("split_n")).alias("pct"),
+        n.alias("n"), F.coalesce(share, F.lit(0.0)).alias("pct"),
     )
-    totals = per_split.select(
+    totals = sized(subsets).select(
         level_label("split", split_labels).alias("split"),
         F.lit(total_label).alias("level"),
-        F.col("split_n").cast("long").alias("n"),
-        (F.lit(100.0) * F.col("split_n") / F.col("all_n")).alias("pct"),
+        F.col("split_n").alias("n"),
+        (F.lit(100.0) * F.col("split_n") / all_n).alias("pct"),
     )
     return detail.unionByName(totals).orderBy("split", "level")
 

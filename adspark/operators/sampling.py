@@ -2,91 +2,80 @@
 
 The order is that of an md5 key made of the identifier and a seed. Its leading
 hex digits spread rows evenly over buckets whatever the data look like, so the
-key at which a sample of ``n`` rows ends is found from bucket counts plus the
-keys of one bucket; the sample itself is then a plain filter. No task ever sorts
-a whole class.
+row at which a sample of ``n`` rows ends is found from bucket counts plus the
+rows of one bucket of a stratum; the sample itself is then a plain filter. No
+task ever sorts a whole class, and there may be any number of strata.
+
+A null identifier is an identifier of its own. Rows that repeat one are ordered by
+their contents, so samples keep their exact size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from adspark import config
 from adspark._checks import require_columns, require_number, require_positive_int
 from adspark.functions import order_key
+from adspark.operators.lookup import lookup_join
+from adspark.sources.scratch import materialize
 
-PREFIX_DIGITS = 4
-MAX_STRATA = 1_000
+#: Hex digits of a bucket and of a group of buckets: at most 4,096 groups in a stratum
+#: and 4,096 buckets in a group, which bounds every window over them.
+DIGITS, GROUP_DIGITS = 6, 3
 
 
 def _keyed(df: DataFrame, id_column: str, seed: int) -> DataFrame:
-    return df.withColumn("_key", order_key(id_column, seed))
-
+    no_id = F.md5(F.lit(f"null|{seed}"))
+    return df.withColumn("_key", F.coalesce(order_key(id_column, seed), no_id))
 
-def _prefix() -> Column:
-    return F.substring("_key", 1, PREFIX_DIGITS)
 
+def _bucket() -> Column:
+    return F.substring("_key", 1, DIGITS)
 
-def _bucket_counts(keyed: DataFrame, strata: Sequence[str]) -> DataFrame:
-    return keyed.groupBy(*strata, _prefix().alias("_p")).agg(F.count("*").alias("_n"))
 
-
-def _few_rows(df: DataFrame) -> DataFrame:
-    """A table with one row per stratum, as literals of checked number."""
-    rows = df.limit(MAX_STRATA + 1).collect()
-    if len(rows) > MAX_STRATA:
-        raise ValueError(f"more than {MAX_STRATA} strata")
-    if not rows:
-        return df.limit(0)
-    listed = F.array(*[
-        F.struct(*[F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in df.schema])
-        for r in rows
-    ])
-    return df.sparkSession.range(1).select(F.inline(listed))
+def _starts(counts: DataFrame) -> DataFrame:
+    """``_s, _p, _n, _before``: the rows of the stratum before each bucket."""
+    group = F.substring("_p", 1, GROUP_DIGITS)
+    counts = counts.withColumn("_g", group)
+    upto = Window.partitionBy("_s").orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
+    groups = counts.groupBy("_s", "_g").agg(F.sum("_n").alias("_m")).select(
+        F.col("_s").alias("_gs"), F.col("_g").alias("_gg"),
+        F.coalesce(F.sum("_m").over(upto), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("_s", "_g").orderBy("_p").rowsBetween(
+        Window.unboundedPreceding, -1)
+    same = F.col("_s").eqNullSafe(F.col("_gs")) & (F.col("_g") == F.col("_gg"))
+    return counts.withColumn("_b", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(
+        groups, same).select("_s", "_p", "_n", (F.col("_start") + F.col("_b")).alias("_before"))
 
 
-def cut_keys(keyed: DataFrame, strata: Sequence[str], quota: Column) -> DataFrame:
-    """The key of the ``quota``-th row of each stratum: ``strata..., _cut``.
+def chosen_rows(keyed: DataFrame, stratum: str | None, quota: Column) -> DataFrame:
+    """Adds ``_chosen``: the row is among the first ``quota`` of its stratum, by ``_key``.
 
     ``quota`` is an expression over ``_size`` (rows of the stratum) and ``_all``
-    (rows of the relation). A stratum with a quota of 0 has no row in the
-    result. A stratum is a class or a listed column; their number is checked,
-    and the result consists of literals.
+    (rows of the relation). The relation is read twice, once to count.
     """
-    strata = list(strata)
-    whole = Window.partitionBy(*strata)
-    upto = whole.orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counts = _bucket_counts(keyed, strata)
-    placed = counts.select(
-        *strata, "_p", "_n",
-        (F.sum("_n").over(upto) - F.col("_n")).alias("_before"),
-        F.sum("_n").over(whole).alias("_size"),
-    ).withColumn("_all", counts.agg(F.sum("_n")).scalar())
-    edge = _few_rows(
-        placed.withColumn("_quota", F.least(quota.cast("long"), F.col("_size")))
-        .where((F.col("_before") < F.col("_quota"))
-               & (F.col("_quota") <= F.col("_before") + F.col("_n")))
-        .select(*[F.col(s).alias(f"_e_{s}") for s in strata], F.col("_p").alias("_e_p"),
-                (F.col("_quota") - F.col("_before")).alias("_left")))
-    same = _prefix() == F.col("_e_p")
-    for s in strata:
-        same = same & F.col(s).eqNullSafe(F.col(f"_e_{s}"))
-    last = keyed.select(*strata, "_key").join(F.broadcast(edge), same)
-    ranked = last.withColumn(
-        "_rank", F.row_number().over(Window.partitionBy(*strata).orderBy("_key")))
-    return _few_rows(ranked.where(F.col("_rank") == F.col("_left")).select(
-        *strata, F.col("_key").alias("_cut")))
-
-
-def with_cuts(keyed: DataFrame, cuts: DataFrame, strata: Sequence[str]) -> DataFrame:
-    """Attach the ``_cut`` of its stratum to every row."""
-    small = cuts.select(*[F.col(s).alias(f"_c_{s}") for s in strata], "_cut")
-    same = F.lit(True)
-    for s in strata:
-        same = same & F.col(s).eqNullSafe(F.col(f"_c_{s}"))
-    return keyed.join(F.broadcast(small), same, "left").drop(*[f"_c_{s}" for s in strata])
+    names = keyed.columns
+    rows = keyed.withColumns({
+        "_s": F.col(stratum) if stratum else F.lit(1), "_p": _bucket()})
+    counts = materialize(rows.groupBy("_s", "_p").agg(F.count("*").alias("_n")), "buckets")
+    sizes = counts.groupBy("_s").agg(F.sum("_n").alias("_size")).withColumnRenamed("_s", "_z")
+    sizes = sizes.withColumn("_all", counts.agg(F.sum("_n")).scalar())
+    edges = _starts(counts).join(sizes, F.col("_s").eqNullSafe(F.col("_z"))).withColumn(
+        "_quota", F.least(quota.cast("long"), F.col("_size")))
+    edges = materialize(
+        edges.where((F.col("_before") < F.col("_quota"))
+                    & (F.col("_quota") <= F.col("_before") + F.col("_n")))
+        .select("_s", F.col("_p").alias("_edge"), "_size",
+                (F.col("_quota") - F.col("_before")).alias("_left")), "edges")
+    rows = lookup_join(rows, edges, "_s", ["_edge", "_left"], spread_by=["_key"],
+                       weight="_size", null_matches=True, stored=True)
+    at = F.coalesce(F.col("_p") == F.col("_edge"), F.lit(False))
+    order = Window.partitionBy("_s").orderBy("_key", F.to_json(F.struct(*names)))
+    edge = rows.where(at).withColumn("_chosen", F.row_number().over(order) <= F.col("_left"))
+    rest = rows.where(~at).withColumn(
+        "_chosen", F.coalesce(F.col("_p") < F.col("_edge"), F.lit(False)))
+    return edge.unionByName(rest).select(*names, "_chosen")
 
 
 def stratified_sample(
@@ -109,9 +98,7 @@ def stratified_sample(
         F.lit(n) >= F.col("_all"),
         F.raise_error(F.lit("'n' must be smaller than the number of rows")).cast("double"),
     ).otherwise(F.greatest(F.lit(1.0), share))
-    cuts = cut_keys(keyed, [target], quota)
-    return with_cuts(keyed, cuts, [target]).where(
-        F.col("_key") <= F.col("_cut")).select(*df.columns)
+    return chosen_rows(keyed, target, quota).where("_chosen").select(*df.columns)
 
 
 def row_sample(df: DataFrame, n: int, id_column: str = "id", seed: int = 42) -> DataFrame:
@@ -119,9 +106,7 @@ def row_sample(df: DataFrame, n: int, id_column: str = "id", seed: int = 42) ->
     require_positive_int(n, "n")
     require_columns(df, [id_column])
     keyed = _keyed(df, id_column, seed)
-    cut = cut_keys(keyed, [], F.lit(n)).first()
-    # no cut: the relation has no rows
-    return keyed.where(F.col("_key") <= F.lit(cut["_cut"] if cut else "")).select(*df.columns)
+    return chosen_rows(keyed, None, F.lit(n)).where("_chosen").select(*df.columns)
 
 
 def train_valid_split(
@@ -136,10 +121,8 @@ def train_valid_split(
     require_number(valid_ratio, "valid_ratio", 0, 1)
     require_columns(df, [target, id_column])
     keyed = _keyed(df, id_column, seed)
-    cuts = cut_keys(keyed, [target], F.bround(F.lit(float(valid_ratio)) * F.col("_size"), 0))
-    chosen = F.coalesce(F.col("_key") <= F.col("_cut"), F.lit(False))
-    return with_cuts(keyed, cuts, [target]).select(
-        *df.columns, F.when(chosen, "valid").otherwise("train").alias(name))
+    rows = chosen_rows(keyed, target, F.bround(F.lit(float(valid_ratio)) * F.col("_size"), 0))
+    return rows.select(*df.columns, F.when(F.col("_chosen"), "valid").otherwise("train").alias(name))
 
 
 def stratified_folds(
@@ -167,18 +150,15 @@ def stratified_folds(
         number = F.conv(F.substring("_key", 1, 8), 16, 10).cast("long")
         return keyed.withColumn(
             name, F.pmod(number, F.lit(num_folds)).cast("int")).drop("_key")
-    # the class as text, null included, so that window and join share one shuffle
-    keyed = keyed.withColumn("_p", _prefix()).withColumn(
-        "_class", F.coalesce(F.col(target).cast("string"), F.lit("")))
-    upto = Window.partitionBy("_class").orderBy("_p").rowsBetween(
-        Window.unboundedPreceding, -1)
-    starts = keyed.groupBy("_class", "_p").agg(F.count("*").alias("_n")).select(
-        "_class", "_p", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("_class", "_p").orderBy("_key")
+    # a text for every class, null included, so that window and join share one shuffle
+    label = F.coalesce(F.concat(F.lit("="), F.col(target).cast("string")), F.lit("null"))
+    keyed = keyed.withColumns({"_s": label, "_p": _bucket()})
+    counts = materialize(keyed.groupBy("_s", "_p").agg(F.count("*").alias("_n")), "buckets")
+    inside = Window.partitionBy("_s", "_p").orderBy("_key", F.to_json(F.struct(*df.columns)))
     ranked = keyed.withColumn("_rank", F.row_number().over(inside) - 1)
-    return ranked.join(starts, ["_class", "_p"]).select(
+    return ranked.join(_starts(counts), ["_s", "_p"]).select(
         *df.columns,
-        F.pmod(F.col("_start") + F.col("_rank"), F.lit(num_folds)).cast("int").alias(name))
+        F.pmod(F.col("_before") + F.col("_rank"), F.lit(num_folds)).cast("int").alias(name))
 
 
 def class_counts(df: DataFrame, target: str = config.TARGET) -> DataFrame:

@@ -59,7 +59,7 @@ def csv_to_parquet(
     before the write: over ``partitions`` tasks, or over as many as Spark's
     advisory partition size asks for. Only the decompression stays
     single-threaded per file; many gzip files read in parallel already. ``if_exists="ignore"`` keeps a finished
-    output as it is.
+    output, one with Spark's success mark, as it is and replaces any other.
     """
     if if_exists not in ("ignore", "error", "overwrite"):
         raise ValueError("'if_exists' must be 'ignore', 'error' or 'overwrite'")
@@ -68,6 +68,8 @@ def csv_to_parquet(
     for one in [source] if isinstance(source, str) else source:
         if not path_exists(spark, one):
             raise FileNotFoundError(one)
+    if if_exists == "ignore" and not path_exists(spark, f"{destination}/_SUCCESS"):
+        if_exists = "overwrite"
     rows = read_impressions_csv(spark, source, schema)
     (
         (rows.repartition(partitions) if partitions else rows.hint("rebalance"))
