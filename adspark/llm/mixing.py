@@ -113,7 +113,7 @@ def mix(docs: DataFrame, weights: DataFrame | tuple[float, ...], max_epochs: flo
     run = sums.withColumn("upto", F.sum("words").over(run))
     p = plan.select(F.col("source").alias("_s"), "wanted")
     cut = (run.join(p, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-           .filter(F.col("upto") <= F.col("wanted"))
+           .filter((F.col("upto") <= F.col("wanted")) & (F.col("wanted") > 0))
            .groupBy("source").agg(F.max("bucket").alias("last"), F.max("upto").alias("below"))
            .withColumnRenamed("source", "_s"))
     plan = (plan.join(cut, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
