@@ -31,33 +31,32 @@ from adspark.llm.tokens import Encoder
 
 MAGIC = b"IDF1"
 NO_DOC = -(2**63)
-FILE_IDS = 4_000_000
+FILE_IDS = 1_000_000
 SHARD_BYTES = 16_000_000
 #: Lengths of the four values of every control byte.
-LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
+LENGTHS = (((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1).astype(np.uint8)
+#: The bits that a value of a length has.
+MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
 
 
 def pack(values: np.ndarray) -> tuple[bytes, bytes]:
     """Control and data streams of unsigned 32-bit values."""
     v = values.astype(np.uint32)
-    n = 1 + (v > 0xFF).astype(np.int64) + (v > 0xFFFF) + (v > 0xFFFFFF)
+    n = 1 + (v > 0xFF).astype(np.uint8) + (v > 0xFFFF) + (v > 0xFFFFFF)
     codes = np.zeros(-(-len(v) // 4) * 4, np.uint8)
     codes[:len(v)] = n - 1
     control = codes.reshape(-1, 4) @ np.array([1, 4, 16, 64], np.uint8)
     raw = v.astype("<u4").view(np.uint8).reshape(-1, 4)
-    return control.astype(np.uint8).tobytes(), raw[np.arange(4) < n[:, None]].tobytes()
+    return control.astype(np.uint8).tobytes(), raw[np.arange(4, dtype=np.uint8) < n[:, None]].tobytes()
 
 
 def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The ``n`` values of two streams."""
     lengths = LENGTHS[np.frombuffer(control, np.uint8)].ravel()[:n]
-    start = np.cumsum(lengths) - lengths
-    raw = np.frombuffer(data + b"\0\0\0", np.uint8)
-    out = np.zeros(n, np.uint32)
-    for i in range(4):
-        has = lengths > i
-        out[has] |= raw[start[has] + i].astype(np.uint32) << np.uint32(8 * i)
-    return out
+    start = np.cumsum(lengths, dtype=np.int64) - lengths
+    raw = np.frombuffer(data + b"\0\0\0\0", np.uint8)
+    words = np.ndarray((len(raw) - 3,), "<u4", raw.data, strides=(1,))  # four bytes from any place
+    return words[start] & MASKS[lengths]
 
 
 def shard_bytes(shard: int, docs: list, ids: list[np.ndarray], rank: np.ndarray) -> bytes:
@@ -105,8 +104,8 @@ def ranking(tokens: DataFrame, size: int, dtype: str) -> np.ndarray:
     def count(batches):
         total = np.zeros(size, np.int64)
         for b in batches:
-            for x in b.column(0):
-                total += np.bincount(np.frombuffer(x.as_py(), dtype), minlength=size)
+            ids = np.frombuffer(b"".join(b.column(0).to_pylist()), dtype)
+            total += np.bincount(ids, minlength=size)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays(
             [pa.array(seen, pa.int64()), pa.array(total[seen])], names=["id", "n"])

@@ -18,23 +18,20 @@ import numpy as np
 from tokenizers import Tokenizer
 
 CACHE_PIECES = 400_000
-BATCH_BYTES = 2_000_000
-#: Pieces that are encoded as one text, kept apart by a special token.
-JOINED = 1000
-#: A word, or a word with the one space before it, or a run of white space.
+#: A word with the one space before it, or a run of white space.
 BYTE_PIECES = re.compile(
-    rb" ?[^\x20\x09-\x0d]+|[\x20\x09-\x0d]+(?![^\x20\x09-\x0d])|[\x20\x09-\x0d]+")
+    rb" ?[^\x20\x09-\x0d]+|[\x20\x09-\x0d]+(?![^\x20\x09-\x0d])|[\x20\x09-\x0d]+").findall
+#: White space that is more than one space or line end between two words.
+UNEVEN = re.compile(rb"[\x20\n][\x20\n]|[\t\x0b-\r]|^[\x20\n]|[\x20\n]\Z").search
 #: UTF-8 of the white space that is not among the six ASCII characters above, and
 #: of the separators that some definitions count as white space.
-ODD_SPACE = re.compile(
+ODD_SPACE = (
     rb"[\x1c-\x1f]|\xc2\x85|\xc2\xa0|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]"
     rb"|\xe2\x81\x9f|\xe3\x80\x80")
-
-
-#: Letters below U+0100, which compose with nothing, and signs that never join them:
-#: a run of each is one piece of the vocabulary's own cutting.
-SIMPLE = re.compile(
-    rb"( ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,;:!?|%$&*#]*)").fullmatch
+#: Letters below U+0100: they compose with nothing, and a run of them is one piece
+#: of the vocabulary's own cutting, as is a run of these signs.
+LATIN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
+SIGNS = b".,;:!?|%$&*#"
 
 
 def byte_letters() -> dict[int, str]:
@@ -55,88 +52,81 @@ def _kept(name: str) -> dict:
     return holder.__dict__.setdefault(name, {})
 
 
-def byte_pieces(text: bytes) -> list[bytes]:
-    """Pieces of a text whose white space matters."""
-    return BYTE_PIECES.findall(text)
+class _Pieces(dict):
+    """Ids of pieces as bytes; a new piece is encoded when it is first asked for."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, piece: bytes) -> bytes:
+        ids = self[piece] = self.encode(piece)
+        return ids
 
 
 class Encoder:
     """``kind``: "word" where white space is dropped and case ignored, "byte" where both count.
 
-    Needs a vocabulary with a special token, which keeps pieces apart that are
-    encoded together. Pieces of letters go to the vocabulary's model directly.
+    Letters and signs go to the vocabulary's model, other pieces through its whole
+    pipeline. One per vocabulary and worker process.
     """
 
-    def __init__(self, path: str, kind: str):
-        kept = _kept(f"tokenizer:{path}")
-        if "tokenizer" not in kept:
-            tokenizer = Tokenizer.from_file(path)
-            special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
-            kept.update(tokenizer=tokenizer, pieces={}, special=special, model=tokenizer.model)
-        self.tokenizer, self.model = kept["tokenizer"], kept["model"]
-        self.cache, special = kept["pieces"], kept["special"]
-        self.lower = kind == "word"
-        self.cut = bytes.split if self.lower else byte_pieces
+    def __new__(cls, path: str, kind: str):
+        kept = _kept("encoders")
+        if path not in kept:
+            kept[path] = super().__new__(cls)
+            kept[path]._load(path, kind)
+        return kept[path]
+
+    def _load(self, path: str, kind: str) -> None:
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.lower = self.tokenizer.model, kind == "word"
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65_536 else "<u4")
         self.code = "H" if self.type.itemsize == 2 else "I"
-        self.border, self.border_id = max(special.items(), key=lambda x: x[1])
-        odd = [ODD_SPACE.pattern, *(re.escape(s.encode()) for s in special)]
-        self.whole = re.compile(b"|".join(odd)).search
-
-    def _ids(self, text: str) -> np.ndarray:
-        found = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
-        return np.array(found[0].ids, self.type)
-
-    def _apart(self, pieces: list[bytes]) -> None:
-        """Adds the ids of any pieces that hold no special token to the cache."""
-        width = self.type.itemsize
-        for at in range(0, len(pieces), JOINED):
-            some = pieces[at:at + JOINED]
-            ids = self._ids(self.border.join([p.decode() for p in some]))
-            edge = (np.flatnonzero(ids == self.border_id) * width).tolist()
-            raw = ids.tobytes()
-            ends = zip([0, *(e + width for e in edge)], [*edge, len(raw)])
-            self.cache.update(zip(some, [raw[a:b] for a, b in ends]))
-
-    def _letters(self, piece: bytes) -> bytes:
-        text = piece.decode()
-        text = (text.lower() if self.lower else text).encode().decode("latin-1")
-        ids = [t.id for t in self.model.tokenize(text.translate(LETTERS))]
-        return struct.pack(f"<{len(ids)}{self.code}", *ids)
-
-    def _learn(self, pieces: list[bytes]) -> None:
-        cache, other, signs, split = self.cache, [], set(), []
-        for p in pieces:
-            m = SIMPLE(p)
-            if m is None:
-                other.append(p)
-            elif m[2]:
-                split.append((p, m[1], m[2]))
-                signs.add(m[2])
-            else:
-                cache[p] = self._letters(p)
-        self._apart(other + list(signs.difference(cache, other)))
-        for p, word, sign in split:
-            if word not in cache:
-                cache[word] = self._letters(word)
-            cache[p] = cache[word] + cache[sign]
+        special = [t.content.encode().lower() if self.lower else t.content.encode()
+                   for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = re.compile(b"|".join([ODD_SPACE, *map(re.escape, special)])).search
+        self.plain = _Pieces(lambda p: self._piece(p, b""))
+        self.spaced = _Pieces(self._spaced)  # known by what follows the space
+
+    def _ids(self, text: bytes) -> bytes:
+        found = self.tokenizer.encode_batch_fast([text.decode()], add_special_tokens=False)
+        return np.array(found[0].ids, self.type).tobytes()
+
+    def _piece(self, piece: bytes, space: bytes) -> bytes:
+        word = piece.rstrip(SIGNS)
+        if word.isalpha():  # of bytes: ASCII letters
+            text = (space + word).decode()
+        elif LATIN(word):
+            text = word.decode()
+            text = (space + (text.lower() if self.lower else text).encode()).decode("latin-1")
+        else:
+            return self._ids(space + piece)
+        ids = [t.id for t in self.model.tokenize(text.translate(LETTERS) if space or not
+                                                 text.isascii() else text)]
+        own = struct.pack(f"<{len(ids)}{self.code}", *ids)
+        return own if len(word) == len(piece) else own + self.plain[piece[len(word):]]
+
+    def _spaced(self, piece: bytes) -> bytes:
+        if piece[:1] == b"\n":
+            return self.plain[b"\n"] + self.plain[piece[1:]]
+        return self._piece(piece, b" ")
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        """For each text its ids, as bytes of ``self.type``; a few texts at a time."""
-        out: list[bytes] = []
-        start = size = 0
-        for i, t in enumerate(texts):
-            size += len(t)
-            if size >= BATCH_BYTES:
-                out += self._some(texts[start:i + 1])
-                start, size = i + 1, 0
-        return out + self._some(texts[start:])
-
-    def _some(self, texts: list[bytes]) -> list[bytes]:
-        cache = self.cache
-        if len(cache) > CACHE_PIECES:
-            cache.clear()
-        pieces = [None if self.whole(t) else self.cut(t) for t in texts]
-        self._learn(list(set().union(*filter(None, pieces)).difference(cache)))
-        return [self._ids(t.decode()).tobytes() if p is None
-                else b"".join(map(cache.__getitem__, p)) for t, p in zip(texts, pieces)]
+        """For each text its ids, as bytes of ``self.type``."""
+        out = []
+        for t in texts:
+            for cache in (self.plain, self.spaced):
+                if len(cache) > CACHE_PIECES:
+                    cache.clear()
+            low = t.lower() if self.lower else t
+            if self.whole(low):
+                out.append(self._ids(t))
+            elif self.lower:
+                out.append(b"".join(map(self.plain.__getitem__, low.split())))
+            elif not t or UNEVEN(t):
+                out.append(b"".join(map(self.plain.__getitem__, BYTE_PIECES(t))))
+            else:
+                first, *rest = t.replace(b"\n", b" \n").split(b" ")
+                out.append(self.plain[first] + b"".join(map(self.spaced.__getitem__, rest)))
+        return out
