@@ -276,13 +276,12 @@ def delong(rows: DataFrame, score_1: str = "score_1", score_2: str = "score_2",
         F.col(id_column).alias("id"), F.col(target).cast("int").alias("target"),
         F.col(score_1).cast("double").alias("s1"), F.col(score_2).cast("double").alias("s2"))
     table = materialize(_placements(base), "placements", sort_by=("model",))
-    sizes = {r["model"]: r["count"] for r in table.groupBy("model").count().collect()}
     placed, is_pos = base, F.col("target") == 1
     for m in ("1", "2"):
         one = table.where(F.col("model") == m).select(
             F.col("prediction").alias(f"s{m}"), "n", "v_pos", "v_neg")
         placed = lookup_join(placed, one, f"s{m}", ["v_pos", "v_neg"], ["id"],
-                             stored=True, rows=sizes.get(m, 0))
+                             stored=True)
         placed = placed.withColumn(
             f"v{m}", F.when(is_pos, F.col("v_pos")).otherwise(F.col("v_neg"))).drop("v_pos", "v_neg")
     values = placed.select("target", "v1", "v2")

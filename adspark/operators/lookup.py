@@ -8,9 +8,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from adspark.sources.scratch import materialize
 
-HOT_KEYS = 64
-# rows of one key and a few numbers: some megabytes
-BROADCAST_ROWS = 100_000
+#: Bytes of a lookup table up to which it is broadcast.
+BROADCAST_BYTES = 32 << 20
+
+
+def table_bytes(dim: DataFrame, key: str, n_values: int) -> int:
+    """Bytes of a lookup table's keys and of ``n_values`` numbers a row, as a broadcast holds it."""
+    row = dim.agg(F.count("*").alias("n"),
+                  F.sum(F.octet_length(F.col(key).cast("string"))).alias("b")).first()
+    return int(row["b"] or 0) + row["n"] * (32 + 16 * n_values)
 
 
 def lookup_join(
@@ -23,32 +29,33 @@ def lookup_join(
     no_match: Column | None = None,
     null_matches: bool = False,
     stored: bool = False,
-    rows: int | None = None,
-    hot_keys: int = HOT_KEYS,
-    broadcast_rows: int = BROADCAST_ROWS,
+    hot_keys: int | None = None,
+    broadcast_bytes: int | None = None,
 ) -> DataFrame:
     """Left join ``facts`` with ``dim`` (one row per ``key``) on ``key``.
 
     ``dim`` is written to the scratch folder first (unless ``stored`` says it is
-    a written table already), so it is computed once and its row count is known
-    (a caller that has counted it passes ``rows``). Up to ``broadcast_rows``
-    rows it is broadcast. Beyond that both sides are
-    shuffled by key, with hot keys taken out of the way:
-
-    ``dim`` carries in ``weight`` how many rows each key stands for. A key that
-    stands for more than ``1/hot_keys`` of the total is hot; the weights sum to
-    the total, so there are fewer than ``hot_keys`` of them, whatever the size
-    of the data, and they are broadcast. Rows with a hot key, rows that
-    ``no_match`` marks as having no entry, and rows with a null key then need no
-    partner from the shuffled join, so their join key is replaced by a hash of
-    ``spread_by``: they are spread evenly instead of meeting in one task.
+    a written table already), so it is computed once and its size can be taken.
+    Up to ``broadcast_bytes`` (``BROADCAST_BYTES`` unless given) it is broadcast.
+    Beyond that both sides are shuffled by key, with hot keys taken out of the way:
+
+    a key that ``facts`` holds in more than ``1/hot_keys`` of its rows is hot,
+    whether ``dim`` knows it or not; by default that is the share of one shuffle
+    partition. There are fewer than ``hot_keys`` of them, whatever the size of
+    the data, and they are broadcast with their values. Rows with a hot key, rows
+    that ``no_match`` marks as having no entry, and rows with a null key then need
+    no partner from the shuffled join, so their join key is replaced by a hash of
+    ``spread_by`` and the other columns: they are spread evenly instead of meeting in
+    one task. ``weight`` is a column of ``dim`` that is kept with it.
     """
     if not stored:
         dim = materialize(dim.select(*dict.fromkeys([key, weight, *values])), "lookup")
-    if (dim.count() if rows is None else rows) <= broadcast_rows:
+    limit = BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes
+    if limit and table_bytes(dim, key, len(values)) <= limit:
         return _small_join(facts, dim, key, values, null_matches)
-    return _salted_join(
-        facts, dim, key, values, spread_by, weight, no_match, null_matches, hot_keys)
+    if hot_keys is None:
+        hot_keys = max(2, int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return _salted_join(facts, dim, key, values, spread_by, no_match, null_matches, hot_keys)
 
 
 def _matches(key: str, other: str, null_matches: bool) -> Column:
@@ -66,21 +73,25 @@ def _small_join(facts: DataFrame, dim: DataFrame, key: str, values: Sequence[str
 
 
 def _salted_join(facts: DataFrame, dim: DataFrame, key: str, values: Sequence[str],
-                 spread_by: Sequence[str], weight: str, no_match: Column | None,
+                 spread_by: Sequence[str], no_match: Column | None,
                  null_matches: bool, hot_keys: int) -> DataFrame:
-    total = dim.agg(F.sum(weight)).scalar()
-    hot = dim.where(F.col(weight) * hot_keys > total).select(
-        F.col(key).alias("_hot_key"), F.lit(True).alias("_hot"),
-        *[F.col(v).alias(f"_hot_{v}") for v in values],
-    )
-    marked = facts.join(F.broadcast(hot), _matches(key, "_hot_key", null_matches), "left")
-
+    counts = facts.groupBy(F.col(key).alias("_hot_key")).agg(F.count("*").alias("_facts"))
+    total = facts.count()
+    often = materialize(counts.where(F.col("_facts") * hot_keys > total), "hot-keys")
+    known = dim.select(F.col(key).alias("_dim_key"), *[F.col(v).alias(f"_hot_{v}") for v in values])
+    # one row per hot key on the left
+    hot = often.join(known, _matches("_hot_key", "_dim_key", null_matches), "left").select(
+        "_hot_key", F.lit(True).alias("_hot"), *[f"_hot_{v}" for v in values])
+    marked = facts.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("_hot_key")), "left")
+
+    hashable = [c for c, t in facts.dtypes if "map<" not in t]
+    spread = list(dict.fromkeys([*spread_by, *hashable]))
     alone = F.coalesce(F.col("_hot"), F.lit(False))
     if not null_matches:
         alone = alone | F.col(key).isNull()
     if no_match is not None:
         alone = alone | F.coalesce(no_match, F.lit(False))
-    salt = F.when(alone, F.xxhash64(*spread_by)).otherwise(F.lit(0).cast("long"))
+    salt = F.when(alone, F.xxhash64(*spread)).otherwise(F.lit(0).cast("long"))
     marked = marked.withColumn("_join_key", F.struct(salt.alias("s"), F.col(key).alias("k")))
     cold = dim.select(
         F.struct(F.lit(0).cast("long").alias("s"), F.col(key).alias("k")).alias("_dim_key"),

@@ -49,15 +49,13 @@ def rank_correlation(
     """
     columns = list(columns)
     ranks = materialize(value_ranks(df, columns, ties), "ranks", sort_by=("column",))
-    # one row per column
-    sizes = {r["column"]: r["count"] for r in ranks.groupBy("column").count().collect()}
     extra = [c for c in (spread_by or []) if c not in columns]
     rows = df.select(*[F.col(c).cast("double").alias(c) for c in columns], *extra)
     for i, c in enumerate(columns):
         one = ranks.where(F.col("column") == c).select(
             F.col("value").alias(c), "n", F.col("rank").alias(f"_r{i}"))
         rows = lookup_join(rows, one, c, [f"_r{i}"], list(spread_by or columns),
-                           null_matches=True, stored=True, rows=sizes.get(c, 0))
+                           null_matches=True, stored=True)
     pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1)]
     one = rows.agg(*[F.corr(f"_r{i}", f"_r{j}").alias(f"c{i}_{j}") for i, j in pairs])
     cells = F.array(*[

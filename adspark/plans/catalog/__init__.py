@@ -1,10 +1,11 @@
 """Registered queries and the SQL they are checked against."""
 
 from adspark.plans.catalog import (
-    encoding, evaluation, modelling, profiling, sampling, statistics, temporal,
+    encoding, evaluation, modelling, profiling, sampling, statistics, storage, temporal,
 )
 
-_PARTS = [temporal, profiling, statistics, sampling, encoding, evaluation, modelling]
+_PARTS = [temporal, profiling, statistics, sampling, encoding, evaluation, modelling,
+          storage]
 
 
 def all_queries() -> dict:

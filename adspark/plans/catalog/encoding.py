@@ -3,11 +3,14 @@
 from adspark import operators as op
 from adspark.config import EncodingConfig, TRAIN_LABEL
 from adspark.ml import ImpressionEncoder, code_book, standardize
-from adspark.ml.encode import is_dominant, top_or_other
+from adspark.ml.encode import feature_names, is_dominant, top_or_other
 from adspark.plans.catalog.rounding import rounded
 from adspark.plans.catalog.sqltext import BAND, DAY, HOD, IMP, SPLIT, stacked_levels
 from adspark.plans.feature_build import build_features
 from adspark.plans.impressions import CATEGORIES, PLACEHOLDER, impressions
+from adspark.sources.scratch import new_scratch_path
+from adspark.sources.writers import save_model
+from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -66,23 +69,33 @@ def encode_topk_other(spark, sf):
         "id", top_or_other("n_name", [r["level"] for r in top]).alias("n_name_top"))
 
 
-def _encoded(spark, sf):
+def _fitted(spark, sf):
     f = features(spark, sf)
-    model = ImpressionEncoder.of(CONFIG, smoothing=SMOOTHING).fit(train_part(f))
-    return model.transform(f)
+    return ImpressionEncoder.of(CONFIG, smoothing=SMOOTHING).fit(train_part(f)), f
 
 
 def encode_hybrid(spark, sf):
-    return rounded(_encoded(spark, sf).select("id", "n_name_is_dominant", "n_name_te"), 9)
+    model, f = _fitted(spark, sf)
+    return rounded(model.transform(f).select("id", "n_name_is_dominant", "n_name_te"), 9)
 
 
-WIDTH = 17
+def matrix(model, f):
+    """One column per entry of the feature vector."""
+    x = model.transform(f).select("id", vector_to_array("features").alias("x"))
+    width = len(feature_names(model))
+    return rounded(x.select("id", *[F.col("x")[i].alias(f"f{i:02d}") for i in range(width)]), 8)
 
 
 def encoded_matrix(spark, sf):
-    """One column per entry of the feature vector."""
-    x = _encoded(spark, sf).select("id", vector_to_array("features").alias("x"))
-    return rounded(x.select("id", *[F.col("x")[i].alias(f"f{i:02d}") for i in range(WIDTH)]), 8)
+    return matrix(*_fitted(spark, sf))
+
+
+def saved_encoder(spark, sf):
+    """The matrix of an encoder that was saved and loaded."""
+    model, f = _fitted(spark, sf)
+    path = new_scratch_path(spark, "encoder")
+    save_model(model, path)
+    return matrix(PipelineModel.load(path), f)
 
 
 def scaled_numeric(spark, sf):
@@ -162,6 +175,7 @@ QUERIES = {
     "encode_topk_other": encode_topk_other,
     "encode_hybrid": encode_hybrid,
     "encoded_matrix": encoded_matrix,
+    "saved_encoder": saved_encoder,
     "scaled_numeric": scaled_numeric,
     "code_book": codes,
 }
@@ -181,6 +195,7 @@ ORACLE = {
     "encode_hybrid": _FIT + f""", {_HYBRID}
       SELECT id, n_dom AS n_name_is_dominant, round(n_te, 9) AS n_name_te FROM enc""",
     "encoded_matrix": _matrix_sql(),
+    "saved_encoder": _matrix_sql(),
     "scaled_numeric": _FIT + """
       SELECT id, round((l_id - m_id) / d_id, 8) AS log_freq_device_id,
              round((l_ip - m_ip) / d_ip, 8) AS log_freq_device_ip FROM lf, sc""",

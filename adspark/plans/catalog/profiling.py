@@ -42,9 +42,10 @@ def level_distribution_top5(spark, sf):
 
 
 def level_distribution_pair(spark, sf):
-    docs = labelled_documents(spark, sf)
+    docs = table(spark, sf, "documents")
+    toxic = labelled_documents(spark, sf).where("toxic = 1")
     return rounded(op.level_distribution_pair(
-        (docs, docs.where("toxic = 1")), ("lang", "source"), n=(None, 1000.0)))
+        (docs, toxic), ("lang", "source"), n=(None, 1000.0)))
 
 
 def _coverage(ties):
@@ -68,25 +69,34 @@ def preview(spark, sf):
 
 
 def suggest_encoding(spark, sf):
-    docs = labelled_documents(spark, sf).select(
-        F.col("lang"), F.col("source"), F.col("toxic"), F.col("doc_id"))
-    return rounded(op.suggest_encoding(docs, ["lang", "source", "toxic", "doc_id"]))
+    docs = op.suggest_encoding(table(spark, sf, "documents"), ["lang", "source", "doc_id"])
+    labels = op.suggest_encoding(table(spark, sf, "labels"), ["toxic"])
+    return rounded(docs.unionByName(labels))
 
 
 def _coverage_sql(ties):
+    """From the definition, by distinct counts: levels with an equal count are peers.
+
+    At the first count where the mass reaches a share, peers need one level more than
+    have a larger count; rows need as many of the peers as the missing mass takes.
+    """
+    def needed(t):
+        level = "1" if ties == "peers" else (
+            f"greatest(1, ceil(({t} * total - (mass - n * k)) / n - 1e-9))")
+        return (f"CAST(MIN(larger + {level}) FILTER (WHERE mass >= {t} * total - 1e-9) AS BIGINT)")
+
     parts = []
     for c in COVERED:
-        if ties == "peers":
-            cum = "SUM(n) OVER (ORDER BY n DESC)"
-        else:
-            cum = ("SUM(n) OVER (ORDER BY n DESC, level "
-                   "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
-        picks = ", ".join(
-            f"MIN(rn) FILTER (WHERE cum_pct >= {t}) AS t{i}" for i, t in enumerate(SHARES))
+        picks = ", ".join(f"{needed(t)} AS t{i}" for i, t in enumerate(SHARES))
         parts.append(f"""SELECT '{c}' AS "column", {picks} FROM (
-            SELECT row_number() OVER (ORDER BY n DESC, level) AS rn,
-                   {cum} * 1.0 / SUM(n) OVER () AS cum_pct
-            FROM (SELECT {c} AS level, COUNT(*) AS n FROM lines GROUP BY {c}))""")
+            SELECT a.n, a.k, SUM(b.n * b.k) AS mass,
+                   SUM(CASE WHEN b.n > a.n THEN b.k ELSE 0 END) AS larger,
+                   (SELECT COUNT(*) FROM lines) AS total
+            FROM (SELECT n, COUNT(*) AS k FROM (
+                    SELECT COUNT(*) AS n FROM lines GROUP BY {c}) GROUP BY n) a
+            JOIN (SELECT n, COUNT(*) AS k FROM (
+                    SELECT COUNT(*) AS n FROM lines GROUP BY {c}) GROUP BY n) b ON b.n >= a.n
+            GROUP BY a.n, a.k)""")
     return f"WITH {LINES} " + " UNION ALL ".join(parts)
 
 
@@ -121,8 +131,9 @@ def _suggest_sql():
             FROM (SELECT n, row_number() OVER (ORDER BY n DESC) AS rn,
                          SUM(n) OVER (ORDER BY n DESC ROWS UNBOUNDED PRECEDING) * 1.0
                            / SUM(n) OVER () AS cum
-                  FROM (SELECT COUNT(*) AS n FROM docs GROUP BY {c}))""" for c in cols)
-    return f"""WITH {DOCS}, p AS ({parts}),
+                  FROM (SELECT COUNT(*) AS n FROM {'labels' if c == 'toxic' else 'documents'}
+                        GROUP BY {c}))""" for c in cols)
+    return f"""WITH p AS ({parts}),
       s AS (SELECT *, CASE WHEN share >= 0.75 THEN 'dichotomize'
                            WHEN needed <= 10 OR n_levels <= 100 THEN 'top_k'
                            WHEN share >= 0.3 THEN 'hybrid' ELSE 'target_rate' END AS strategy
@@ -169,7 +180,7 @@ ORACLE = {
     "level_distribution_pair": f"""WITH {DOCS}
       SELECT 'left' AS panel, lang AS level, COUNT(*) AS count,
              round(COUNT(*) * 100.0 / SUM(COUNT(*)) OVER (), 6) AS percentage, lang AS label
-      FROM docs GROUP BY lang
+      FROM documents GROUP BY lang
       UNION ALL
       SELECT 'right', source, COUNT(*), round(COUNT(*) * 100.0 / 1000.0, 6), source
       FROM docs WHERE toxic = 1 GROUP BY source""",

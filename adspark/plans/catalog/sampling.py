@@ -47,6 +47,20 @@ def train_valid_split(spark, sf):
     return op.train_valid_split(_rows(spark, sf)).select("id", "part")
 
 
+def sample_null_ids(spark, sf):
+    """Class sizes of an exact sample where every tenth identifier is missing."""
+    from pyspark.sql import functions as F
+    rows = _rows(spark, sf).withColumn("id", F.when(F.col("id") % 10 != 0, F.col("id")))
+    return op.stratified_sample(rows, SAMPLE).groupBy("click").agg(F.count("*").alias("n"))
+
+
+def sample_many_strata(spark, sf):
+    """An exact sample of orders within every customer."""
+    orders = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_custkey")
+    return op.stratified_sample(orders, orders.count() // 2, target="o_custkey",
+                                id_column="o_orderkey")
+
+
 _KEY = "md5(concat(CAST(id AS VARCHAR), '42'))"
 _RANKED = f"""
 WITH {IMP}, k AS (
@@ -67,6 +81,8 @@ QUERIES = {
     "folds_hashed": folds_hashed,
     "fold_balance": fold_balance,
     "train_valid_split": train_valid_split,
+    "sample_null_ids": sample_null_ids,
+    "sample_many_strata": sample_many_strata,
 }
 
 ORACLE = {
@@ -91,4 +107,14 @@ ORACLE = {
     "train_valid_split": _RANKED + """
       SELECT id, CASE WHEN rn <= round_even(0.2 * cnt, 0) THEN 'valid' ELSE 'train' END AS part
       FROM k""",
+    "sample_null_ids": _RANKED + f"""
+      SELECT click, CAST(greatest(1, round_even({SAMPLE}::DOUBLE * any_value(cnt)
+        / any_value(total), 0)) AS BIGINT) AS n FROM k GROUP BY click""",
+    "sample_many_strata": """
+      WITH k AS (SELECT o_orderkey, o_custkey,
+          row_number() OVER (PARTITION BY o_custkey
+            ORDER BY md5(concat(CAST(o_orderkey AS VARCHAR), '42'))) AS rn,
+          COUNT(*) OVER (PARTITION BY o_custkey) AS cnt, COUNT(*) OVER () AS total FROM orders)
+      SELECT o_orderkey, o_custkey FROM k
+      WHERE rn <= greatest(1, round_even((total // 2)::DOUBLE * cnt / total, 0))""",
 }

@@ -52,6 +52,14 @@ def split_summary(spark, sf):
     return rounded(op.split_summary(op.add_split(events_as_impressions(spark, sf))))
 
 
+def split_summary_listed(spark, sf):
+    """A null target level, and a listed subset that no row has."""
+    rows = op.add_split(events_as_impressions(spark, sf)).withColumn(
+        "click", F.when(F.col("id") % 7 != 0, F.col("click")))
+    return rounded(op.split_summary(rows, split_labels={
+        "Entrenamiento": "train", "Prueba": "test", "Reserva": "spare"}))
+
+
 def split_rates(spark, sf):
     return op.split_rates(op.add_split(events_as_impressions(spark, sf)))
 
@@ -129,6 +137,7 @@ QUERIES = {
     "numeric_features": numeric_features,
     "split_assign": split_assign,
     "split_summary": split_summary,
+    "split_summary_listed": split_summary_listed,
     "split_rates": split_rates,
     "freq_device_id": freq_device_id,
     "freq_device_ip": freq_device_ip,
@@ -172,6 +181,17 @@ ORACLE = {
       UNION ALL
       SELECT split, 'Total', COUNT(*), round(100.0 * COUNT(*) / (SELECT COUNT(*) FROM s), 6)
       FROM s GROUP BY split""",
+    "split_summary_listed": f"""WITH {IMP}, s AS (
+        SELECT CASE WHEN id % 7 <> 0 THEN CAST(click AS VARCHAR) END AS level,
+               CASE {SPLIT} WHEN 'Prueba' THEN 'test' ELSE 'train' END AS split FROM imp),
+      sub AS (FROM (VALUES ('train'), ('test'), ('spare')) t(split)),
+      z AS (SELECT sub.split, COUNT(s.split) AS m FROM sub LEFT JOIN s USING (split) GROUP BY 1),
+      c AS (SELECT z.split, l.level, m, (SELECT COUNT(*) FROM s WHERE s.split = z.split
+              AND s.level IS NOT DISTINCT FROM l.level) AS n
+            FROM z, (SELECT DISTINCT level FROM s) l)
+      SELECT split, level, n, round(CASE WHEN m = 0 THEN 0.0 ELSE 100.0 * n / m END, 6) AS pct
+      FROM c
+      UNION ALL SELECT split, 'Total', m, round(100.0 * m / (SELECT COUNT(*) FROM s), 6) FROM z""",
     "split_rates": f"""WITH {IMP}, s AS (SELECT click, {SPLIT} AS split FROM imp)
       SELECT split, COUNT(*) AS n, round(AVG(click) * 100, 4) AS ctr_pct
       FROM s GROUP BY split""",

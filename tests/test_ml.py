@@ -12,7 +12,6 @@ from adspark.ml import (
     perceptron, predict, predict_and_save, read_results, show_results, top_results,
     train_classifier, train_in_rounds,
 )
-from adspark.ml import encode as encode_module
 from adspark.ml.search import combinations
 from adspark.sources import save_model
 
@@ -80,10 +79,8 @@ def test_unseen_and_null_values(spark, rows, encoder):
 
 def test_large_level_tables_take_the_shuffled_lookup(rows, encoder, monkeypatch):
     want = sorted(map(tuple, encoder.transform(rows).select("id", "r_te", "h_te").collect()))
-    monkeypatch.setattr(encode_module, "BROADCAST_ROWS", 0)
     import adspark.operators.lookup as lookup
-    monkeypatch.setattr(lookup.lookup_join, "__defaults__", tuple(
-        0 if d == lookup.BROADCAST_ROWS else d for d in lookup.lookup_join.__defaults__))
+    monkeypatch.setattr(lookup, "BROADCAST_BYTES", 0)
     got = sorted(map(tuple, encoder.transform(rows).select("id", "r_te", "h_te").collect()))
     assert [g[0] for g in got] == [w[0] for w in want]
     assert all(abs(a - b) < 1e-12 for g, w in zip(got, want) for a, b in zip(g, w))

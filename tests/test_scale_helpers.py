@@ -21,7 +21,7 @@ def test_lookup_equals_plain_join(spark, null_matches, limit):
     dim = facts.where("key is null or key <> 'ph'").where("key is null or key <> 'k7'") \
         .groupBy("key").agg(F.count("*").alias("n")).withColumn("v", F.col("n") * 2)
     got = lookup_join(facts, dim, "key", ["v"], ["id"], no_match=F.col("key") == "ph",
-                      null_matches=null_matches, broadcast_rows=limit)
+                      null_matches=null_matches, broadcast_bytes=limit)
     assert got.columns == ["id", "key", "v"]
     values = {r["key"]: r["v"] for r in dim.collect()}
     rows = got.collect()
@@ -41,7 +41,7 @@ def test_hot_rows_get_their_own_join_keys(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     spark.conf.set("spark.sql.adaptive.enabled", False)
     try:
-        joined = _salted_join(facts, dim, "key", ["n"], ["id"], "n", None, False, 64)
+        joined = _salted_join(facts, dim, "key", ["n"], ["id"], None, False, 64)
         plan = joined._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "_join_key" in plan
         # partitions of the shuffled join are even although one key has 2/3 of the rows
@@ -54,6 +54,24 @@ def test_hot_rows_get_their_own_join_keys(spark):
         spark.conf.set("spark.sql.adaptive.enabled", True)
 
 
+def test_a_hot_key_that_the_lookup_lacks_is_spread(spark):
+    facts = spark.range(6000).withColumn(
+        "key", F.when(F.col("id") % 5 < 2, F.col("id")).otherwise(F.lit(-1))).repartition(8)
+    dim = facts.where("key >= 0").groupBy("key").agg(F.count("*").alias("n"))
+    before = int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    try:
+        joined = lookup_join(facts, dim, "key", ["n"], ["id"], broadcast_bytes=0)
+        sizes = [r["count"] for r in
+                 joined.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert sum(sizes) == 6000 and max(sizes) < 2 * 6000 / 8
+        assert joined.where("key = -1 and n is not null").count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.conf.set("spark.sql.adaptive.enabled", True)
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_running_totals_against_brute_force(spark, seed):
     rng = random.Random(seed)
