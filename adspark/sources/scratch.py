@@ -7,13 +7,31 @@ lost executor costs a re-read and not a recomputation of the lineage.
 
 from __future__ import annotations
 
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_scopes = threading.local()
+
+
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Delete on exit what this thread materialized inside; only collected results may leave."""
+    stack = _scopes.__dict__.setdefault("stack", [])
+    stack.append([])
+    try:
+        yield
+    finally:
+        for path in stack.pop():
+            delete_path(spark, path)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
-    """Whether a path (or glob) exists on its file system."""
+    """Whether a path (or glob) exists on its file system (needs a classic session, for its JVM)."""
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(str(path))
     fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -60,6 +78,8 @@ def materialize(df: DataFrame, label: str, partition_by: tuple[str, ...] = (),
     writer.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.__dict__["_scratch_path"] = path
+    if _scopes.__dict__.get("stack"):
+        _scopes.stack[-1].append(path)
     return table
 
 

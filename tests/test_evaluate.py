@@ -123,3 +123,14 @@ def test_alignment(spark):
     for other in (b.where("id = 1"), b.selectExpr("id", "1 - target target", "prediction")):
         with pytest.raises(Exception, match="differ in rows or targets"):
             align_predictions(a, other).collect()
+
+
+@pytest.mark.parametrize("bad", [None, float("nan")])
+def test_bad_scores_are_refused(spark, bad):
+    from adspark.operators.evaluate import auc, confusion, count_bad_scores, log_loss
+    df = spark.createDataFrame([("m", 1, .9), ("m", 0, .1), ("m", 1, bad)],
+                               "model string, target int, prediction double")
+    for run in (auc, confusion, log_loss):
+        with pytest.raises(Exception, match="null or not a number"):
+            run(df).collect()
+    assert count_bad_scores(df).first()["n_bad"] == 1

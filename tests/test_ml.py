@@ -209,3 +209,15 @@ def test_holdout_does_not_reach_the_fitted_state(rows):
     b = ImpressionEncoder.of(CONFIG).fit(changed.where("id % 3 <> 0"))
     pick = ["id", "r_te", "h_te", "t_top"]
     assert a.transform(train).select(pick).exceptAll(b.transform(train).select(pick)).count() == 0
+
+
+def test_search_runs_again_when_anything_changes(rows, spark, tmp_path):
+    path, grid = str(tmp_path / "grid"), {"hidden": [(3,)], "max_iter": [4]}
+    first = {r["signature"] for r in grid_search(rows, CONFIG, grid, path, num_folds=2).collect()}
+    other = {r["signature"] for r in grid_search(rows, CONFIG, grid, path, num_folds=2,
+                                                 seed=7).collect()}
+    assert len(first) == len(other) == 1 and first != other
+    again = grid_search(rows, CONFIG, grid, path, num_folds=2).collect()
+    assert {r["signature"] for r in again} == first
+    meta = spark.read.json(f"{path}.metadata").collect()
+    assert len(meta) == 3 and {r["grid_size"] for r in meta} == {1}

@@ -84,3 +84,26 @@ def test_counts_and_draws(spark):
     assert got == {1: (334, 0.167), 0: (1666, 0.833)}
     assert draw_cases(_df(spark), F.col("click") == 1, 3).count() == 3
     assert draw_cases(_df(spark), F.col("click") == 5, 3).count() == 0
+
+
+def test_null_and_repeated_ids_keep_exact_sizes(spark):
+    rows = [(None if i % 10 == 0 else i % 40, int(i % 7 == 0)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, click int")
+    counts = {c: sum(r[1] == c for r in rows) for c in (0, 1)}
+    got = stratified_sample(df, 100).groupBy("click").count().collect()
+    assert {r["click"]: r["count"] for r in got} == {
+        c: round(100 * n / 400) for c, n in counts.items()}
+    assert row_sample(df, 20).count() == 20
+    parts = train_valid_split(df, 0.25).where("part = 'valid'").groupBy("click").count().collect()
+    assert {r["click"]: r["count"] for r in parts} == {c: round(n / 4) for c, n in counts.items()}
+    folds = stratified_folds(df, 4).groupBy("click", "fold").count().collect()
+    assert sum(r["count"] for r in folds) == 400
+    for c in (0, 1):
+        sizes = [r["count"] for r in folds if r["click"] == c]
+        assert len(sizes) == 4 and max(sizes) - min(sizes) <= 1
+
+
+def test_any_number_of_strata(spark):
+    df = spark.range(6000).withColumn("click", (F.col("id") % 1500).cast("int"))
+    got = stratified_sample(df, 3000).groupBy("click").count().collect()
+    assert len(got) == 1500 and {r["count"] for r in got} == {2}

@@ -106,3 +106,28 @@ def test_result_files(spark, tmp_path):
     assert [r["epoch"] for r in read_history_json(spark, str(hist)).collect()] == [1, 2]
     with pytest.raises(FileNotFoundError):
         read_grid_json(spark, str(tmp_path / "no.json"))
+
+
+def test_unfinished_output_is_written_again(spark, tmp_path):
+    source, target = str(tmp_path / "in.csv.gz"), tmp_path / "out"
+    _csv(source, [{"click": 1}] * 5)
+    csv_to_parquet(spark, source, str(target))
+    (target / "_SUCCESS").unlink()
+    _csv(source, [{"click": 1}] * 7)
+    assert csv_to_parquet(spark, source, str(target)).count() == 7
+
+
+def test_scopes_release_what_they_materialize(spark):
+    from adspark.operators import auc
+    from adspark.sources.scratch import released
+    df = spark.createDataFrame([("m", i % 2, i / 10) for i in range(10)],
+                               "model string, target int, prediction double")
+
+    def tables():
+        import glob
+        return set(glob.glob(scratch_root(spark).removeprefix("file:") + "/adspark/*"))
+
+    before = tables()
+    with released(spark):
+        assert 0 <= auc(df).first()["auc"] <= 1
+    assert tables() == before

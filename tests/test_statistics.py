@@ -98,3 +98,11 @@ def test_nulls_rank_last(spark):
     rho = {(r["col_i"], r["col_j"]): r["rho"] for r in rank_correlation(df, ["a", "b"]).collect()}
     # ranks a: 1 2 4 3 4, b: 2 3 1 4 5
     assert rho[("b", "a")] == pytest.approx(2 / math.sqrt(6.8 * 10))
+
+
+def test_targets_are_checked(spark):
+    from adspark.operators.association import contingency
+    df = spark.createDataFrame([("a", 0), ("a", 1), ("a", None)], "c string, click int")
+    assert tuple(contingency(df, ["c"]).first()) == ("c", "a", 1, 1)
+    with pytest.raises(Exception, match="0 or 1"):
+        contingency(spark.createDataFrame([("a", 2)], "c string, click int"), ["c"]).collect()
