@@ -31,8 +31,6 @@ from adspark.operators.lookup import lookup_join
 from adspark.operators.prefix import running_totals, text_cut_points
 from adspark.sources.scratch import materialize
 
-MAX_ONE_HOT_LEVELS = 1_000
-
 
 def config_to_json(config: EncodingConfig) -> str:
     """Text form of a configuration, for persistence."""
@@ -174,14 +172,11 @@ def encoder_from_counts(
     }
     if not sizes:
         raise ValueError("there are no training rows")
-    for c in config.one_hot:
-        if sizes[c]["levels"] > MAX_ONE_HOT_LEVELS:
-            raise ValueError(
-                f"column {c!r} has {sizes[c]['levels']} levels, too many for one slot each")
     wanted = {c: 1 for c in (*config.dichotomize, *config.hybrid)}
     for c, k in config.top_k.items():
         wanted[c] = max(k, wanted.get(c, 0))
-    wanted |= {c: MAX_ONE_HOT_LEVELS for c in config.one_hot}
+    # a slot for every level: the width of the vector is what limits a one-hot column
+    wanted |= {c: max(1, sizes[c]["levels"]) for c in config.one_hot}
     best: dict[str, list[str]] = {c: [] for c in wanted}
     if wanted:
         picked = top_levels(counts.where(F.col("column").isin(list(wanted))), wanted)

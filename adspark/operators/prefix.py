@@ -9,13 +9,21 @@ task runs again; they only balance the work and do not affect the result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window, functions as F
 
 MIN_BUCKETS = 64
-MAX_BUCKETS = 4096
+#: Distinct keys that a bucket is meant to hold; one task sorts a bucket.
+KEYS_PER_BUCKET = 500_000
+
+
+def buckets_for(df: DataFrame) -> int:
+    """Buckets for a table of distinct keys, by their number."""
+    wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(MIN_BUCKETS, wanted, math.ceil(df.count() / KEYS_PER_BUCKET))
 
 
 def cut_points(df: DataFrame, key: str, buckets: int | None = None) -> list[float]:
@@ -26,21 +34,21 @@ def cut_points(df: DataFrame, key: str, buckets: int | None = None) -> list[floa
     repeated keys several quantiles may coincide and are kept once.
     """
     if buckets is None:
-        wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        buckets = max(MIN_BUCKETS, min(MAX_BUCKETS, wanted))
+        buckets = buckets_for(df)
     probs = [i / buckets for i in range(1, buckets)]
     found = df.select(F.col(key).cast("double").alias("v")).approxQuantile(
         "v", probs, 0.25 / buckets)
     return sorted({float(x) for x in found if x == x})
 
 
-def text_cut_points(df: DataFrame, key: str, buckets: int = MIN_BUCKETS,
+def text_cut_points(df: DataFrame, key: str, buckets: int | None = None,
                     per_bucket: int = 16) -> list[str]:
-    """Cut points for text keys, from a hash-ordered sample of fixed size.
+    """Cut points for text keys, from a hash-ordered sample of a few keys a bucket.
 
     ``df`` holds distinct keys. ``buckets x per_bucket`` of them reach the
     driver, where every ``per_bucket``-th in sorted order becomes a cut point.
     """
+    buckets = buckets_for(df) if buckets is None else buckets
     seen = df.select(key).where(F.col(key).isNotNull()).orderBy(
         F.xxhash64(key), key).limit(buckets * per_bucket).collect()
     keys = sorted({r[0] for r in seen})
