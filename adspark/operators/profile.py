@@ -207,8 +207,9 @@ def split_summary(
         return spark.createDataFrame([(str(k),) for k in labels], f"{column} string")
 
     # subsets and levels are few: every pair of a listed subset and level is a cell
-    subsets = listed(split_labels, "split").withColumn("_one", F.lit(1))
-    cells = subsets.join(listed(target_labels, "level").withColumn("_one", F.lit(1)), "_one")
+    subsets = listed(split_labels, "split")
+    levels = listed(target_labels, "level").agg(F.collect_list(F.struct("level"))).scalar()
+    cells = subsets.select("split", F.explode(levels).alias("l")).select("split", "l.level")
     found = counts.select(F.col("split").alias("_s"), F.col("level").alias("_l"), "n")
     cells = cells.join(found, F.col("split").eqNullSafe(F.col("_s"))
                        & F.col("level").eqNullSafe(F.col("_l")), "left")

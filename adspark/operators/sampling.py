@@ -57,7 +57,8 @@ def chosen_rows(keyed: DataFrame, stratum: str | None, quota: Column) -> DataFra
     """
     names = keyed.columns
     rows = keyed.withColumns({
-        "_s": F.col(stratum) if stratum else F.lit(1), "_p": _bucket()})
+        # one stratum: a value that is the same in all rows, but no literal, which a join would drop
+        "_s": F.col(stratum) if stratum else F.length("_key"), "_p": _bucket()})
     counts = materialize(rows.groupBy("_s", "_p").agg(F.count("*").alias("_n")), "buckets")
     sizes = counts.groupBy("_s").agg(F.sum("_n").alias("_size")).withColumnRenamed("_s", "_z")
     sizes = sizes.withColumn("_all", counts.agg(F.sum("_n")).scalar())
