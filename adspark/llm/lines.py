@@ -141,8 +141,8 @@ def within(a: np.ndarray, others: np.ndarray, size: np.ndarray, distance: int) -
     """Which rows of ``others`` are at most ``distance`` edits from ``a``.
 
     Word e of a pair has a bit for each diagonal of the band that e edits reach; a
-    step over a character of ``a`` moves all diagonals at once. Pairs start behind
-    their common prefix and drop out when no diagonal is reached.
+    step over a character of ``a`` moves all diagonals at once. Pairs start behind their
+    common prefix, end before their common suffix, and drop out when no diagonal is reached.
     """
     n, k = len(a), distance
     ok = np.zeros(len(size), bool)
@@ -155,16 +155,21 @@ def within(a: np.ndarray, others: np.ndarray, size: np.ndarray, distance: int) -
     same = others[live, :m] == a[:m]
     same &= np.arange(m) < size[live, None]
     at = np.argmin(np.c_[same, np.zeros(len(live), bool)], axis=1)
+    back = np.arange(1, m + 1)
+    tail = others[live[:, None], np.maximum(size[live, None] - back, 0)] == a[n - back]
+    tail &= back <= size[live, None]
+    suffix = np.argmin(np.c_[tail, np.zeros(len(live), bool)], axis=1)
+    end = n - np.minimum(suffix, np.minimum(n, size[live]) - at)
     reach = np.zeros((k + 1, len(live)), np.uint64)
     for e in range(k + 1):  # edits e alone reach e diagonals to the right
         reach[e] = (1 << (k + e + 1)) - (1 << k)
     one, band = np.uint64(1), np.uint64((1 << (2 * k + 1)) - 1)
     while len(live):
-        done = at >= n
+        done = at >= end
         if done.any():
             final = reach[k, done] >> (gap[live[done]] + k).astype(np.uint64)
             ok[live[done]] = (final & one) == one
-            live, at, reach = live[~done], at[~done], reach[:, ~done]
+            live, at, end, reach = live[~done], at[~done], end[~done], reach[:, ~done]
             if not len(live):
                 break
         match = np.zeros(len(live), np.uint64)
@@ -183,7 +188,7 @@ def within(a: np.ndarray, others: np.ndarray, size: np.ndarray, distance: int) -
         at = at + 1
         alive = reach[k] != 0
         if not alive.all():
-            live, at, reach = live[alive], at[alive], reach[:, alive]
+            live, at, end, reach = live[alive], at[alive], end[alive], reach[:, alive]
     return ok
 
 
