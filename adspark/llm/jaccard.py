@@ -219,12 +219,12 @@ def jaccard_components(docs: DataFrame, n_words: int = 3, num: int = 9,
         F.sort_array(F.collect_list(F.struct("df", "sig", "lead"))).alias("sigs"))
     kept = stored(
         by_doc.filter(F.size("sigs") >= F.col("least"))
-        .select("doc", "index", F.explode(F.slice(
-            "sigs", 1, F.size("sigs") - F.col("least") + 1)).alias("s"))
-        .select("doc", "index", "s.sig", "s.lead"), "kept")
+        .select("doc", "index", F.slice(
+            "sigs", 1, F.size("sigs") - F.col("least") + 1).alias("sigs")), "kept")
 
     # groups: documents linked to the smallest document that shares a coarse token
-    leads = stored(kept.groupBy("doc").agg(F.min("lead").alias("gid")), "leads")
+    lead = F.array_min(F.transform("sigs", lambda x: x["lead"]))
+    leads = stored(kept.groupBy("doc").agg(F.min(lead).alias("gid")), "leads")
     ids = stored(leads.select("doc").union(leads.select("gid")).distinct(), "set-ids")
     sets = set_table(docs, ids, n_words)
     followers = leads.filter("doc <> gid").select("gid", "doc")
@@ -235,16 +235,17 @@ def jaccard_components(docs: DataFrame, n_words: int = 3, num: int = 9,
         leads.select("doc").join(stars.withColumnRenamed("member", "gid"), "doc", "left")
         .groupBy("doc").agg(F.coalesce(F.min("gid"), F.col("doc")).alias("gid")), "groups")
 
-    # queries meet the groups that hold one of their coarse tokens, their own excepted
-    tagged = stored(kept.join(groups, "doc"), "tagged")
-    held = stored(tagged.filter("index").groupBy("sig", "gid").agg(F.count("*").alias("w"))
-                  .withColumnRenamed("gid", "other"), "matrix")
-    shared = held.groupBy("sig").agg(F.countDistinct("other").alias("k"),
-                                     F.min("other").alias("only"))
-    shared = stored(shared, "shared")
-    asks = (tagged.join(shared, "sig").filter("k > 1 or only <> gid")
-            .select("sig", "doc", "gid"))
-    met = (asks.join(held.select("sig", "other"), "sig").filter("other <> gid")
+    # queries meet the groups that hold one of their coarse tokens, their own excepted;
+    # tokens that stay within one group are left out first
+    tagged = stored(kept.join(groups, "doc").select(
+        "doc", "gid", "index", F.explode(F.transform("sigs", lambda x: x["sig"])).alias("sig")),
+        "tagged")
+    wide = stored(tagged.groupBy("sig").agg(
+        F.min("gid").alias("a"), F.max("gid").alias("b"), F.max("index").alias("held"))
+        .filter("held and a <> b").select("sig"), "wide")
+    tagged = tagged.join(wide, "sig", "left_semi")
+    held = tagged.filter("index").select("sig", F.col("gid").alias("other")).distinct()
+    met = (tagged.select("sig", "doc", "gid").join(held, "sig").filter("other <> gid")
            .select("doc", F.col("other").alias("gid")).distinct())
     met = stored(met, "met")
     opened = met.select("gid").distinct()
