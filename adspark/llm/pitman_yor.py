@@ -3,10 +3,11 @@
 A word follows a context, the hash of the word before it: ``CONTEXTS`` restaurants
 that share one parent, whose own base is uniform over the known words and one unknown.
 Customers are the words of the training texts; every table of a context sends a
-customer to the parent. A sweep takes customers from their tables and
-seats them again, with the probabilities of the Chinese restaurant process, and then
-does the same for the parent with the tables that it now gets. After the burn-in,
-each sweep gives a sample; a word's probability is the mean over samples.
+customer to the parent. A first pass seats the customers one after the other. A sweep
+takes every customer once from its table and seats it again, with the probabilities of
+the Chinese restaurant process, and then does the same for all of the parent's with the
+tables that it now gets. After the burn-in, each sweep gives a sample; a word's
+probability is the mean over samples.
 
 Spark's part. Words are dealt to parts by hash, so that all contexts of a word, its
 customers and its parent's tables are in one part; a word frequent in a bounded
@@ -51,7 +52,9 @@ END, START = np.uint64(0x9D3779B97F4A7C15), np.uint64(0x51ED270B35AE1B2D)
 #: Discount and strength of contexts, and of their parent.
 DISCOUNT, STRENGTH = 0.8, 2.0
 ROOT_DISCOUNT, ROOT_STRENGTH = 0.7, 100.0
-BURN_IN, SAMPLES, MOVES = 3, 4, 4
+BURN_IN, SAMPLES = 3, 4
+#: Restaurants up to which each is seated by itself; random numbers drawn at a time for one.
+FEW, DRAWS = 300, 1 << 16
 ROW = "k bigint, kind int, blob binary"
 
 
@@ -81,81 +84,162 @@ def rows_of(rows: list[tuple]) -> pa.RecordBatch:
 
 # ---- tables of restaurants: (owner, size) arrays, sorted by owner ----
 
-def _ranges(owner: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return np.searchsorted(owner, who, "left"), np.searchsorted(owner, who, "right")
-
-
-def leave(owner, size, who, rng) -> None:
-    """One random customer of each of ``who`` gets up (tables may be left empty)."""
-    a, b = _ranges(owner, who)
-    total = np.cumsum(size)
-    low = total[a] - size[a]
-    seat = low + np.floor(rng.random(len(who)) * (total[b - 1] - low)).astype(np.int64)
-    size[np.searchsorted(total, seat, "right")] -= 1
-
-
-def sit(owner, size, who, fresh, discount, rng):
-    """One customer of each of ``who`` sits down; ``fresh``: weight of a new table."""
-    a, b = _ranges(owner, who)
-    total = np.cumsum(np.where(size > 0, size - discount, 0.0))
-    total = np.r_[0.0, total]
-    low, old = total[a], total[b] - total[a]
-    at = rng.random(len(who)) * (old + fresh)
-    opens = (at >= old) | (b == a)
-    kept = ~opens
-    place = np.searchsorted(total, low[kept] + at[kept], "right") - 1
-    place = np.clip(place, a[kept], b[kept] - 1)
-    empty = size[place] <= 0  # rounding at a border: the next table that is open
-    while empty.any():
-        place[empty] = np.where(place[empty] + 1 < b[kept][empty], place[empty] + 1, a[kept][empty])
-        empty = size[place] <= 0
-    size[place] += 1
-    owner, size = np.insert(owner, b[opens], who[opens]), np.insert(size, b[opens], 1)
-    open_ = size > 0
-    return owner[open_], size[open_]
-
-
-def gibbs(owner, size, who, fresh_of, discount, moves, rng):
-    """``moves`` customers of each of ``who`` are seated again; ``fresh_of(tables)`` gives
-    the weights of a new table, from the tables that each of ``who`` has just now."""
-    for _ in range(moves if len(who) else 0):
-        leave(owner, size, who, rng)
-        owner, size = sit(owner, size, who, fresh_of(), discount, rng)
+def seated(c, fresh, discount, rng, owner, size, again=False):
+    """Tables after every restaurant r has its ``c[r]`` customers; ``fresh``: weights of a new one.
+
+    Those missing sit down one after the other; with ``again``, when none is missing, each
+    customer gets up once, in a random order, and sits down again. A table is chosen with weight size - discount:
+    that of a random other customer, refused with probability discount / size. All
+    restaurants take a step at the same time, and leave the loop when they are through.
+    """
+    have = np.bincount(owner, size, len(c)).astype(np.int64)
+    steps = c if again else c - have
+    order = np.argsort(-steps, kind="stable")
+    rank = np.empty_like(order)
+    rank[order] = np.arange(len(order))
+    c, have, steps, fresh = c[order], have[order], steps[order], np.asarray(fresh)[order]
+    start = np.cumsum(c) - c  # of a restaurant's customers, and of as many places for tables
+    total = int(c.sum())
+    by = np.argsort(rank[owner], kind="stable")
+    at, size = rank[owner][by], size[by]
+    t = np.bincount(at, minlength=len(c))
+    place = start[at] + np.arange(len(at)) - np.repeat(np.cumsum(t) - t, t)
+    n = np.zeros(total, np.int64)
+    n[place] = size
+    seat = np.zeros(total, np.int64)  # the place of each customer
+    seat[np.repeat(start - np.cumsum(have) + have, have) + np.arange(have.sum())] = np.repeat(
+        place, size)
+    if again:  # the order in which they get up must not follow the tables
+        mix = np.flatnonzero(np.repeat(t > 1, c))
+        seat[mix] = seat[mix][np.argsort(np.repeat(np.arange(len(c)), c)[mix] + rng.random(len(mix)))]
+    spare, empty = c - t, np.arange(total) + np.repeat(t, c)  # stacks of places without a table
+    first = start if again else start + have
+    p, live = 0, np.searchsorted(-steps, 0)
+    while live > FEW:
+        mine = first[:live] + p
+        if again:
+            left = seat[mine]
+            n[left] -= 1
+            gone = np.flatnonzero(n[left] == 0)
+            empty[start[gone] + spare[gone]] = left[gone]
+            spare[gone] += 1
+        who = np.arange(live)
+        while len(who):
+            others = c[who] - 1 if again else have[who] + p
+            x = rng.random(len(who)) * (others + fresh[who])
+            opens = x >= others
+            r = who[opens]
+            spare[r] -= 1
+            k = empty[start[r] + spare[r]]
+            n[k], seat[mine[r]] = 1, k
+            r, x = who[~opens], x[~opens]
+            j = x.astype(np.int64)
+            x -= j
+            if again:
+                j += j >= p
+            k = seat[start[r] + j]
+            ok = x * n[k] >= discount
+            n[k[ok]] += 1
+            seat[mine[r[ok]]] = k[ok]
+            who = r[~ok]
+        p += 1
+        live = np.searchsorted(-steps, -p)
+    for r in range(live):
+        _seat_one(p, int(have[r]), int(spare[r]), float(fresh[r]), discount, rng, again,
+                  *(x[start[r]:start[r] + c[r]] for x in (seat, n, empty)), int(start[r]))
+    used = n > 0
+    owner, size = np.repeat(order, c)[used], n[used]
+    by = np.argsort(owner, kind="stable")
+    return owner[by], size[by]
+
+
+def _seat_one(p, have, spare, fresh, discount, rng, again, seat, n, empty, start) -> None:
+    """The steps of one restaurant from ``p`` on; few large ones are faster one by one."""
+    c, sizes = len(seat), n
+    seat, n, empty = memoryview(seat), n.tolist(), memoryview(empty)
+    draws = iter(())
+    for i in range(p if again else have + p, c):
+        others = i
+        if again:
+            others, k = c - 1, seat[i] - start
+            n[k] -= 1
+            if not n[k]:
+                empty[spare] = k + start
+                spare += 1
+        while True:
+            x = next(draws, None)
+            if x is None:
+                draws = iter(rng.random(min(DRAWS, 2 * (c - i))).tolist())
+                x = next(draws)
+            x *= others + fresh
+            if x >= others:
+                spare -= 1
+                k = empty[spare] - start
+                break
+            j = int(x)
+            x -= j
+            k = seat[j + (again and j >= i)] - start
+            if x * n[k] >= discount:
+                break
+        n[k] += 1
+        seat[i] = k + start
+    sizes[:] = n
+
+
+def gibbs(owner, size, who, fresh_of, discount, sweeps, rng):
+    """``sweeps`` times every customer of each of ``who`` is seated again; ``fresh_of()`` gives
+    the weights of a new table."""
+    for _ in range(sweeps if len(who) else 0):
+        number = np.full(max(who.max(), owner.max()) + 1, -1)
+        number[who] = np.arange(len(who))
+        at = number[owner]
+        mine = at >= 0
+        c = np.bincount(at[mine], size[mine], len(who)).astype(np.int64)
+        o, n = seated(c, fresh_of(), discount, rng, at[mine], size[mine], again=True)
+        owner, size = np.r_[owner[~mine], who[o]], np.r_[size[~mine], n]
+        order = np.argsort(owner, kind="stable")
+        owner, size = owner[order], size[order]
     return owner, size
 
 
 def resized(owner, size, now, wanted, fresh, discount, rng):
     """Customers come or go one by one until each restaurant has ``wanted``."""
-    change = np.flatnonzero(now != wanted)
-    mine = np.isin(owner, change)
-    rest = owner[~mine], size[~mine]
-    owner, size, left = owner[mine], size[mine].copy(), (wanted - now)[change]
-    while len(change):
-        more, less = change[left > 0], change[left < 0]
-        if len(less):
-            leave(owner, size, less, rng)
-            open_ = size > 0
-            owner, size = owner[open_], size[open_]
-        if len(more):
-            owner, size = sit(owner, size, more, np.full(len(more), fresh), discount, rng)
-        left = left - np.sign(left)
-        done = left == 0
-        if done.any():
-            out = np.isin(owner, change[done])
-            rest = np.r_[rest[0], owner[out]], np.r_[rest[1], size[out]]
-            owner, size = owner[~out], size[~out]
-            change, left = change[~done], left[~done]
-    order = np.argsort(rest[0], kind="stable")
-    return rest[0][order], rest[1][order]
-
-
-def root_sweep(owner, size, wanted, totals, discount, moves, rng):
-    """The parent's seating after its customers became ``wanted``."""
-    now = np.bincount(owner, weights=size, minlength=len(wanted)).astype(np.int64)
+    less = np.flatnonzero(wanted < now)
+    if len(less):  # those who go are a random choice of a restaurant's customers
+        mine = np.isin(owner, less)
+        tables = np.flatnonzero(mine)
+        table = np.repeat(tables, size[mine])
+        by = np.lexsort((rng.random(len(table)), owner[table]))
+        table = table[by]
+        first = np.cumsum(now[less]) - now[less]
+        nth = np.arange(len(table)) - np.repeat(first, now[less])
+        goes = table[nth < np.repeat((now - wanted)[less], now[less])]
+        size = size - np.bincount(goes, minlength=len(size))
+        owner, size = owner[size > 0], size[size > 0]
+    more = np.flatnonzero(wanted > now)
+    if not len(more):
+        return owner, size
+    number = np.full(len(wanted), -1)
+    number[more] = np.arange(len(more))
+    at = number[owner]
+    mine = at >= 0
+    o, n = seated(wanted[more], np.full(len(more), fresh), discount, rng, at[mine], size[mine])
+    owner, size = np.r_[owner[~mine], more[o]], np.r_[size[~mine], n]
+    order = np.argsort(owner, kind="stable")
+    return owner[order], size[order]
+
+
+def root_sweep(owner, size, wanted, totals, discount, rng, first=False):
+    """The parent's seating after its customers became ``wanted``; at ``first`` they all come in."""
     fresh = (ROOT_STRENGTH + ROOT_DISCOUNT * totals["tables"]) * totals["base"]
-    owner, size = resized(owner, size.copy(), now, wanted, fresh, discount, rng)
+    if first:
+        owner, size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    now = np.bincount(owner, weights=size, minlength=len(wanted)).astype(np.int64)
+    owner, size = resized(owner, size, now, wanted, fresh, discount, rng)
+    if first:
+        return owner, size
     who = np.flatnonzero(wanted > 1)
-    return gibbs(owner, size, who, lambda: np.full(len(who), fresh), discount, moves, rng)
+    return gibbs(owner, size, who, lambda: np.full(len(who), fresh), discount, 1, rng)
 
 
 # ---- from texts to parts ----
@@ -220,7 +304,10 @@ def counted(docs: DataFrame, parts: int, hot: np.ndarray, spread: np.ndarray) ->
 
 
 def merged(blobs: list[dict], hot: np.ndarray) -> tuple[dict, dict]:
-    """(counts of a part, its first state) from the rows of its blocks."""
+    """(counts of a part, its first state) from the rows of its blocks.
+
+    Until the first pass seats the customers, each pair and each word of the parent has one table.
+    """
     blobs = sorted(blobs, key=lambda x: x["block"])
     vocab, at = np.unique(np.concatenate([x["words"] for x in blobs]), return_inverse=True)
     word = np.repeat(at, np.concatenate([x["pairs"] for x in blobs]))
@@ -237,21 +324,17 @@ def merged(blobs: list[dict], hot: np.ndarray) -> tuple[dict, dict]:
         count=[x["count"] for x in blobs])
     free = np.flatnonzero(c > 1)
     n = len(vocab)
-    tables = np.maximum(1, np.round(c[free] ** 0.6).astype(np.int64))
-    owner = np.repeat(np.arange(len(free)), tables)
-    share, more = c[free] // tables, c[free] % tables
-    nth = np.arange(len(owner)) - np.repeat(np.cumsum(tables) - tables, tables)
     singles = np.bincount(word[c == 1], minlength=n)
     hot_no = np.full(n, -1)
     if len(hot):
         i = np.minimum(np.searchsorted(hot, vocab), len(hot) - 1)
         hot_no = np.where(hot[i] == vocab, i, -1)
-    wanted = np.where(hot_no < 0, singles + np.bincount(word[free], tables, n).astype(np.int64), 0)
+    wanted = np.where(hot_no < 0, singles + np.bincount(word[free], minlength=n), 0)
     known = np.flatnonzero(wanted)
     return counts, dict(
         c_word=np.bincount(word, c, n).astype(np.int64), singles=singles, hot=hot_no,
-        word=word[free], ctx=ctx[free], c=c[free], pair=free, owner=owner,
-        size=share[owner] + (nth < more[owner]),
+        word=word[free], ctx=ctx[free], c=c[free], pair=free, owner=np.arange(len(free)),
+        size=c[free],
         single_tables=np.bincount(ctx[c == 1], minlength=CONTEXTS),
         root_owner=known, root_size=wanted[known], t_sum=np.zeros(len(free)), samples=[])
 
@@ -278,20 +361,22 @@ def context_customers(state: dict) -> np.ndarray:
     return state["single_tables"] + np.bincount(state["ctx"], state["c"], CONTEXTS).astype(np.int64)
 
 
-def swept(state: dict, totals: dict, keep: bool, rng) -> dict:
-    """One sweep of a part against the totals of the sweep before."""
-    t = np.bincount(state["owner"], minlength=len(state["c"]))
+def swept(state: dict, totals: dict, first: bool, keep: bool, rng) -> dict:
+    """One sweep of a part against the totals of the sweep before; the ``first`` seats all."""
     p = root_probability(state, totals)[state["word"]]
     ctx, who = state["ctx"], np.arange(len(state["c"]))
     fresh = (STRENGTH + DISCOUNT * totals["by_ctx"][ctx]) * p
-    owner, size = gibbs(state["owner"], state["size"].copy(), who, lambda: fresh, DISCOUNT,
-                        MOVES, rng)
+    if first:
+        none = np.zeros(0, np.int64)
+        owner, size = seated(state["c"], fresh, DISCOUNT, rng, none, none)
+    else:
+        owner, size = gibbs(state["owner"], state["size"], who, lambda: fresh, DISCOUNT, 1, rng)
     t = np.bincount(owner, minlength=len(who))
     n = len(state["singles"])
     wanted = state["singles"] + np.bincount(state["word"], t, n).astype(np.int64)
     wanted = np.where(state["hot"] < 0, wanted, 0)
     r_owner, r_size = root_sweep(state["root_owner"], state["root_size"], wanted, totals,
-                                 ROOT_DISCOUNT, MOVES, rng)
+                                 ROOT_DISCOUNT, rng, first)
     new = state | dict(owner=owner, size=size, root_owner=r_owner, root_size=r_size)
     if keep:
         r_t = np.bincount(r_owner, minlength=n)
@@ -394,16 +479,18 @@ def score_texts(docs: DataFrame, seed: int = 5) -> DataFrame:
     hot_root: list[np.ndarray] | None = None
     state, kept = made, []
     totals = None
-    for sweep in range(BURN_IN + SAMPLES + 1):
+    passes = 1 + BURN_IN + SAMPLES  # the first one seats the customers
+    for sweep in range(passes + 1):
         got = _totals(state, sums_of, len(hot))
         rng = np.random.default_rng([seed, sweep])
-        if hot_root is None:
+        first = hot_root is None
+        if first:
             on = np.flatnonzero(got["hot_customers"])
             hot_root = [on, got["hot_customers"][on]]
         base = 1.0 / (got["cold_words"] + int((got["hot_c"] > 0).sum()) + 1)
         before = totals or {"tables": got["cold_tables"] + len(hot_root[0]), "base": base}
-        hot_root = list(root_sweep(*hot_root, got["hot_customers"], before, ROOT_DISCOUNT, MOVES,
-                                   rng))
+        hot_root = list(root_sweep(*hot_root, got["hot_customers"], before, ROOT_DISCOUNT, rng,
+                                   first))
         totals = {
             "by_ctx": got["by_ctx"], "base": base,
             "customers": got["cold_customers"] + int(got["hot_customers"].sum()),
@@ -411,16 +498,16 @@ def score_texts(docs: DataFrame, seed: int = 5) -> DataFrame:
         h = np.bincount(hot_root[0], hot_root[1], len(hot)), np.bincount(
             hot_root[0], minlength=len(hot))
         totals |= {"hot_p": _probability(*h, totals), "hot_c": got["hot_c"]}
-        if sweep > BURN_IN:
+        if sweep > 1 + BURN_IN:
             kept.append(totals)
-        if sweep == BURN_IN + SAMPLES:
+        if sweep == passes:
             break
 
         def step(batches, sweep=sweep, totals=totals):
             for b in batches:
                 for k, blob in zip(b.column(0).to_pylist(), b.column(1)):
                     own = np.random.default_rng([seed, sweep, k])
-                    s = swept(unpacked(blob.as_py()), totals, sweep >= BURN_IN, own)
+                    s = swept(unpacked(blob.as_py()), totals, sweep == 0, sweep > BURN_IN, own)
                     yield rows_of([(k, 0, packed(**s))])
 
         fresh = stored(state.filter("kind = 0").select("k", "blob").mapInArrow(step, ROW),

@@ -257,6 +257,39 @@ def test_two_customers_share_a_table_as_often_as_they_should():
     assert together / 4000 == pytest.approx((1 - discount) / (1 - discount + fresh), abs=.03)
 
 
+@pytest.mark.parametrize("few", [0, 1000])
+def test_a_sweep_seats_every_customer_again(monkeypatch, few):
+    monkeypatch.setattr(pitman_yor, "FEW", few)
+    rng = np.random.default_rng(6)
+    fresh, discount, c, n = 1.3, 0.7, 6, 2500
+    # tables are t with probability fresh ** t * S(c, t), S the generalised Stirling numbers
+    ways = np.zeros(c + 2)
+    ways[1] = 1
+    for i in range(1, c):
+        ways[1:] = ways[:-1] + np.maximum(i - discount * np.arange(1, c + 2), 0) * ways[1:]
+    expected = ways * fresh ** np.arange(c + 2)
+    owner, size, seen = np.arange(n), np.full(n, c), np.zeros(c + 2)
+    for sweep in range(30):
+        owner, size = pitman_yor.gibbs(owner, size, np.arange(n), lambda: np.full(n, fresh),
+                                       discount, 1, rng)
+        if sweep >= 5:
+            seen += np.bincount(np.bincount(owner), minlength=c + 2)
+    assert seen / seen.sum() == pytest.approx(expected / expected.sum(), abs=.01)
+    # one sweep at a high weight leaves none of 5,000 customers at the table they shared
+    owner, size = pitman_yor.gibbs(np.zeros(1, int), np.array([5000]), np.zeros(1, int),
+                                   lambda: np.array([1e12]), discount, 1, rng)
+    assert len(size) == 5000
+
+
+def test_the_first_pass_seats_customers_one_after_the_other(monkeypatch):
+    rng = np.random.default_rng(7)
+    none, c = np.zeros(0, int), np.full(20_000, 3)
+    owner, size = pitman_yor.seated(c, np.full(len(c), 0.6), 0.5, rng, none, none)
+    assert (np.bincount(owner, size) == c).all()
+    alone = 0.5 / 1.1  # the second customer sits with the first, then the third with both
+    assert (np.bincount(owner) == 1).mean() == pytest.approx(alone * 1.5 / 2.1, abs=.015)
+
+
 # ---- 3 ----
 
 def base_rules(text):
