@@ -1,7 +1,7 @@
 """Hierarchical Pitman-Yor language model: seating by Gibbs sampling, averaged predictions.
 
-A word follows a context, the hash of the word before it: ``CONTEXTS`` restaurants
-that share one parent, whose own base is uniform over the known words and one unknown.
+A word follows a context, the 64-bit hash of the word before it: a restaurant for each
+different word; all share one parent, whose own base is uniform over the known words and one unknown.
 Customers are the words of the training texts; every table of a context sends a
 customer to the parent. A first pass seats the customers one after the other. A sweep
 takes every customer once from its table and seats it again, with the probabilities of
@@ -13,9 +13,10 @@ Spark's part. Words are dealt to parts by hash, so that all contexts of a word,
 customers and its parent's tables are in one part; a word frequent in a bounded
 sample (which decides on balance only) is dealt over several parts by context. A text
 becomes counts of (word, context, text) which go to the word's part once, in blocks.
-Parts sample at the same time against the totals of the sweep before: tables per
-context (``CONTEXTS`` numbers) and the parent's totals, which is all that reaches
-the driver besides the sums of frequent words, fewer than 4 for each part. To score, each
+Parts sample at the same time against the totals of the sweep before. Tables per
+context are summed in buckets of contexts, of which each part sends its own and gets back
+the sums, a row for each part and bucket; only the parent's totals reach the driver, with
+the sums of frequent words, fewer than 4 for each part. To score, each
 part sums log probabilities by text, and the sums meet again by block. State of a
 sweep is a written table, and counts of a part are a file in the shared folder. A
 pair of words takes one entry for each text that has it.
@@ -43,11 +44,12 @@ from adspark.llm._common import (
 from adspark.llm.files import as_uri, put_file
 from adspark.sources.scratch import new_scratch_path, release
 
-CONTEXTS = 1 << 16
 #: Bytes of text for each part; tokens of a block of texts.
 PART_BYTES = 16_000_000
-BLOCK_TOKENS = 2_500_000
+BLOCK_TOKENS = 1_250_000
 SAMPLE_BYTES = 64_000_000
+#: Parts for each bucket of contexts.
+PARTS_PER_BUCKET = 4
 END, START = np.uint64(0x9D3779B97F4A7C15), np.uint64(0x51ED270B35AE1B2D)
 #: Discount and strength of contexts, and of their parent.
 DISCOUNT, STRENGTH = 0.8, 2.0
@@ -104,15 +106,16 @@ def seated(c, fresh, discount, rng, owner, size, again=False):
     at, size = rank[owner][by], size[by]
     t = np.bincount(at, minlength=len(c))
     place = start[at] + np.arange(len(at)) - np.repeat(np.cumsum(t) - t, t)
-    n = np.zeros(total, np.int64)
+    kind = np.int32 if total < 1 << 31 else np.int64
+    n = np.zeros(total, kind)
     n[place] = size
-    seat = np.zeros(total, np.int64)  # the place of each customer
+    seat = np.zeros(total, kind)  # the place of each customer
     seat[np.repeat(start - np.cumsum(have) + have, have) + np.arange(have.sum())] = np.repeat(
         place, size)
     if again:  # the order in which they get up must not follow the tables
         mix = np.flatnonzero(np.repeat(t > 1, c))
         seat[mix] = seat[mix][np.argsort(np.repeat(np.arange(len(c)), c)[mix] + rng.random(len(mix)))]
-    spare, empty = c - t, np.arange(total) + np.repeat(t, c)  # stacks of places without a table
+    spare, empty = c - t, np.arange(total, dtype=kind) + np.repeat(t.astype(kind), c)  # stacks of places without a table
     first = start if again else start + have
     p, live = 0, np.searchsorted(-steps, 0)
     while live > FEW:
@@ -251,29 +254,33 @@ def block_rows(texts, names, hashes, block, parts, hot, spread):
     w = np.concatenate([x for s in seq for x in (s, [END])]).astype(np.uint64)
     before = np.r_[START, w[:-1]]
     before[np.cumsum(n)[:-1]] = START
-    ctx = (mixed(before, 9) >> np.uint64(48)).astype(np.int64)
+    rooms, ctx = np.unique(before, return_inverse=True)
     doc = np.repeat(np.arange(len(texts)), n)
     train = np.array([not held_out(d) for d in names])
     vocab, at = np.unique(w, return_inverse=True)
-    key, count = np.unique((at << 38) | (ctx << 22) | doc, return_counts=True)
-    word, ctx, doc = key >> 38, (key >> 22) & (CONTEXTS - 1), key & ((1 << 22) - 1)
+    del seq, w, before
+    pairs, at = np.unique(at * len(rooms) + ctx, return_inverse=True)
+    key, count = np.unique(at * len(texts) + doc, return_counts=True)
+    pair_no, doc = np.divmod(key, len(texts))
+    word, ctx = np.divmod(pairs[pair_no], len(rooms))
     part = (mixed(vocab, 4) % np.uint64(parts)).astype(np.int64)[word]
     if len(hot):
         i = np.minimum(np.searchsorted(hot, vocab), len(hot) - 1)
         width = np.where(hot[i] == vocab, spread[i], 1)[word]
-        part = (part + mixed(ctx.astype(np.uint64), 2).astype(np.int64) % width) % parts
+        part = (part + (mixed(rooms, 2) >> np.uint64(1)).astype(np.int64)[ctx] % width) % parts
     order = np.argsort(part, kind="stable")
     edges = np.searchsorted(part[order], np.arange(parts + 1))
     for k in range(parts):
         x = order[edges[k]:edges[k + 1]]
         if not len(x):
             continue
-        pair = key[x] >> 22
+        pair = pair_no[x]
         start = np.flatnonzero(np.r_[True, np.diff(pair) != 0])
         own, pairs_of = np.unique(word[x][start], return_counts=True)
+        met, ctx_no = np.unique(ctx[x][start], return_inverse=True)
         yield k, 0, packed(
             block=block, words=vocab[own], pairs=least_type(pairs_of),
-            ctx=ctx[x][start].astype(np.uint16),
+            rooms=rooms[met], ctx=least_type(ctx_no),
             train=least_type(np.add.reduceat(count[x] * train[doc[x]], start)),
             entries=least_type(np.diff(np.r_[start, len(x)])),
             doc=least_type(doc[x]), count=least_type(count[x]))
@@ -311,15 +318,18 @@ def merged(blobs: list[dict], hot: np.ndarray) -> tuple[dict, dict]:
     blobs = sorted(blobs, key=lambda x: x["block"])
     vocab, at = np.unique(np.concatenate([x["words"] for x in blobs]), return_inverse=True)
     word = np.repeat(at, np.concatenate([x["pairs"] for x in blobs]))
-    pair = (word << 16) | np.concatenate([x["ctx"] for x in blobs]).astype(np.int64)
+    rooms, room = np.unique(np.concatenate([x["rooms"] for x in blobs]), return_inverse=True)
+    edges = np.cumsum([0, *(len(x["rooms"]) for x in blobs)])
+    pair = word * len(rooms) + np.concatenate(
+        [room[e:][x["ctx"]] for x, e in zip(blobs, edges)])
     pairs, at = np.unique(pair, return_inverse=True)
     c = np.bincount(at, weights=np.concatenate([x["train"] for x in blobs]),
                     minlength=len(pairs)).astype(np.int64)
     first = np.cumsum([0, *(len(x["ctx"]) for x in blobs)])
     entry = [np.repeat(at[a:b], x["entries"]) for x, a, b in zip(blobs, first, first[1:])]
-    word, ctx = pairs >> 16, (pairs & (CONTEXTS - 1)).astype(np.uint16)
+    word, ctx = np.divmod(pairs, len(rooms))
     counts = dict(
-        word=least_type(word), ctx=ctx, c=least_type(c), blocks=[x["block"] for x in blobs],
+        word=least_type(word), ctx=least_type(ctx), c=least_type(c), blocks=[x["block"] for x in blobs],
         step=[least_type(np.diff(e, prepend=0)) for e in entry], doc=[x["doc"] for x in blobs],
         count=[x["count"] for x in blobs])
     free = np.flatnonzero(c > 1)
@@ -335,17 +345,16 @@ def merged(blobs: list[dict], hot: np.ndarray) -> tuple[dict, dict]:
         c_word=np.bincount(word, c, n).astype(np.int64), singles=singles, hot=hot_no,
         word=word[free], ctx=ctx[free], c=c[free], pair=free, owner=np.arange(len(free)),
         size=c[free],
-        single_tables=np.bincount(ctx[c == 1], minlength=CONTEXTS),
+        rooms=rooms, single_tables=np.bincount(ctx[c == 1], minlength=len(rooms)), room_tables=[],
         root_owner=known, root_size=wanted[known], t_sum=np.zeros(len(free)), samples=[])
 
 
 def sums_of(state: dict) -> dict[int, int]:
-    """What a part adds to the totals: tables by context, then negative keys."""
+    """What a part adds to the totals, by negative keys."""
     t = np.bincount(state["owner"], minlength=len(state["c"])).astype(np.int64)
-    by_ctx = state["single_tables"] + np.bincount(state["ctx"], t, CONTEXTS).astype(np.int64)
     customers = state["singles"] + np.bincount(state["word"], t, len(state["singles"])).astype(int)
     cold = state["hot"] < 0
-    out = {int(i): int(by_ctx[i]) for i in np.flatnonzero(by_ctx)}
+    out = {}
     out[-1] = int(customers[cold].sum())
     out[-2] = len(state["root_owner"])
     out[-3] = int(state["c_word"].sum())
@@ -357,15 +366,79 @@ def sums_of(state: dict) -> dict[int, int]:
     return out
 
 
-def context_customers(state: dict) -> np.ndarray:
-    return state["single_tables"] + np.bincount(state["ctx"], state["c"], CONTEXTS).astype(np.int64)
+def at_rooms(state: dict, of_pairs: np.ndarray) -> np.ndarray:
+    """A part's sums by context of a number of its pairs (that of pairs seen once is one)."""
+    n = len(state["rooms"])
+    return state["single_tables"] + np.bincount(state["ctx"], of_pairs, n).astype(np.int64)
 
 
-def swept(state: dict, totals: dict, first: bool, keep: bool, rng) -> dict:
+def bucketed(rooms: np.ndarray, buckets: int) -> list[np.ndarray]:
+    """Indexes of the contexts of each bucket."""
+    bucket = (mixed(rooms, 11) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    return np.split(order, np.searchsorted(bucket[order], np.arange(1, buckets)))
+
+
+def share_rooms(state: DataFrame, buckets: int, path: str, first: bool) -> None:
+    """Tables of each context (at ``first`` also its customers) summed over parts, and written
+    as a file for each part, of the contexts that the part has.
+
+    Contexts are dealt to buckets by hash; a part sends a bucket one row, and gets one back.
+    """
+    def emit(batches):
+        for b in batches:
+            for k, blob in zip(b.column(0).to_pylist(), b.column(1)):
+                s = unpacked(blob.as_py())
+                t = np.bincount(s["owner"], minlength=len(s["c"]))
+                values = [at_rooms(s, x) for x in ([t, s["c"]] if first else [t])]
+                for i, x in enumerate(bucketed(s["rooms"], buckets)):
+                    yield rows_of([(i, k, packed(
+                        rooms=s["rooms"][x], values=[least_type(v[x]) for v in values]))])
+
+    def add(table: pa.Table) -> pa.Table:
+        bucket, blobs = table.column("k")[0].as_py(), [
+            unpacked(x.as_py()) for x in table.column("blob")]
+        _, at = np.unique(np.concatenate([x["rooms"] for x in blobs]), return_inverse=True)
+        sums = [np.bincount(at, np.concatenate(v)).astype(np.int64)
+                for v in zip(*(x["values"] for x in blobs))]
+        out, e = [], 0
+        for k, x in zip(table.column("kind").to_pylist(), blobs):
+            mine, e = at[e:e + len(x["rooms"])], e + len(x["rooms"])
+            out.append((k, bucket, packed(values=[least_type(v[mine]) for v in sums])))
+        return pa.Table.from_batches([rows_of(out)])
+
+    def put(table: pa.Table) -> pa.Table:
+        k = table.column("k")[0].as_py()
+        values = {b: unpacked(x.as_py())["values"] for b, x in zip(
+            table.column("kind").to_pylist(), table.column("blob"))}
+        put_file(path.format(k), packed(values=values))
+        return table.slice(0, 1)
+
+    sums = state.select("k", "blob").mapInArrow(emit, ROW).groupBy("k").applyInArrow(add, ROW)
+    sums.groupBy("k").applyInArrow(put, ROW).agg(F.sum("k")).first()
+
+
+def read_file(path: str) -> dict:
+    fs, path = pafs.FileSystem.from_uri(path)
+    with fs.open_input_stream(path, compression=None) as f:
+        return unpacked(f.read())
+
+
+def shared_rooms(state: dict, buckets: int, path: str) -> list[np.ndarray]:
+    """What ``share_rooms`` wrote for a part, in the order of its contexts."""
+    values = read_file(path)["values"]
+    out = [np.zeros(len(state["rooms"]), np.int64) for _ in values[0]]
+    for i, x in enumerate(bucketed(state["rooms"], buckets)):
+        for o, v in zip(out, values[i]):
+            o[x] = v
+    return out
+
+
+def swept(state: dict, totals: dict, by_ctx: np.ndarray, first: bool, keep: bool, rng) -> dict:
     """One sweep of a part against the totals of the sweep before; the ``first`` seats all."""
     p = root_probability(state, totals)[state["word"]]
     ctx, who = state["ctx"], np.arange(len(state["c"]))
-    fresh = (STRENGTH + DISCOUNT * totals["by_ctx"][ctx]) * p
+    fresh = (STRENGTH + DISCOUNT * by_ctx[ctx]) * p
     if first:
         none = np.zeros(0, np.int64)
         owner, size = seated(state["c"], fresh, DISCOUNT, rng, none, none)
@@ -431,7 +504,7 @@ def _frequent(docs: DataFrame, n_bytes: int, parts: int) -> tuple[np.ndarray, np
 
 
 def _totals(table: DataFrame, sums, hot: int) -> dict:
-    """Sum what the parts add, ``CONTEXTS`` and a few numbers."""
+    """Sum what the parts add, a few numbers."""
     def emit(batches):
         total: dict[int, int] = {}
         for b in batches:
@@ -445,11 +518,7 @@ def _totals(table: DataFrame, sums, hot: int) -> dict:
     rows = (table.filter("kind = 0").select("blob").mapInArrow(emit, "i bigint, v bigint")
             .groupBy("i").agg(F.sum("v").alias("v")).toPandas())
     got = dict(zip(rows["i"].tolist(), rows["v"].tolist()))
-    by_ctx = np.zeros(CONTEXTS)
-    for i, v in got.items():
-        if i >= 0:
-            by_ctx[i] = v
-    return {"by_ctx": by_ctx, "cold_customers": got.get(-1, 0), "cold_tables": got.get(-2, 0),
+    return {"cold_customers": got.get(-1, 0), "cold_tables": got.get(-2, 0),
             "n": got.get(-3, 0), "cold_words": got.get(-4, 0),
             "hot_customers": np.array([got.get(-10 - 2 * h, 0) for h in range(hot)], np.int64),
             "hot_c": np.array([got.get(-11 - 2 * h, 0) for h in range(hot)], np.int64)}
@@ -474,7 +543,7 @@ def score_texts(docs: DataFrame, seed: int = 5) -> DataFrame:
     made = stored(counted(docs, parts, hot, spread).groupBy("k").applyInArrow(merge, ROW),
                   "seating")
     blocks = made.filter("kind = 1")
-    customers = _totals(made, lambda s: dict(enumerate(context_customers(s).tolist())), 0)["by_ctx"]
+    buckets = max(1, parts // PARTS_PER_BUCKET)
 
     hot_root: list[np.ndarray] | None = None
     state, kept = made, []
@@ -482,6 +551,8 @@ def score_texts(docs: DataFrame, seed: int = 5) -> DataFrame:
     passes = 1 + BURN_IN + SAMPLES  # the first one seats the customers
     for sweep in range(passes + 1):
         got = _totals(state, sums_of, len(hot))
+        rooms = f"{folder}/{{:012d}}.rooms{sweep}"
+        share_rooms(state.filter("kind = 0"), buckets, rooms, sweep == 0)
         rng = np.random.default_rng([seed, sweep])
         first = hot_root is None
         if first:
@@ -492,7 +563,7 @@ def score_texts(docs: DataFrame, seed: int = 5) -> DataFrame:
         hot_root = list(root_sweep(*hot_root, got["hot_customers"], before, ROOT_DISCOUNT, rng,
                                    first))
         totals = {
-            "by_ctx": got["by_ctx"], "base": base,
+            "base": base,
             "customers": got["cold_customers"] + int(got["hot_customers"].sum()),
             "tables": got["cold_tables"] + len(hot_root[0]), "n": got["n"]}
         h = np.bincount(hot_root[0], hot_root[1], len(hot)), np.bincount(
@@ -503,11 +574,17 @@ def score_texts(docs: DataFrame, seed: int = 5) -> DataFrame:
         if sweep == passes:
             break
 
-        def step(batches, sweep=sweep, totals=totals):
+        def step(batches, sweep=sweep, totals=totals, rooms=rooms):
             for b in batches:
                 for k, blob in zip(b.column(0).to_pylist(), b.column(1)):
                     own = np.random.default_rng([seed, sweep, k])
-                    s = swept(unpacked(blob.as_py()), totals, sweep == 0, sweep > BURN_IN, own)
+                    s = unpacked(blob.as_py())
+                    by_ctx, *more = shared_rooms(s, buckets, rooms.format(k))
+                    if more:
+                        s["room_customers"] = least_type(more[0])
+                    if sweep > 1 + BURN_IN:  # those of the sample before
+                        s["room_tables"] = [*s["room_tables"], least_type(by_ctx)]
+                    s = swept(s, totals, by_ctx, sweep == 0, sweep > BURN_IN, own)
                     yield rows_of([(k, 0, packed(**s))])
 
         fresh = stored(state.filter("kind = 0").select("k", "blob").mapInArrow(step, ROW),
@@ -519,26 +596,26 @@ def score_texts(docs: DataFrame, seed: int = 5) -> DataFrame:
     def score(batches):
         for b in batches:
             for k, blob in zip(b.column(0).to_pylist(), b.column(1)):
-                yield from scored(unpacked(blob.as_py()), f"{folder}/{k:012d}.counts", customers,
-                                  kept)
+                s = unpacked(blob.as_py())
+                s["room_tables"] = [
+                    *s["room_tables"], shared_rooms(s, buckets, rooms.format(k))[0]]
+                yield from scored(s, f"{folder}/{k:012d}.counts", kept)
 
     sums = state.select("k", "blob").mapInArrow(score, ROW)
     return _assembled(blocks, sums, parts, int(totals["n"]))
 
 
-def scored(state: dict, path: str, customers: np.ndarray, kept: list[dict]):
+def scored(state: dict, path: str, kept: list[dict]):
     """Rows (block, 2, sums by text) of a part."""
-    fs, path = pafs.FileSystem.from_uri(path)
-    with fs.open_input_stream(path, compression=None) as f:
-        x = unpacked(f.read())
+    x = read_file(path)
     word, ctx, c = x["word"].astype(np.int64), x["ctx"], x["c"].astype(float)
     t = np.minimum(c, 1)
     t[state["pair"]] = state["t_sum"] / len(kept)
-    room = STRENGTH + customers
+    room = STRENGTH + state["room_customers"].astype(float)
     p = (c - DISCOUNT * t) / room[ctx]
-    for totals, sample in zip(kept, state["samples"]):
+    for totals, sample, by_ctx in zip(kept, state["samples"], state["room_tables"]):
         root = root_probability(state, totals, sample)
-        share = (STRENGTH + DISCOUNT * totals["by_ctx"]) / room / len(kept)
+        share = (STRENGTH + DISCOUNT * by_ctx) / room / len(kept)
         p += share[ctx] * root[word]
     p = np.log10(p)
     c_word = state["c_word"].copy()

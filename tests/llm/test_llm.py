@@ -231,6 +231,42 @@ def test_model_predicts_held_out_texts_better_than_its_base(spark):
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, scores.collect()))
 
 
+def test_every_context_is_a_restaurant_of_its_own(spark, monkeypatch):
+    monkeypatch.setattr(pitman_yor, "PART_BYTES", 400_000)
+    monkeypatch.setattr(pitman_yor, "PARTS_PER_BUCKET", 2)
+    seen = []
+    share = pitman_yor.share_rooms
+
+    def spy(state, buckets, path, first):
+        share(state, buckets, path, first)
+        if first:
+            seen.extend((pitman_yor.unpacked(bytes(r["blob"])), buckets, path.format(r["k"]))
+                        for r in state.collect())
+
+    monkeypatch.setattr(pitman_yor, "share_rooms", spy)
+    # 90,000 contexts, more than the 65,536 of 16 bits, each before two words, twice and once
+    docs = [(i, " ".join(f"c{j} x c{j} x c{j} y" for j in range(i * 300, i * 300 + 300)))
+            for i in range(300)]
+    train = [t for i, t in docs if not pitman_yor.held_out(i)]
+    follow = defaultdict(Counter)
+    for t in train:
+        w = t.split()
+        for a, b in zip(w, w[1:]):
+            follow[pitman_yor.WordHashes()[a.encode()]][b] += 1
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)
+    assert pitman_yor.score_texts(frame).count() == len(docs)
+    assert len(seen) > 2 and seen[0][1] > 1
+    got = {}
+    for state, buckets, path in seen:
+        tables, customers = pitman_yor.shared_rooms(state, buckets, path)
+        for room, t, n in zip(state["rooms"].tolist(), tables.tolist(), customers.tolist()):
+            assert got.setdefault(room, (t, n)) == (t, n)  # all parts have the same sums
+    for room, words_after in follow.items():
+        ends = got[room][1] - sum(words_after.values())  # the end token after the last word
+        assert ends >= 0 and got[room][0] == len(words_after) + (ends > 0)
+    assert len(follow) > 65_536
+
+
 def test_seating_keeps_its_customers():
     rng = np.random.default_rng(2)
     owner = np.repeat(np.arange(5), [3, 1, 2, 4, 1])
