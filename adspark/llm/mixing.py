@@ -31,10 +31,10 @@ from adspark.operators.lookup import lookup_join
 BUCKET_DIGITS = 4
 
 
-def sizes_of(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size in words."""
+def sizes_of(docs: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size in words, carried columns."""
     n = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0))
-    return docs.select("doc_id", "source", n.cast("bigint").alias("size"))
+    return docs.select("doc_id", "source", n.cast("bigint").alias("size"), *carried)
 
 
 def ranked_sources(sources: DataFrame) -> DataFrame:
@@ -87,13 +87,17 @@ def order_key(seed: int) -> Column:
 
 
 def mix(docs: DataFrame, weights: DataFrame | tuple[float, ...], max_epochs: float = 3.0,
-        seed: int = 17) -> DataFrame:
-    """doc_id, source, size, source_size, target, repeats, taken.
+        seed: int = 17, row: str | None = None) -> DataFrame:
+    """doc_id, source, size, source_size, target, repeats, taken, and ``row`` if given.
+
+    ``row`` names a column of distinct numbers, which tell apart rows of the same or no
+    doc_id; rows that would be in no order of their own are taken in that of their numbers.
 
     ``weights``: a table (source, weight), where a source without weight gets 0,
     or weights to be dealt to the sources in turn, in the order of their names.
     """
-    sizes = stored(sizes_of(docs).withColumn("key", order_key(seed)), "mix-sizes")
+    carried = (row,) if row else ()
+    sizes = stored(sizes_of(docs, carried).withColumn("key", order_key(seed)), "mix-sizes")
     by_source = sizes.groupBy("source").agg(
         F.sum("size").alias("source_size"), F.count("*").alias("n"))
     if isinstance(weights, tuple):
@@ -126,9 +130,9 @@ def mix(docs: DataFrame, weights: DataFrame | tuple[float, ...], max_epochs: flo
     plan = plan.join(nxt, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
     rows = lookup_join(
         sizes, plan, "source", ["source_size", "target", "whole", "wanted", "last", "below", "edge"],
-        spread_by=["doc_id", "key"], weight="n", null_matches=True)
+        spread_by=["doc_id", "key", *carried], weight="n", null_matches=True)
     at_edge = F.coalesce(bucket == F.col("edge"), F.lit(False))
-    order = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(
+    order = Window.partitionBy("source").orderBy("key", "doc_id", "size", *carried).rowsBetween(
         Window.unboundedPreceding, 0)
     upto = F.col("below") + F.sum("size").over(order)
     edge = rows.filter(at_edge).withColumn(
@@ -137,12 +141,16 @@ def mix(docs: DataFrame, weights: DataFrame | tuple[float, ...], max_epochs: flo
     repeats = F.col("whole") + F.coalesce(F.col("more"), F.lit(False)).cast("bigint")
     return edge.unionByName(rest).select(
         "doc_id", "source", "size", "source_size", "target", repeats.alias("repeats"),
-        (repeats * F.col("size")).alias("taken"))
+        (repeats * F.col("size")).alias("taken"), *carried)
+
 
+def expand(docs: DataFrame, mixed: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The documents as often as the mix repeats them.
 
-def expand(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The documents as often as the mix repeats them (``doc_id`` must be unique)."""
-    n = mixed.select(F.col("doc_id").alias("_id"), "repeats").filter(F.col("repeats") > 0)
-    return (docs.join(n, F.col("doc_id") == F.col("_id")).drop("_id")
+    ``key`` must be unique and not null: for documents with repeated or null ids, the
+    ``row`` that the mix was given.
+    """
+    n = mixed.select(F.col(key).alias("_id"), "repeats").filter(F.col("repeats") > 0)
+    return (docs.join(n, F.col(key) == F.col("_id")).drop("_id")
             .withColumn("repeats", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int"))))
             .drop("repeats"))

@@ -41,3 +41,41 @@ def test_pipeline_takes_empty_documents(spark, sf):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf)
     assert docs.count() == 0
+
+
+def test_pipeline_stages_take_null_and_repeated_ids(spark, sf):
+    """Near duplicates against pairs of word shingles, the mix against its counts of words."""
+    rows = []
+    for k in range(12):
+        base = [f"w{k}x{j}" for j in range(60)]
+        for i in range(5):
+            w = base if i % 2 else base[:-1] + [f"end{k}"]
+            doc_id = None if (k + i) % 3 == 0 else 7 if (k + i) % 3 == 1 else 100 + 5 * k + i
+            rows.append((doc_id, " ".join(w) + (f" {k}" if i == 4 else ""), "en", f"s{k % 2}", 1))
+    docs = spark.createDataFrame(
+        rows, "doc_id bigint, text string, lang string, source string, n_chars int").repartition(3)
+    got = corpus_pipeline.near_duplicates(spark, docs, sf).collect()
+    family = lambda text: text.split("x")[0]
+    best = {}
+    for doc_id, text, *_ in rows:
+        key = (doc_id is None, doc_id or 0)
+        best[family(text)] = min(best.get(family(text), key), key)
+    assert sorted((family(r["text"]), (r["doc_id"] is None, r["doc_id"] or 0)) for r in got) == (
+        sorted(best.items()))
+
+    # all texts differ, so that copies can be told apart
+    own = docs.withColumn("text", F.concat("text", F.lit(" "), F.monotonically_increasing_id().cast(
+        "string"))).localCheckpoint()
+    size = lambda text: len(text.split())
+    texts = {r["text"]: r["source"] for r in own.collect()}
+    assert len(texts) == len(rows)
+    out = corpus_pipeline.source_mix(spark, own, sf).collect()
+    assert {r["text"] for r in out} <= set(texts) and any(r["doc_id"] is None for r in out)
+    total = sum(map(size, texts))
+    for source, weight in (("s0", 5), ("s1", 2)):
+        mine = sum(size(t) for t, s in texts.items() if s == source)
+        target = min(3 * mine, total * weight / 7)
+        taken = sum(size(r["text"]) for r in out if r["source"] == source)
+        assert abs(taken - target) <= 32
+        times = [sum(r["text"] == t for r in out) for t, s in texts.items() if s == source]
+        assert max(times) - min(times) <= 1  # whole repetitions, and one more for some
