@@ -3,7 +3,8 @@
 Lines within ``distance`` edits of each other, directly or through others, are
 a class; the first occurrence of a class (smallest doc_id, then line number)
 stays and the others leave their documents. Lines are compared without white
-space at their ends, and those with under ``least_chars`` characters always stay.
+space at their ends. Those with under ``least_chars`` characters are not joined: of equal
+ones, from ``exact_chars`` characters on, the first stays; near copies of them stay too.
 
 The join: a line is split into distance + 1 segments, so a line within the
 distance holds one of them unchanged. Every line is indexed by its segments, with
@@ -269,13 +270,16 @@ def line_links(docs: DataFrame, distance: int, least_chars: int) -> DataFrame:
         F.col("doc").alias("a"), F.col("member").alias("b"))
 
 
-def dedup_lines(docs: DataFrame, distance: int = 2, least_chars: int = 24) -> DataFrame:
+def dedup_lines(docs: DataFrame, distance: int = 2, least_chars: int = 24,
+                exact_chars: int = 1) -> DataFrame:
     """The documents with text reduced to the lines that stay, and ``n_lines``,
     ``n_removed``, ``kept_in``: for each line that left, the doc_id that keeps its class."""
     if least_chars < 2 * distance + 1:
         raise ValueError("least_chars must exceed twice the distance")
+    if exact_chars < 1:
+        raise ValueError("blank lines are no copies: exact_chars must be positive")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    seen = stored(occurrences(docs, least_chars), "occurrences")
+    seen = stored(occurrences(docs, min(exact_chars, least_chars)), "occurrences")
     near = stored(components(line_links(docs, distance, least_chars)), "line-classes")
     near = near.withColumnRenamed("id", "line")
     counts = seen.join(near.select("line"), "line", "left_semi").groupBy("line").agg(

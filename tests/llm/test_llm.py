@@ -180,6 +180,15 @@ def test_line_dedup_matches_brute_force(spark, odd, none):
     assert lines.dedup_lines(none).count() == 0
 
 
+def test_short_lines_leave_where_they_repeat_exactly(spark):
+    texts = ["All rights reserved.\nHome\n\nx\n\nHome", " All rights reserved. \nHome!\n", "x\n\ny"]
+    got = lines.dedup_lines(
+        spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    assert {r["doc_id"]: (r["text"], r["n_removed"], r["kept_in"]) for r in got} == {
+        0: ("All rights reserved.\nHome\n\nx\n", 1, [0]), 1: ("Home!\n", 1, [0]),
+        2: ("\ny", 1, [0])}
+
+
 def test_lines_of_a_busy_entry_are_linked_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(lines, "BLOCK_CHARS", 300)
     rng = random.Random(5)
