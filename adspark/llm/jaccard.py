@@ -56,6 +56,9 @@ class Parts:
         while self.bounds[-1] < 2**31:
             b = self.bounds[-1]
             self.bounds.append(max(b + 1, int(b * GROWTH)))
+        if any((above - 1) * den // num >= second
+               for above, second in zip(self.bounds[1:], self.bounds[2:])):
+            raise ValueError("a threshold this low has partners beyond the next size class")
 
     def differ(self, c: int) -> int:
         """Most shingles in which a pair differs whose larger set is in class ``c``."""
@@ -180,6 +183,7 @@ def jaccard_components(docs: DataFrame, n_words: int = 3, num: int = 9,
         return linked(*[[np.frombuffer(x, np.uint64) for x in side] for side in (left, right)],
                       num, den)
 
+    Parts(num, den)  # refuses thresholds for which links would be missed
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sketches = sketched(docs, n_words, num, den)

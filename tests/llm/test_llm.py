@@ -665,3 +665,13 @@ def test_jaccard_components_match_brute_force(spark, odd, none, n, num, den, mon
     got = sorted(map(tuple, jaccard.jaccard_components(odd, n, num, den).collect()), key=str)
     assert got == brute_jaccard(rows, n, num, den)
     assert jaccard.jaccard_components(none).count() == 0
+
+
+def test_jaccard_refuses_thresholds_with_partners_two_classes_up(spark, none):
+    for num, den in ((9, 10), (8, 10)):
+        parts = jaccard.Parts(num, den)
+        for n in range(1, 400):
+            c = parts.classes(n)
+            assert n * den // num < parts.bounds[c[0] + 2]
+    with pytest.raises(ValueError):
+        jaccard.jaccard_components(none, 3, 1, 2)
