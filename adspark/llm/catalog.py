@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from adspark.llm import chat, idfile, jaccard, lines, mixing, packing, pitman_yor, quality, topk, warc
+from adspark.llm import (
+    chat, idfile, jaccard, lines, mixing, near_vectors, packing, pitman_yor, quality, repair,
+    search, topk, warc,
+)
 from adspark.llm._common import stored
 from adspark.llm.files import as_uri
 from adspark.sources.scratch import new_scratch_path
@@ -98,6 +103,30 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(_read(spark, sf_dir, "documents"), 3, 9, 10)
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of all for each benchmark item."""
+    return search.ranked(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), k=10)
+
+
+def op12_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings, those of the same label linked from cosine 0.98."""
+    return near_vectors.near_vectors(_read(spark, sf_dir, "embeddings"), 0.98)
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged by a checksum, then repaired."""
+    rows = _read(spark, sf_dir, "conversations")
+    broken = repair.damaged(rows)
+    plan = stored(repair.plan_repairs(broken), "repair-plan")
+    hashed = stored(repair.digests(repair.repaired_rows(broken, plan)), "repair-digests")
+    out = rows.select("conv_id").distinct()
+    for side in (plan, hashed):
+        side = side.withColumnRenamed("conv_id", "_id")
+        out = out.join(side, F.col("conv_id").eqNullSafe(F.col("_id")), "left").drop("_id")
+    return out.na.fill(0, ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]).na.fill(
+        {"audit": "", "repaired_sha256": hashlib.sha256(b"").hexdigest()})
+
+
 QUERIES = {
     "op1_lines": op1_lines,
     "op2_pitman_yor": op2_pitman_yor,
@@ -109,6 +138,9 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_warc": op9_warc,
     "op10_jaccard": op10_jaccard,
+    "op11_search": op11_search,
+    "op12_near_vectors": op12_near_vectors,
+    "op13_repair": op13_repair,
 }
 
 ORACLE = {
@@ -181,4 +213,38 @@ SELECT page_id, payload_bytes, payload_digest,
     ELSE 'response' END AS record_type,
   CASE WHEN payload_bytes >= 100 AND n > 1 AND page_id <> first THEN first END AS refers_to
 FROM m""",
+    "op11_search": r"""
+WITH a AS (SELECT row_number() OVER () AS no, doc_id, regexp_extract_all(translate(text,
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+q AS (SELECT no, item_id, unnest(list_distinct(ts)) AS term FROM (
+    SELECT row_number() OVER () AS no, item_id, regexp_extract_all(translate(text,
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM benchmark)),
+g AS (SELECT count(*) AS n_docs, sum(len(ts))::bigint AS n_terms FROM a WHERE len(ts) > 0),
+p AS (SELECT no, doc_id, len(ts) AS n, term, count(*) AS tf
+  FROM (SELECT no, doc_id, ts, unnest(ts) AS term FROM a) GROUP BY ALL),
+w AS (SELECT term, cast(floor(1000 * ln((2 * any_value(n_docs) + 2)::double
+    / (2 * count(*) + 1)::double)) AS bigint) AS w
+  FROM p, g WHERE term IN (SELECT term FROM q) GROUP BY term),
+s AS (SELECT q.no, q.item_id, p.no AS d, p.doc_id, cast(sum(w * ((1000000000 * tf)
+    // (1000 * tf + 8 * (100 - 90 + (90 * n * n_docs) // n_terms)))) AS bigint) AS score
+  FROM q JOIN w USING (term) JOIN p USING (term), g GROUP BY ALL),
+r AS (SELECT *, cast(row_number() OVER (PARTITION BY no ORDER BY score DESC, doc_id NULLS LAST)
+    AS integer) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10""",
+    "op12_near_vectors": r"""
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS no, vec_id, label, embedding::double[] AS e
+  FROM embeddings),
+u AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL
+    AND len([1 FOR x IN e IF x IS NULL OR NOT isfinite(x)]) = 0
+    AND len([1 FOR x IN e IF x <> 0]) > 0),
+links AS (SELECT a.no AS a, b.no AS b, b.vec_id FROM u a JOIN u b ON a.label = b.label
+    AND a.no <> b.no AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (SELECT no AS a, no AS b FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+c AS (SELECT r.a, min(v.vec_id) AS component_id FROM reach r JOIN v ON r.b = v.no GROUP BY r.a),
+n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT v.vec_id, cast(coalesce(n.n, 0) AS bigint) AS n_links, c.component_id,
+  v.vec_id IS NOT DISTINCT FROM c.component_id AS kept
+FROM v JOIN c ON v.no = c.a LEFT JOIN n ON v.no = n.a""",
 }
