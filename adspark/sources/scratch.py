@@ -20,7 +20,7 @@ _scopes = threading.local()
 
 @contextmanager
 def released(spark: SparkSession) -> Iterator[None]:
-    """Delete on exit what this thread materialized inside; only collected results may leave."""
+    """Delete on exit what this thread materialized inside, but for tables that are ``kept``."""
     stack = _scopes.__dict__.setdefault("stack", [])
     stack.append([])
     try:
@@ -30,6 +30,17 @@ def released(spark: SparkSession) -> Iterator[None]:
             delete_path(spark, path)
 
 
+def kept(table: DataFrame) -> DataFrame:
+    """Take a materialized table out of the scope of ``released`` around it, into the one outside."""
+    stack = _scopes.__dict__.get("stack") or []
+    path = table.__dict__.get("_scratch_path")
+    if stack and path in stack[-1]:
+        stack[-1].remove(path)
+        if len(stack) > 1:
+            stack[-2].append(path)
+    return table
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a path (or glob) exists on its file system (needs a classic session, for its JVM)."""
     jvm = spark._jvm
