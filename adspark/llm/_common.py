@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from adspark.sources.scratch import materialize
+from adspark.sources.scratch import kept, materialize, released
 
 BATCH = ("spark.sql.execution.arrow.maxRecordsPerBatch",
          "spark.sql.execution.arrow.maxBytesPerBatch")
@@ -84,15 +85,29 @@ def stored(df: DataFrame, label: str, rows_per_batch: int = 1000) -> DataFrame:
             conf.unset(k) if v is None else conf.set(k, v)
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """The rows that ``make`` returns, written; every other table it wrote is deleted."""
+    with released(spark):
+        return kept(stored(make(), label))
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """A column name like ``name`` that the columns do not have, in any case of letters."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
     """Bytes of all texts."""
     row = docs.agg(F.sum(F.octet_length(F.col(text))).alias("n")).first()
     return int(row["n"] or 0)
 
 
-def known_keys(facts: DataFrame, keys: DataFrame, key: str, how: str = "left_semi",
+def known_keys(facts: DataFrame, keys: DataFrame, key: str | list[str], how: str = "left_semi",
                small: int = 2_000_000) -> DataFrame:
-    """Semi or anti join of large rows with a table of distinct integer keys.
+    """Semi or anti join of large rows with a table of distinct keys of one to three integers.
 
     ``keys`` is counted (it should be a stored table): up to ``small`` keys, some
     tens of megabytes, are broadcast; more are joined by a shuffle.

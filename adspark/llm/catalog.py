@@ -11,7 +11,7 @@ from adspark.llm import (
     chat, idfile, jaccard, lines, mixing, near_vectors, packing, pitman_yor, quality, repair,
     search, topk, warc,
 )
-from adspark.llm._common import stored
+from adspark.llm._common import settled, stored
 from adspark.llm.files import as_uri
 from adspark.sources.scratch import new_scratch_path
 
@@ -22,10 +22,10 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without lines that are within two edits of an earlier one."""
-    out = lines.dedup_lines(_read(spark, sf_dir, "documents"))
-    return out.select(
+    return settled(spark, lambda: lines.dedup_lines(_read(spark, sf_dir, "documents")).select(
         "doc_id", "n_lines", "n_removed", "kept_in",
-        F.length("text").cast("bigint").alias("n_chars_left"), F.md5("text").alias("text_md5"))
+        F.length("text").cast("bigint").alias("n_chars_left"), F.md5("text").alias("text_md5")),
+        "op1")
 
 
 def op2_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,8 +84,9 @@ def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 1024 tokens."""
-    return packing.packed_pieces(
-        _read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return settled(spark, lambda: packing.packed_pieces(
+        _read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+        end_id=2), "op8")
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,22 +101,28 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents linked by Jaccard similarity 0.9 of 3-word shingles."""
-    return jaccard.jaccard_components(_read(spark, sf_dir, "documents"), 3, 9, 10)
+    return settled(spark, lambda: jaccard.jaccard_components(
+        _read(spark, sf_dir, "documents"), 3, 9, 10), "op10")
 
 
 def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents of all for each benchmark item."""
-    return search.ranked(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), k=10)
+    return settled(spark, lambda: search.ranked(
+        _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), k=10), "op11")
 
 
 def op12_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All embeddings, those of the same label linked from cosine 0.98."""
-    return near_vectors.near_vectors(_read(spark, sf_dir, "embeddings"), 0.98)
+    return settled(spark, lambda: near_vectors.near_vectors(
+        _read(spark, sf_dir, "embeddings"), 0.98), "op12")
 
 
 def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, damaged by a checksum, then repaired."""
-    rows = _read(spark, sf_dir, "conversations")
+    return settled(spark, lambda: _repaired(_read(spark, sf_dir, "conversations")), "op13")
+
+
+def _repaired(rows: DataFrame) -> DataFrame:
     broken = repair.damaged(rows)
     plan = stored(repair.plan_repairs(broken), "repair-plan")
     hashed = stored(repair.digests(repair.repaired_rows(broken, plan)), "repair-digests")

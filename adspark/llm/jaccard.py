@@ -30,21 +30,25 @@ document with each of their texts. Empty tables give no rows; extra columns are
 from __future__ import annotations
 
 import bisect
+import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from adspark.llm._common import (
     WordHashes, byte_texts, known_keys, mixed, shingles, spread_lookup, stored, words,
 )
 from adspark.llm.components import components
 from adspark.llm.tiles import tiled_links
+from adspark.sources.scratch import release
 
 GROWTH = 1.4
 SCHEMES = 4
 #: Shingles of a block of queries or members.
 BLOCK_SHINGLES = 200_000
+#: Coarse tokens of a part in which repeated ones are found.
+PART_TOKENS = 4_000_000
 
 
 class Parts:
@@ -126,6 +130,65 @@ def sketched(docs: DataFrame, n_words: int, num: int, den: int) -> DataFrame:
     return stored(docs.select("doc_id", "text").mapInArrow(sketch, SKETCH), "sketches")
 
 
+def slot_of(sig: Column, bits: int) -> Column:
+    """The highest ``bits`` and the lowest 40 bits of a coarse token."""
+    low = sig.bitwiseAND(F.lit((1 << 40) - 1))
+    return low if not bits else F.shiftleft(F.shiftrightunsigned(sig, 64 - bits), 40).bitwiseOR(low)
+
+
+def repeated_tokens(reps: DataFrame) -> tuple[DataFrame, int]:
+    """Slots of the coarse tokens that several documents may share, and the bits of a slot's part.
+
+    Nearly all coarse tokens belong to one document, and those need not be shuffled with
+    it. Each batch sends the slots of its tokens, five bytes each, to a part by their highest
+    bits, a slot it has itself more than once twice, and the parts return those
+    that came more than once, one of them from a document's own class. Two tokens may fall
+    into a slot, so this only rules out; what stays is counted as it is.
+    """
+    n = reps.agg(F.sum(F.size("own") + F.size("up"))).first()[0] or 0
+    bits = max(0, math.ceil(math.log2(max(1, n) / PART_TOKENS)))
+
+    def packed(slots: np.ndarray) -> bytes:
+        return np.ascontiguousarray(
+            slots.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+    def unpacked(raw: list[bytes]) -> np.ndarray:
+        data = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, 5)
+        out = np.zeros((len(data), 8), np.uint8)
+        out[:, :5] = data
+        return out.reshape(-1).view("<u8")
+
+    def send(batches):
+        for b in batches:
+            sides = [b.column(i).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+                     for i in (0, 1)]
+            rows = []
+            parts = [s >> np.uint64(64 - bits) if bits else np.zeros_like(s) for s in sides]
+            for part in range(1 << bits):
+                cells = []
+                for s, at in zip(sides, parts):
+                    own, count = np.unique(s[at == part] & np.uint64((1 << 40) - 1),
+                                           return_counts=True)
+                    cells.append(packed(np.r_[own, own[count > 1]]))
+                if any(cells):
+                    rows.append((part, *cells))
+            if rows:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, k) for c, k in zip(zip(*rows), (
+                        pa.int64(), pa.binary(), pa.binary()))], names=["part", "own", "up"])
+
+    def find(table: pa.Table) -> pa.Table:
+        own, up = (unpacked(table.column(c).to_pylist()) for c in ("own", "up"))
+        slots, count = np.unique(np.r_[own, up], return_counts=True)
+        slots = slots[count > 1]
+        slots = slots[np.isin(slots, own)]
+        part = np.uint64(table.column("part")[0].as_py())
+        return pa.table({"slot": pa.array((slots | part << np.uint64(40)).view(np.int64))})
+
+    sent = reps.select("own", "up").mapInArrow(send, "part bigint, own binary, up binary")
+    return stored(sent.groupBy("part").applyInArrow(find, "slot bigint"), "repeated-tokens"), bits
+
+
 def set_table(docs: DataFrame, ids: DataFrame, n_words: int) -> DataFrame:
     """(doc, n, body) of the documents with these ids; a body is the sorted 64-bit hashes."""
     def build(batches):
@@ -191,16 +254,18 @@ def jaccard_components(docs: DataFrame, n_words: int = 3, num: int = 9,
     alike = stored(
         sketches.filter("n > 0 and doc_id is not null")
         .groupBy(F.struct("k1", "k2", "n").alias("key"))
-        .agg(F.min("doc_id").alias("rep"), F.count("*").alias("w")), "alike")
-    copies = alike.filter("w > 1")
-    total = int(copies.agg(F.sum("w")).first()[0] or 0)
+        .agg(F.min("doc_id").alias("rep"), F.count("*").alias("w")).filter("w > 1"), "alike")
+    total = int(alike.agg(F.sum("w")).first()[0] or 0)
     rows = spread_lookup(
-        sketches.withColumn("key", F.struct("k1", "k2", "n")), copies, "key", "w", total, parts,
-        F.xxhash64("doc_id"))
+        sketches.select("doc_id", "n", F.struct("k1", "k2", "n").alias("key")), alike, "key", "w",
+        total, parts, F.xxhash64("doc_id"))
     known = (F.col("n") > 0) & F.col("doc_id").isNotNull()
     rep = F.when(known, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id"))
-    named = rows.withColumn("rep", rep)
-    reps = named.filter(known & (F.col("rep") == F.col("doc_id")))
+    named = stored(rows.select("doc_id", "n", "key.k1", "key.k2", rep.alias("rep")), "named")
+    release(alike)
+    copies = stored(named.filter(F.col("rep") != F.col("doc_id")).select(
+        "doc_id", "k1", "k2").distinct(), "copies")
+    reps = known_keys(sketches.filter(known), copies, ["doc_id", "k1", "k2"], "left_anti")
 
     # the matrix: coarse tokens that more than one document has, one of them in its own class
     each = reps.select(F.col("doc_id").alias("doc"), F.explode(F.array(
@@ -208,7 +273,12 @@ def jaccard_components(docs: DataFrame, n_words: int = 3, num: int = 9,
                  F.lit(True).alias("index")),
         F.struct(F.col("up").alias("sigs"), F.col("up_least").alias("least"),
                  F.lit(False).alias("index")))).alias("x"))
-    each = each.select("doc", "x.least", "x.index", F.explode("x.sigs").alias("sig"))
+    maybe, bits = repeated_tokens(reps)
+    each = each.select("doc", "x.least", "x.index", F.explode("x.sigs").alias("sig")).withColumn(
+        "slot", slot_of(F.col("sig"), bits))
+    each = stored(known_keys(each, maybe, "slot").drop("slot"), "tokens")
+    for table in (sketches, copies, maybe):
+        release(table)
     live = stored(
         each.groupBy("sig").agg(F.count("*").alias("w"), F.min("doc").alias("lead"),
                                 F.max("index").alias("indexed"))
@@ -225,44 +295,58 @@ def jaccard_components(docs: DataFrame, n_words: int = 3, num: int = 9,
         by_doc.filter(F.size("sigs") >= F.col("least"))
         .select("doc", "index", F.slice(
             "sigs", 1, F.size("sigs") - F.col("least") + 1).alias("sigs")), "kept")
+    release(each)
+    release(live)
 
     # groups: documents linked to the smallest document that shares a coarse token
     lead = F.array_min(F.transform("sigs", lambda x: x["lead"]))
     leads = stored(kept.groupBy("doc").agg(F.min(lead).alias("gid")), "leads")
     ids = stored(leads.select("doc").union(leads.select("gid")).distinct(), "set-ids")
     sets = set_table(docs, ids, n_words)
+    release(ids)
     followers = leads.filter("doc <> gid").select("gid", "doc")
     heads = followers.select("gid").distinct().withColumn("doc", F.col("gid"))
-    stars = stored(tiled_links(followers, heads, sets, BLOCK_SHINGLES, compare)
-                   .select("doc", "member").distinct(), "stars")
+    direct = tiled_links(followers, heads, sets, BLOCK_SHINGLES, compare)
+    stars = stored(direct.select("doc", "member").distinct(), "stars")
+    release(direct)
     groups = stored(
         leads.select("doc").join(stars.withColumnRenamed("member", "gid"), "doc", "left")
         .groupBy("doc").agg(F.coalesce(F.min("gid"), F.col("doc")).alias("gid")), "groups")
+    release(leads)
 
     # queries meet the groups that hold one of their coarse tokens, their own excepted;
     # tokens that stay within one group are left out first
     tagged = stored(kept.join(groups, "doc").select(
         "doc", "gid", "index", F.explode(F.transform("sigs", lambda x: x["sig"])).alias("sig")),
         "tagged")
+    release(kept)
     wide = stored(tagged.groupBy("sig").agg(
         F.min("gid").alias("a"), F.max("gid").alias("b"), F.max("index").alias("held"))
         .filter("held and a <> b").select("sig"), "wide")
-    tagged = tagged.join(wide, "sig", "left_semi")
-    held = tagged.filter("index").select("sig", F.col("gid").alias("other")).distinct()
-    met = (tagged.select("sig", "doc", "gid").join(held, "sig").filter("other <> gid")
+    open_tokens = known_keys(tagged, wide, "sig")
+    held = open_tokens.filter("index").select("sig", F.col("gid").alias("other")).distinct()
+    met = (open_tokens.select("sig", "doc", "gid").join(held, "sig").filter("other <> gid")
            .select("doc", F.col("other").alias("gid")).distinct())
     met = stored(met, "met")
+    release(tagged)
+    release(wide)
     opened = met.select("gid").distinct()
     inside = groups.join(opened, "gid").select("gid", "doc")
     # a leader is a member of its own group even where it follows another leader
-    inside = inside.unionByName(opened.select("gid", F.col("gid").alias("doc"))).distinct()
-    more = tiled_links(met, stored(inside, "inside"), sets, BLOCK_SHINGLES, compare)
+    inside = stored(inside.unionByName(opened.select(
+        "gid", F.col("gid").alias("doc"))).distinct(), "inside")
+    more = tiled_links(met, inside, sets, BLOCK_SHINGLES, compare)
+    for table in (met, inside, groups, sets):
+        release(table)
     links = stars.unionByName(more).select(F.col("doc").alias("a"), F.col("member").alias("b"))
-    roots = stored(components(links), "roots").withColumnRenamed("id", "rep")
-    sizes = stored(named.select("doc_id", "n", "rep"), "named")
-    weights = sizes.groupBy("rep").agg(F.count("*").alias("w"))
-    roots = stored(roots.join(weights, "rep"), "roots")
-    total = int(sizes.count())
-    out = spread_lookup(sizes, roots, "rep", "w", total, parts, F.xxhash64("doc_id", "n"))
+    linked_docs = components(links)
+    release(stars)
+    release(more)
+    weights = named.groupBy("rep").agg(F.count("*").alias("w"))
+    roots = stored(linked_docs.withColumnRenamed("id", "rep").join(weights, "rep"), "roots")
+    release(linked_docs)
+    total = int(named.count())
+    out = spread_lookup(named.select("doc_id", "n", "rep"), roots, "rep", "w", total, parts,
+                        F.xxhash64("doc_id", "n"))
     return out.select("doc_id", F.col("n").alias("n_shingles"),
                       F.coalesce("root", "rep").alias("component_id"))

@@ -19,9 +19,10 @@ the entry's lines, in blocks spread over tasks. Copies of a line are one line. T
 travel only for lines that share an entry. The work left is the product, per entry, of
 the lines not linked to its first line and all its lines.
 
-Nulls: a null text stays null and has no lines; a null doc_id comes first. Rows that
-repeat a doc_id keep a line that is first in each of them. Documents whose lines
-all left have an empty text. Empty tables give no rows; other columns are kept,
+Nulls: a null text stays null and has no lines; a null doc_id comes first. Every row is a
+document, told apart by a number it gets, so rows that repeat a doc_id or have none
+lose only lines of their own; of a line at the same place in such rows one stays. Documents
+whose lines all left have an empty text. Empty tables give no rows; other columns are kept,
 and columns that clash with the added ones are replaced.
 """
 
@@ -32,7 +33,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from adspark.llm._common import byte_texts, known_keys, spread_lookup, stored
+from adspark.llm._common import byte_texts, known_keys, spread_lookup, stored, unused
 from adspark.llm.components import components
 from adspark.llm.tiles import tiled_links
 from adspark.sources.scratch import release
@@ -214,17 +215,17 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def occurrences(docs: DataFrame, least_chars: int) -> DataFrame:
-    """(doc_id, no, line, other): every line that counts, with two hashes of it."""
-    rows = docs.select("doc_id", F.posexplode(_lines(F.col("text"))).alias("no", "raw"))
+def occurrences(docs: DataFrame, row: str, least_chars: int) -> DataFrame:
+    """(row, doc_id, no, line, other): every line that counts, with two hashes of it."""
+    rows = docs.select(F.col(row).alias("row"), "doc_id", F.posexplode(_lines(F.col("text"))).alias("no", "raw"))
     rows = rows.withColumn("s", F.btrim("raw", F.lit(SPACE)))
     return rows.filter(F.length("s") >= least_chars).select(
-        "doc_id", F.col("no").cast("bigint").alias("no"), F.xxhash64("s").alias("line"),
+        "row", "doc_id", F.col("no").cast("bigint").alias("no"), F.xxhash64("s").alias("line"),
         F.xxhash64(F.lit(1), "s").alias("other"))
 
 
-def line_links(docs: DataFrame, distance: int, least_chars: int) -> DataFrame:
-    """(a, b) line ids that connect all lines within the distance."""
+def line_links(docs: DataFrame, distance: int, least_chars: int) -> tuple[DataFrame, list]:
+    """(a, b) line ids that connect all lines within the distance, and the tables they come from."""
     entries = indexed(docs, distance, least_chars)
     each = entries.select("line", F.explode(F.array(
         F.struct(F.col("own").alias("keys"), F.lit(True).alias("own")),
@@ -235,6 +236,7 @@ def line_links(docs: DataFrame, distance: int, least_chars: int) -> DataFrame:
         .filter("own and a <> b").select("key"), "live-entries")
     hits = stored(known_keys(each, live, "key").distinct(), "hits")
     release(entries)
+    release(live)
 
     # the first line of each entry, and the lines linked to it
     leads = stored(hits.groupBy("key").agg(
@@ -244,12 +246,15 @@ def line_links(docs: DataFrame, distance: int, least_chars: int) -> DataFrame:
     led = stored(spread_lookup(hits.select("key", "line"), leads, "key", "w", hits.count(), parts,
                                F.xxhash64("line")), "led")
     wanted = stored(hits.select("line").distinct(), "line-ids")
+    release(hits)
+    release(leads)
     texts = docs.select(F.explode(_lines(F.col("text"))).alias("raw")).select(
         F.btrim("raw", F.lit(SPACE)).alias("s")).filter(F.length("s") >= least_chars)
     texts = known_keys(texts.withColumn("line", F.xxhash64("s")), wanted, "line")
     bodies = stored(texts.groupBy("line").agg(F.min("s").alias("s")).select(
         F.col("line").alias("doc"), F.length("s").cast("bigint").alias("n"),
         F.col("s").cast("binary").alias("body")), "line-texts")
+    release(wanted)
 
     def compare(left: list[bytes], right: list[bytes]) -> tuple:
         return spanning(left, right, distance)
@@ -257,7 +262,9 @@ def line_links(docs: DataFrame, distance: int, least_chars: int) -> DataFrame:
     asks = led.filter("line <> lead").select(
         F.col("lead").alias("gid"), F.col("line").alias("doc")).distinct()
     heads = asks.select("gid").distinct().withColumn("doc", F.col("gid"))
-    stars = stored(tiled_links(asks, heads, bodies, BLOCK_CHARS, compare).distinct(), "line-stars")
+    direct = tiled_links(asks, heads, bodies, BLOCK_CHARS, compare)
+    stars = stored(direct.distinct(), "line-stars")
+    release(direct)
     rest = stored(led.filter("line <> lead").join(
         stars.select(F.col("doc").alias("line"), F.col("member").alias("lead")),
         ["line", "lead"], "left_anti").select(F.col("key").alias("gid"),
@@ -266,8 +273,9 @@ def line_links(docs: DataFrame, distance: int, least_chars: int) -> DataFrame:
     members = led.select(F.col("key").alias("gid"), F.col("line").alias("doc")).join(
         open_keys.select("gid"), "gid", "left_semi")
     more = tiled_links(rest, members, bodies, BLOCK_CHARS, compare)
-    return stars.unionByName(more).filter("doc <> member").select(
+    links = stars.unionByName(more).filter("doc <> member").select(
         F.col("doc").alias("a"), F.col("member").alias("b"))
+    return links, [led, bodies, stars, rest, more]
 
 
 def dedup_lines(docs: DataFrame, distance: int = 2, least_chars: int = 24,
@@ -279,40 +287,51 @@ def dedup_lines(docs: DataFrame, distance: int = 2, least_chars: int = 24,
     if exact_chars < 1:
         raise ValueError("blank lines are no copies: exact_chars must be positive")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    seen = stored(occurrences(docs, min(exact_chars, least_chars)), "occurrences")
-    near = stored(components(line_links(docs, distance, least_chars)), "line-classes")
-    near = near.withColumnRenamed("id", "line")
+    docs = docs.drop("n_lines", "n_removed", "kept_in")
+    columns = docs.columns
+    row, leaving = unused("row", columns), unused("leaving", columns)
+    # the numbers have to stay the same for all readers, so the rows are written with them
+    docs = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered-documents")
+    seen = stored(occurrences(docs, row, min(exact_chars, least_chars)), "occurrences")
+    links, used = line_links(docs, distance, least_chars)
+    classes = components(links)
+    for table in used:
+        release(table)
+    near = classes.withColumnRenamed("id", "line")
     counts = seen.join(near.select("line"), "line", "left_semi").groupBy("line").agg(
         F.count("*").alias("w"))
     near = stored(near.join(counts, "line"), "near")
+    release(classes)
     total = seen.count()
-    rows = spread_lookup(seen, near, "line", "w", total, parts, F.xxhash64("doc_id", "no"))
+    rows = spread_lookup(seen, near, "line", "w", total, parts, F.xxhash64("row", "no"))
     cls = F.when(F.col("root").isNotNull(), F.struct(F.col("root").alias("a"), F.lit(0).cast(
         "bigint").alias("b"))).otherwise(F.struct(F.col("line").alias("a"),
                                                   F.col("other").alias("b")))
-    rows = stored(rows.select("doc_id", "no", cls.alias("class")), "classed")
+    rows = stored(rows.select("row", "doc_id", "no", cls.alias("class")), "classed")
+    release(seen)
+    release(near)
     first = stored(rows.groupBy("class").agg(
-        F.min(F.struct("doc_id", "no")).alias("first"), F.count("*").alias("w"))
+        F.min(F.struct("doc_id", "no", "row")).alias("first"), F.count("*").alias("w"))
         .filter("w > 1"), "first-lines")
-    placed = spread_lookup(rows, first, "class", "w", total, parts, F.xxhash64("doc_id", "no"))
+    placed = spread_lookup(rows, first, "class", "w", total, parts, F.xxhash64("row", "no"))
     gone = placed.filter(F.col("first").isNotNull()
-                         & ~F.struct("doc_id", "no").eqNullSafe(F.col("first")))
-    gone = stored(gone.groupBy("doc_id").agg(F.array_sort(F.collect_set(
-        F.struct("no", F.col("first.doc_id").alias("kept")))).alias("gone")), "gone")
-    gone = gone.withColumnRenamed("doc_id", "_id")
-    size = gone.agg(F.sum(F.size("gone"))).first()[0] or 0
-    out = docs.drop("n_lines", "n_removed", "kept_in").join(
-        F.broadcast(gone) if size <= SMALL else gone,
-        F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
+                         & ~F.struct("row", "no").eqNullSafe(F.struct("first.row", "first.no")))
+    gone = stored(gone.groupBy("row").agg(F.array_sort(F.collect_list(
+        F.struct("no", F.col("first.doc_id").alias("kept")))).alias(leaving)), "gone")
+    release(rows)
+    release(first)
+    size = gone.agg(F.sum(F.size(leaving))).first()[0] or 0
+    gone = gone.withColumnRenamed("row", row)
+    out = docs.join(F.broadcast(gone) if size <= SMALL else gone, row, "left")
     all_lines = _lines(F.col("text"))
     last = F.size(all_lines) - 1
     stay = F.array_except(F.sequence(F.lit(0).cast("bigint"), last.cast("bigint")),
-                          F.transform("gone", lambda g: g["no"]))
+                          F.transform(leaving, lambda g: g["no"]))
     left = F.array_join(F.transform(stay, lambda i: F.get(all_lines, i.cast("int"))), "\n")
-    return out.withColumns({
-        "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(all_lines)).cast("bigint"),
-        "n_removed": F.coalesce(F.size("gone"), F.lit(0)).cast("bigint"),
-        "kept_in": F.coalesce(F.transform("gone", lambda g: g["kept"]),
-                              F.array().cast("array<bigint>")),
-        "text": F.when(F.col("gone").isNull(), F.col("text")).otherwise(left),
-    }).drop("gone")
+    return out.select(*[
+        F.when(F.col(leaving).isNull(), F.col("text")).otherwise(left).alias(c)
+        if c.lower() == "text" else F.col(f"`{c}`") for c in columns],
+        F.when(F.col("text").isNull(), 0).otherwise(F.size(all_lines)).cast("bigint").alias("n_lines"),
+        F.coalesce(F.size(leaving), F.lit(0)).cast("bigint").alias("n_removed"),
+        F.coalesce(F.transform(leaving, lambda g: g["kept"]),
+                   F.array().cast("array<bigint>")).alias("kept_in"))

@@ -245,8 +245,7 @@ def near_vectors(embeddings: DataFrame, threshold: float = 0.98,
         "different-vectors")
     links = near_links(reps.select("rep", "w", "label", "dim", "embedding"), threshold, block_rows)
     counts = links.groupBy("id").agg(F.sum("n").alias("links"))
-    roots = stored(components(links.select(F.col("id").alias("a"), F.col("other").alias("b"))),
-                   "vector-components")
+    roots = components(links.select(F.col("id").alias("a"), F.col("other").alias("b")))
     named = stored(
         reps.select("key", "rep", "w").join(counts, F.col("rep") == counts["id"], "left").drop("id")
         .join(roots, F.col("rep") == roots["id"], "left").select(

@@ -9,14 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from adspark.llm._common import spread_lookup, stored
+from adspark.sources.scratch import release
 
 TILES_PER_SALT = 8
 
 
 def _blocks(pairs: DataFrame, bodies: DataFrame, side: str, block_size: int) -> DataFrame:
-    """(gid, block, blocks, ids, bodies): rows of a group in blocks of bounded size."""
+    """(gid, block, blocks, ids, bodies): rows of a group in blocks of bounded size, written."""
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = stored(pairs.join(bodies.select("doc", "n"), "doc"), f"{side}-sizes")
+    rows = sizes = stored(pairs.join(bodies.select("doc", "n"), "doc"), f"{side}-sizes")
     sums = stored(rows.groupBy("gid").agg(
         F.ceil(F.sum("n") / block_size).alias("blocks"), F.count("*").alias("w")), side)
     rows = spread_lookup(rows, sums, "gid", "w", rows.count(), parts, F.xxhash64("doc"))
@@ -30,25 +31,29 @@ def _blocks(pairs: DataFrame, bodies: DataFrame, side: str, block_size: int) ->
             "ids": pa.array([t.column("doc").to_pylist()], pa.list_(pa.int64())),
             "bodies": pa.array([t.column("body").to_pylist()], pa.list_(pa.binary()))})
 
-    return full.groupBy("gid", "block").applyInArrow(
-        pack, "gid bigint, block bigint, blocks bigint, ids array<bigint>, bodies array<binary>")
+    out = stored(full.groupBy("gid", "block").applyInArrow(
+        pack, "gid bigint, block bigint, blocks bigint, ids array<bigint>, bodies array<binary>"),
+        f"{side}-blocks")
+    release(sizes)
+    release(sums)
+    return out
 
 
 def tiled_links(queries: DataFrame, members: DataFrame, bodies: DataFrame, block_size: int,
                 compare: Callable[[list[bytes], list[bytes]], tuple]) -> DataFrame:
-    """Links (doc, member) between (gid, doc) queries and (gid, doc) members of the same gid.
+    """Links (doc, member), written, between (gid, doc) queries and members of the same gid.
 
     ``bodies`` is a stored table (doc, n, body), n the size of a body.
     ``compare`` gets two lists of bodies and returns the indexes of linked ones;
     it need not return all links, but enough to keep what they connect. A tile is a
     block of queries with a block of members; tiles of a heavy group are spread by a salt.
     """
-    q = _blocks(queries, bodies, "queries", block_size)
+    asked = _blocks(queries, bodies, "queries", block_size)
     salts = F.ceil(F.col("blocks") / TILES_PER_SALT)
-    q = stored(q.withColumn("salt", F.pmod("block", salts)), "query-blocks")
+    q = asked.withColumn("salt", F.pmod("block", salts))
     per = q.groupBy("gid").agg(F.ceil(F.max("blocks") / TILES_PER_SALT).alias("salts"))
-    m = _blocks(members, bodies, "members", block_size).join(per, "gid")
-    m = m.select("gid", F.col("ids").alias("m_ids"), F.col("bodies").alias("m_bodies"),
+    held = _blocks(members, bodies, "members", block_size)
+    m = held.join(per, "gid").select("gid", F.col("ids").alias("m_ids"), F.col("bodies").alias("m_bodies"),
                  F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt"))
     tiles = q.select("gid", "salt", "ids", "bodies").join(m, ["gid", "salt"])
 
@@ -62,4 +67,7 @@ def tiled_links(queries: DataFrame, members: DataFrame, bodies: DataFrame, block
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[qi]), pa.array(m_ids[mi])], names=["doc", "member"])
 
-    return tiles.mapInArrow(run, "doc bigint, member bigint")
+    links = stored(tiles.mapInArrow(run, "doc bigint, member bigint"), "links")
+    release(asked)
+    release(held)
+    return links

@@ -43,7 +43,7 @@ def test_pipeline_takes_empty_documents(spark, sf):
     assert docs.count() == 0
 
 
-def test_pipeline_stages_take_null_and_repeated_ids(spark, sf):
+def test_pipeline_stages_take_null_and_repeated_ids(spark, sf, tmp_path):
     """Near duplicates against pairs of word shingles, the mix against its counts of words."""
     rows = []
     for k in range(12):
@@ -64,8 +64,9 @@ def test_pipeline_stages_take_null_and_repeated_ids(spark, sf):
         sorted(best.items()))
 
     # all texts differ, so that copies can be told apart
-    own = docs.withColumn("text", F.concat("text", F.lit(" "), F.monotonically_increasing_id().cast(
-        "string"))).localCheckpoint()
+    docs.withColumn("text", F.concat("text", F.lit(" "), F.monotonically_increasing_id().cast(
+        "string"))).write.parquet(str(tmp_path / "own"))
+    own = spark.read.parquet(str(tmp_path / "own"))
     size = lambda text: len(text.split())
     texts = {r["text"]: r["source"] for r in own.collect()}
     assert len(texts) == len(rows)
@@ -79,3 +80,28 @@ def test_pipeline_stages_take_null_and_repeated_ids(spark, sf):
         assert abs(taken - target) <= 32
         times = [sum(r["text"] == t for r in out) for t, s in texts.items() if s == source]
         assert max(times) - min(times) <= 1  # whole repetitions, and one more for some
+
+
+def test_stages_take_odd_rows_and_leave_one_table(spark, sf):
+    """Null, empty, very long and repeated texts, null and repeated ids, extra columns."""
+    good = " ".join(f"word{i} and other{i}." for i in range(60))
+    rows = [(None, good), (None, good + " more"), (3, good), (3, None), (4, ""), (5, " \n "),
+            (3, "a line that only this row has, as long as it needs\n" + good.replace("word", "w")),
+            (6, " ".join(f"term{i}" for i in range(60_000)))]
+    docs = spark.createDataFrame(
+        [(i, t, "en", None if i == 3 else "s", None, "x", 1) for i, t in rows],
+        "doc_id bigint, text string, lang string, source string, n_chars bigint, row string, gone int")
+    kept = corpus_pipeline.quality_rules(spark, docs, sf)
+    assert kept.columns == corpus_pipeline.COLUMNS
+    assert {r["text"] for r in kept.collect()} <= {t for _, t in rows if t and t.strip()}
+    out = corpus_pipeline.line_dedup(spark, docs, sf)
+    assert not corpus_pipeline._returned["quality_rules"]  # was not read: it is written elsewhere
+    got = out.collect()
+    assert out.columns == corpus_pipeline.COLUMNS
+    assert any("only this row has" in (r["text"] or "") for r in got)
+    again = corpus_pipeline.near_duplicates(spark, out, sf)
+    assert corpus_pipeline._returned["line_dedup"]  # read by the docs, so it stays
+    mixed = corpus_pipeline.source_mix(spark, again, sf)
+    packed = corpus_pipeline.packing_stage(spark, mixed, sf)
+    assert packed.agg(F.max("length")).first()[0] <= 1024
+    assert again.count() <= out.count()
