@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from adspark._checks import require_columns
 from adspark.config import DERIVED, OTHER, EncodingConfig
 from adspark.operators.levels import level_counts, top_levels
-from adspark.operators.lookup import lookup_join
+from adspark.operators.lookup import bucketed_lookup, lookup_join
 from adspark.operators.prefix import running_totals, text_cut_points
 from adspark.sources.scratch import materialize
 
@@ -69,6 +69,17 @@ class LevelEncoderModel(Model, MLReadable, MLWritable):
         self.config = config or EncodingConfig()
         self.state = state or {}
         self.counts = counts
+        self.buckets: dict[str, DataFrame] = {}
+        self.broadcast_bytes: int | None = None
+
+    def with_bucketed_rates(self, broadcast_bytes: int | None = None) -> LevelEncoderModel:
+        """The same model with its rates written in buckets, for many large tables to look up."""
+        out = LevelEncoderModel(self.config, self.state, self.counts)
+        out.broadcast_bytes = broadcast_bytes
+        out.buckets = {c: bucketed_lookup(
+            self.rates(c).withColumnRenamed("level", "_level"), "_level", ["rate"])
+            for c in self.rate_columns}
+        return out
 
     @property
     def rate_columns(self) -> tuple[str, ...]:
@@ -93,10 +104,11 @@ class LevelEncoderModel(Model, MLReadable, MLWritable):
 
     def _add_rate(self, df: DataFrame, column: str, spread_by: Sequence[str]) -> DataFrame:
         keyed = df.withColumn("_level", F.col(column).cast("string"))
-        rates = self.rates(column)
-        joined = lookup_join(
-            keyed, rates.withColumnRenamed("level", "_level"), "_level", ["rate"],
-            spread_by, stored=True)
+        rates = self.buckets.get(column)
+        if rates is None:
+            rates = self.rates(column).withColumnRenamed("level", "_level")
+        joined = lookup_join(keyed, rates, "_level", ["rate"], spread_by, stored=True,
+                             broadcast_bytes=self.broadcast_bytes)
         return joined.withColumn(
             f"{column}_te", F.coalesce("rate", F.lit(self.state["mean"]))).drop("_level", "rate")
 

@@ -2,9 +2,9 @@
 
 from adspark.operators.association import adjust_p, association, chi_squared, contingency
 from adspark.operators.evaluate import (
-    align_predictions, auc, confusion, delong, failure_counts, fit_quality, is_false_negative,
-    is_false_positive, log_loss, metrics_long, metrics_table, roc_points, score_curve,
-    score_groups, youden,
+    align_by_position, align_predictions, auc, confusion, delong, failure_counts, fit_quality, is_false_negative,
+    is_false_positive, log_loss, metrics_long, metrics_table, roc_points, rows_by_position,
+    score_curve, score_groups, youden,
 )
 from adspark.operators.features import (
     add_split, attach_frequency, device_features, key_frequencies, model_features,
@@ -13,7 +13,7 @@ from adspark.operators.features import (
 from adspark.operators.levels import (
     dominant_levels, keep_top_levels, level_counts, overall_rate, target_rates, top_levels,
 )
-from adspark.operators.lookup import lookup_join
+from adspark.operators.lookup import bucketed_lookup, lookup_join
 from adspark.operators.prefix import (
     cut_points, running_totals, text_cut_points, with_bucket,
 )

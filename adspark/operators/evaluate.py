@@ -10,13 +10,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from adspark._checks import require_columns, require_number
 from adspark.functions import above, safe_ratio, two_sided_p
 from adspark.operators.lookup import lookup_join
-from adspark.operators.prefix import cut_points, running_totals
-from adspark.sources.scratch import materialize
+from adspark.operators.prefix import cut_points, running_totals, text_cut_points
+from adspark.sources.scratch import materialize, release
 
 LOG_LOSS_EPS = 2.220446049250313e-16
 
@@ -246,19 +246,61 @@ def align_predictions(first: DataFrame, second: DataFrame) -> DataFrame:
     return both.select("id", target.alias("target"), "score_1", "score_2")
 
 
-def _placements(base: DataFrame) -> DataFrame:
+def rows_by_position(spark: SparkSession, path: str, target: str = "click",
+                     prediction: str = "prediction") -> DataFrame:
+    """``id, target, prediction`` of a prediction file, ``id`` being a row's place in all of it.
+
+    Files of a folder follow each other by name, as their writer numbered them. A row's
+    place is its index in its file, which the reader knows, and the rows of the files
+    before: a count per file, summed by ranges of names.
+    """
+    rows = spark.read.parquet(path)
+    require_columns(rows, [target, prediction])
+    # the number in a name may outgrow its leading zeros: longer names come later
+    file = F.concat(F.lpad(F.length("_metadata.file_path").cast("string"), 6, "0"),
+                    F.col("_metadata.file_path"))
+    rows = rows.select(
+        file.alias("_file"), F.col("_metadata.row_index").alias("_row"),
+        F.col(target).cast("int").alias("target"),
+        F.col(prediction).cast("double").alias("prediction"))
+    sizes = materialize(rows.groupBy("_file").agg(F.count("*").alias("n")), "file-rows")
+    starts = materialize(running_totals(
+        sizes, "_file", ["n"], text_cut_points(sizes, "_file")), "file-starts")
+    release(sizes)
+    placed = lookup_join(rows, starts, "_file", ["n_below"], ["_row"], stored=True)
+    return placed.select((F.col("n_below") + F.col("_row")).alias("id"), "target", "prediction")
+
+
+def align_by_position(spark: SparkSession, first: str, second: str, target: str = "click",
+                      prediction: str = "prediction") -> DataFrame:
+    """``align_predictions`` of two prediction files without identifiers, row by row."""
+    return align_predictions(*[rows_by_position(spark, p, target, prediction)
+                               for p in (first, second)])
+
+
+def _placements(groups: DataFrame) -> DataFrame:
     """Per model and score: the share of the other class below it, ties one half.
 
-    ``model, prediction, n, v_pos, v_neg``, for both models in one pass.
+    ``model, prediction, n, pos, v_pos, v_neg``, for both models in one pass over
+    ``target, s1, s2, n`` groups.
     """
-    wide = base.select("target", F.col("s1").alias("1"), F.col("s2").alias("2"))
-    curve = score_curve(wide.unpivot(["target"], ["1", "2"], "model", "prediction"))
+    wide = groups.select("target", "n", F.col("s1").alias("1"), F.col("s2").alias("2"))
+    stacked = wide.unpivot(["target", "n"], ["1", "2"], "model", "prediction")
+    counts = materialize(
+        stacked.withColumn("prediction", checked_score()).groupBy("model", "prediction").agg(
+            F.sum(F.when(F.col("target") == 1, F.col("n")).otherwise(0)).alias("pos"),
+            F.sum(F.when(F.col("target") == 0, F.col("n")).otherwise(0)).alias("neg")), "scores")
+    curve = running_totals(
+        counts, "prediction", ["pos", "neg"], cut_points(counts, "prediction"), by=["model"])
     low = (F.col("neg_below") + F.col("neg") / 2.0) / F.col("neg_total")
     high = 1.0 - (F.col("pos_below") + F.col("pos") / 2.0) / F.col("pos_total")
     pos, neg = F.col("pos_total"), F.col("neg_total")
-    return curve.select(
-        "model", "prediction", (F.col("pos") + F.col("neg")).alias("n"),
-        _needs_both(pos, neg, low).alias("v_pos"), _needs_both(pos, neg, high).alias("v_neg"))
+    out = materialize(curve.select(
+        "model", "prediction", (F.col("pos") + F.col("neg")).alias("n"), "pos",
+        _needs_both(pos, neg, low).alias("v_pos"), _needs_both(pos, neg, high).alias("v_neg")),
+        "placements", sort_by=("model",))
+    release(counts)
+    return out
 
 
 def delong(rows: DataFrame, score_1: str = "score_1", score_2: str = "score_2",
@@ -267,35 +309,39 @@ def delong(rows: DataFrame, score_1: str = "score_1", score_2: str = "score_2",
     """DeLong test of two correlated AUCs on the same rows, one result row.
 
     ``auc_1, auc_2, delta, variance, z[, p_value]``; with a variance that is not
-    positive ``z`` is 0 and ``p_value`` 1. Placement values are computed per
-    distinct score and looked up by the rows, and only class-wise moments are
-    kept.
+    positive ``z`` is 0 and ``p_value`` 1. The rows are read once and reduced to groups of
+    equal target and scores, written; placement values are computed per distinct score and
+    looked up by the groups, and class-wise weighted moments about the areas are kept.
     """
     require_columns(rows, [score_1, score_2, target, id_column])
-    base = rows.select(
-        F.col(id_column).alias("id"), F.col(target).cast("int").alias("target"),
-        F.col(score_1).cast("double").alias("s1"), F.col(score_2).cast("double").alias("s2"))
-    table = materialize(_placements(base), "placements", sort_by=("model",))
-    placed, is_pos = base, F.col("target") == 1
+    # rows that agree in target and both scores are one group with a count
+    groups = materialize(rows.groupBy(
+        F.col(target).cast("int").alias("target"), F.col(score_1).cast("double").alias("s1"),
+        F.col(score_2).cast("double").alias("s2")).agg(F.count("*").alias("n")), "score-groups")
+    table = _placements(groups)
+    areas = {r["model"]: r for r in table.groupBy("model").agg(
+        F.count("*").alias("scores"),
+        (F.sum(F.col("pos") * F.col("v_pos")) / F.sum("pos")).alias("auc")).collect()}
+    placed, is_pos = groups.withColumnRenamed("n", "_n"), F.col("target") == 1
     for m in ("1", "2"):
         one = table.where(F.col("model") == m).select(
             F.col("prediction").alias(f"s{m}"), "n", "v_pos", "v_neg")
-        placed = lookup_join(placed, one, f"s{m}", ["v_pos", "v_neg"], ["id"],
-                             stored=True)
+        placed = lookup_join(placed, one, f"s{m}", ["v_pos", "v_neg"], ["target", "s1", "s2"],
+                             stored=True, dim_bytes=areas[m]["scores"] * 80 if m in areas else 0)
+        # about the area, which is the mean placement of either class
         placed = placed.withColumn(
-            f"v{m}", F.when(is_pos, F.col("v_pos")).otherwise(F.col("v_neg"))).drop("v_pos", "v_neg")
-    values = placed.select("target", "v1", "v2")
-    moments = values.groupBy("target").agg(
-        F.count("*").alias("m"), F.avg("v1").alias("mean_1"), F.avg("v2").alias("mean_2"),
-        F.var_samp("v1").alias("var_1"), F.var_samp("v2").alias("var_2"),
-        F.covar_samp("v1", "v2").alias("cov"))
-    spread = F.when(
-        F.col("m") > 1, (F.col("var_1") + F.col("var_2") - 2 * F.col("cov")) / F.col("m"),
-    ).otherwise(0.0)
-    one = moments.agg(
-        F.max(F.when(is_pos, F.col("mean_1"))).alias("auc_1"),
-        F.max(F.when(is_pos, F.col("mean_2"))).alias("auc_2"),
-        F.sum(spread).alias("variance"))
+            f"v{m}", F.when(is_pos, F.col("v_pos")).otherwise(F.col("v_neg"))
+            - F.lit(areas[m]["auc"] if m in areas else None).cast("double")).drop("v_pos", "v_neg")
+    w = F.col("_n")
+    moments = placed.groupBy("target").agg(
+        F.sum(w).alias("m"), F.sum(w * F.col("v1") * F.col("v1")).alias("ss_1"),
+        F.sum(w * F.col("v2") * F.col("v2")).alias("ss_2"),
+        F.sum(w * F.col("v1") * F.col("v2")).alias("ss_12"))
+    spread = F.when(F.col("m") > 1, (F.col("ss_1") + F.col("ss_2") - 2 * F.col("ss_12"))
+                    / (F.col("m") - 1) / F.col("m")).otherwise(0.0)
+    known = [F.lit(areas[m]["auc"] if m in areas else None).cast("double") for m in ("1", "2")]
+    one = moments.agg(F.sum(spread).alias("variance")).select(
+        known[0].alias("auc_1"), known[1].alias("auc_2"), "variance")
     delta = F.col("auc_2") - F.col("auc_1")
     moved = F.col("variance") > 0
     z = F.when(moved, delta / F.sqrt(F.greatest(F.col("variance"), F.lit(1e-300)))).otherwise(0.0)

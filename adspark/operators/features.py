@@ -11,7 +11,7 @@ from adspark._checks import require_columns, require_number
 from adspark.functions import (
     day_of_month, hour_cos, hour_of_day, hour_sin, log_frequency, split_label, time_band,
 )
-from adspark.operators.lookup import lookup_join
+from adspark.operators.lookup import SALT, lookup_join
 
 
 def add_split(
@@ -70,14 +70,17 @@ def attach_frequency(
     placeholder=None,
     spread_by: Sequence[str] = ("id",),
     stored: bool = False,
+    broadcast_bytes: int | None = None,
 ) -> DataFrame:
     """Add the frequency of ``key`` as ``name``; absent keys get 0.
 
     The placeholder, which may fill most of the table, takes no part in the
-    join. ``stored`` says that ``freq`` is a written table.
+    join. ``stored`` says that ``freq`` is a written table; ``broadcast_bytes``
+    goes to ``lookup_join``.
     """
     hit = None if placeholder is None else F.col(key) == F.lit(placeholder)
-    joined = lookup_join(df, freq, key, ["n"], spread_by, no_match=hit, stored=stored)
+    joined = lookup_join(df, freq, key, ["n"], spread_by, no_match=hit, stored=stored,
+                         broadcast_bytes=broadcast_bytes)
     return joined.withColumn(name, F.coalesce("n", F.lit(0)).cast("long")).drop("n")
 
 
@@ -142,23 +145,26 @@ def model_features(
     bands: tuple[str, ...] = config.TIME_BANDS,
     extra: Sequence[str] = (),
     stored: bool = False,
+    broadcast_bytes: int | None = None,
 ) -> DataFrame:
     """The modelling table: target, temporal and frequency features, ``keep``.
 
     The frequency tables come from the training part only. Training rows count
     themselves, keys unseen in training get 0. ``extra`` columns (an identifier,
     a split label) are put in front. ``stored`` says that the frequency tables
-    are written tables.
+    are written tables; they may come from ``bucketed_lookup``.
     """
     require_columns(df, [id_column, hour, device_id, device_ip, target, *keep, *extra])
     used = list(dict.fromkeys([id_column, hour, device_id, device_ip, target, *keep, *extra]))
     rows = df.select(*used)
-    rows = attach_frequency(
-        rows, freq_id.select(F.col(freq_id.columns[0]).alias(device_id), "n"),
-        device_id, "_n_id", placeholder, [id_column], stored)
-    rows = attach_frequency(
-        rows, freq_ip.select(F.col(freq_ip.columns[0]).alias(device_ip), "n"),
-        device_ip, "_n_ip", None, [id_column], stored)
+    def of_key(freq: DataFrame, key: str) -> DataFrame:
+        salt = [SALT] if SALT in freq.columns else []
+        return freq.select(F.col(freq.columns[0]).alias(key), "n", *salt)
+
+    rows = attach_frequency(rows, of_key(freq_id, device_id), device_id, "_n_id", placeholder,
+                            [id_column], stored, broadcast_bytes)
+    rows = attach_frequency(rows, of_key(freq_ip, device_ip), device_ip, "_n_ip", None,
+                            [id_column], stored, broadcast_bytes)
     return rows.select(
         *extra,
         target,

@@ -6,8 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from adspark.sources.scratch import materialize
+from adspark.sources.scratch import materialize, materialize_bucketed
 
+#: Column of a bucketed lookup table that stands beside its key; see ``bucketed_lookup``.
+SALT = "_salt"
 #: Bytes of a lookup table up to which it is broadcast.
 BROADCAST_BYTES = 32 << 20
 
@@ -19,6 +21,19 @@ def table_bytes(dim: DataFrame, key: str, n_values: int) -> int:
     return int(row["b"] or 0) + row["n"] * (32 + 16 * n_values)
 
 
+def bucketed_lookup(dim: DataFrame, key: str, values: Sequence[str], weight: str = "n",
+                    buckets: int | None = None) -> DataFrame:
+    """Write a lookup table so that ``lookup_join`` never shuffles it.
+
+    It is bucketed by what the shuffled join compares, the key and a salt, which is 0 in the
+    lookup. A table that many joins look into (the features of every subset, every
+    smoothing value) is then shuffled once, when it is written.
+    """
+    columns = list(dict.fromkeys([key, weight, *values]))
+    return materialize_bucketed(
+        dim.select(*columns, F.lit(0).cast("long").alias(SALT)), "buckets", [SALT, key], buckets)
+
+
 def lookup_join(
     facts: DataFrame,
     dim: DataFrame,
@@ -31,6 +46,7 @@ def lookup_join(
     stored: bool = False,
     hot_keys: int | None = None,
     broadcast_bytes: int | None = None,
+    dim_bytes: int | None = None,
 ) -> DataFrame:
     """Left join ``facts`` with ``dim`` (one row per ``key``) on ``key``.
 
@@ -46,12 +62,17 @@ def lookup_join(
     that ``no_match`` marks as having no entry, and rows with a null key then need
     no partner from the shuffled join, so their join key is replaced by a hash of
     ``spread_by`` and the other columns: they are spread evenly instead of meeting in
-    one task. ``weight`` is a column of ``dim`` that is kept with it.
+    one task. ``weight`` is a column of ``dim`` that is kept with it. A ``dim`` that
+    ``bucketed_lookup`` wrote is read in its buckets and not shuffled. ``dim_bytes``
+    is its size, where that is known.
     """
+    stored = stored or SALT in dim.columns
     if not stored:
         dim = materialize(dim.select(*dict.fromkeys([key, weight, *values])), "lookup")
     limit = BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes
-    if limit and table_bytes(dim, key, len(values)) <= limit:
+    if limit and dim_bytes is None:
+        dim_bytes = table_bytes(dim, key, len(values))
+    if limit and dim_bytes <= limit:
         return _small_join(facts, dim, key, values, null_matches)
     if hot_keys is None:
         hot_keys = max(2, int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -92,12 +113,21 @@ def _salted_join(facts: DataFrame, dim: DataFrame, key: str, values: Sequence[st
     if no_match is not None:
         alone = alone | F.coalesce(no_match, F.lit(False))
     salt = F.when(alone, F.xxhash64(*spread)).otherwise(F.lit(0).cast("long"))
-    marked = marked.withColumn("_join_key", F.struct(salt.alias("s"), F.col(key).alias("k")))
-    cold = dim.select(
-        F.struct(F.lit(0).cast("long").alias("s"), F.col(key).alias("k")).alias("_dim_key"),
-        *[F.col(v).alias(f"_cold_{v}") for v in values],
-    )
-    joined = marked.join(cold, F.col("_join_key") == F.col("_dim_key"), "left")
+    cold_values = [F.col(v).alias(f"_cold_{v}") for v in values]
+    if SALT in dim.columns:
+        marked = marked.withColumn("_join_key_salt", salt)
+        cold = dim.select(F.col(SALT).alias("_cold_salt"), F.col(key).alias("_cold_key"),
+                          *cold_values)
+        same = (F.col("_join_key_salt") == F.col("_cold_salt")) & _matches(
+            key, "_cold_key", null_matches)
+    else:
+        # one struct: a literal salt beside the key would be folded out of the join keys
+        marked = marked.withColumn("_join_key", F.struct(salt.alias("s"), F.col(key).alias("k")))
+        cold = dim.select(F.struct(
+            F.lit(0).cast("long").alias("s"), F.col(key).alias("k")).alias("_dim_key"), *cold_values)
+        same = F.col("_join_key") == F.col("_dim_key")
+    # too large to broadcast, as its size has shown
+    joined = marked.join(cold.hint("merge"), same, "left")
     return joined.select(
         *facts.columns,
         *[F.coalesce(F.col(f"_hot_{v}"), F.col(f"_cold_{v}")).alias(v) for v in values],

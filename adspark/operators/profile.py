@@ -196,44 +196,47 @@ def split_summary(
     shares still refer to all rows.
     """
     require_columns(df, [split, target])
-    counts = df.groupBy(
+    # cells, subsets and the whole from one scan: a rollup, whose grouping_id tells them apart
+    rolled = df.select(
         F.col(split).cast("string").alias("split"), F.col(target).cast("string").alias("level"),
-    ).agg(F.count("*").alias("n"))
-    spark = df.sparkSession
-
-    def listed(labels: Mapping | None, column: str) -> DataFrame:
-        if not labels:
-            return counts.select(column).distinct()
-        return spark.createDataFrame([(str(k),) for k in labels], f"{column} string")
-
-    # subsets and levels are few: every pair of a listed subset and level is a cell
-    subsets = listed(split_labels, "split")
-    levels = listed(target_labels, "level").agg(F.collect_list(F.struct("level"))).scalar()
-    cells = subsets.select("split", F.explode(levels).alias("l")).select("split", "l.level")
-    found = counts.select(F.col("split").alias("_s"), F.col("level").alias("_l"), "n")
-    cells = cells.join(found, F.col("split").eqNullSafe(F.col("_s"))
-                       & F.col("level").eqNullSafe(F.col("_l")), "left")
-    sizes = counts.groupBy(F.col("split").alias("_s")).agg(F.sum("n").alias("split_n"))
-    all_n = counts.agg(F.sum("n")).scalar()
-
-    def sized(rows: DataFrame) -> DataFrame:
-        out = rows.drop("_s").join(sizes, F.col("split").eqNullSafe(F.col("_s")), "left")
-        return out.withColumn("split_n", F.coalesce("split_n", F.lit(0)).cast("long"))
-
-    n = F.coalesce(F.col("n"), F.lit(0)).cast("long")
-    share = F.lit(100.0) * n / F.nullif(F.col("split_n"), F.lit(0).cast("long"))
-    detail = sized(cells).select(
-        level_label("split", split_labels).alias("split"),
-        level_label("level", target_labels).alias("level"),
-        n.alias("n"), F.coalesce(share, F.lit(0.0)).alias("pct"),
-    )
-    totals = sized(subsets).select(
-        level_label("split", split_labels).alias("split"),
-        F.lit(total_label).alias("level"),
-        F.col("split_n").alias("n"),
-        (F.lit(100.0) * F.col("split_n") / all_n).alias("pct"),
-    )
-    return detail.unionByName(totals).orderBy("split", "level")
+    ).rollup("split", "level").agg(F.count("*").alias("n"), F.grouping_id().alias("g"))
+    # subsets and levels are few: their counts fit a row, and every listed pair is a cell
+    one = rolled.agg(F.collect_list(F.struct("split", "level", "n", "g")).alias("c"))
+
+    def listed(labels: Mapping | None, name: str, kind: int) -> Column:
+        if labels:
+            return F.array(*[F.lit(str(k)) for k in labels])
+        return F.array_distinct(F.transform(
+            F.filter("c", lambda x: x["g"] == kind), lambda x: x[name]))
+
+    def count_of(kind: int, *same: tuple[str, Column]) -> Column:
+        def hit(x: Column) -> Column:
+            out = x["g"] == kind
+            for name, value in same:
+                out = out & x[name].eqNullSafe(value)
+            return out
+        return F.coalesce(F.get(F.filter("c", hit), F.lit(0))["n"], F.lit(0).cast("long"))
+
+    subsets = one.select("c", listed(target_labels, "level", 0).alias("levels"),
+                         F.explode(listed(split_labels, "split", 1)).alias("s"))
+    subsets = subsets.withColumns({
+        "split_n": count_of(1, ("split", F.col("s"))), "all_n": count_of(3)})
+    rows = subsets.select("*", F.explode(F.concat(
+        F.transform("levels", lambda v: F.struct(v.alias("v"), F.lit(False).alias("total"))),
+        F.array(F.struct(F.lit(None).cast("string").alias("v"), F.lit(True).alias("total"))),
+    )).alias("cell")).select("*", "cell.v", "cell.total")
+    n = F.when(F.col("total"), F.col("split_n")).otherwise(
+        count_of(0, ("split", F.col("s")), ("level", F.col("v"))))
+    whole = F.nullif(F.when(F.col("total"), F.col("all_n")).otherwise(F.col("split_n")),
+                     F.lit(0).cast("long"))
+    pct = F.lit(100.0) * n / whole
+    return rows.select(
+        level_label("s", split_labels).alias("split"),
+        F.when(F.col("total"), F.lit(total_label)).otherwise(
+            level_label("v", target_labels)).alias("level"),
+        n.alias("n"),
+        F.when(F.col("total"), pct).otherwise(F.coalesce(pct, F.lit(0.0))).alias("pct"),
+    ).orderBy("split", "level")
 
 
 def _metric(metric: str, target: str) -> Column:

@@ -3,7 +3,7 @@
 from adspark import operators as op
 from adspark.config import EncodingConfig, TRAIN_LABEL
 from adspark.ml import ImpressionEncoder, code_book, standardize
-from adspark.ml.encode import feature_names, is_dominant, top_or_other
+from adspark.ml.encode import LevelEncoderModel, feature_names, is_dominant, top_or_other
 from adspark.plans.catalog.rounding import rounded
 from adspark.plans.catalog.sqltext import BAND, DAY, HOD, IMP, SPLIT, stacked_levels
 from adspark.plans.feature_build import build_features
@@ -79,6 +79,14 @@ def encode_hybrid(spark, sf):
     return rounded(model.transform(f).select("id", "n_name_is_dominant", "n_name_te"), 9)
 
 
+def encode_hybrid_bucketed(spark, sf):
+    """Rates in buckets of their levels, none broadcast: only the rows are shuffled."""
+    model, f = _fitted(spark, sf)
+    levels = next(s for s in model.stages if isinstance(s, LevelEncoderModel))
+    out = levels.with_bucketed_rates(broadcast_bytes=0).transform(f)
+    return rounded(out.select("id", "n_name_is_dominant", "n_name_te"), 9)
+
+
 def matrix(model, f):
     """One column per entry of the feature vector."""
     x = model.transform(f).select("id", vector_to_array("features").alias("x"))
@@ -174,6 +182,7 @@ QUERIES = {
     "encode_dichotomy": encode_dichotomy,
     "encode_topk_other": encode_topk_other,
     "encode_hybrid": encode_hybrid,
+    "encode_hybrid_bucketed": encode_hybrid_bucketed,
     "encoded_matrix": encoded_matrix,
     "saved_encoder": saved_encoder,
     "scaled_numeric": scaled_numeric,
@@ -192,8 +201,8 @@ ORACLE = {
       SELECT id, CASE WHEN n_name IN
         (SELECT level FROM te WHERE "column" = 'n_name' AND rank <= 10)
         THEN n_name ELSE 'Other' END AS n_name_top FROM s""",
-    "encode_hybrid": _FIT + f""", {_HYBRID}
-      SELECT id, n_dom AS n_name_is_dominant, round(n_te, 9) AS n_name_te FROM enc""",
+    **dict.fromkeys(["encode_hybrid", "encode_hybrid_bucketed"], _FIT + f""", {_HYBRID}
+      SELECT id, n_dom AS n_name_is_dominant, round(n_te, 9) AS n_name_te FROM enc"""),
     "encoded_matrix": _matrix_sql(),
     "saved_encoder": _matrix_sql(),
     "scaled_numeric": _FIT + """

@@ -5,6 +5,8 @@ from adspark.plans.catalog.rounding import rounded
 from adspark.plans.catalog.sqltext import IMP
 from adspark.plans.impressions import events_as_impressions
 from adspark.sources import as_predictions, stack_scores
+from adspark.sources.scratch import new_scratch_path
+from adspark.sources.writers import write_predictions
 from pyspark.sql import functions as F
 
 THRESHOLDS = {"a": 0.5, "b": 0.3}
@@ -58,6 +60,22 @@ def delong(spark, sf):
     return rounded(op.delong(_pair(spark, sf), with_p=False), 8)
 
 
+def delong_p(spark, sf):
+    """The p-value with the rest."""
+    return rounded(op.delong(_pair(spark, sf)), 8)
+
+
+def delong_by_position(spark, sf):
+    """Two prediction files without identifiers, in as many parts as they like, row by row."""
+    rows = events_as_impressions(spark, sf)
+    folder, paths = new_scratch_path(spark, "predictions"), []
+    for model, parts in (("a", 5), ("b", 3)):
+        placed = rows.repartitionByRange(parts, "id").sortWithinPartitions("id")
+        paths.append(write_predictions(placed.select(
+            "click", F.col(f"score_{model}").alias("prediction")), folder, model))
+    return rounded(op.delong(op.align_by_position(spark, *paths), with_p=False), 8)
+
+
 def failure_counts(spark, sf):
     return op.failure_counts(_stacked(spark, sf), THRESHOLDS)
 
@@ -115,6 +133,33 @@ w AS (
   FROM q JOIN a USING (model))
 """
 
+_DELONG = f"""
+      WITH {IMP}, b AS (SELECT id, click, score_a AS s1, score_b AS s2 FROM imp),
+      v AS (
+        SELECT click,
+               rank() OVER (ORDER BY s1) + (COUNT(*) OVER (PARTITION BY s1) - 1) / 2.0 AS t1,
+               rank() OVER (ORDER BY s2) + (COUNT(*) OVER (PARTITION BY s2) - 1) / 2.0 AS t2,
+               rank() OVER (PARTITION BY click ORDER BY s1)
+                 + (COUNT(*) OVER (PARTITION BY click, s1) - 1) / 2.0 AS o1,
+               rank() OVER (PARTITION BY click ORDER BY s2)
+                 + (COUNT(*) OVER (PARTITION BY click, s2) - 1) / 2.0 AS o2,
+               COUNT(*) FILTER (WHERE click = 1) OVER () AS p,
+               COUNT(*) FILTER (WHERE click = 0) OVER () AS n
+        FROM b),
+      u AS (
+        SELECT click, CASE WHEN click = 1 THEN (t1 - o1) / n ELSE 1 - (t1 - o1) / p END AS v1,
+               CASE WHEN click = 1 THEN (t2 - o2) / n ELSE 1 - (t2 - o2) / p END AS v2 FROM v),
+      m AS (
+        SELECT click, AVG(v1) AS a1, AVG(v2) AS a2,
+               (var_samp(v1) + var_samp(v2) - 2 * covar_samp(v1, v2)) / COUNT(*) AS s
+        FROM u GROUP BY click),
+      r AS (
+        SELECT MAX(a1) FILTER (WHERE click = 1) AS auc_1,
+               MAX(a2) FILTER (WHERE click = 1) AS auc_2, SUM(s) AS variance FROM m)"""
+_DELONG_ROW = """SELECT round(auc_1, 8) AS auc_1, round(auc_2, 8) AS auc_2,
+             round(auc_2 - auc_1, 8) AS delta, round(variance, 8) AS variance,
+             round((auc_2 - auc_1) / sqrt(variance), 8) AS z"""
+
 QUERIES = {
     "roc_points": roc_points,
     "auc": auc,
@@ -125,6 +170,8 @@ QUERIES = {
     "metrics_long": metrics_long,
     "log_loss": log_loss,
     "delong": delong,
+    "delong_p": delong_p,
+    "delong_by_position": delong_by_position,
     "failure_counts": failure_counts,
     "failing_cases": failing_cases,
 }
@@ -150,32 +197,16 @@ ORACLE = {
                            least(1 - 2.220446049250313e-16, prediction)) AS p FROM pred)
       SELECT model, round(-AVG(CASE WHEN target = 1 THEN ln(p) ELSE ln(1 - p) END), 8)
         AS log_loss FROM k GROUP BY model""",
-    "delong": f"""
-      WITH {IMP}, b AS (SELECT id, click, score_a AS s1, score_b AS s2 FROM imp),
-      v AS (
-        SELECT click,
-               rank() OVER (ORDER BY s1) + (COUNT(*) OVER (PARTITION BY s1) - 1) / 2.0 AS t1,
-               rank() OVER (ORDER BY s2) + (COUNT(*) OVER (PARTITION BY s2) - 1) / 2.0 AS t2,
-               rank() OVER (PARTITION BY click ORDER BY s1)
-                 + (COUNT(*) OVER (PARTITION BY click, s1) - 1) / 2.0 AS o1,
-               rank() OVER (PARTITION BY click ORDER BY s2)
-                 + (COUNT(*) OVER (PARTITION BY click, s2) - 1) / 2.0 AS o2,
-               COUNT(*) FILTER (WHERE click = 1) OVER () AS p,
-               COUNT(*) FILTER (WHERE click = 0) OVER () AS n
-        FROM b),
-      u AS (
-        SELECT click, CASE WHEN click = 1 THEN (t1 - o1) / n ELSE 1 - (t1 - o1) / p END AS v1,
-               CASE WHEN click = 1 THEN (t2 - o2) / n ELSE 1 - (t2 - o2) / p END AS v2 FROM v),
-      m AS (
-        SELECT click, AVG(v1) AS a1, AVG(v2) AS a2,
-               (var_samp(v1) + var_samp(v2) - 2 * covar_samp(v1, v2)) / COUNT(*) AS s
-        FROM u GROUP BY click),
-      r AS (
-        SELECT MAX(a1) FILTER (WHERE click = 1) AS auc_1,
-               MAX(a2) FILTER (WHERE click = 1) AS auc_2, SUM(s) AS variance FROM m)
-      SELECT round(auc_1, 8) AS auc_1, round(auc_2, 8) AS auc_2,
-             round(auc_2 - auc_1, 8) AS delta, round(variance, 8) AS variance,
-             round((auc_2 - auc_1) / sqrt(variance), 8) AS z FROM r""",
+    **dict.fromkeys(["delong", "delong_by_position"], _DELONG + _DELONG_ROW + " FROM r"),
+    # the normal tail by its power series: x^(2k+1) / (1 3 5 ... (2k+1)), summed to 200 terms
+    "delong_p": _DELONG + """, z AS (
+        SELECT *, abs((auc_2 - auc_1) / sqrt(variance)) AS x FROM r),
+      t AS (
+        SELECT SUM(exp((2 * k + 1) * ln(x) - (k + 1) * ln(2) - lgamma(k + 1.5)
+                       + 0.5 * ln(pi()))) AS area FROM z, range(200) k(k))
+      """ + _DELONG_ROW + """,
+             round(2 * (0.5 - exp(-x * x / 2) / sqrt(2 * pi()) * area), 8) AS p_value
+      FROM z, t""",
     "failure_counts": _CONF + "SELECT model, fp + fn AS n_failures, fp AS n_fp, fn AS n_fn FROM m",
     "failing_cases": f"""WITH {IMP}
       (SELECT 'fp' AS kind, id, click, hour FROM imp WHERE score_a >= 0.5 AND click = 0

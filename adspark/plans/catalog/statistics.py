@@ -92,6 +92,10 @@ QUERIES = {
     "association_bonferroni": _association(alpha=0.999, p_adjust_method="bonferroni"),
     "association_holm": _association(alpha=0.999, p_adjust_method="holm"),
     "association_flagged": _association(min_expected=1e9, min_effect_size=0.5),
+    # no expected count is high enough: all four rows stay, with their adjusted p
+    "association_bonferroni_all": _association(p_adjust_method="bonferroni", min_expected=1e9),
+    "association_holm_all": _association(p_adjust_method="holm", min_expected=1e9),
+    "association_hidden": _association(alpha=0.999, min_expected=1000, hide_invalid=True),
     "spearman_minrank": _spearman("min"),
     "spearman_average": _spearman("average"),
     "spearman_numeric": spearman_numeric,
@@ -111,6 +115,19 @@ ORACLE = {
         SELECT *, least(MAX(adj) OVER (ORDER BY p_value), 1.0) AS p_adjusted FROM a)
       SELECT {_COLS}, round(p_adjusted, 6) AS p_adjusted FROM h
       WHERE p_adjusted < 0.999 OR NOT assumption_ok""",
+    "association_bonferroni_all": _TESTS + f""", f AS (
+        SELECT * EXCLUDE (assumption_ok), FALSE AS assumption_ok,
+               least(p_value * COUNT(*) OVER (), 1.0) AS p_adjusted FROM p)
+      SELECT {_COLS}, round(p_adjusted, 6) AS p_adjusted FROM f""",
+    "association_holm_all": _TESTS + f""", a AS (
+        SELECT * EXCLUDE (assumption_ok), FALSE AS assumption_ok,
+               (COUNT(*) OVER () - row_number() OVER (ORDER BY p_value) + 1) * p_value AS adj
+        FROM p), h AS (
+        SELECT *, least(MAX(adj) OVER (ORDER BY p_value), 1.0) AS p_adjusted FROM a)
+      SELECT {_COLS}, round(p_adjusted, 6) AS p_adjusted FROM h""",
+    "association_hidden": _TESTS + f"""SELECT {_COLS.replace('assumption_ok',
+          'min_expected >= 1000 AND frac_below_5 <= 0.2 AS assumption_ok')} FROM p
+      WHERE p_value < 0.999 AND min_expected >= 1000 AND frac_below_5 <= 0.2""",
     "association_flagged": _TESTS + f""", f AS (
         SELECT * EXCLUDE (assumption_ok),
                min_expected >= 1e9 AND frac_below_5 <= 0.2 AS assumption_ok FROM p)

@@ -64,8 +64,9 @@ def split_rates(spark, sf):
     return op.split_rates(op.add_split(events_as_impressions(spark, sf)))
 
 
-def _build(spark, sf):
-    return build_features(impressions(spark, sf), keep=CATEGORIES, placeholder=PLACEHOLDER)
+def _build(spark, sf, **options):
+    return build_features(impressions(spark, sf), keep=CATEGORIES, placeholder=PLACEHOLDER,
+                          **options)
 
 
 def freq_device_id(spark, sf):
@@ -76,9 +77,9 @@ def freq_device_ip(spark, sf):
     return _build(spark, sf).freq_ip
 
 
-def _features(label):
+def _features(label, **options):
     def run(spark, sf):
-        f = _build(spark, sf).features.where(F.col("split") == label).drop("split")
+        f = _build(spark, sf, **options).features.where(F.col("split") == label).drop("split")
         return rounded(f, 9)
     return run
 
@@ -143,6 +144,9 @@ QUERIES = {
     "freq_device_ip": freq_device_ip,
     "features_train": _features("Entrenamiento"),
     "features_test": _features("Prueba"),
+    # frequencies in buckets of their keys, none broadcast: only the rows are shuffled
+    "features_train_bucketed": _features("Entrenamiento", bucketed=True, broadcast_bytes=0),
+    "features_test_bucketed": _features("Prueba", bucketed=True, broadcast_bytes=0),
 }
 
 ORACLE = {
@@ -199,4 +203,6 @@ ORACLE = {
     "freq_device_ip": _FREQ + "SELECT device_ip, n FROM fip",
     "features_train": _features_sql("Entrenamiento"),
     "features_test": _features_sql("Prueba"),
+    "features_train_bucketed": _features_sql("Entrenamiento"),
+    "features_test_bucketed": _features_sql("Prueba"),
 }

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 _scopes = threading.local()
+#: Names under which bucketed tables are known to the catalog, by path.
+_named: dict[str, str] = {}
 
 
 @contextmanager
@@ -51,7 +53,10 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
-    """Remove a path and what is below it."""
+    """Remove a path and what is below it, and the catalog's entry of a bucketed table there."""
+    name = _named.pop(str(path), None)
+    if name is not None:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     p = spark._jvm.org.apache.hadoop.fs.Path(str(path))
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
@@ -94,6 +99,28 @@ def materialize(df: DataFrame, label: str, partition_by: tuple[str, ...] = (),
     return table
 
 
+def materialize_bucketed(df: DataFrame, label: str, columns: list[str],
+                         buckets: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder in buckets of ``columns``, sorted by them, and read it.
+
+    Joins and groupings on exactly these columns read the table without a shuffle of
+    it; one bucket is one file, and there are as many as shuffle partitions
+    unless ``buckets`` says otherwise. The table has an entry in the session's catalog.
+    """
+    spark = df.sparkSession
+    path = new_scratch_path(spark, label)
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"adspark_{path.rsplit('-', 1)[-1]}"
+    (df.repartition(n, *columns).write.format("parquet").bucketBy(n, *columns)
+     .sortBy(*columns).option("path", path).saveAsTable(name))
+    table = spark.table(name)
+    _named[path] = name
+    table.__dict__["_scratch_path"] = path
+    if _scopes.__dict__.get("stack"):
+        _scopes.stack[-1].append(path)
+    return table
+
+
 def release(table: DataFrame) -> None:
     """Delete a table that ``materialize`` returned, once nothing reads it any more."""
     path = table.__dict__.pop("_scratch_path", None)

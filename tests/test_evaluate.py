@@ -3,6 +3,9 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from adspark import operators as op
 from adspark.operators import (
     align_predictions, auc, confusion, delong, fit_quality, log_loss, metrics_table,
     roc_points, youden,
@@ -134,3 +137,49 @@ def test_bad_scores_are_refused(spark, bad):
         with pytest.raises(Exception, match="null or not a number"):
             run(df).collect()
     assert count_bad_scores(df).first()["n_bad"] == 1
+
+
+def test_prediction_files_align_by_position(spark, tmp_path):
+    rows = spark.range(5000).select(
+        (F.col("id") % 3 == 0).cast("int").alias("click"), (F.col("id") / 5000).alias("prediction"),
+        F.col("id").alias("was"))
+    paths = []
+    for parts in (7, 3):
+        path = str(tmp_path / f"p{parts}")
+        rows.repartitionByRange(parts, "was").sortWithinPartitions("was").write.parquet(path)
+        paths.append(path)
+    placed = op.rows_by_position(spark, paths[0])
+    assert [r["id"] for r in placed.orderBy("prediction").collect()] == list(range(5000))
+    both = op.align_by_position(spark, *paths)
+    assert both.where("score_1 <> score_2").count() == 0 and both.count() == 5000
+    changed = str(tmp_path / "changed")
+    rows.withColumn("click", F.when(F.col("was") == 17, 9).otherwise(F.col("click"))).coalesce(
+        1).write.parquet(changed)
+    with pytest.raises(Exception, match="differ in rows or targets"):
+        op.align_by_position(spark, paths[0], changed).collect()
+    short = str(tmp_path / "short")
+    rows.where("was < 4999").coalesce(1).write.parquet(short)
+    with pytest.raises(Exception, match="differ in rows or targets"):
+        op.align_by_position(spark, paths[0], short).collect()
+
+
+def test_delong_groups_equal_rows(spark):
+    """Against placement values over all pairs, with many rows of equal scores."""
+    rng = random.Random(7)
+    rows = [(i, int(rng.random() < .4), rng.randrange(6) / 5, rng.randrange(4) / 3)
+            for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, target int, score_1 double, score_2 double")
+    got = op.delong(df).first()
+    pos, neg = [r for r in rows if r[1]], [r for r in rows if not r[1]]
+    psi = lambda x, y: 1.0 if x > y else 0.5 if x == y else 0.0
+    v10 = [[sum(psi(p[k], n[k]) for n in neg) / len(neg) for p in pos] for k in (2, 3)]
+    v01 = [[sum(psi(p[k], n[k]) for p in pos) / len(pos) for n in neg] for k in (2, 3)]
+
+    def spread(v):
+        d = [a - b for a, b in zip(*v)]
+        mean = sum(d) / len(d)
+        return sum((x - mean) ** 2 for x in d) / (len(d) - 1) / len(d)
+
+    assert got["auc_1"] == pytest.approx(sum(v10[0]) / len(pos), abs=1e-12)
+    assert got["variance"] == pytest.approx(spread(v10) + spread(v01), rel=1e-9)
+    assert got["p_value"] == pytest.approx(math.erfc(abs(got["z"]) / math.sqrt(2)), abs=1e-9)

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from adspark.operators import (
     cut_points, lookup_join, running_totals, text_cut_points, with_bucket,
 )
-from adspark.operators.lookup import _salted_join
+from adspark.operators.lookup import SALT, _salted_join, bucketed_lookup
+from adspark.sources.scratch import release, released
 
 
 @pytest.mark.parametrize("null_matches", [False, True])
@@ -104,3 +105,31 @@ def test_text_buckets(spark):
     sizes = with_bucket(df, "k", cuts).groupBy("_bucket").count().collect()
     assert len(sizes) == len(cuts) + 1
     assert max(r["count"] for r in sizes) < 2000 / 2
+
+
+def test_bucketed_lookup_is_not_shuffled(spark):
+    keys = ["hot"] * 900 + ["ph"] * 700 + [None] * 50 + [f"k{i % 400}" for i in range(1500)]
+    facts = spark.createDataFrame(list(enumerate(keys)), "id long, key string").repartition(5)
+    dim = facts.where("key <> 'ph' and key <> 'k7'").groupBy("key").agg(F.count("*").alias("n"))
+    table = bucketed_lookup(dim, "key", ["n"])
+    assert set(table.columns) == {"key", "n", SALT}
+    got = lookup_join(facts, table, "key", ["n"], ["id"], no_match=F.col("key") == "ph",
+                      broadcast_bytes=0)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    join = plan[plan.index("SortMergeJoin"):]
+    # the rows are shuffled, the lookup is read in its buckets
+    assert "Bucketed: true" in join and join.count("Exchange hashpartitioning") == 1
+    want = {r["key"]: r["n"] for r in dim.collect()}
+    rows = got.collect()
+    assert len(rows) == len(keys) and all(r["n"] == want.get(r["key"]) for r in rows)
+    again = lookup_join(facts.limit(20), table, "key", ["n"], ["id"])  # small: broadcast
+    assert again.columns == ["id", "key", "n"] and again.count() == 20
+    name = table.inputFiles()[0]
+    release(table)
+    from adspark.sources.scratch import path_exists
+    assert not path_exists(spark, name)
+    before = len(spark.catalog.listTables())
+    with released(spark):
+        bucketed_lookup(dim, "key", ["n"])
+        assert len(spark.catalog.listTables()) == before + 1
+    assert len(spark.catalog.listTables()) == before
