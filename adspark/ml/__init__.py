@@ -1,5 +1,6 @@
 """Encoding, training, search, scoring and explanation on Spark ML."""
 
+from adspark.ml.adam import AdamState, train_in_epochs
 from adspark.ml.encode import (
     ImpressionEncoder, LevelEncoderModel, assemble_encoder, code_book,
     encoder_from_counts, encoder_width, encoding_plan, feature_names, standardize,

@@ -327,7 +327,7 @@ def delong(rows: DataFrame, score_1: str = "score_1", score_2: str = "score_2",
         one = table.where(F.col("model") == m).select(
             F.col("prediction").alias(f"s{m}"), "n", "v_pos", "v_neg")
         placed = lookup_join(placed, one, f"s{m}", ["v_pos", "v_neg"], ["target", "s1", "s2"],
-                             stored=True, dim_bytes=areas[m]["scores"] * 80 if m in areas else 0)
+                             stored=True, dim_bytes=areas[m]["scores"] * 72 if m in areas else 0)
         # about the area, which is the mean placement of either class
         placed = placed.withColumn(
             f"v{m}", F.when(is_pos, F.col("v_pos")).otherwise(F.col("v_neg"))

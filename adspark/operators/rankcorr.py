@@ -69,7 +69,7 @@ def rank_correlation(
     for i, c in enumerate(columns):
         one = ranks.where(F.col("column") == c).select(
             F.col("value").alias(c), "n", F.col("rank").alias(f"_r{i}"))
-        bytes_of = known[c]["values"] * 64 if c in known else 0
+        bytes_of = known[c]["values"] * 56 if c in known else 0
         rows = lookup_join(rows, one, c, [f"_r{i}"], columns, null_matches=True, stored=True,
                            dim_bytes=bytes_of)
     off = [F.col(f"_r{i}") - F.lit(known[c]["mean"] if c in known else 0.0)
