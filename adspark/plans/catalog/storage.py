@@ -3,11 +3,15 @@
 from adspark import operators as op
 from adspark.plans.catalog.rounding import rounded
 from adspark.plans.catalog.sqltext import IMP, SPLIT
-from adspark.plans.impressions import events_as_impressions, impressions
+from adspark.ml.search import read_results, summarize_folds, top_results
+from adspark.plans.impressions import events_as_impressions, impressions, table
 from adspark.sources.readers import csv_to_parquet, read_split, register_parquet
 from adspark.sources.relation import as_df, stack_predictions
 from adspark.sources.scratch import new_scratch_path
-from adspark.sources.writers import write_predictions, write_subsets
+from adspark.sources.writers import (
+    append_results, refresh_subset, subset_written as subset_done, write_predictions,
+    write_subsets,
+)
 from pyspark.sql import functions as F
 
 
@@ -29,6 +33,51 @@ def subset_written(spark, sf):
     return read_split(spark, path, "Prueba")
 
 
+def subset_refreshed(spark, sf):
+    """Both subsets after the holdout one alone was written again, with other clicks."""
+    path = new_scratch_path(spark, "subsets")
+    rows = op.add_split(events_as_impressions(spark, sf)).select("id", "click", "split")
+    write_subsets(rows, path)
+    refresh_subset(rows.withColumn("click", F.col("click") + 10), path, "Prueba")
+    parts = [read_split(spark, path, label).withColumn("split", F.lit(label))
+             for label in ("Entrenamiento", "Prueba") if subset_done(spark, path, label)]
+    return parts[0].unionByName(parts[1])
+
+
+def _fold_rows(spark, sf):
+    """Results per segment and nation, as a search yields them per setting and fold."""
+    return table(spark, sf, "customer").groupBy(
+        F.col("c_mktsegment").alias("signature"), F.col("c_nationkey").cast("int").alias("fold"),
+    ).agg(F.avg("c_acctbal").alias("score"), F.count("*").cast("double").alias("seconds")).withColumn(
+        "params", F.create_map(F.lit("segment"), F.col("signature")))
+
+
+def fold_summary(spark, sf):
+    """Mean, deviation and times over folds, with the scores in fold order."""
+    return rounded(summarize_folds(_fold_rows(spark, sf)).select(
+        "signature", "mean_auc", "std_auc", "mean_fit_time", "total_fit_time",
+        F.size("fold_scores").alias("folds"), F.col("fold_scores")[0].alias("first_score")))
+
+
+def results_log(spark, sf):
+    """A log with rows appended twice and a last file torn off in the middle of a line."""
+    path = new_scratch_path(spark, "log")
+    done = summarize_folds(_fold_rows(spark, sf))
+    append_results(done.withColumn("mean_auc", F.lit(-1.0)), path, 1)
+    append_results(done, path, 3)
+    append_results(done.withColumn("mean_auc", F.lit(-2.0)), path, 2)
+    torn = done.select(F.to_json(F.struct("signature", "mean_auc")).alias("line")).select(
+        F.expr("substring(line, 1, length(line) - 4)").alias("value"))
+    torn.write.mode("append").text(path)
+    return rounded(read_results(spark, path).select("signature", "mean_auc", "total_fit_time"))
+
+
+def results_top(spark, sf):
+    """The two best rows of the log, a column per parameter."""
+    best = top_results(summarize_folds(_fold_rows(spark, sf)), 2)
+    return rounded(best.select("segment", "mean_auc", "std_auc"))
+
+
 def predictions_by_path(spark, sf):
     """Confusion counts of prediction files."""
     rows = impressions(spark, sf)
@@ -46,9 +95,18 @@ def relation_text(spark, sf):
     return rounded(op.level_distribution(relation, "c_mktsegment"))
 
 
+_FOLDS = """WITH f AS (
+  SELECT c_mktsegment AS signature, c_nationkey AS fold, AVG(c_acctbal) AS score,
+         COUNT(*)::DOUBLE AS seconds FROM customer GROUP BY 1, 2)
+"""
+
 QUERIES = {
     "csv_converted": csv_converted,
     "subset_written": subset_written,
+    "subset_refreshed": subset_refreshed,
+    "fold_summary": fold_summary,
+    "results_log": results_log,
+    "results_top": results_top,
     "predictions_by_path": predictions_by_path,
     "relation_text": relation_text,
 }
@@ -57,6 +115,17 @@ ORACLE = {
     "csv_converted": f"WITH {IMP} SELECT id, click, hour, device_id, device_ip FROM imp",
     "subset_written": f"""WITH {IMP}, s AS (SELECT id, click, {SPLIT} AS split FROM imp)
       SELECT id, click FROM s WHERE split = 'Prueba'""",
+    "subset_refreshed": f"""WITH {IMP}, s AS (SELECT id, click, {SPLIT} AS split FROM imp)
+      SELECT id, CASE WHEN split = 'Prueba' THEN click + 10 ELSE click END AS click, split FROM s""",
+    "fold_summary": _FOLDS + """SELECT signature, round(AVG(score), 6) AS mean_auc,
+        round(stddev_pop(score), 6) AS std_auc, round(AVG(seconds), 6) AS mean_fit_time,
+        round(SUM(seconds), 6) AS total_fit_time, COUNT(*)::INTEGER AS folds,
+        round(arg_min(score, fold), 6) AS first_score FROM f GROUP BY signature""",
+    "results_log": _FOLDS + """SELECT signature, round(AVG(score), 6) AS mean_auc,
+        round(SUM(seconds), 6) AS total_fit_time FROM f GROUP BY signature""",
+    "results_top": _FOLDS + """SELECT signature AS segment, round(AVG(score), 6) AS mean_auc,
+        round(stddev_pop(score), 6) AS std_auc FROM f GROUP BY signature
+      ORDER BY AVG(score) DESC LIMIT 2""",
     "predictions_by_path": f"""WITH {IMP}, p AS (
         SELECT 'a' AS model, click, score_a AS x FROM imp
         UNION ALL SELECT 'b', click, score_b FROM imp)

@@ -2,6 +2,7 @@ import gzip
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from adspark.config import CATEGORICAL_COLUMNS
 from adspark.operators import add_split
@@ -131,3 +132,41 @@ def test_scopes_release_what_they_materialize(spark):
     with released(spark):
         assert 0 <= auc(df).first()["auc"] <= 1
     assert tables() == before
+
+
+def test_refreshing_a_subset_leaves_the_others(spark, tmp_path):
+    import os
+
+    from adspark.sources.writers import refresh_subset, subset_mark, subset_written
+    path = str(tmp_path / "table")
+    rows = spark.range(200).select("id", F.when(F.col("id") % 3 == 0, "a").otherwise("b c").alias(
+        "split"))
+    write_subsets(rows, path)
+    assert subset_written(spark, path, "a") and subset_written(spark, path, "b c")
+    files = sorted(os.listdir(f"{path}/split=a"))
+    refresh_subset(rows.withColumn("id", F.col("id") + 1000), path, "b c")
+    assert sorted(os.listdir(f"{path}/split=a")) == files
+    assert read_split(spark, path, "b c").agg(F.min("id"), F.count("*")).first() == (1001, 133)
+    assert read_split(spark, path, "a").count() == 67 and subset_written(spark, path, "b c")
+    broken = rows.withColumn("id", F.raise_error(F.lit("stop")).cast("long"))
+    with pytest.raises(Exception, match="stop"):
+        refresh_subset(broken, path, "b c")
+    assert not subset_written(spark, path, "b c") and subset_written(spark, path, "a")
+    assert "%20" in subset_mark(path, "b c")
+
+
+def test_the_result_log_takes_up_what_a_crash_left(spark, tmp_path):
+    from adspark.ml.search import RESULT_SCHEMA, read_results
+    from adspark.sources.writers import append_results
+    path = str(tmp_path / "log")
+    row = lambda name, auc: (name, {"k": "v"}, [auc], [1.0], auc, 0.0, 1.0, 1.0)
+    table = lambda *rows: spark.createDataFrame(list(rows), RESULT_SCHEMA)
+    append_results(table(row("s1", .5), row("s2", .6)), path)
+    append_results(table(row("s1", .7)), path)
+    append_results(table(row("s2", .1)), path, seq=5)  # an older one that arrives late
+    (tmp_path / "log" / "part-torn.json").write_text(
+        '{"signature":"s3","mean_auc":0.9,"fold_scores":[0.9')
+    (tmp_path / "log" / "part-old.json").write_text('{"signature":"s4","mean_auc":0.4}\n{}\n')
+    got = {r["signature"]: r["mean_auc"] for r in read_results(spark, path).collect()}
+    assert got == {"s1": .7, "s2": .6, "s4": .4}
+    assert read_results(spark, path).first()["params"] in ({"k": "v"}, None)
