@@ -22,6 +22,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.taskcontext import TaskContext
 
@@ -41,16 +42,22 @@ EPS = 1e-15
 
 @dataclass(frozen=True)
 class AdamState:
-    """Weights, both moments and the number of steps taken; enough to go on from."""
+    """Weights, both moments and the number of steps taken; enough to go on from.
+
+    Inputs are standardised by ``center`` and ``scale``, those of the rows first trained on.
+    """
 
     layers: tuple[int, ...]
     weights: np.ndarray
     first: np.ndarray
     second: np.ndarray
+    center: np.ndarray
+    scale: np.ndarray
     steps: int = 0
 
     @staticmethod
-    def start(layers: Sequence[int], seed: int = 42) -> AdamState:
+    def start(layers: Sequence[int], seed: int = 42, center: np.ndarray | None = None,
+              scale: np.ndarray | None = None) -> AdamState:
         """Uniform weights within sqrt(6 / inputs and outputs) of 0, no offsets."""
         rng = np.random.default_rng(seed)
         parts = []
@@ -58,7 +65,10 @@ class AdamState:
             limit = math.sqrt(6.0 / (n_in + n_out))
             parts += [rng.uniform(-limit, limit, n_in * n_out), np.zeros(n_out)]
         w = np.concatenate(parts)
-        return AdamState(tuple(layers), w, np.zeros_like(w), np.zeros_like(w))
+        return AdamState(
+            tuple(layers), w, np.zeros_like(w), np.zeros_like(w),
+            np.zeros(layers[0]) if center is None else center,
+            np.ones(layers[0]) if scale is None else scale)
 
     def stepped(self, gradient: np.ndarray, rate: float, beta_1: float, beta_2: float,
                 eps: float) -> AdamState:
@@ -74,16 +84,16 @@ class AdamState:
         """Write as a table of one row."""
         spark.createDataFrame(
             [(list(self.layers), self.steps, *[x.tolist() for x in (
-                self.weights, self.first, self.second)])],
+                self.weights, self.first, self.second, self.center, self.scale)])],
             "layers array<int>, steps long, weights array<double>, first array<double>, "
-            "second array<double>").write.mode("overwrite").parquet(path)
+            "second array<double>, center array<double>, scale array<double>").write.mode("overwrite").parquet(path)
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> AdamState:
         """Read what ``save`` has written."""
         r = spark.read.parquet(path).first()
-        return AdamState(tuple(r["layers"]), np.array(r["weights"]), np.array(r["first"]),
-                         np.array(r["second"]), r["steps"])
+        return AdamState(tuple(r["layers"]), *[np.array(r[c]) for c in (
+            "weights", "first", "second", "center", "scale")], r["steps"])
 
 
 def _shaped(layers: Sequence[int], flat: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -120,8 +130,17 @@ def loss_and_gradient(layers: Sequence[int], flat: np.ndarray, x: np.ndarray,
     return loss, np.concatenate(parts)
 
 
-def row_blocks(rows: DataFrame, batches: int, target: str, id_column: str, seed: int) -> DataFrame:
-    """``batch, n, x, y``: encoded rows as blocks of numbers, written by mini-batch."""
+def center_and_scale(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and one over the deviation of each input, from one pass; 1 where it is constant."""
+    r = rows.select(Summarizer.metrics("mean", "std").summary(F.col("features")).alias("s")).select(
+        "s.*").first()
+    deviation = r["std"].toArray()
+    return r["mean"].toArray(), 1.0 / np.where(deviation > 0, deviation, 1.0)
+
+
+def row_blocks(rows: DataFrame, batches: int, target: str, id_column: str, seed: int,
+               center: np.ndarray | float = 0.0, scale: np.ndarray | float = 1.0) -> DataFrame:
+    """``batch, n, x, y``: standardised rows as blocks of numbers, written by mini-batch."""
     require_columns(rows, ["features", target, id_column])
     dealt = rows.select(
         F.pmod(F.xxhash64(F.col(id_column), F.lit(seed)), F.lit(batches)).cast("int").alias("batch"),
@@ -132,7 +151,7 @@ def row_blocks(rows: DataFrame, batches: int, target: str, id_column: str, seed:
             batch = np.asarray(b.column(0))
             y = np.asarray(b.column(2))
             flat = b.column(1).flatten().to_numpy(zero_copy_only=False)
-            x = flat.reshape(b.num_rows, -1)
+            x = (flat.reshape(b.num_rows, -1) - center) * scale if b.num_rows else flat
             out = []
             for i in np.unique(batch):
                 mine = np.flatnonzero(batch == i)
@@ -254,10 +273,11 @@ class EpochRun:
 
     def score(self, features: Column | str = "features") -> Column:
         """Score of class 1 by the best epoch's weights."""
-        layers, weights = self.best.layers, self.best.weights
+        s = self.best
 
         def run(x: pd.Series) -> pd.Series:
-            return pd.Series(probabilities(layers, weights, np.stack(x.to_numpy())))
+            rows = (np.stack(x.to_numpy()) - s.center) * s.scale
+            return pd.Series(probabilities(s.layers, s.weights, rows))
 
         return F.pandas_udf(run, "double")(vector_to_array(features))
 
@@ -293,11 +313,11 @@ def train_in_epochs(
     require_number(beta_2, "beta_2", 0, 1, closed=True)
     if layers[-1] != 1:
         raise ValueError("the last layer has one output")
-    run = EpochRun(state or AdamState.start(layers, seed))
+    run = EpochRun(state or AdamState.start(layers, seed, *center_and_scale(train)))
     if run.state.layers != tuple(layers):
         raise ValueError("the state belongs to other layers")
-    fit = row_blocks(train, batches, target, id_column, seed)
-    check = row_blocks(valid, 1, target, id_column, seed)
+    fit, check = (row_blocks(rows, n, target, id_column, seed, run.state.center, run.state.scale)
+                  for rows, n in ((train, batches), (valid, 1)))
     began, idle, best = run.state.steps // batches, 0, math.inf
     try:
         for number in range(1, epochs + 1):
