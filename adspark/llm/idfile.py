@@ -29,8 +29,7 @@ from adspark.llm._common import byte_texts, parts_for, stored
 from adspark.llm.files import put_file, read_files
 from adspark.llm.tokens import Encoder
 
-MAGIC = b"IDF1"
-NO_DOC = -(2**63)
+MAGIC = b"IDF2"
 FILE_IDS = 1_000_000
 SHARD_BYTES = 16_000_000
 #: Lengths of the four values of every control byte.
@@ -60,26 +59,30 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 
 def shard_bytes(shard: int, docs: list, ids: list[np.ndarray], rank: np.ndarray) -> bytes:
-    """A file: magic, shard, documents, ids, stream sizes; doc ids; counts; streams."""
+    """A file: magic, shard, documents, ids, stream sizes; doc ids, a bit where there is one; counts; streams."""
     counts = np.array([len(x) for x in ids], "<u4")
-    names = np.array([NO_DOC if d is None else d for d in docs], "<i8")
+    names = np.array([0 if d is None else d for d in docs], "<i8")
+    named = np.packbits([d is not None for d in docs])
     control, data = pack(rank[np.concatenate(ids)])
     head = MAGIC + struct.pack("<QQQQQ", shard, len(docs), int(counts.sum()), len(control),
                                len(data))
-    return head + names.tobytes() + counts.tobytes() + control + data
+    return head + names.tobytes() + named.tobytes() + counts.tobytes() + control + data
 
 
 def shard_docs(content: bytes, ids_by_rank: np.ndarray):
-    """(shard, doc ids, starts in the shard, counts, ids) of a file."""
+    """(shard, doc ids, which of them are given, starts in the shard, counts, ids) of a file."""
     if content[:4] != MAGIC:
         raise ValueError("not a token-id file")
     shard, docs, n, c, d = struct.unpack_from("<QQQQQ", content, 4)
     at = 44
     names = np.frombuffer(content, "<i8", docs, at)
-    counts = np.frombuffer(content, "<u4", docs, at + 8 * docs).astype(np.int64)
-    at += 12 * docs
+    bits = np.frombuffer(content, np.uint8, -(-docs // 8), at + 8 * docs)
+    named = np.unpackbits(bits, count=docs).astype(bool)
+    at += 8 * docs + len(bits)
+    counts = np.frombuffer(content, "<u4", docs, at).astype(np.int64)
+    at += 4 * docs
     ranks = unpack(content[at:at + c], content[at + c:at + c + d], n)
-    return shard, names, np.cumsum(counts) - counts, counts, ids_by_rank[ranks]
+    return shard, names, named, np.cumsum(counts) - counts, counts, ids_by_rank[ranks]
 
 
 def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
@@ -172,13 +175,12 @@ def read_id_files(spark: SparkSession, folder: str) -> DataFrame:
     def decode(batches):
         for b in batches:
             for c in b.column(0):
-                shard, names, start, n, ids = shard_docs(c.as_py(), by_rank)
+                shard, names, named, start, n, ids = shard_docs(c.as_py(), by_rank)
                 raw = ids.astype("<u4").tobytes()
                 for i in range(0, len(names), 2000):
                     at = slice(i, i + 2000)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([None if x == NO_DOC else x for x in names[at].tolist()],
-                                  pa.int64()),
+                        [pa.array(names[at], pa.int64(), mask=~named[at]),
                          pa.array(np.full(len(names[at]), shard, np.int64)),
                          pa.array(start[at]), pa.array(n[at]),
                          pa.array([raw[4 * s:4 * (s + k)] for s, k in zip(start[at], n[at])],
