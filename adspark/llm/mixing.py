@@ -14,8 +14,10 @@ running total goes over 65,536 hash buckets and then over the rows of the one
 bucket that holds the cut, so a source with a third of all rows is no task of
 its own.
 
-Nulls: a null text has size 0, a null source is a source, sorted last. Repeated
-rows count as documents of their own; those with equal id and size are ordered
+Nulls: a null text has size 0, a null source is a source, sorted last. Documents
+without an id are ordered by a hash of their texts, so that they spread over the
+buckets too and the order is that of the data, not of the files. Repeated
+rows count as documents of their own; those with equal key and size are ordered
 arbitrarily among themselves, which does not change what is taken. An empty table
 gives no rows. A source of size 0 has target 0. Extra columns are left out; join
 the result to the documents, or use ``expand``.
@@ -25,16 +27,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from adspark.llm._common import WORD, stored
+from adspark.llm._common import WORD, stored, unused
 from adspark.operators.lookup import lookup_join
 
 BUCKET_DIGITS = 4
 
 
-def sizes_of(docs: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, source, size in words, carried columns."""
+def sizes_of(docs: DataFrame, carried: tuple[str, ...] = (), *more: Column) -> DataFrame:
+    """doc_id, source, size in words, carried columns, further expressions."""
     n = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0))
-    return docs.select("doc_id", "source", n.cast("bigint").alias("size"), *carried)
+    return docs.select("doc_id", "source", n.cast("bigint").alias("size"), *carried, *more)
 
 
 def ranked_sources(sources: DataFrame) -> DataFrame:
@@ -82,7 +84,8 @@ def water_fill(sources: DataFrame, max_epochs: float) -> DataFrame:
 
 def order_key(seed: int) -> Column:
     """Hexadecimal digits that order a source's documents."""
-    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    no_id = F.concat(F.lit("null:"), F.md5(F.coalesce(F.col("text"), F.lit(""))))
+    name = F.coalesce(F.col("doc_id").cast("string"), no_id)
     return F.md5(F.concat(F.lit(f"{seed}:"), name))
 
 
@@ -97,7 +100,7 @@ def mix(docs: DataFrame, weights: DataFrame | tuple[float, ...], max_epochs: flo
     or weights to be dealt to the sources in turn, in the order of their names.
     """
     carried = (row,) if row else ()
-    sizes = stored(sizes_of(docs, carried).withColumn("key", order_key(seed)), "mix-sizes")
+    sizes = stored(sizes_of(docs, carried, order_key(seed).alias("key")), "mix-sizes")
     by_source = sizes.groupBy("source").agg(
         F.sum("size").alias("source_size"), F.count("*").alias("n"))
     if isinstance(weights, tuple):
@@ -150,7 +153,8 @@ def expand(docs: DataFrame, mixed: DataFrame, key: str = "doc_id") -> DataFrame:
     ``key`` must be unique and not null: for documents with repeated or null ids, the
     ``row`` that the mix was given.
     """
-    n = mixed.select(F.col(key).alias("_id"), "repeats").filter(F.col("repeats") > 0)
-    return (docs.join(n, F.col(key) == F.col("_id")).drop("_id")
-            .withColumn("repeats", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int"))))
-            .drop("repeats"))
+    at, times = unused("id", docs.columns), unused("times", docs.columns)
+    n = mixed.select(F.col(key).alias(at), F.col("repeats").alias(times)).filter(F.col(times) > 0)
+    return (docs.join(n, F.col(key) == F.col(at)).drop(at)
+            .withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times).cast("int"))))
+            .drop(times))
