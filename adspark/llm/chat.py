@@ -16,11 +16,14 @@ repeated rows stay. An empty table gives no rows. Extra columns are left out.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 ESCAPE = "\\"
+#: Letters that name what an escape stands for: the escape, the mark, the closing, a colon.
+CODES = "bmcd"
 
 
 @dataclass(frozen=True)
@@ -38,6 +41,11 @@ class Template:
     })
     final: tuple[str, ...] = ("assistant",)
 
+    def __post_init__(self):
+        for s in (self.mark, self.close):
+            if not s or ESCAPE in s or s in CODES:
+                raise ValueError(f"a mark is a text without escapes, and not a code: {s!r}")
+
     def escapes(self) -> tuple[tuple[str, str], ...]:
         """In order of escaping: the escape itself first. No code holds a control string."""
         return ((ESCAPE, ESCAPE + "b"), (self.mark, ESCAPE + "m"), (self.close, ESCAPE + "c"))
@@ -101,13 +109,14 @@ def format_conversations(conversations: DataFrame, template: Template | None = N
 def read_turns(formatted: Column, template: Template | None = None) -> Column:
     """The turns (role, text) of a formatted conversation."""
     template = template or Template()
-    pieces = F.split(formatted, template.close.replace("\\", "\\\\") + "\n")
+    pieces = F.split(formatted, re.escape(template.close) + "\n")
     pieces = F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0)))
 
     def turn(piece: Column) -> Column:
-        end = F.instr(piece, F.lit(": "))
-        role = F.substring(piece, F.lit(len(template.mark) + 2), end - len(template.mark) - 2)
-        text = F.substring(piece, end + 2, F.length(piece))
+        body = F.substring(piece, F.lit(len(template.mark) + 2), F.length(piece))
+        end = F.instr(body, F.lit(": "))  # roles hold no colon
+        role = F.substring(body, F.lit(1), end - 1)
+        text = F.substring(body, end + 2, F.length(body))
         return F.struct(unescaped(role, template).alias("role"),
                         unescaped(text, template).alias("text"))
 
