@@ -6,13 +6,15 @@ each partition packs its items best-fit, largest first; bins that are nearly ful
 are emitted, the rest become items of the next round, where a tree merges
 ``FAN_IN`` partitions into one. Items of a partition are bounded in number; the
 last round is one partition, and holds only what no round could fill.
+Where the underfull bins are too many for the merged partitions, the tree
+narrows by less, or deals them anew over as many partitions.
 
 A bin carries its pieces, at most as many as it has tokens. Bins merged by a
 later round keep their pieces in order, so offsets are counted at the end.
 
-The number of items in a merged partition is bounded as well: once a round leaves
-few underfull bins they fit one task, and where they do not, the rounds stop with
-several partitions, each of which has at most one bin that is half empty or more.
+The rounds stop early only when one that was dealt anew saves no more than a bin a
+partition: then hardly any two of the bins fit together, as with lengths all over half a
+sequence, and each partition has at most one bin that is half empty or more.
 
 Nulls: a null text is the empty text and has the end id alone. Repeated rows are
 packed as documents of their own, told apart by a row number. An empty table gives
@@ -128,7 +130,7 @@ def pack_lengths(items: DataFrame, capacity: int, part_items: int = PART_ITEMS,
     parts = parts_for(rest.count(), part_items)
     part = F.pmod(F.xxhash64("no"), F.lit(parts)).cast("bigint")
     left = rest.select(F.col("length"), F.array("no").alias("members"), part.alias("part"))
-    done, level = [full], 0
+    done, level, given, anew = [full], 0, None, False
     while True:
         bins = _packed_round(left, parts, capacity, level)
         if parts == 1:
@@ -136,13 +138,17 @@ def pack_lengths(items: DataFrame, capacity: int, part_items: int = PART_ITEMS,
             break
         done.append(bins.filter(F.col("length") >= least).select("members"))
         left = bins.filter(F.col("length") < least)
-        parts = -(-parts // FAN_IN)
-        left = left.withColumn("part", F.pmod("part", F.lit(parts)).cast("bigint"))
-        if left.count() > part_items * parts:
-            # merging would make a task too large: what is left is packed as it is
+        n = left.count()
+        if anew and given - n <= parts:
             done.append(left.select("members"))
             break
-        level += 1
+        fewer = max(-(-parts // FAN_IN), parts_for(n, part_items))
+        anew = fewer >= parts
+        # a merge of whole partitions, or, where they would be too large, another deal of the bins
+        whole = fewer == -(-parts // FAN_IN)
+        key = F.col("part") if whole else F.xxhash64(F.array_min("members"), F.lit(level))
+        parts, given, level = min(fewer, parts), n, level + 1
+        left = left.withColumn("part", F.pmod(key, F.lit(parts)).cast("bigint"))
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
