@@ -431,33 +431,49 @@ def test_quality_rules_match_brute_force(spark, odd, none):
             enumerate("long wide deep cold warm dark".split() * 20)]
     docs = [(i, " ".join(good[i:i + 8])) for i in range(60)]
     docs += [(100 + i, " | ".join(f"x{i * 7 + j}%%%" for j in range(70))) for i in range(10)]
+    rng = random.Random(4)
+    plain = [f"{a}{b}" for a in "ka lo mi nu re so ta".split() for b in "ber dan fel gor hin".split()]
+    docs += [(200 + i, " ".join(rng.choices(plain, k=70))) for i in range(60)]
     frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    trusted = [i for i, _ in docs if i < 40 or i >= 210]
     labels = spark.createDataFrame(
-        [(i, 1 if i < 60 else 0, 0) for i, _ in docs[:40] + docs[60:]] + [(None, 1, 0)],
+        [(i, 1, 0) for i in trusted] + [(i, 0, 0) for i in range(100, 110)] + [(None, 1, 0)],
         "doc_id bigint, quality int, toxic int")
     got = {r["doc_id"]: r for r in quality.quality(frame, labels).collect()}
 
     def buckets(text):
-        h = [xxhash.xxh64_intdigest(w[-3:].encode(), 42) for w in WORD.findall(text)]
+        h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in WORD.findall(text)]
         two = [xxhash.xxh64_intdigest(b.to_bytes(8, "little"),
                                       xxhash.xxh64_intdigest(a.to_bytes(8, "little"), 42))
                for a, b in zip(h, h[1:])]
         return [x % quality.BUCKETS for x in h + two]
 
-    raw, target = np.ones(quality.BUCKETS), np.ones(quality.BUCKETS)
+    raw, halves = np.ones(quality.BUCKETS), np.zeros((2, quality.BUCKETS))
+    half = {i: xxhash.xxh64_intdigest(i.to_bytes(8, "little"), 42) & 1 for i in trusted}
     for i, t in docs:
         for b in buckets(t):
             raw[b] += 1
-            target[b] += i < 40
-    ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
+            if i in half:
+                halves[half[i], b] += 1
+
+    def ratios(target):
+        p = raw / raw.sum()
+        n = target.sum()
+        return np.log((target + 0.1 * n * p) / (1.1 * n * p))
+
+    held = [ratios(halves[0])[buckets(t)].mean() for i, t in docs
+            if half.get(i) == 1 and not got[i]["base_failed"]]
+    assert len(held) > 10
+    threshold = np.quantile(held, quality.LOST)
+    ratio = ratios(halves.sum(0))
     for i, t in docs:
         r = got[i]
         assert tuple(r[c] for c in FIXED) == base_rules(t)
         assert r["score"] == pytest.approx(ratio[buckets(t)].mean())
-        assert (r["score"] > -0.5) == (i < 60)
+        assert (r["score"] > -0.5) == (not 100 <= i < 110)
         failed = r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"]
         assert (r["base_failed"], r["kept"]) == (
-            failed, not failed and r["score"] >= quality.THRESHOLD)
+            failed, not failed and r["score"] >= threshold)
 
     empty = labels.filter("false")
     got = {r["doc_id"]: r for r in quality.quality(odd, empty).collect()}
@@ -468,6 +484,14 @@ def test_quality_rules_match_brute_force(spark, odd, none):
     assert quality.quality(none, empty).count() == 0
 
 
+def test_quality_keeps_columns_that_clash(spark):
+    names = ["_found", "_hashes", "_windows", "_lines", "_total", "_w", "score"]
+    frame = spark.createDataFrame([(1, "a b", *range(7))], ["doc_id", "text", *names])
+    row = quality.judge(frame, [0.0] * 4, 0.0).first()
+    assert [row[c] for c in names[:-1]] == list(range(6))
+    assert (row["score"], row["n_words"], row["kept"]) == (0.0, 2, False)
+
+
 # ---- 4 ----
 
 @pytest.mark.parametrize("name,kind", [("word_bpe_49k.json", "word"), ("byte_bpe_50k.json", "byte")])
@@ -509,8 +533,34 @@ def test_id_files_round_trip(spark, odd, none, tmp_path):
     assert idfile.write_id_files(none, as_uri(str(tmp_path / "no")), path, 2).count() == 0
 
 
+def test_id_files_keep_the_least_id_apart_from_null(spark, tmp_path):
+    path, folder = public_tokenizers.path("word_bpe_49k.json"), as_uri(str(tmp_path / "ids"))
+    ids = [None, -(2**63), *range(9), 2**63 - 1]
+    docs = spark.createDataFrame([(i, "a b") for i in reversed(ids)], "doc_id bigint, text string")
+    idfile.write_id_files(docs, folder, path, 2)
+    rows = idfile.read_id_files(spark, folder).orderBy("start").collect()
+    assert [r["doc_id"] for r in rows[2:]] == ids[2:]
+    assert {r["doc_id"] for r in rows[:2]} == {None, -(2**63)}
+
+
 # ---- 5 ----
 
+def test_mix_spreads_documents_without_id(spark):
+    docs = [(None, f"w{i} " * (1 + i % 3), "a") for i in range(400)] + [(1, "x y", "b")]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
+    rows = [sorted(map(str, mixing.mix(f, (1.0, 5.0)).collect()))
+            for f in (frame, frame.repartition(5).orderBy("text"))]
+    assert rows[0] == rows[1]
+    keys = frame.filter("doc_id is null").select(mixing.order_key(17).alias("k")).distinct()
+    assert keys.count() == 400
+
+
+def test_expand_keeps_columns_that_clash(spark):
+    docs = spark.createDataFrame([(1, 5, 6, 7), (2, 8, 9, 0)], ["doc_id", "repeats", "id", "times"])
+    mixed = spark.createDataFrame([(1, 2), (2, 0)], ["doc_id", "repeats"])
+    assert [tuple(r) for r in mixing.expand(docs, mixed).collect()] == [(1, 5, 6, 7)] * 2
+
+
 def test_mix_fills_to_the_limits(spark, odd, none):
     docs = [(i, " ".join(["w"] * (1 + i % 9)), f"s{i % 5}" if i % 50 else None) for i in range(3000)]
     docs += [(5000, "a b c", "tiny"), (5001, "", "void"), (5002, None, "void")]
@@ -580,6 +630,25 @@ def test_conversations_are_read_back(spark):
     assert chat.format_conversations(frame.filter("false")).count() == 0
 
 
+@pytest.mark.parametrize("mark,close", [
+    ("<|im_start|>", "<|im_end|>"), ("[x]: ", "(.*)+"), ("b ", "$^"), ("::", "]]"), ("||", "|")])
+def test_any_template_reads_back(spark, mark, close):
+    template = chat.Template(mark=mark, close=close)
+    texts = [mark, close, close + "\n", "\\" + close, "\\b\\m\\c\\d", f"a: {mark}{close}b\n", "", "|", "]"]
+    roles = ["user", "a: b", mark, close, "x:"]
+    rows = [(1, i, roles[i % 5], t) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string")
+    out = chat.format_conversations(frame, template)
+    back = out.select(chat.read_turns(F.col("formatted"), template).alias("b")).first()["b"]
+    assert [(t["role"], t["text"]) for t in back] == [(r, t) for _, _, r, t in rows]
+
+
+@pytest.mark.parametrize("mark", ["", "\\x", "b"])
+def test_marks_that_cannot_be_escaped_are_refused(mark):
+    with pytest.raises(ValueError):
+        chat.Template(mark=mark)
+
+
 # ---- 7 ----
 
 def test_top_k_matches_brute_force(spark, monkeypatch):
@@ -654,6 +723,20 @@ def test_rounds_pack_nearly_full(spark, part_items):
     assert len(bins) <= (1.08 if part_items == 50 else 1.02) * sum(size.values()) / 1024 + 1
 
 
+def test_bins_too_many_for_a_merge_are_dealt_anew(spark):
+    # threes of a third each, but few beside each other: more bins than merged parts may hold
+    rng = random.Random(3)
+    items = [(i, rng.choice([341, 341, 600, 700])) for i in range(1200)]
+    out = packing.pack_lengths(
+        spark.createDataFrame(items, "no bigint, length bigint"), 1024, 6).collect()
+    size, bins = dict(items), Counter()
+    for r in out:
+        bins[r["sequence_id"]] += size[r["no"]]
+    assert sorted(r["no"] for r in out) == sorted(size) and max(bins.values()) <= 1024
+    best = np.unique(packing.best_fit(np.array([n for _, n in items]), 1024)).size
+    assert len(bins) <= 1.06 * best
+
+
 # ---- 9 ----
 
 def test_archives_round_trip(spark, tmp_path, monkeypatch):
