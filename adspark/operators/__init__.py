@@ -27,5 +27,9 @@ from adspark.operators.sampling import (
     class_counts, draw_cases, row_sample, sample_summary, stratified_folds,
     stratified_sample, train_valid_split,
 )
+from adspark.operators.summaries import (
+    frequent_levels, merge_summaries, read_summaries, summarize_levels, summary_cardinality,
+    write_summaries,
+)
 
 __all__ = [n for n in dir() if not n.startswith("_")]

@@ -2,8 +2,10 @@
 
 from adspark import operators as op
 from adspark.plans.catalog.rounding import rounded
-from adspark.plans.catalog.sqltext import IMP, SPLIT
+from adspark.plans.catalog.sqltext import IMP, SPLIT, stacked_levels
+from adspark.functions import day_of_month
 from adspark.ml.search import read_results, summarize_folds, top_results
+from adspark.operators.summaries import DISTINCT_ERROR
 from adspark.plans.impressions import events_as_impressions, impressions, table
 from adspark.sources.readers import csv_to_parquet, read_split, register_parquet
 from adspark.sources.relation import as_df, stack_predictions
@@ -88,6 +90,32 @@ def predictions_by_path(spark, sf):
     return op.confusion(stack_predictions(spark, paths), 0.5)
 
 
+SUMMARIZED = ["device_id", "device_ip", "n_name", "c_mktsegment"]
+
+
+def _daily_summaries(spark, sf):
+    """Summaries per day, those of odd days written first, then those of even ones beside them."""
+    rows = impressions(spark, sf).withColumn("day", day_of_month("hour"))
+    path = new_scratch_path(spark, "summaries")
+    for odd in (1, 0):
+        part = rows.where(F.col("day") % 2 == odd)
+        op.write_summaries(op.summarize_levels(part, SUMMARIZED, "day"), path, "day")
+    return op.read_summaries(spark, path)
+
+
+def merged_cardinality(spark, sf):
+    """Rows, nulls and exact levels of columns; whether the merged sketches come near enough."""
+    exact = op.cardinality(impressions(spark, sf), SUMMARIZED).withColumnRenamed("n_distinct", "exact")
+    near = F.abs(F.col("n_distinct") - F.col("exact")) <= F.col("exact") * DISTINCT_ERROR
+    return op.summary_cardinality(_daily_summaries(spark, sf)).join(exact, "column").select(
+        "column", "n", "n_null", F.col("exact").alias("n_distinct"), near.alias("within_error"))
+
+
+def merged_top_levels(spark, sf):
+    """The five most frequent levels of columns with few and with many, from merged summaries."""
+    return op.frequent_levels(impressions(spark, sf), _daily_summaries(spark, sf), 5)
+
+
 def relation_text(spark, sf):
     """Levels of a relation given as SQL text over a registered file."""
     register_parquet(spark, f"{sf}/customer.parquet", "stored_customers")
@@ -108,6 +136,8 @@ QUERIES = {
     "results_log": results_log,
     "results_top": results_top,
     "predictions_by_path": predictions_by_path,
+    "merged_cardinality": merged_cardinality,
+    "merged_top_levels": merged_top_levels,
     "relation_text": relation_text,
 }
 
@@ -136,6 +166,14 @@ ORACLE = {
              COUNT(*) FILTER (click = 1 AND x < 0.5) AS fn,
              COUNT(*) FILTER (click = 0 AND x < 0.5) AS tn
       FROM p GROUP BY model""",
+    "merged_cardinality": f"WITH {IMP} " + " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", COUNT(*) AS n, COUNT(*) - COUNT({c}) AS n_null, "
+        f"COUNT(DISTINCT {c}) AS n_distinct, TRUE AS within_error FROM imp" for c in SUMMARIZED),
+    "merged_top_levels": f"""WITH {IMP}, s AS ({stacked_levels("imp", SUMMARIZED, "click")}),
+      r AS (SELECT "column", level, n, CAST(row_number() OVER (
+              PARTITION BY "column" ORDER BY n DESC, level) AS INTEGER) AS rank
+            FROM s WHERE level IS NOT NULL)
+      SELECT * FROM r WHERE rank <= 5""",
     "relation_text": """SELECT c_mktsegment AS level, COUNT(*) AS count,
         round(COUNT(*) * 100.0 / SUM(COUNT(*)) OVER (), 6) AS percentage, c_mktsegment AS label
       FROM customer WHERE c_acctbal > 0 GROUP BY c_mktsegment""",
