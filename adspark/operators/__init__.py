@@ -7,8 +7,8 @@ from adspark.operators.evaluate import (
     score_curve, score_groups, youden,
 )
 from adspark.operators.features import (
-    add_split, attach_frequency, device_features, key_frequencies, model_features,
-    numeric_features, split_rates, temporal_features,
+    add_split, attach_frequency, device_features, frequencies_in_one_scan, key_frequencies,
+    model_features, numeric_features, split_rates, temporal_features,
 )
 from adspark.operators.levels import (
     dominant_levels, keep_top_levels, level_counts, overall_rate, target_rates, top_levels,

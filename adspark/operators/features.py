@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -12,6 +12,7 @@ from adspark.functions import (
     day_of_month, hour_cos, hour_of_day, hour_sin, log_frequency, split_label, time_band,
 )
 from adspark.operators.lookup import SALT, lookup_join
+from adspark.sources.scratch import materialize
 
 
 def add_split(
@@ -62,6 +63,31 @@ def key_frequencies(df: DataFrame, key: str, exclude=None) -> DataFrame:
     return kept.groupBy(key).agg(F.count("*").alias("n"))
 
 
+def frequencies_in_one_scan(df: DataFrame, keys: Mapping[str, object]) -> list[DataFrame]:
+    """``key_frequencies`` of several keys, from one scan; ``keys`` names each one's placeholder or None.
+
+    The rows are stacked, a column per key so that each keeps its type, and counted together.
+    One written table, a folder per key, holds the counts.
+    """
+    require_columns(df, list(keys))
+    types = {c: df.schema[c].dataType for c in keys}
+    stacked = F.array(*[
+        F.struct(F.lit(i).alias("key_no"), *[
+            (F.col(k) if k == key else F.lit(None)).cast(types[k]).alias(f"k{j}")
+            for j, k in enumerate(keys)])
+        for i, key in enumerate(keys)])
+    rows = df.select(F.explode(stacked).alias("r")).select("r.*")
+    counted = F.lit(False)
+    for i, placeholder in enumerate(keys.values()):
+        one = (F.col("key_no") == i) & F.col(f"k{i}").isNotNull()
+        counted = counted | (one if placeholder is None else one & (F.col(f"k{i}") != F.lit(placeholder)))
+    names = ["key_no", *[f"k{i}" for i in range(len(keys))]]
+    table = materialize(rows.where(counted).groupBy(*names).agg(F.count("*").alias("n")),
+                        "frequencies", partition_by=("key_no",))
+    return [table.where(F.col("key_no") == i).select(F.col(f"k{i}").alias(key), "n")
+            for i, key in enumerate(keys)]
+
+
 def attach_frequency(
     df: DataFrame,
     freq: DataFrame,
@@ -101,9 +127,9 @@ def device_features(
     rows = df.select(
         F.col(id_column).alias("id"), F.col(device_id).alias("_d"),
         F.col(device_ip).alias("_i"), *keep)
-    rows = attach_frequency(
-        rows, key_frequencies(rows, "_d", placeholder), "_d", "freq_device_id", placeholder)
-    rows = attach_frequency(rows, key_frequencies(rows, "_i"), "_i", "freq_device_ip")
+    of_id, of_ip = frequencies_in_one_scan(rows, {"_d": placeholder, "_i": None})
+    rows = attach_frequency(rows, of_id, "_d", "freq_device_id", placeholder, stored=True)
+    rows = attach_frequency(rows, of_ip, "_i", "freq_device_ip", stored=True)
     return rows.select(
         "id", "freq_device_id", "freq_device_ip",
         log_frequency("freq_device_id").alias("log_freq_device_id"),

@@ -9,10 +9,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from adspark import config
 from adspark.operators.features import (
-    add_split, key_frequencies, model_features, split_rates,
+    add_split, frequencies_in_one_scan, model_features, split_rates,
 )
 from adspark.operators.lookup import bucketed_lookup
-from adspark.sources.scratch import materialize
 from adspark.sources.writers import write_subsets
 
 
@@ -45,21 +44,19 @@ def build_features(
 ) -> FeatureBuild:
     """Split by hash, count devices on the training part, derive all features.
 
-    The two frequency tables are counted on the training rows and written to the
-    scratch folder; everything else is one lazy plan for both subsets, and
+    The two frequency tables are counted on the training rows in one scan and written to
+    the scratch folder; everything else is one lazy plan for both subsets, and
     nothing else in the features looks beyond its own row. ``bucketed`` writes them in
     buckets of their keys, so that joins too large for a broadcast (beyond ``broadcast_bytes``)
     shuffle the rows only.
     """
     marked = add_split(df, id_column, train_ratio, "split", train_label, holdout_label)
     train = marked.where(F.col("split") == train_label)
-    freq_id = key_frequencies(train, "device_id", placeholder)
-    freq_ip = key_frequencies(train, "device_ip")
+    freq_id, freq_ip = frequencies_in_one_scan(
+        train, {"device_id": placeholder, "device_ip": None})
     if bucketed:
         freq_id = bucketed_lookup(freq_id, "device_id", ["n"])
         freq_ip = bucketed_lookup(freq_ip, "device_ip", ["n"])
-    else:
-        freq_id, freq_ip = materialize(freq_id, "freq-id"), materialize(freq_ip, "freq-ip")
     features = model_features(
         marked, freq_id, freq_ip, keep, id_column, placeholder=placeholder,
         target=target, bands=bands, extra=[id_column, "split"], stored=True,

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 from adspark.functions import (
     bucket100, day_of_month, hour_of_day, hour_sin, list_position, split_label, time_band,
 )
-from adspark.operators import add_split, device_features, key_frequencies, split_rates
+from adspark.operators import (
+    add_split, device_features, frequencies_in_one_scan, key_frequencies, split_rates,
+)
 from adspark.plans.feature_build import build_features, run_feature_build
 from adspark.sources import read_split
 
@@ -21,6 +23,18 @@ def test_calendar(spark):
         time_band("hour", ("a", "b"))
 
 
+def test_keys_of_any_type_are_counted_in_one_scan(spark):
+    rows = [("a" if i % 3 else "ph", i % 4 if i % 5 else None, i % 2 == 0) for i in range(300)]
+    df = spark.createDataFrame(rows, "a string, b bigint, c boolean")
+    keys = {"a": "ph", "b": None, "c": True}
+    for (key, placeholder), got in zip(keys.items(), frequencies_in_one_scan(df, keys)):
+        want = key_frequencies(df, key, placeholder)
+        assert got.schema.simpleString() == want.schema.simpleString()
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    for got in frequencies_in_one_scan(df.where("false"), keys):
+        assert got.count() == 0
+
+
 def test_split_depends_on_the_id_only(spark):
     ids = spark.range(5000).withColumn("id", F.col("id").cast("string"))
     one = {r["id"]: r["split"] for r in add_split(ids).collect()}
