@@ -17,7 +17,7 @@ import types
 import numpy as np
 from tokenizers import Tokenizer
 
-CACHE_PIECES = 400_000
+CACHE_PIECES = 600_000
 #: A word with the one space before it, or a run of white space.
 BYTE_PIECES = re.compile(
     rb" ?[^\x20\x09-\x0d]+|[\x20\x09-\x0d]+(?![^\x20\x09-\x0d])|[\x20\x09-\x0d]+").findall
@@ -28,6 +28,10 @@ UNEVEN = re.compile(rb"[\x20\n][\x20\n]|[\t\x0b-\r]|^[\x20\n]|[\x20\n]\Z").searc
 ODD_SPACE = (
     rb"[\x1c-\x1f]|\xc2\x85|\xc2\xa0|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]"
     rb"|\xe2\x81\x9f|\xe3\x80\x80")
+SEARCH_ODD = re.compile(ODD_SPACE).search
+#: First bytes of what ``ODD_SPACE`` finds beyond ASCII, which most texts lack.
+ODD_STARTS = (b"\xc2", b"\xe1\x9a", b"\xe2\x80", b"\xe2\x81", b"\xe3\x80")
+ODD_ASCII = b"\x1c\x1d\x1e\x1f"
 #: Letters below U+0100: they compose with nothing, and a run of them is one piece
 #: of the vocabulary's own cutting, as is a run of these signs.
 LATIN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
@@ -85,16 +89,26 @@ class Encoder:
         self.code = "H" if self.type.itemsize == 2 else "I"
         special = [t.content.encode().lower() if self.lower else t.content.encode()
                    for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = re.compile(b"|".join([ODD_SPACE, *map(re.escape, special)])).search
+        self.special = special
         self.plain = _Pieces(lambda p: self._piece(p, b""))
         self.spaced = _Pieces(self._spaced)  # known by what follows the space
 
+    def _odd(self, low: bytes) -> bool:
+        """Whether a text has white space beyond the six characters, or a special token."""
+        if any(s in low for s in self.special):
+            return True
+        if not low.isascii() and any(s in low for s in ODD_STARTS):
+            return SEARCH_ODD(low) is not None
+        return len(low.translate(None, ODD_ASCII)) < len(low)
+
     def _ids(self, text: bytes) -> bytes:
         found = self.tokenizer.encode_batch_fast([text.decode()], add_special_tokens=False)
         return np.array(found[0].ids, self.type).tobytes()
 
     def _piece(self, piece: bytes, space: bytes) -> bytes:
         word = piece.rstrip(SIGNS)
+        if len(word) < len(piece) and (known := (self.spaced if space else self.plain).get(word)):
+            return known + self.plain[piece[len(word):]]
         if word.isalpha():  # of bytes: ASCII letters
             text = (space + word).decode()
         elif LATIN(word):
@@ -120,7 +134,7 @@ class Encoder:
                 if len(cache) > CACHE_PIECES:
                     cache.clear()
             low = t.lower() if self.lower else t
-            if self.whole(low):
+            if self._odd(low):
                 out.append(self._ids(t))
             elif self.lower:
                 out.append(b"".join(map(self.plain.__getitem__, low.split())))
