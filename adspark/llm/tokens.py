@@ -107,7 +107,9 @@ class Encoder:
 
     def _piece(self, piece: bytes, space: bytes) -> bytes:
         word = piece.rstrip(SIGNS)
-        if len(word) < len(piece) and (known := (self.spaced if space else self.plain).get(word)):
+        signed = len(word) < len(piece)
+        if signed and (word.isalpha() or LATIN(word)) and (
+                known := (self.spaced if space else self.plain).get(word)):
             return known + self.plain[piece[len(word):]]
         if word.isalpha():  # of bytes: ASCII letters
             text = (space + word).decode()
