@@ -7,6 +7,7 @@ from adspark.functions import day_of_month
 from adspark.ml.search import read_results, summarize_folds, top_results
 from adspark.operators.summaries import DISTINCT_ERROR
 from adspark.plans.impressions import events_as_impressions, impressions, table
+from adspark.sources.gzipped import write_gzip_csv
 from adspark.sources.readers import csv_to_parquet, read_split, register_parquet
 from adspark.sources.relation import as_df, stack_predictions
 from adspark.sources.scratch import new_scratch_path
@@ -27,6 +28,14 @@ def csv_converted(spark, sf):
     return first
 
 
+def csv_members_converted(spark, sf):
+    """Impressions as gzip CSV of several members a file, decoded by ranges of bytes."""
+    rows = events_as_impressions(spark, sf).select("id", "click", "hour", "device_id", "device_ip")
+    source = write_gzip_csv(rows, new_scratch_path(spark, "csv"), 2_000)
+    return csv_to_parquet(spark, source, new_scratch_path(spark, "parquet"), rows.schema,
+                          gzip_split_bytes=50_000)
+
+
 def subset_written(spark, sf):
     """The holdout subset out of a table with both."""
     path = new_scratch_path(spark, "subsets")
@@ -130,6 +139,7 @@ _FOLDS = """WITH f AS (
 
 QUERIES = {
     "csv_converted": csv_converted,
+    "csv_members_converted": csv_members_converted,
     "subset_written": subset_written,
     "subset_refreshed": subset_refreshed,
     "fold_summary": fold_summary,
@@ -143,6 +153,7 @@ QUERIES = {
 
 ORACLE = {
     "csv_converted": f"WITH {IMP} SELECT id, click, hour, device_id, device_ip FROM imp",
+    "csv_members_converted": f"WITH {IMP} SELECT id, click, hour, device_id, device_ip FROM imp",
     "subset_written": f"""WITH {IMP}, s AS (SELECT id, click, {SPLIT} AS split FROM imp)
       SELECT id, click FROM s WHERE split = 'Prueba'""",
     "subset_refreshed": f"""WITH {IMP}, s AS (SELECT id, click, {SPLIT} AS split FROM imp)

@@ -7,6 +7,7 @@ from pyspark.sql.types import (
     ByteType, IntegerType, ShortType, StringType, StructField, StructType,
 )
 
+from adspark.sources.gzipped import read_gzip_csv
 from adspark.sources.scratch import path_exists
 
 # fixed values: column order and types of the raw file; the identifier stays text
@@ -52,14 +53,16 @@ def csv_to_parquet(
     schema: StructType = IMPRESSIONS_SCHEMA,
     partitions: int | None = None,
     if_exists: str = "ignore",
+    gzip_split_bytes: int | None = None,
 ) -> DataFrame:
     """Convert CSV to Snappy Parquet and return the Parquet table.
 
     One gzip file is one input split, whatever its size, so the rows are spread
     before the write: over ``partitions`` tasks, or over as many as Spark's
-    advisory partition size asks for. Only the decompression stays
-    single-threaded per file; many gzip files read in parallel already. ``if_exists="ignore"`` keeps a finished
-    output, one with Spark's success mark, as it is and replaces any other.
+    advisory partition size asks for. With ``gzip_split_bytes``, gzip files are decoded by
+    ranges of so many compressed bytes, as far as they consist of several members
+    (``read_gzip_csv``; ``gzip_ranges`` tells which do). ``if_exists="ignore"`` keeps a
+    finished output, one with Spark's success mark, as it is and replaces any other.
     """
     if if_exists not in ("ignore", "error", "overwrite"):
         raise ValueError("'if_exists' must be 'ignore', 'error' or 'overwrite'")
@@ -70,7 +73,10 @@ def csv_to_parquet(
             raise FileNotFoundError(one)
     if if_exists == "ignore" and not path_exists(spark, f"{destination}/_SUCCESS"):
         if_exists = "overwrite"
-    rows = read_impressions_csv(spark, source, schema)
+    if gzip_split_bytes is None:
+        rows = read_impressions_csv(spark, source, schema)
+    else:
+        rows = read_gzip_csv(spark, source, schema, gzip_split_bytes)
     (
         (rows.repartition(partitions) if partitions else rows.hint("rebalance"))
         .write.mode(if_exists)
