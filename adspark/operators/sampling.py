@@ -6,8 +6,9 @@ row at which a sample of ``n`` rows ends is found from bucket counts plus the
 rows of one bucket of a stratum; the sample itself is then a plain filter. No
 task ever sorts a whole class, and there may be any number of strata.
 
-A null identifier is an identifier of its own. Rows that repeat one are ordered by
-their contents, so samples keep their exact size.
+Rows without an identifier are keyed by a hash of their contents, so they spread over
+the buckets like the others; only equal rows share a key. Rows that repeat a key are
+ordered by their contents, so samples keep their exact size.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ DIGITS, GROUP_DIGITS = 6, 3
 
 
 def _keyed(df: DataFrame, id_column: str, seed: int) -> DataFrame:
-    no_id = F.md5(F.lit(f"null|{seed}"))
-    return df.withColumn("_key", F.coalesce(order_key(id_column, seed), no_id))
+    by_row = F.md5(F.concat(F.lit(f"null|{seed}|"), F.to_json(F.struct(*df.columns))))
+    return df.withColumn("_key", F.coalesce(order_key(id_column, seed), by_row))
 
 
 def _bucket() -> Column:

@@ -107,3 +107,22 @@ def test_any_number_of_strata(spark):
     df = spark.range(6000).withColumn("click", (F.col("id") % 1500).cast("int"))
     got = stratified_sample(df, 3000).groupBy("click").count().collect()
     assert len(got) == 1500 and {r["count"] for r in got} == {2}
+
+
+def test_null_ids_spread_and_samples_stay_exact(spark):
+    from adspark.operators.sampling import _keyed
+    df = spark.range(3000).select(
+        F.when(F.col("id") % 5 < 2, F.col("id")).alias("id"), (F.col("id") % 6 == 0).cast("int").alias("click"),
+        F.col("id").alias("other"))
+    tasks = _keyed(df, "id", 42).groupBy(F.substring("_key", 1, 1)).count().collect()
+    assert len(tasks) == 16 and max(r["count"] for r in tasks) < 2 * 3000 / 16
+    one = stratified_sample(df, 300)
+    assert one.count() == 300
+    assert 120 < one.where("id is null").count() < 240
+    again = stratified_sample(df.repartition(7).orderBy(F.desc("other")), 300)
+    assert sorted(r["other"] for r in one.collect()) == sorted(r["other"] for r in again.collect())
+    twins = df.where("id is null").limit(1).unionByName(df.where("id is null").limit(1))
+    assert row_sample(twins.unionByName(df), 3002).count() == 3002
+    fold = stratified_folds(df, 4).groupBy("click", "fold").count().groupBy("click").agg(
+        (F.max("count") - F.min("count")).alias("gap")).collect()
+    assert max(r["gap"] for r in fold) <= 1
