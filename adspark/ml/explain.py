@@ -17,11 +17,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from adspark._checks import require_columns, require_positive_int
 from adspark.ml.train import positive_probability
-from adspark.operators.sampling import chosen_rows
+from adspark.operators.levels import level_counts
 
 QUARTILES = [0.25, 0.5, 0.75]
 SELECT_PENALTY = 0.01
 FIT_PENALTY = 1.0
+#: Hex digits of a level's hash bucket, and the draws (of all columns) up to which they are broadcast.
+BUCKET_DIGITS = 3
+BROADCAST_DRAWS = 1_000_000
 
 
 def quartile_edges(df: DataFrame, numeric: Sequence[str]) -> dict[str, list[float]]:
@@ -52,25 +55,54 @@ def _bin_text(column: str, value: Column, edges: Sequence[float]) -> Column:
 
 
 def value_pool(reference: DataFrame, columns: Sequence[str], draws: int,
-               id_column: str = "id", seed: int = 42) -> DataFrame:
+               seed: int = 42) -> DataFrame:
     """``draw, <columns>``: independent draws from each column's distribution.
 
-    Column by column, ``draws`` reference rows are picked by an md5 key of
-    identifier, column and seed, so levels appear with their frequencies and the
-    columns are unrelated to each other. When the reference has fewer rows, all
-    of them are used. Values are text.
+    A draw is a row position, a hash of column, draw and seed; its value is the level that
+    holds the position when equal levels stand together, ordered by their md5. So levels
+    appear with their frequencies, null among them, and the columns are unrelated to each
+    other. The reference is read by one count of its levels; positions are looked up in
+    running counts, of up to 4,096 hash buckets per column and then inside a bucket.
+    Values are text. ``draws`` is the number of rows, none where the reference is empty.
     """
-    text = reference.select(
-        F.col(id_column).cast("string").alias("_id"),
-        *[F.col(c).cast("string").alias(c) for c in columns])
-    stacked = text.unpivot(["_id"], list(columns), "column", "value")
-    keyed = stacked.withColumn(
-        "_key", F.md5(F.concat_ws("|", F.coalesce("_id", F.lit("")), "column", F.lit(str(seed)))))
-    picked = chosen_rows(keyed, "column", F.lit(draws)).where("_chosen").drop("_chosen")
-    # groups of at most `draws` rows
-    order = Window.partitionBy("column").orderBy("_key")
-    numbered = picked.withColumn("draw", F.row_number().over(order) - 1)
-    return numbered.groupBy("draw").pivot("column", list(columns)).agg(F.first("value"))
+    require_positive_int(draws, "draws")
+    known = F.concat(F.lit("="), F.col("level"))
+    counts = level_counts(reference, columns).withColumn(
+        "_key", F.md5(F.coalesce(known, F.lit("null")))).withColumn(
+        "_p", F.substring("_key", 1, BUCKET_DIGITS))
+    # at most 4,096 buckets a column
+    groups = Window.partitionBy("column")
+    buckets = counts.groupBy("column", "_p").agg(F.sum("n").alias("_m")).select(
+        "column", "_p", F.sum("_m").over(groups).alias("_rows"),
+        (F.sum("_m").over(groups.orderBy("_p")) - F.col("_m")).alias("_start"))
+
+    digits = F.substring(F.md5(F.concat_ws("|", "column", "_draw", F.lit(str(seed)))), 1, 12)
+    share = F.conv(digits, 16, 10).cast("double") / F.lit(float(1 << 48))
+    places = buckets.groupBy("column").agg(F.max("_rows").alias("_rows")).withColumn(
+        "_draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).select(
+        "column", "_draw", F.floor(share * F.col("_rows")).alias("_at"))
+    # buckets and draws of a column, by position: the bucket before a draw holds it
+    none = F.lit(None)
+    line = buckets.select(
+        "column", F.col("_start").alias("_at"), "_p", "_start", none.cast("int").alias("_draw")
+    ).unionByName(places.withColumns({"_p": none.cast("string"), "_start": none.cast("long")}))
+    before = groups.orderBy("_at", F.asc_nulls_first("_draw")).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    placed = line.withColumns({
+        c: F.last(c, ignorenulls=True).over(before) for c in ("_p", "_start")}).where(
+        F.col("_draw").isNotNull()).select(
+        F.col("column").alias("_c"), F.col("_p").alias("_q"), "_draw",
+        (F.col("_at") - F.col("_start")).alias("_left"))
+    if draws * len(columns) <= BROADCAST_DRAWS:
+        placed = F.broadcast(placed)
+
+    upto = Window.partitionBy("column", "_p").orderBy("_key", "level")
+    levels = counts.withColumn("_end", F.sum("n").over(upto))
+    found = levels.join(placed, (F.col("column") == F.col("_c")) & (F.col("_p") == F.col("_q"))
+                        & (F.col("_left") < F.col("_end"))
+                        & (F.col("_left") >= F.col("_end") - F.col("n")))
+    return found.groupBy(F.col("_draw").alias("draw")).pivot("column", list(columns)).agg(
+        F.first("level"))
 
 
 def _ridge(x: np.ndarray, y: np.ndarray, w: np.ndarray, penalty: float):
@@ -129,19 +161,17 @@ def explain(
     require_positive_int(num_features, "num_features")
     require_positive_int(num_samples, "num_samples")
     names = [*categorical, *numeric]
-    for df in (cases, reference):
-        require_columns(df, [id_column, *names])
+    require_columns(cases, [id_column, *names])
+    require_columns(reference, names)
     edges = quartile_edges(reference, numeric)
     types = dict(reference.dtypes)
-    pool = value_pool(reference, names, max(1, num_samples - 1), id_column, seed)
-    size = pool.agg(F.max("draw") + 1).scalar()
+    pool = value_pool(reference, names, max(1, num_samples - 1), seed)
 
     base = cases.select(
         F.col(id_column).cast("string").alias("case_id"),
         *[F.col(c).alias(f"case_{c}") for c in names])
     drawn = base.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(num_samples - 1))))
-    drawn = drawn.withColumn(
-        "_slot", F.when(F.col("draw") == 0, -1).otherwise((F.col("draw") - 1) % size))
+    drawn = drawn.withColumn("_slot", F.col("draw") - 1)
     # fewer than num_samples pool rows
     rows = drawn.join(
         F.broadcast(pool.withColumnRenamed("draw", "_slot")), "_slot", "left")

@@ -12,6 +12,7 @@ from adspark.ml import (
     perceptron, predict, predict_and_save, read_results, show_results, top_results,
     train_classifier, train_in_rounds,
 )
+from adspark.ml.explain import value_pool
 from adspark.ml.search import combinations
 from adspark.sources import save_model
 
@@ -221,3 +222,25 @@ def test_search_runs_again_when_anything_changes(rows, spark, tmp_path):
     assert {r["signature"] for r in again} == first
     meta = spark.read.json(f"{path}.metadata").collect()
     assert len(meta) == 3 and {r["grid_size"] for r in meta} == {1}
+
+
+def test_pool_draws_levels_by_their_frequency(spark):
+    i = F.col("id")
+    df = spark.range(9000).select(
+        F.when(i % 3 > 0, "hot").otherwise(F.concat(F.lit("x"), i)).alias("a"),
+        F.when(i % 4 == 0, None).otherwise((i % 2).cast("int")).alias("b"))
+    pool = value_pool(df, ["a", "b"], 3000)
+    rows = {r["draw"]: r for r in pool.collect()}
+    assert sorted(rows) == list(range(3000)) and pool.columns == ["draw", "a", "b"]
+    hot = sum(r["a"] == "hot" for r in rows.values())
+    assert abs(hot - 2000) < 150
+    assert len({r["a"] for r in rows.values()}) > 500
+    for level, n in ((None, 750), ("0", 750), ("1", 1500)):
+        assert abs(sum(r["b"] == level for r in rows.values()) - n) < 130
+    both = sum(r["a"] == "hot" and r["b"] is None for r in rows.values())
+    assert abs(both - 500) < 100  # unrelated columns
+    again = value_pool(df.repartition(11).orderBy(F.desc("a")), ["a", "b"], 3000)
+    assert {r["draw"]: r for r in again.collect()} == rows
+    assert value_pool(df, ["a", "b"], 3000, seed=1).exceptAll(pool).count() > 0
+    assert value_pool(df.limit(0), ["a", "b"], 10).count() == 0
+    assert value_pool(df.limit(1), ["a"], 5).count() == 5
