@@ -1,26 +1,33 @@
 """N-gram Jaccard join with a token-group matrix.
 
-A document is the set of its distinct word shingles. Similar documents are
-partitioned into groups around a leader that each member is linked to; for every
-group the union of its members' tokens is stored; a query's overlap with that
-union bounds its overlap with each member, so only groups where the bound
-reaches the threshold are opened and their members compared exactly. As all of a
-group is connected through its leader, one link to a member joins the query to it.
-
-The rows of the matrix that finds the groups of a query are not single shingles,
+A document is the set of its distinct word shingles. The matrix holds, for every
+token, the group of documents that have it. The rows are not single shingles,
 which are as frequent as the passages they come from, but coarse tokens: a hash
 divides the shingles into parts, and a part with all its shingles is one token.
 Two sets of J >= t in a size class differ in at most D shingles; with D + 1 + g
 parts they agree in g + 1 parts or more. So a document needs g + 1 coarse tokens
-of the group's union in common (the bound), and it may leave out its g most
+in common with others (the bound), and it may leave out its g most
 frequent ones and still meet every partner. Parts without shingles do not count:
 a document with more than g of them is also divided by further hashes, and only
 after the last one do its empty parts count.
 
+A group is not compared pair by pair but with its leader O, the smallest document, which
+gives links and, for each member A, its difference a = A xor O. Members linked to O are
+connected. For any other linked pair A, B, one of them not linked to O, the differences
+overlap: |a & b| = (|a| + |b| - |A xor B|) / 2, where |A xor B| <= r (|A| + |B|) with
+r = (1 - t) / (1 + t), and |b| > r (|B| + |O|) if B is the one not linked, so that
+2 |a & b| > |a| + r (|O| - |A|). Thus at least about half of a difference is shared, and near
+copies that each differ from O in their own way never meet. The first shingles of the
+differences, in an order that all members of O share (rare ones first, as counted in a few
+members), are the tokens of the next round's matrix: as many as the bound leaves over.
+Leaders only grow from round to round, so the groups run out. Groups of few members, and what is
+left when that is little or after ``ROUNDS`` rounds, are compared within the group, where a
+query's overlap with the union of a block's shingles bounds that with each member.
+
 Skew: equal sets are one document; sets travel only for documents that share
-enough coarse tokens; groups and queries are cut into blocks of bounded size,
-and a heavy group's blocks are spread by a salt. No pairs within a group are
-enumerated.
+enough coarse tokens; groups are cut into blocks of bounded size,
+and a heavy group's blocks are spread by a salt. A group costs its members once for
+each round; only groups left after the last round cost their square.
 
 Nulls: a null text has no words and no links, as an empty one. A row with a null
 doc_id has no links and a null component. Rows that repeat a doc_id count as one
@@ -30,6 +37,7 @@ document with each of their texts. Empty tables give no rows; extra columns are
 from __future__ import annotations
 
 import bisect
+import functools
 import math
 
 import numpy as np
@@ -40,13 +48,23 @@ from adspark.llm._common import (
     WordHashes, byte_texts, known_keys, mixed, shingles, spread_lookup, stored, words,
 )
 from adspark.llm.components import components
-from adspark.llm.tiles import tiled_links
+from adspark.llm.tiles import tiled_links, tiles
 from adspark.sources.scratch import release
 
 GROWTH = 1.4
 SCHEMES = 4
 #: Shingles of a block of queries or members.
-BLOCK_SHINGLES = 200_000
+BLOCK_SHINGLES = 50_000
+#: Rounds of comparing groups with their leaders.
+ROUNDS = 6
+#: Members of a group up to which all are compared with all.
+FEW = 64
+#: Pairs for each document of a group, on average, up to which the rest is compared with all.
+PAIRS = 1000
+#: Rows of tokens from which documents that are connected already are looked up between rounds.
+CONNECTED = 2000
+#: About so many members of a larger group give the order of its differences.
+SAMPLED = 16
 #: Coarse tokens of a part in which repeated ones are found.
 PART_TOKENS = 4_000_000
 
@@ -210,7 +228,7 @@ def set_table(docs: DataFrame, ids: DataFrame, n_words: int) -> DataFrame:
 
 
 def linked(q_sets: list[np.ndarray], sets: list[np.ndarray], num: int, den: int) -> tuple:
-    """(query, member) indexes: for each query one member with J >= num / den, if any.
+    """(query, member) indexes of links J >= num / den that connect whatever links of the tile connect.
 
     The union of the members' tokens bounds a query's overlap first; only queries
     that reach the threshold there are compared with the members.
@@ -221,20 +239,193 @@ def linked(q_sets: list[np.ndarray], sets: list[np.ndarray], num: int, den: int)
     order = np.argsort(tokens, kind="stable")
     union, start, count = np.unique(tokens[order], return_index=True, return_counts=True)
     owner = owner[order]
-    out = np.full(len(q_sets), -1)
+    root = np.arange(len(sets))  # of members, as joined by queries so far
+    qi, mi = [], []
     for i, q in enumerate(q_sets):
         at = np.searchsorted(union, q)
         at = at[(at < len(union)) & (union[np.minimum(at, len(union) - 1)] == q)]
-        if den * len(at) < num * len(q):
+        if not len(q) or den * len(at) < num * len(q):
             continue
         n = count[at]
         first = np.repeat(start[at] - np.cumsum(n) + n, n)
         shared = np.bincount(owner[first + np.arange(n.sum())], minlength=len(sets))
         good = np.flatnonzero(den * shared >= num * (len(q) + size - shared))
         if len(good):
-            out[i] = good[0]
-    found = np.flatnonzero(out >= 0)
-    return found, out[found]
+            _, one = np.unique(root[good], return_index=True)
+            chosen = good[one]
+            qi += [i] * len(chosen)
+            mi += chosen.tolist()
+            root[np.isin(root, root[chosen])] = root[chosen].min()
+    return np.array(qi, np.int64), np.array(mi, np.int64)
+
+
+def commonness(lead: np.ndarray, sample: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles in which members of the sample differ from the lead, and how many do."""
+    gaps = [np.setxor1d(s, lead, assume_unique=True) for s in sample]
+    return np.unique(np.concatenate([lead[:0], *gaps]), return_counts=True)
+
+
+def against(q: np.ndarray, lead: np.ndarray, known: np.ndarray, count: np.ndarray,
+            num: int, den: int) -> tuple:
+    """(linked, own, either): whether J >= num / den, and the shingles of the difference
+    to meet partners by: two documents not linked to the lead meet by ``own`` ones, one
+    that is not and one that is by ``either``. ``known`` and ``count`` order them."""
+    if not len(q) or not len(lead):  # no partners
+        return False, q[:0], q[:0]
+    at = np.searchsorted(lead, q)
+    both = lead[np.minimum(at, len(lead) - 1)] == q
+    lacks = np.ones(len(lead), bool)
+    lacks[at[both]] = False
+    gap = np.r_[q[~both], lead[lacks]]
+    n, shared = len(gap), int(both.sum())
+    often = np.zeros(n, np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, gap), len(known) - 1)
+        often = np.where(known[at] == gap, count[at], 0)
+    gap = gap[np.lexsort((gap, np.arange(n) >= len(q) - shared, often))]
+    # the least that is shared with a partner not linked to the lead, and with any
+    half = (n * (den + num) + (den - num) * (len(lead) - len(q))) // (2 * (den + num)) + 1
+    least = max(1, n - len(q) * (den - num) // num)
+    if den * shared >= num * (len(q) + len(lead) - shared):
+        return True, gap[:0], gap[:max(0, n - half + 1)] if n else gap
+    return False, gap[:max(0, n - max(half, least) + 1)], gap[:n - least + 1]
+
+
+COMPARED = "doc bigint, member bigint, linked boolean, own array<bigint>, either array<bigint>"
+
+
+def compared(asks: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(gid, doc) documents with their leaders: links, and the tokens of their differences.
+
+    Groups of few members are settled here: all their links, and no tokens.
+    """
+    def rows_of(gid: int, whole: bool, ids: list, sets: list, members: list, others: list) -> list:
+        leads = [m for i, m in zip(members, others) if i == gid]
+        if whole:
+            qi, mi = linked(sets, [*leads, *sets], num, den)
+            names = [*[gid] * len(leads), *ids]
+            return [(ids[q], names[m], True, [], []) for q, m in zip(qi, mi) if ids[q] != names[m]]
+        rows = []
+        sample = [m for i, m in zip(members, others) if i != gid]
+        for lead in leads:
+            name = mixed(lead).sum(dtype=np.uint64)
+            known, count = commonness(lead, sample)
+            for doc, q in zip(ids, sets):
+                hit, *tokens = against(q, lead, known, count, num, den)
+                rows.append((doc, gid, hit, *(
+                    mixed(x ^ name, seed).view(np.int64) for x, seed in zip(tokens, (11, 13)))))
+        return rows
+
+    def run(batches):
+        names = ("gid", "blocks", "ids", "bodies", "m_ids", "m_bodies")
+        for b in batches:
+            for i in range(b.num_rows):
+                gid, blocks, ids, bodies, members, others = (
+                    b.column(b.schema.get_field_index(x))[i].as_py() for x in names)
+                rows = rows_of(
+                    gid, blocks == 1 and len(set(ids)) <= FEW, ids,
+                    [np.frombuffer(x, np.uint64) for x in bodies], members,
+                    [np.frombuffer(x, np.uint64) for x in others])
+                cols = list(zip(*rows)) or [[]] * 5
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, k) for c, k in zip(cols, (
+                        pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()),
+                        pa.list_(pa.int64())))],
+                    names=["doc", "member", "linked", "own", "either"])
+
+    parts = int(asks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sizes = stored(asks.groupBy("gid").agg(F.count("*").alias("w")), "ask-sizes")
+    large = sizes.filter(F.col("w") > FEW).withColumn("members", F.col("w"))
+    total = int(sizes.agg(F.sum("w")).first()[0] or 0)
+    sample = spread_lookup(asks, large, "gid", "w", total, parts, F.xxhash64("doc")).filter(
+        F.pmod(F.xxhash64("doc", "gid"), F.floor(F.col("members") / SAMPLED)) == 0)
+    heads = sizes.select("gid", F.col("gid").alias("doc")).unionByName(sample.select("gid", "doc"))
+    pairs, read = tiles(asks, heads, sets, BLOCK_SHINGLES, 1 << 40, FEW)
+    out = stored(pairs.mapInArrow(run, COMPARED), "compared")
+    for table in (*read, sizes):
+        release(table)
+    return out
+
+
+def next_tokens(found: DataFrame) -> DataFrame:
+    """(tok, doc, side): tokens of the differences; side 0 meets side 0, side 1 side 2."""
+    return found.select("doc", F.explode(F.array(
+        F.struct(F.col("own").alias("toks"), F.lit(0).alias("side")),
+        F.struct(F.col("either").alias("toks"),
+                 F.when(F.col("linked"), 1).otherwise(2).alias("side")))).alias("x")).select(
+        "doc", "x.side", F.explode("x.toks").alias("tok"))
+
+
+def meeting(tokens: DataFrame) -> tuple[DataFrame, int]:
+    """(tok, gid, w), written: tokens of documents that meet and are not connected yet, with the
+    smallest document and the number of rows; the sum of these."""
+    heads = stored(tokens.groupBy("tok").agg(
+        F.min("doc").alias("gid"), F.max("doc").alias("last"), F.count("*").alias("w"),
+        F.min("side").alias("low"), F.max("side").alias("high"),
+        F.min("root").alias("root"), F.max("root").alias("other"))
+        .filter("gid <> last and root <> other and (low = 0 or low = 1 and high = 2)")
+        .select("tok", "gid", "w"), "heads")
+    return heads, int(heads.agg(F.sum("w")).first()[0] or 0)
+
+
+def group_links(tokens: DataFrame, docs: DataFrame, n_words: int, num: int,
+                den: int) -> list[DataFrame]:
+    """Tables (a, b) of links that connect all linked documents that share a token.
+
+    ``tokens`` is a stored table (tok, doc, side); a token counts if documents of sides that
+    meet have it.
+    """
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    links, sets = [], None
+    for left in range(ROUNDS, -1, -1):
+        heads, total = meeting(tokens.withColumn("root", F.col("doc")))
+        if links and total > CONNECTED:
+            release(heads)
+            roots = components(functools.reduce(DataFrame.unionByName, links))
+            for table in links:
+                release(table)
+            heads, total = meeting(
+                tokens.join(roots.withColumnRenamed("id", "doc"), "doc", "left")
+                .withColumn("root", F.coalesce("root", "doc")))
+            links = [stored(roots.filter("id <> root").select(
+                F.col("id").alias("a"), F.col("root").alias("b")), "stars")]
+            release(roots)
+        if not total:
+            release(heads)
+            break
+        grouped = spread_lookup(tokens.select("tok", "doc"), heads, "tok", "w", total, parts,
+                                F.xxhash64("doc"))
+        grouped = grouped.filter(F.col("gid").isNotNull())
+        asks = stored(grouped.select("gid", "doc").distinct(), "asks")
+        if sets is None:
+            ids = stored(asks.select("doc").distinct(), "set-ids")
+            sets = set_table(docs, ids, n_words)
+            release(ids)
+        release(tokens)
+        release(heads)
+        rows, pairs = asks.groupBy("gid").agg(F.count("*").alias("w")).agg(
+            F.sum("w"), F.sum(F.col("w") * F.col("w"))).first()
+        if not left or links and pairs <= PAIRS * rows:
+            found = tiled_links(
+                asks, asks, sets, BLOCK_SHINGLES,
+                lambda *sides: linked(*[[np.frombuffer(x, np.uint64) for x in side]
+                                        for side in sides], num, den))
+            links.append(stored(found.filter("doc <> member").select(
+                F.col("doc").alias("a"), F.col("member").alias("b")).distinct(), "stars"))
+            release(found)
+            release(asks)
+            break
+        found = compared(asks.filter("doc <> gid"), sets, num, den)
+        release(asks)
+        links.append(stored(found.filter("linked").select(
+            F.col("doc").alias("a"), F.col("member").alias("b")).distinct(), "stars"))
+        tokens = stored(next_tokens(found), "next-tokens")
+        release(found)
+    release(tokens)
+    if sets is not None:
+        release(sets)
+    return links
 
 
 def jaccard_components(docs: DataFrame, n_words: int = 3, num: int = 9,
@@ -242,10 +433,6 @@ def jaccard_components(docs: DataFrame, n_words: int = 3, num: int = 9,
     """doc_id, n_shingles, component_id: the smallest doc_id reachable by links of
     Jaccard similarity num / den or more between sets of ``n_words``-word shingles."""
 
-    def compare(left: list[bytes], right: list[bytes]) -> tuple:
-        return linked(*[[np.frombuffer(x, np.uint64) for x in side] for side in (left, right)],
-                      num, den)
-
     Parts(num, den)  # refuses thresholds for which links would be missed
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -280,8 +467,7 @@ def jaccard_components(docs: DataFrame, n_words: int = 3, num: int = 9,
     for table in (sketches, copies, maybe):
         release(table)
     live = stored(
-        each.groupBy("sig").agg(F.count("*").alias("w"), F.min("doc").alias("lead"),
-                                F.max("index").alias("indexed"))
+        each.groupBy("sig").agg(F.count("*").alias("w"), F.max("index").alias("indexed"))
         .filter("w > 1 and indexed").drop("indexed"), "live")
     total = int(live.agg(F.sum("w")).first()[0] or 0)
     hits = spread_lookup(
@@ -290,58 +476,20 @@ def jaccard_components(docs: DataFrame, n_words: int = 3, num: int = 9,
     # a document needs `least` shared ones; its most frequent `least - 1` are left out
     by_doc = hits.groupBy("doc", "index").agg(
         F.first("least").alias("least"),
-        F.sort_array(F.collect_list(F.struct("df", "sig", "lead"))).alias("sigs"))
-    kept = stored(
-        by_doc.filter(F.size("sigs") >= F.col("least"))
-        .select("doc", "index", F.slice(
-            "sigs", 1, F.size("sigs") - F.col("least") + 1).alias("sigs")), "kept")
+        F.sort_array(F.collect_list(F.struct("df", "sig"))).alias("sigs"))
+    kept = by_doc.filter(F.size("sigs") >= F.col("least")).select(
+        "doc", "index", F.explode(F.slice(
+            "sigs", 1, F.size("sigs") - F.col("least") + 1)).alias("x"))
+    # a token meets if one document has it in its own class
+    kept = stored(kept.select("doc", F.when(F.col("index"), 0).otherwise(1).alias("side"),
+                              F.col("x.sig").alias("tok")), "kept")
     release(each)
     release(live)
-
-    # groups: documents linked to the smallest document that shares a coarse token
-    lead = F.array_min(F.transform("sigs", lambda x: x["lead"]))
-    leads = stored(kept.groupBy("doc").agg(F.min(lead).alias("gid")), "leads")
-    ids = stored(leads.select("doc").union(leads.select("gid")).distinct(), "set-ids")
-    sets = set_table(docs, ids, n_words)
-    release(ids)
-    followers = leads.filter("doc <> gid").select("gid", "doc")
-    heads = followers.select("gid").distinct().withColumn("doc", F.col("gid"))
-    direct = tiled_links(followers, heads, sets, BLOCK_SHINGLES, compare)
-    stars = stored(direct.select("doc", "member").distinct(), "stars")
-    release(direct)
-    groups = stored(
-        leads.select("doc").join(stars.withColumnRenamed("member", "gid"), "doc", "left")
-        .groupBy("doc").agg(F.coalesce(F.min("gid"), F.col("doc")).alias("gid")), "groups")
-    release(leads)
-
-    # queries meet the groups that hold one of their coarse tokens, their own excepted;
-    # tokens that stay within one group are left out first
-    tagged = stored(kept.join(groups, "doc").select(
-        "doc", "gid", "index", F.explode(F.transform("sigs", lambda x: x["sig"])).alias("sig")),
-        "tagged")
-    release(kept)
-    wide = stored(tagged.groupBy("sig").agg(
-        F.min("gid").alias("a"), F.max("gid").alias("b"), F.max("index").alias("held"))
-        .filter("held and a <> b").select("sig"), "wide")
-    open_tokens = known_keys(tagged, wide, "sig")
-    held = open_tokens.filter("index").select("sig", F.col("gid").alias("other")).distinct()
-    met = (open_tokens.select("sig", "doc", "gid").join(held, "sig").filter("other <> gid")
-           .select("doc", F.col("other").alias("gid")).distinct())
-    met = stored(met, "met")
-    release(tagged)
-    release(wide)
-    opened = met.select("gid").distinct()
-    inside = groups.join(opened, "gid").select("gid", "doc")
-    # a leader is a member of its own group even where it follows another leader
-    inside = stored(inside.unionByName(opened.select(
-        "gid", F.col("gid").alias("doc"))).distinct(), "inside")
-    more = tiled_links(met, inside, sets, BLOCK_SHINGLES, compare)
-    for table in (met, inside, groups, sets):
+    found = group_links(kept, docs, n_words, num, den)
+    none = spark.range(0).select(F.col("id").alias("a"), F.col("id").alias("b"))
+    linked_docs = components(functools.reduce(DataFrame.unionByName, found, none))
+    for table in found:
         release(table)
-    links = stars.unionByName(more).select(F.col("doc").alias("a"), F.col("member").alias("b"))
-    linked_docs = components(links)
-    release(stars)
-    release(more)
     weights = named.groupBy("rep").agg(F.count("*").alias("w"))
     roots = stored(linked_docs.withColumnRenamed("id", "rep").join(weights, "rep"), "roots")
     release(linked_docs)

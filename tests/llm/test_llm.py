@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from adspark.llm import (
-    chat, components, idfile, jaccard, lines, mixing, packing, pitman_yor, quality, tokens,
+    chat, components, idfile, jaccard, lines, mixing, packing, pitman_yor, quality, tiles, tokens,
     topk, warc,
 )
 from adspark.llm.files import as_uri
@@ -824,6 +824,63 @@ def test_jaccard_components_match_brute_force(spark, odd, none, n, num, den, mon
     assert jaccard.jaccard_components(none).count() == 0
 
 
+def near_copies(rng, size, copies, edits, first=0):
+    """Copies of one text, each with edits of its own."""
+    base = [f"w{i}" for i in range(size)]
+    out = []
+    for i in range(copies):
+        w = list(base)
+        for at in rng.sample(range(size), edits(i)):
+            w[at] = f"z{rng.randrange(10**6)}"
+        out.append((first + i, " ".join(w)))
+    return out
+
+
+@pytest.mark.parametrize("rounds,few", [(0, 64), (1, 3), (6, 3)])
+def test_jaccard_rounds_and_the_rest_match_brute_force(spark, rounds, few, monkeypatch):
+    monkeypatch.setattr(jaccard, "ROUNDS", rounds)
+    monkeypatch.setattr(jaccard, "FEW", few)
+    monkeypatch.setattr(jaccard, "SAMPLED", 2)
+    monkeypatch.setattr(jaccard, "PAIRS", 1 if rounds == 6 else 1000)
+    monkeypatch.setattr(jaccard, "CONNECTED", 10 if few == 3 else 10**9)
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 2000)
+    rng = random.Random(rounds)
+    docs = near_copies(rng, 90, 40, lambda i: rng.choice([2, 3, 4, 5]))
+    for family in range(4):  # copies of copies, so that links form chains
+        _, text = docs[rng.randrange(len(docs))]
+        for i in range(12):
+            w = text.split()
+            for _ in range(rng.choice([1, 1, 2])):
+                at = rng.randrange(len(w))
+                w[at:at + rng.randrange(2)] = [f"y{rng.randrange(60)}"]
+            text = " ".join(w)
+            docs.append((len(docs), text))
+    docs += [(docs[i][0], docs[i + 1][1]) for i in (3, 30)] + [(7, None)]
+    rng.shuffle(docs)
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5)
+    for n, num, den in ((3, 9, 10), (5, 8, 10)):
+        got = sorted(map(tuple, jaccard.jaccard_components(frame, n, num, den).collect()), key=str)
+        assert got == brute_jaccard(docs, n, num, den)
+
+
+def test_jaccard_near_copies_below_the_threshold_are_not_paired(spark, monkeypatch):
+    asked = []
+    write = tiles.stored
+
+    def counted(df, label, *args):
+        out = write(df, label, *args)
+        if label == "queries-sizes":
+            asked.append(out.count())
+        return out
+
+    monkeypatch.setattr(tiles, "stored", counted)
+    docs = near_copies(random.Random(1), 100, 300, lambda i: 4)
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = jaccard.jaccard_components(frame, 3, 9, 10).collect()
+    assert len({r["component_id"] for r in got}) > 200
+    assert sum(asked) < 12 * len(docs)
+
+
 def test_jaccard_refuses_thresholds_with_partners_two_classes_up(spark, none):
     for num, den in ((9, 10), (8, 10)):
         parts = jaccard.Parts(num, den)
