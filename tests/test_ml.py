@@ -244,3 +244,11 @@ def test_pool_draws_levels_by_their_frequency(spark):
     assert value_pool(df, ["a", "b"], 3000, seed=1).exceptAll(pool).count() > 0
     assert value_pool(df.limit(0), ["a", "b"], 10).count() == 0
     assert value_pool(df.limit(1), ["a"], 5).count() == 5
+
+
+def test_encoding_queries_read_features_written_once(spark, sf):
+    from adspark.plans.catalog import encoding
+
+    for query in (encoding.encode_hybrid, encoding.encode_hybrid_bucketed, encoding.encoded_matrix):
+        files = query(spark, sf).inputFiles()
+        assert files and not any("events.parquet" in f for f in files)
