@@ -11,7 +11,9 @@ frequent ones and still meet every partner. Parts without shingles do not count:
 a document with more than g of them is also divided by further hashes, and only
 after the last one do its empty parts count.
 
-A group is not compared pair by pair but with its leader O, the smallest document, which
+Groups of up to ``FEW`` documents are compared pair by pair, where a
+query's overlap with the union of a block's shingles bounds that with each member: at most
+``FEW`` comparisons for each document and group. A larger one is compared with its leader O, the smallest document, which
 gives links and, for each member A, its difference a = A xor O. Members linked to O are
 connected. For any other linked pair A, B, one of them not linked to O, the differences
 overlap: |a & b| = (|a| + |b| - |A xor B|) / 2, where |A xor B| <= r (|A| + |B|) with
@@ -20,9 +22,8 @@ r = (1 - t) / (1 + t), and |b| > r (|B| + |O|) if B is the one not linked, so th
 copies that each differ from O in their own way never meet. The first shingles of the
 differences, in an order that all members of O share (rare ones first, as counted in a few
 members), are the tokens of the next round's matrix: as many as the bound leaves over.
-Leaders only grow from round to round, so the groups run out. Groups of few members, and what is
-left when that is little or after ``ROUNDS`` rounds, are compared within the group, where a
-query's overlap with the union of a block's shingles bounds that with each member.
+Leaders only grow from round to round, so the groups run out. What is
+left when that is little or after ``ROUNDS`` rounds is compared within the group.
 
 Skew: equal sets are one document; sets travel only for documents that share
 enough coarse tokens; groups are cut into blocks of bounded size,
@@ -57,9 +58,9 @@ SCHEMES = 4
 BLOCK_SHINGLES = 50_000
 #: Rounds of comparing groups with their leaders.
 ROUNDS = 6
-#: Members of a group up to which all are compared with all.
-FEW = 64
-#: Pairs for each document of a group, on average, up to which the rest is compared with all.
+#: Documents of a group up to which all are compared with all; fewer rows than tokens of their differences.
+FEW = 1000
+#: Pairs for each document of a larger group, on average, up to which the rest is compared with all.
 PAIRS = 1000
 #: Rows of tokens from which documents that are connected already are looked up between rounds.
 CONNECTED = 2000
@@ -295,16 +296,9 @@ COMPARED = "doc bigint, member bigint, linked boolean, own array<bigint>, either
 
 
 def compared(asks: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(gid, doc) documents with their leaders: links, and the tokens of their differences.
-
-    Groups of few members are settled here: all their links, and no tokens.
-    """
-    def rows_of(gid: int, whole: bool, ids: list, sets: list, members: list, others: list) -> list:
+    """(gid, doc) documents with their leaders: links, and the tokens of their differences."""
+    def rows_of(gid: int, ids: list, sets: list, members: list, others: list) -> list:
         leads = [m for i, m in zip(members, others) if i == gid]
-        if whole:
-            qi, mi = linked(sets, [*leads, *sets], num, den)
-            names = [*[gid] * len(leads), *ids]
-            return [(ids[q], names[m], True, [], []) for q, m in zip(qi, mi) if ids[q] != names[m]]
         rows = []
         sample = [m for i, m in zip(members, others) if i != gid]
         for lead in leads:
@@ -317,14 +311,13 @@ def compared(asks: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
         return rows
 
     def run(batches):
-        names = ("gid", "blocks", "ids", "bodies", "m_ids", "m_bodies")
+        names = ("gid", "ids", "bodies", "m_ids", "m_bodies")
         for b in batches:
             for i in range(b.num_rows):
-                gid, blocks, ids, bodies, members, others = (
+                gid, ids, bodies, members, others = (
                     b.column(b.schema.get_field_index(x))[i].as_py() for x in names)
                 rows = rows_of(
-                    gid, blocks == 1 and len(set(ids)) <= FEW, ids,
-                    [np.frombuffer(x, np.uint64) for x in bodies], members,
+                    gid, ids, [np.frombuffer(x, np.uint64) for x in bodies], members,
                     [np.frombuffer(x, np.uint64) for x in others])
                 cols = list(zip(*rows)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays(
@@ -335,12 +328,13 @@ def compared(asks: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
 
     parts = int(asks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sizes = stored(asks.groupBy("gid").agg(F.count("*").alias("w")), "ask-sizes")
-    large = sizes.filter(F.col("w") > FEW).withColumn("members", F.col("w"))
     total = int(sizes.agg(F.sum("w")).first()[0] or 0)
-    sample = spread_lookup(asks, large, "gid", "w", total, parts, F.xxhash64("doc")).filter(
-        F.pmod(F.xxhash64("doc", "gid"), F.floor(F.col("members") / SAMPLED)) == 0)
+    step = F.greatest(F.lit(1), F.floor(F.col("w") / SAMPLED))
+    sample = spread_lookup(asks, sizes.withColumn("step", step), "gid", "w", total, parts,
+                           F.xxhash64("doc")).filter(
+        F.pmod(F.xxhash64("doc", "gid"), F.col("step")) == 0)
     heads = sizes.select("gid", F.col("gid").alias("doc")).unionByName(sample.select("gid", "doc"))
-    pairs, read = tiles(asks, heads, sets, BLOCK_SHINGLES, 1 << 40, FEW)
+    pairs, read = tiles(asks, heads, sets, BLOCK_SHINGLES, 1 << 40)
     out = stored(pairs.mapInArrow(run, COMPARED), "compared")
     for table in (*read, sizes):
         release(table)
@@ -404,20 +398,27 @@ def group_links(tokens: DataFrame, docs: DataFrame, n_words: int, num: int,
             release(ids)
         release(tokens)
         release(heads)
-        rows, pairs = asks.groupBy("gid").agg(F.count("*").alias("w")).agg(
-            F.sum("w"), F.sum(F.col("w") * F.col("w"))).first()
-        if not left or links and pairs <= PAIRS * rows:
-            found = tiled_links(
-                asks, asks, sets, BLOCK_SHINGLES,
-                lambda *sides: linked(*[[np.frombuffer(x, np.uint64) for x in side]
-                                        for side in sides], num, den))
-            links.append(stored(found.filter("doc <> member").select(
-                F.col("doc").alias("a"), F.col("member").alias("b")).distinct(), "stars"))
-            release(found)
-            release(asks)
+        sizes = stored(asks.groupBy("gid").agg(F.count("*").alias("w")), "ask-sizes")
+        large = sizes.filter(F.col("w") > FEW)
+        rows, pairs = large.agg(F.sum("w"), F.sum(F.col("w") * F.col("w"))).first()
+        every = not left or not rows or bool(links) and pairs <= PAIRS * rows
+        some = asks if every else stored(
+            known_keys(asks, large.select("gid"), "gid", "left_anti"), "few-asks")
+        found = tiled_links(
+            some, some, sets, BLOCK_SHINGLES,
+            lambda *sides: linked(*[[np.frombuffer(x, np.uint64) for x in side]
+                                    for side in sides], num, den))
+        links.append(stored(found.filter("doc <> member").select(
+            F.col("doc").alias("a"), F.col("member").alias("b")).distinct(), "stars"))
+        release(found)
+        release(some)
+        if every:
+            release(sizes)
             break
-        found = compared(asks.filter("doc <> gid"), sets, num, den)
+        found = compared(known_keys(asks, large.select("gid"), "gid").filter("doc <> gid"),
+                         sets, num, den)
         release(asks)
+        release(sizes)
         links.append(stored(found.filter("linked").select(
             F.col("doc").alias("a"), F.col("member").alias("b")).distinct(), "stars"))
         tokens = stored(next_tokens(found), "next-tokens")

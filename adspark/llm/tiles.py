@@ -12,20 +12,14 @@ from adspark.llm._common import spread_lookup, stored
 from adspark.sources.scratch import release
 
 TILES_PER_SALT = 8
-FEW_BLOCKS = 64
 
 
-def _blocks(pairs: DataFrame, bodies: DataFrame, side: str, block_size: int,
-            few: int = 0) -> DataFrame:
-    """(gid, block, blocks, ids, bodies): rows of a group in blocks of bounded size, written.
-
-    Groups of at most ``few`` rows get blocks of ``FEW_BLOCKS`` times the size.
-    """
+def _blocks(pairs: DataFrame, bodies: DataFrame, side: str, block_size: int) -> DataFrame:
+    """(gid, block, blocks, ids, bodies): rows of a group in blocks of bounded size, written."""
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = sizes = stored(pairs.join(bodies.select("doc", "n"), "doc"), f"{side}-sizes")
     sums = stored(rows.groupBy("gid").agg(
-        F.ceil(F.sum("n") / F.when(F.count("*") <= few, FEW_BLOCKS * block_size).otherwise(
-            block_size)).alias("blocks"), F.count("*").alias("w")), side)
+        F.ceil(F.sum("n") / block_size).alias("blocks"), F.count("*").alias("w")), side)
     rows = spread_lookup(rows, sums, "gid", "w", rows.count(), parts, F.xxhash64("doc"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks"))).drop("n")
     full = rows.join(bodies.select("doc", "body"), "doc")
@@ -46,24 +40,25 @@ def _blocks(pairs: DataFrame, bodies: DataFrame, side: str, block_size: int,
 
 
 def tiles(queries: DataFrame, members: DataFrame, bodies: DataFrame, block_size: int,
-          member_size: int = 0, few: int = 0) -> tuple[DataFrame, list[DataFrame]]:
-    """(gid, blocks, ids, bodies, m_ids, m_bodies) of every tile, and the tables to release when
-    they are read; ``blocks`` counts the query blocks of the group.
+          member_size: int = 0) -> tuple[DataFrame, list[DataFrame]]:
+    """(gid, ids, bodies, m_ids, m_bodies) of every tile, and the tables to release when
+    they are read.
 
     ``queries`` and ``members`` are (gid, doc), ``bodies`` a stored table (doc, n, body), n the
     size of a body. A tile is a block of a group's queries with a block of its members; tiles of a
     heavy group are spread by a salt. Blocks of members may have a size of their own,
-    ``member_size``; a group of ``few`` queries is one block unless it is very large.
+    ``member_size``; queries that are the members are written once.
     """
-    asked = _blocks(queries, bodies, "queries", block_size, few)
+    asked = _blocks(queries, bodies, "queries", block_size)
     salts = F.ceil(F.col("blocks") / TILES_PER_SALT)
     q = asked.withColumn("salt", F.pmod("block", salts))
     per = q.groupBy("gid").agg(F.ceil(F.max("blocks") / TILES_PER_SALT).alias("salts"))
-    held = _blocks(members, bodies, "members", member_size or block_size)
+    held = asked if members is queries and not member_size else _blocks(
+        members, bodies, "members", member_size or block_size)
     m = held.join(per, "gid").select("gid", F.col("ids").alias("m_ids"), F.col("bodies").alias("m_bodies"),
                  F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt"))
-    out = q.select("gid", "salt", "blocks", "ids", "bodies").join(m, ["gid", "salt"])
-    return out.select("gid", "blocks", "ids", "bodies", "m_ids", "m_bodies"), [asked, held]
+    out = q.select("gid", "salt", "ids", "bodies").join(m, ["gid", "salt"])
+    return out.select("gid", "ids", "bodies", "m_ids", "m_bodies"), [asked, held]
 
 
 def tiled_links(queries: DataFrame, members: DataFrame, bodies: DataFrame, block_size: int,

@@ -881,6 +881,27 @@ def test_jaccard_near_copies_below_the_threshold_are_not_paired(spark, monkeypat
     assert sum(asked) < 12 * len(docs)
 
 
+def test_jaccard_groups_of_a_few_hundred_send_no_tokens(spark, monkeypatch):
+    sent = []
+    write = jaccard.stored
+
+    def counted(df, label, *args):
+        out = write(df, label, *args)
+        if label == "next-tokens":
+            sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "stored", counted)
+    docs = near_copies(random.Random(2), 100, 200, lambda i: 2 + i % 3)
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5)
+    got = sorted(map(tuple, jaccard.jaccard_components(frame, 3, 9, 10).collect()), key=str)
+    assert got == brute_jaccard(docs, 3, 9, 10)
+    assert not sum(sent)
+    monkeypatch.setattr(jaccard, "FEW", 64)  # larger groups go by leaders and tokens, to the same end
+    again = sorted(map(tuple, jaccard.jaccard_components(frame, 3, 9, 10).collect()), key=str)
+    assert again == got and sum(sent)
+
+
 def test_jaccard_refuses_thresholds_with_partners_two_classes_up(spark, none):
     for num, den in ((9, 10), (8, 10)):
         parts = jaccard.Parts(num, den)
