@@ -105,3 +105,25 @@ def test_stages_take_odd_rows_and_leave_one_table(spark, sf):
     packed = corpus_pipeline.packing_stage(spark, mixed, sf)
     assert packed.agg(F.max("length")).first()[0] <= 1024
     assert again.count() <= out.count()
+
+
+def test_source_mix_leaves_the_texts_where_they_are(spark, sf, monkeypatch):
+    from adspark.llm import mixing
+
+    plans, expand = [], mixing.expand
+
+    def seen(*args):
+        out = expand(*args)
+        plans.append(out._jdf.queryExecution().sparkPlan().toString())
+        return out
+
+    monkeypatch.setattr(mixing, "expand", seen)
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = spark.read.parquet(f"{sf}/documents.parquet")
+        assert corpus_pipeline.source_mix(spark, docs, sf).count() > 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert len(plans) == 1
+    assert "BroadcastHashJoin" in plans[0] and "SortMergeJoin" not in plans[0]
