@@ -3,10 +3,13 @@
 A word follows a context, the 64-bit hash of the word before it: a restaurant for each
 different word; all share one parent, whose own base is uniform over the known words and one unknown.
 Customers are the words of the training texts; every table of a context sends a
-customer to the parent. A first pass seats the customers one after the other. A sweep
-takes every customer once from its table and seats it again, with the probabilities of
-the Chinese restaurant process, and then does the same for all of the parent's with the
-tables that it now gets. After the burn-in, each sweep gives a sample; a word's
+customer to the parent. A first pass seats the customers. A sweep seats every
+customer again, with the probabilities of the Chinese restaurant process, and then does the
+same for all of the parent's with the tables that it now gets. A restaurant (of one word) with up to
+``DRAWN`` customers is seated as a whole: only its number of tables matters, t with
+probability proportional to fresh ** t * S(c, t), S the generalised Stirling numbers, which is what
+seating one by one converges to. In larger ones customers sit down one after the other in the first
+pass, and in a sweep each gets up once. After the burn-in, each sweep gives a sample; a word's
 probability is the mean over samples.
 
 Spark's part. Words are dealt to parts by hash, so that all contexts of a word, its
@@ -33,13 +36,15 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from adspark.llm._common import (
-    WordHashes, byte_texts, mixed, parts_for, stored, text_bytes, words,
+from adspark.llm._common import (  # noqa: F401 (hashes by name for tests)
+    WordHashes, give_back, mixed, parts_for, stored, text_bytes,
 )
 from adspark.llm.files import as_uri, put_file
 from adspark.sources.scratch import new_scratch_path, release
@@ -57,6 +62,8 @@ ROOT_DISCOUNT, ROOT_STRENGTH = 0.7, 100.0
 BURN_IN, SAMPLES = 3, 4
 #: Restaurants up to which each is seated by itself; random numbers drawn at a time for one.
 FEW, DRAWS = 300, 1 << 16
+#: Customers up to which a restaurant is seated as a whole; weights held at a time for that.
+DRAWN, CELLS = 1024, 1 << 19
 ROW = "k bigint, kind int, blob binary"
 
 
@@ -157,38 +164,89 @@ def seated(c, fresh, discount, rng, owner, size, again=False):
 
 
 def _seat_one(p, have, spare, fresh, discount, rng, again, seat, n, empty, start) -> None:
-    """The steps of one restaurant from ``p`` on; few large ones are faster one by one."""
-    c, sizes = len(seat), n
-    seat, n, empty = memoryview(seat), n.tolist(), memoryview(empty)
-    draws = iter(())
-    for i in range(p if again else have + p, c):
-        others = i
+    """The steps of one restaurant from ``p`` on; few large ones are faster one by one.
+
+    Whom a customer follows first does not depend on the tables, and is drawn for many at once.
+    """
+    c, sizes, seats = len(seat), n, seat
+    seats -= start
+    seat = seats.tolist() if c <= DRAWS else memoryview(seats)
+    n, empty = n.tolist(), memoryview(empty)
+    more = iter(())
+    for first in range(p if again else have + p, c, DRAWS):
+        who = np.arange(first, min(c, first + DRAWS))
+        others = np.full(len(who), c - 1) if again else who
+        x = rng.random(len(who)) * (others + fresh)
+        j = np.where(x < others, x, -1).astype(np.int64)
+        x -= j
         if again:
-            others, k = c - 1, seat[i] - start
-            n[k] -= 1
-            if not n[k]:
-                empty[spare] = k + start
-                spare += 1
-        while True:
-            x = next(draws, None)
-            if x is None:
-                draws = iter(rng.random(min(DRAWS, 2 * (c - i))).tolist())
-                x = next(draws)
-            x *= others + fresh
-            if x >= others:
-                spare -= 1
-                k = empty[spare] - start
-                break
-            j = int(x)
-            x -= j
-            k = seat[j + (again and j >= i)] - start
-            if x * n[k] >= discount:
-                break
-        n[k] += 1
-        seat[i] = k + start
+            j += j >= who
+        for i, j, x in zip(who.tolist(), j.tolist(), x.tolist()):
+            if again:
+                k = seat[i]
+                n[k] -= 1
+                if not n[k]:
+                    empty[spare] = k + start
+                    spare += 1
+            while True:
+                if j < 0:
+                    spare -= 1
+                    k = empty[spare] - start
+                    break
+                k = seat[j]
+                if x * n[k] >= discount:
+                    break
+                x = next(more, None)
+                if x is None:
+                    more = iter(rng.random(min(DRAWS, c)).tolist())
+                    x = next(more)
+                others = c - 1 if again else i
+                x *= others + fresh
+                j = -1
+                if x < others:
+                    j = int(x)
+                    x -= j
+                    j += again and j >= i
+            n[k] += 1
+            seat[i] = k
+    if c <= DRAWS:
+        seats[:] = seat
+    seats += start
     sizes[:] = n
 
 
+def drawn(c, fresh, discount, rng):
+    """Numbers of tables of restaurants with ``c`` customers, all of whom are seated anew.
+
+    The logarithms of the Stirling numbers of c customers follow from those of c - 1.
+    """
+    out = np.minimum(c, 1).astype(np.int64)
+    order = np.argsort(c, kind="stable")
+    top = int(c.max(initial=0))
+    edges = np.searchsorted(c[order], np.arange(2, top + 2))
+    slope = np.log(np.broadcast_to(fresh, len(c))[order])
+    tables = np.arange(1.0, top + 1)
+    row = np.zeros(1)  # for t from 1
+    for n, start, end in zip(range(2, top + 1), edges, edges[1:]):
+        stay = row + np.log(n - 1 - discount * tables[:n - 1])
+        last, row = row, np.empty(n)
+        row[0], row[-1] = stay[0], last[-1]
+        np.logaddexp(last[:-1], stay[1:], out=row[1:-1])
+        if n == 2 and end > start:
+            out[order[start:end]] += rng.random(end - start) * (
+                1 - discount + (f := np.exp(slope[start:end]))) < f
+            continue
+        for a in range(start, end, max(1, CELLS // n)):
+            b = min(end, a + max(1, CELLS // n))
+            weight = slope[a:b, None] * tables[:n]
+            weight += row
+            weight -= weight.max(axis=1, keepdims=True)
+            np.cumsum(np.exp(weight, out=weight), axis=1, out=weight)
+            x = rng.random(b - a) * weight[:, -1]
+            out[order[a:b]] = 1 + np.count_nonzero(weight[:, :-1] <= x[:, None], axis=1)
+    return out
+
+
 def gibbs(owner, size, who, fresh_of, discount, sweeps, rng):
     """``sweeps`` times every customer of each of ``who`` is seated again; ``fresh_of()`` gives
     the weights of a new table."""
@@ -247,27 +305,59 @@ def root_sweep(owner, size, wanted, totals, discount, rng, first=False):
 
 # ---- from texts to parts ----
 
-def block_rows(texts, names, hashes, block, parts, hot, spread):
+def word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of words of each text, the words of all as places in a list of hashes, and that
+    list, ascending."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("").cast(pa.large_string())))
+    flat = lists.flatten()
+    some = pc.greater(pc.binary_length(flat), 0)  # white space at an end leaves an empty word
+    n = np.bincount(pc.list_parent_indices(lists).to_numpy()[some.to_numpy(zero_copy_only=False)],
+                    minlength=len(texts))
+    coded = flat.filter(some).dictionary_encode()
+    different, digest = coded.dictionary, xxhash.xxh3_64_intdigest
+    _, places, letters = different.buffers()
+    edge = np.frombuffer(places, np.int64)[different.offset:][:len(different) + 1].tolist()
+    letters = letters.to_pybytes() if letters else b""
+    hashes, at = np.unique(np.fromiter(
+        (digest(letters[a:b]) for a, b in zip(edge, edge[1:])), np.uint64, len(different)),
+        return_inverse=True)
+    return n, at[coded.indices.to_numpy()], hashes
+
+
+def block_rows(texts, names, block, parts, hot, spread):
     """Rows of one block: its counts for each part, and its texts."""
-    seq = [hashes.of(words(t)) for t in texts]
-    n = np.array([len(s) + 1 for s in seq])
-    w = np.concatenate([x for s in seq for x in (s, [END])]).astype(np.uint64)
-    before = np.r_[START, w[:-1]]
-    before[np.cumsum(n)[:-1]] = START
-    rooms, ctx = np.unique(before, return_inverse=True)
-    doc = np.repeat(np.arange(len(texts)), n)
+    n, w, vocab = word_codes(texts)
+    give_back()
+    n = n + 1
+    ends = np.cumsum(n) - 1
+    vocab, at = np.unique(np.r_[vocab, END, START], return_inverse=True)
+    inner = np.ones(ends[-1] + 1, bool)
+    inner[ends] = False
+    word = np.full(len(inner), at[-2])
+    word[inner] = at[w]
+    del inner, w
+    ctx = np.r_[at[-1], word[:-1]]
+    ctx[ends[:-1] + 1] = at[-1]
     train = np.array([not held_out(d) for d in names])
-    vocab, at = np.unique(w, return_inverse=True)
-    del seq, w, before
-    pairs, at = np.unique(at * len(rooms) + ctx, return_inverse=True)
-    key, count = np.unique(at * len(texts) + doc, return_counts=True)
-    pair_no, doc = np.divmod(key, len(texts))
-    word, ctx = np.divmod(pairs[pair_no], len(rooms))
+    key = word * len(vocab) + ctx
+    del word, ctx
+    pairs = None
+    if len(vocab) ** 2 * len(texts) >= 1 << 63:
+        pairs, key = np.unique(key, return_inverse=True)
+    key *= len(texts)
+    key += np.repeat(np.arange(len(texts)), n)
+    key.sort()
+    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    count = np.diff(np.r_[start, len(key)])
+    pair_no, doc = np.divmod(key[start], len(texts))
+    word, ctx = np.divmod(pair_no if pairs is None else pairs[pair_no], len(vocab))
+    del key, start
     part = (mixed(vocab, 4) % np.uint64(parts)).astype(np.int64)[word]
     if len(hot):
         i = np.minimum(np.searchsorted(hot, vocab), len(hot) - 1)
         width = np.where(hot[i] == vocab, spread[i], 1)[word]
-        part = (part + (mixed(rooms, 2) >> np.uint64(1)).astype(np.int64)[ctx] % width) % parts
+        part = (part + (mixed(vocab, 2) >> np.uint64(1)).astype(np.int64)[ctx] % width) % parts
+    part = part.astype(np.min_scalar_type(parts))
     order = np.argsort(part, kind="stable")
     edges = np.searchsorted(part[order], np.arange(parts + 1))
     for k in range(parts):
@@ -276,11 +366,13 @@ def block_rows(texts, names, hashes, block, parts, hot, spread):
             continue
         pair = pair_no[x]
         start = np.flatnonzero(np.r_[True, np.diff(pair) != 0])
-        own, pairs_of = np.unique(word[x][start], return_counts=True)
+        own = word[x][start]
+        begin = np.flatnonzero(np.r_[True, np.diff(own) != 0])
+        own, pairs_of = own[begin], np.diff(np.r_[begin, len(own)])
         met, ctx_no = np.unique(ctx[x][start], return_inverse=True)
         yield k, 0, packed(
             block=block, words=vocab[own], pairs=least_type(pairs_of),
-            rooms=rooms[met], ctx=least_type(ctx_no),
+            rooms=vocab[met], ctx=least_type(ctx_no),
             train=least_type(np.add.reduceat(count[x] * train[doc[x]], start)),
             entries=least_type(np.diff(np.r_[start, len(x)])),
             doc=least_type(doc[x]), count=least_type(count[x]))
@@ -290,22 +382,33 @@ def block_rows(texts, names, hashes, block, parts, hot, spread):
 def counted(docs: DataFrame, parts: int, hot: np.ndarray, spread: np.ndarray) -> DataFrame:
     """The rows of all blocks."""
     def count(batches):
-        hashes, task, serial = WordHashes(), TaskContext.get().partitionId(), 0
+        task, serial = TaskContext.get().partitionId(), 0
         texts, names, size = [], [], 0
+
+        def rows():
+            for r in block_rows(pa.concat_arrays(texts), names, (task << 24) + serial, parts, hot,
+                                spread):
+                yield rows_of([r])
+            give_back()
+
         for b in batches:
             ids = b.column(b.schema.get_field_index("doc_id")).to_pylist()
-            for name, t in zip(ids, byte_texts(b)):
-                texts.append(t)
-                names.append(name)
-                size += t.count(b" ") + t.count(b"\n") + 1
-                if size >= BLOCK_TOKENS:
-                    for r in block_rows(texts, names, hashes, (task << 24) + serial, parts, hot,
-                                        spread):
-                        yield rows_of([r])
+            col = b.column(b.schema.get_field_index("text")).cast(pa.large_string())
+            some = pc.fill_null(pc.add(pc.count_substring(col, " "), pc.count_substring(col, "\n")), 0)
+            sizes = np.cumsum(some.to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+            a = 0
+            while a < len(ids):
+                before = sizes[a - 1] if a else 0
+                e = int(np.searchsorted(sizes, before + BLOCK_TOKENS - size)) + 1
+                texts.append(col[a:e])
+                names += ids[a:e]
+                size += sizes[min(e, len(ids)) - 1] - before
+                if e <= len(ids):
+                    yield from rows()
                     texts, names, size, serial = [], [], 0, serial + 1
+                a = e
         if texts:
-            for r in block_rows(texts, names, hashes, (task << 24) + serial, parts, hot, spread):
-                yield rows_of([r])
+            yield from rows()
 
     return docs.select("doc_id", "text").mapInArrow(count, ROW)
 
@@ -340,23 +443,25 @@ def merged(blobs: list[dict], hot: np.ndarray) -> tuple[dict, dict]:
         i = np.minimum(np.searchsorted(hot, vocab), len(hot) - 1)
         hot_no = np.where(hot[i] == vocab, i, -1)
     wanted = np.where(hot_no < 0, singles + np.bincount(word[free], minlength=n), 0)
-    known = np.flatnonzero(wanted)
+    none = np.zeros(0, np.int64)
     return counts, dict(
         c_word=np.bincount(word, c, n).astype(np.int64), singles=singles, hot=hot_no,
-        word=word[free], ctx=ctx[free], c=c[free], pair=free, owner=np.arange(len(free)),
-        size=c[free],
-        rooms=rooms, single_tables=np.bincount(ctx[c == 1], minlength=len(rooms)), room_tables=[],
-        root_owner=known, root_size=wanted[known], t_sum=np.zeros(len(free)), samples=[])
+        word=least_type(word[free]), ctx=least_type(ctx[free]), c=least_type(c[free]),
+        pair=least_type(free), t=np.ones(len(free), np.uint8), owner=none, size=none,
+        rooms=rooms, single_tables=least_type(np.bincount(ctx[c == 1], minlength=len(rooms))),
+        room_tables=[], root_c=least_type(wanted), root_t=(wanted > 0).astype(np.uint8),
+        root_large=none, root_owner=none, root_size=none, t_sum=np.zeros(len(free), np.uint8),
+        samples=[])
 
 
 def sums_of(state: dict) -> dict[int, int]:
     """What a part adds to the totals, by negative keys."""
-    t = np.bincount(state["owner"], minlength=len(state["c"])).astype(np.int64)
-    customers = state["singles"] + np.bincount(state["word"], t, len(state["singles"])).astype(int)
+    customers = state["singles"] + np.bincount(
+        state["word"], state["t"], len(state["singles"])).astype(int)
     cold = state["hot"] < 0
     out = {}
     out[-1] = int(customers[cold].sum())
-    out[-2] = len(state["root_owner"])
+    out[-2] = int(state["root_t"].sum())
     out[-3] = int(state["c_word"].sum())
     out[-4] = int((state["c_word"][cold] > 0).sum())
     for i in np.flatnonzero(~cold):
@@ -374,7 +479,7 @@ def at_rooms(state: dict, of_pairs: np.ndarray) -> np.ndarray:
 
 def bucketed(rooms: np.ndarray, buckets: int) -> list[np.ndarray]:
     """Indexes of the contexts of each bucket."""
-    bucket = (mixed(rooms, 11) % np.uint64(buckets)).astype(np.int64)
+    bucket = (mixed(rooms, 11) % np.uint64(buckets)).astype(np.min_scalar_type(buckets))
     order = np.argsort(bucket, kind="stable")
     return np.split(order, np.searchsorted(bucket[order], np.arange(1, buckets)))
 
@@ -389,8 +494,7 @@ def share_rooms(state: DataFrame, buckets: int, path: str, first: bool) -> None:
         for b in batches:
             for k, blob in zip(b.column(0).to_pylist(), b.column(1)):
                 s = unpacked(blob.as_py())
-                t = np.bincount(s["owner"], minlength=len(s["c"]))
-                values = [at_rooms(s, x) for x in ([t, s["c"]] if first else [t])]
+                values = [at_rooms(s, x) for x in ([s["t"], s["c"]] if first else [s["t"]])]
                 for i, x in enumerate(bucketed(s["rooms"], buckets)):
                     yield rows_of([(i, k, packed(
                         rooms=s["rooms"][x], values=[least_type(v[x]) for v in values]))])
@@ -437,24 +541,34 @@ def shared_rooms(state: dict, buckets: int, path: str) -> list[np.ndarray]:
 def swept(state: dict, totals: dict, by_ctx: np.ndarray, first: bool, keep: bool, rng) -> dict:
     """One sweep of a part against the totals of the sweep before; the ``first`` seats all."""
     p = root_probability(state, totals)[state["word"]]
-    ctx, who = state["ctx"], np.arange(len(state["c"]))
-    fresh = (STRENGTH + DISCOUNT * by_ctx[ctx]) * p
+    c = state["c"].astype(np.int64)
+    fresh = (STRENGTH + DISCOUNT * by_ctx[state["ctx"]]) * p
+    t = drawn(np.where(c > DRAWN, 1, c), fresh, DISCOUNT, rng)
+    large = np.flatnonzero(c > DRAWN)
+    owner, size = state["owner"], state["size"]
     if first:
-        none = np.zeros(0, np.int64)
-        owner, size = seated(state["c"], fresh, DISCOUNT, rng, none, none)
+        owner, size = seated(c[large], fresh[large], DISCOUNT, rng, owner, size)
     else:
-        owner, size = gibbs(state["owner"], state["size"], who, lambda: fresh, DISCOUNT, 1, rng)
-    t = np.bincount(owner, minlength=len(who))
+        owner, size = gibbs(owner, size, np.arange(len(large)), lambda: fresh[large], DISCOUNT, 1, rng)
+    t[large] = np.bincount(owner, minlength=len(large))
     n = len(state["singles"])
     wanted = state["singles"] + np.bincount(state["word"], t, n).astype(np.int64)
     wanted = np.where(state["hot"] < 0, wanted, 0)
-    r_owner, r_size = root_sweep(state["root_owner"], state["root_size"], wanted, totals,
+    # which of the parent's words are large stays as the first pass finds it
+    r_large = np.flatnonzero(wanted > DRAWN) if first else state["root_large"]
+    r_owner, r_size = root_sweep(state["root_owner"], state["root_size"], wanted[r_large], totals,
                                  ROOT_DISCOUNT, rng, first)
-    new = state | dict(owner=owner, size=size, root_owner=r_owner, root_size=r_size)
+    few = wanted.copy()
+    few[r_large] = 0
+    fresh = (ROOT_STRENGTH + ROOT_DISCOUNT * totals["tables"]) * totals["base"]
+    r_t = drawn(few, fresh, ROOT_DISCOUNT, rng)
+    r_t[r_large] = np.bincount(r_owner, minlength=len(r_large))
+    new = state | dict(
+        t=least_type(t), owner=owner, size=least_type(size), root_c=least_type(wanted),
+        root_t=least_type(r_t), root_large=r_large, root_owner=r_owner, root_size=least_type(r_size))
     if keep:
-        r_t = np.bincount(r_owner, minlength=n)
-        new |= dict(t_sum=state["t_sum"] + t,
-                    samples=[*state["samples"], (least_type(wanted), least_type(r_t))])
+        new |= dict(t_sum=least_type(state["t_sum"].astype(np.int64) + t),
+                    samples=[*state["samples"], (new["root_c"], new["root_t"])])
     return new
 
 
@@ -465,10 +579,8 @@ def _probability(customers, tables, totals):
 
 def root_probability(state: dict, totals: dict, sample=None) -> np.ndarray:
     """The parent's probability of each word of a part."""
-    n = len(state["singles"])
     if sample is None:
-        sample = (np.bincount(state["root_owner"], state["root_size"], n),
-                  np.bincount(state["root_owner"], minlength=n))
+        sample = state["root_c"], state["root_t"]
     p = _probability(sample[0].astype(float), sample[1].astype(float), totals)
     hot = np.flatnonzero(state["hot"] >= 0)
     p[hot] = totals["hot_p"][state["hot"][hot]]
@@ -482,10 +594,9 @@ def _frequent(docs: DataFrame, n_bytes: int, parts: int) -> tuple[np.ndarray, np
     some = docs.select("text").sample(min(1.0, SAMPLE_BYTES / max(1, n_bytes)), seed=1)
 
     def count(batches):
-        hashes = WordHashes()
         for b in batches:
-            w = [hashes.of(words(t)) for t in byte_texts(b)]
-            v, n = np.unique(np.concatenate([*w, np.zeros(0, np.uint64)]), return_counts=True)
+            _, w, v = word_codes(b.column(0))
+            n = np.bincount(w, minlength=len(v))
             total = n.sum()
             often = n * 4 * parts >= total
             yield pa.RecordBatch.from_arrays(
@@ -538,6 +649,8 @@ def score_texts(docs: DataFrame, seed: int = 5) -> DataFrame:
             return table
         counts, state = merged([unpacked(x.as_py()) for x in table.column("blob")], hot)
         put_file(f"{folder}/{k:012d}.counts", packed(**counts))
+        del counts
+        give_back()
         return pa.Table.from_batches([rows_of([(k, 0, packed(**state))])])
 
     made = stored(counted(docs, parts, hot, spread).groupBy("k").applyInArrow(merge, ROW),
@@ -586,6 +699,8 @@ def score_texts(docs: DataFrame, seed: int = 5) -> DataFrame:
                         s["room_tables"] = [*s["room_tables"], least_type(by_ctx)]
                     s = swept(s, totals, by_ctx, sweep == 0, sweep > BURN_IN, own)
                     yield rows_of([(k, 0, packed(**s))])
+                    del s
+                    give_back()
 
         fresh = stored(state.filter("kind = 0").select("k", "blob").mapInArrow(step, ROW),
                        "seating", 1)
@@ -600,6 +715,7 @@ def score_texts(docs: DataFrame, seed: int = 5) -> DataFrame:
                 s["room_tables"] = [
                     *s["room_tables"], shared_rooms(s, buckets, rooms.format(k))[0]]
                 yield from scored(s, f"{folder}/{k:012d}.counts", kept)
+                give_back()
 
     sums = state.select("k", "blob").mapInArrow(score, ROW)
     return _assembled(blocks, sums, parts, int(totals["n"]))

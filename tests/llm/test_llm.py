@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -398,6 +399,39 @@ def test_a_sweep_seats_every_customer_again(monkeypatch, few):
     assert len(size) == 5000
 
 
+def test_small_restaurants_are_seated_as_a_whole():
+    """As many tables as seating one by one converges to, in every chunk, and no seat kept."""
+    rng, d, n = np.random.default_rng(8), 0.7, 40_000
+    for c, fresh in ((2, 0.4), (6, 1.3), (40, 2.5)):
+        ways = np.zeros(c + 2)
+        ways[1] = 1
+        for i in range(1, c):
+            ways[1:] = ways[:-1] + np.maximum(i - d * np.arange(1, c + 2), 0) * ways[1:]
+        expected = ways * fresh ** np.arange(c + 2)
+        t = pitman_yor.drawn(np.full(n, c), np.full(n, fresh), d, rng)
+        assert np.bincount(t, minlength=c + 2) / n == pytest.approx(
+            expected / expected.sum(), abs=.012)
+    c, fresh = np.array([3, 0, 1, 1000, 2, 1000]), np.array([1e12, 1, 1, 1e-12, 1e12, 1e12])
+    assert pitman_yor.drawn(c, fresh, d, rng).tolist() == [3, 0, 1, 1, 2, 1000]
+
+
+def test_words_of_a_block_and_memory_after_it():
+    texts = ["  A b\tÄ ", None, "", "\n", "x\x0bY x\x1cz  q A", "A"]
+    n, w, hashes = pitman_yor.word_codes(pa.array(texts))
+    split = [(t or "").encode().lower().split() for t in texts]
+    assert n.tolist() == [len(x) for x in split]
+    assert hashes[w].tolist() == [pitman_yor.WordHashes()[x] for y in split for x in y]
+    def resident():
+        return int(open("/proc/self/statm").read().split()[1]) * 4096 / 1e6
+    many = pa.array([" ".join(f"w{i * j % 70_001}" for j in range(500)) for i in range(1500)])
+    none_hot = np.zeros(0, np.uint64)
+    pitman_yor.give_back()
+    before = resident()
+    assert sum(1 for _ in pitman_yor.block_rows(many, range(1500), 0, 4, none_hot, none_hot)) == 5
+    pitman_yor.give_back()
+    assert resident() - before < 60
+
+
 def test_the_first_pass_seats_customers_one_after_the_other(monkeypatch):
     rng = np.random.default_rng(7)
     none, c = np.zeros(0, int), np.full(20_000, 3)
