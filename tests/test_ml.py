@@ -149,6 +149,28 @@ def test_search_resumes(spark, rows, tmp_path):
     assert top.columns == ["layers", "max_iter", "mean_auc", "std_auc"] and top.count() == 1
 
 
+def test_smoothing_values_share_their_encoded_folds(spark, rows, tmp_path, monkeypatch):
+    from adspark.ml import encode, search
+
+    written, write = [], search.materialize
+
+    def spy(df, label, *args, **kw):
+        written.append(label)
+        return write(df, label, *args, **kw)
+
+    monkeypatch.setattr(search, "materialize", spy)
+    grid = {"hidden": [(3,)], "max_iter": [3], "smoothing": [10.0, 50.0]}
+    assert grid_search(rows, CONFIG, grid, str(tmp_path / "shared"), num_folds=2).count() == 2
+    assert written.count("encoded-fold") == 2  # once a fold, not once a fold and smoothing
+    encoder = ImpressionEncoder.of(CONFIG, smoothing=50.0).fit(rows)
+    levels = next(s for s in encoder.stages if isinstance(s, encode.LevelEncoderModel))
+    both = encode.encode_smoothings(encoder, rows, {"_0": 10.0, "_1": 50.0})
+    for suffix, smoothing in (("_0", 10.0), ("_1", 50.0)):
+        alone = encode.assemble_encoder(levels.with_smoothing(smoothing), rows).transform(rows)
+        got = dict(both.select("id", f"features{suffix}").collect())
+        assert got == dict(alone.select("id", "features").collect())
+
+
 def test_grid_settings():
     same = combinations({"hidden": [(3,)], "step_size": [0.1, 0.01]})
     assert len(same) == 1
