@@ -20,8 +20,9 @@ Parts sample at the same time against the totals of the sweep before. Tables per
 context are summed in buckets of contexts, of which each part sends its own and gets back
 the sums, a row for each part and bucket; only the parent's totals reach the driver, with
 the sums of frequent words, fewer than 4 for each part. To score, each
-part sums log probabilities by text, and the sums meet again by block. State of a
-sweep is a written table, and counts of a part are a file in the shared folder. A
+part sums log probabilities by text, and the sums meet again by block. State and counts of a
+part are files in the shared folder, which tasks write and read; of a sweep's state the rows of
+a written table have the places only, so that it does not pass through the executors' own memory. A
 pair of words takes one entry for each text that has it.
 
 Nulls: a null text is empty and has the end token alone; the id of a null doc_id is
@@ -44,15 +45,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from adspark.llm._common import (  # noqa: F401 (hashes by name for tests)
-    WordHashes, give_back, mixed, parts_for, stored, text_bytes,
+    WordHashes, arrow_batches, give_back, mixed, parts_for, stored, text_bytes,
 )
 from adspark.llm.files import as_uri, put_file
-from adspark.sources.scratch import new_scratch_path, release
+from adspark.sources.scratch import delete_path, new_scratch_path, release
 
 #: Bytes of text for each part; tokens of a block of texts.
 PART_BYTES = 16_000_000
 BLOCK_TOKENS = 1_250_000
 SAMPLE_BYTES = 64_000_000
+#: Bytes of the rows that a Python task gets at a time.
+BATCH_BYTES = 4 << 20
 #: Parts for each bucket of contexts.
 PARTS_PER_BUCKET = 4
 END, START = np.uint64(0x9D3779B97F4A7C15), np.uint64(0x51ED270B35AE1B2D)
@@ -72,7 +75,21 @@ def packed(**arrays) -> bytes:
 
 
 def unpacked(blob: bytes) -> dict:
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
+    """The arrays of ``packed`` or ``placed``."""
+    arrays = pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
+    return read_file(arrays["place"]) if list(arrays) == ["place"] else arrays
+
+
+def placed(path: str, **arrays) -> bytes:
+    """Arrays written as a file, and in their stead its place."""
+    put_file(path, packed(**arrays))
+    return packed(place=path)
+
+
+def read_file(path: str) -> dict:
+    fs, path = pafs.FileSystem.from_uri(path)
+    with fs.open_input_stream(path, compression=None) as f:
+        return unpacked(f.read())
 
 
 def least_type(x: np.ndarray) -> np.ndarray:
@@ -519,13 +536,8 @@ def share_rooms(state: DataFrame, buckets: int, path: str, first: bool) -> None:
         return table.slice(0, 1)
 
     sums = state.select("k", "blob").mapInArrow(emit, ROW).groupBy("k").applyInArrow(add, ROW)
-    sums.groupBy("k").applyInArrow(put, ROW).agg(F.sum("k")).first()
-
-
-def read_file(path: str) -> dict:
-    fs, path = pafs.FileSystem.from_uri(path)
-    with fs.open_input_stream(path, compression=None) as f:
-        return unpacked(f.read())
+    with arrow_batches(state.sparkSession, 1000, BATCH_BYTES):
+        sums.groupBy("k").applyInArrow(put, ROW).agg(F.sum("k")).first()
 
 
 def shared_rooms(state: dict, buckets: int, path: str) -> list[np.ndarray]:
@@ -626,7 +638,7 @@ def _totals(table: DataFrame, sums, hot: int) -> dict:
             [pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())],
             names=["i", "v"])
 
-    rows = (table.filter("kind = 0").select("blob").mapInArrow(emit, "i bigint, v bigint")
+    rows = (table.select("blob").mapInArrow(emit, "i bigint, v bigint")
             .groupBy("i").agg(F.sum("v").alias("v")).toPandas())
     got = dict(zip(rows["i"].tolist(), rows["v"].tolist()))
     return {"cold_customers": got.get(-1, 0), "cold_tables": got.get(-2, 0),
@@ -643,6 +655,10 @@ def score_texts(docs: DataFrame, seed: int = 5) -> DataFrame:
     hot, spread = _frequent(docs, n_bytes, parts)
     folder = as_uri(new_scratch_path(spark, "pitman-yor"))
 
+    def dealt(table: DataFrame) -> DataFrame:
+        """The rows of states, small as they are, each in a task of its own."""
+        return table.filter("kind = 0").select("k", "blob").repartitionByRange(parts, "k")
+
     def merge(table: pa.Table) -> pa.Table:
         k, kind = table.column("k")[0].as_py(), table.column("kind")[0].as_py()
         if kind == 1:
@@ -651,21 +667,22 @@ def score_texts(docs: DataFrame, seed: int = 5) -> DataFrame:
         put_file(f"{folder}/{k:012d}.counts", packed(**counts))
         del counts
         give_back()
-        return pa.Table.from_batches([rows_of([(k, 0, packed(**state))])])
+        place = placed(f"{folder}/seating0/{k:012d}", **state)
+        return pa.Table.from_batches([rows_of([(k, 0, place)])])
 
     made = stored(counted(docs, parts, hot, spread).groupBy("k").applyInArrow(merge, ROW),
-                  "seating")
+                  "seating", bytes_per_batch=BATCH_BYTES)
     blocks = made.filter("kind = 1")
     buckets = max(1, parts // PARTS_PER_BUCKET)
 
     hot_root: list[np.ndarray] | None = None
-    state, kept = made, []
+    table, state, kept = made, dealt(made), []
     totals = None
     passes = 1 + BURN_IN + SAMPLES  # the first one seats the customers
     for sweep in range(passes + 1):
         got = _totals(state, sums_of, len(hot))
         rooms = f"{folder}/{{:012d}}.rooms{sweep}"
-        share_rooms(state.filter("kind = 0"), buckets, rooms, sweep == 0)
+        share_rooms(state, buckets, rooms, sweep == 0)
         rng = np.random.default_rng([seed, sweep])
         first = hot_root is None
         if first:
@@ -698,15 +715,16 @@ def score_texts(docs: DataFrame, seed: int = 5) -> DataFrame:
                     if sweep > 1 + BURN_IN:  # those of the sample before
                         s["room_tables"] = [*s["room_tables"], least_type(by_ctx)]
                     s = swept(s, totals, by_ctx, sweep == 0, sweep > BURN_IN, own)
-                    yield rows_of([(k, 0, packed(**s))])
+                    place = placed(f"{folder}/seating{sweep + 1}/{k:012d}", **s)
                     del s
                     give_back()
+                    yield rows_of([(k, 0, place)])
 
-        fresh = stored(state.filter("kind = 0").select("k", "blob").mapInArrow(step, ROW),
-                       "seating", 1)
-        if state is not made:
-            release(state)
-        state = fresh
+        fresh = stored(state.mapInArrow(step, ROW), "seating", 1)
+        if table is not made:
+            release(table)
+        delete_path(spark, f"{folder}/seating{sweep}")
+        table, state = fresh, dealt(fresh)
 
     def score(batches):
         for b in batches:
@@ -717,7 +735,7 @@ def score_texts(docs: DataFrame, seed: int = 5) -> DataFrame:
                 yield from scored(s, f"{folder}/{k:012d}.counts", kept)
                 give_back()
 
-    sums = state.select("k", "blob").mapInArrow(score, ROW)
+    sums = state.mapInArrow(score, ROW)
     return _assembled(blocks, sums, parts, int(totals["n"]))
 
 

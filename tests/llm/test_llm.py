@@ -349,6 +349,27 @@ def test_every_context_is_a_restaurant_of_its_own(spark, monkeypatch):
     assert len(follow) > 65_536
 
 
+def test_rows_of_a_sweep_do_not_grow_with_its_state(spark, monkeypatch):
+    monkeypatch.setattr(pitman_yor, "PART_BYTES", 200_000)
+    sizes, write = [], pitman_yor.stored
+
+    def spy(df, label, *args, **kwargs):
+        table = write(df, label, *args, **kwargs)
+        sizes.append(table.filter("kind = 0").agg(
+            F.max(F.octet_length("blob")).alias("most"), F.count("*").alias("n")).first())
+        return table
+
+    monkeypatch.setattr(pitman_yor, "stored", spy)
+    rng = random.Random(2)
+    docs = [(i, " ".join(f"w{int(rng.paretovariate(0.6))}" for _ in range(2000)))
+            for i in range(40)]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    assert pitman_yor.score_texts(frame).count() == len(docs)
+    parts = {r["n"] for r in sizes}
+    assert len(sizes) == 9 and len(parts) == 1 and parts.pop() > 1
+    assert max(r["most"] for r in sizes) < 2000
+
+
 def test_seating_keeps_its_customers():
     rng = np.random.default_rng(2)
     owner = np.repeat(np.arange(5), [3, 1, 2, 4, 1])
