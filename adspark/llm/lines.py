@@ -13,8 +13,9 @@ such a segment: at each place the edits left and right of a segment limit how fa
 it may have moved. Lines that share an entry are verified by edit distance in
 a band of 2 * distance + 1 diagonals, held in the bits of a word.
 
-Skew: entries are counted before lines are joined; of an entry's lines, those
-linked to its first line are done, and only the rest is compared with all of
+Skew: entries are counted before lines are joined. The lines of an entry with up to ``FEW`` are
+paired, and each different pair is compared once, many pairs in a step. Of a larger entry's
+lines, those linked to its first line are done, and only the rest is compared with all of
 the entry's lines, in blocks spread over tasks. Copies of a line are one line. Texts
 travel only for lines that share an entry. The work left is the product, per entry, of
 the lines not linked to its first line and all its lines.
@@ -42,6 +43,9 @@ SPACE = " \t\n\x0b\x0c\r"
 #: Seed of Spark's xxhash64, so that SQL and tasks name a line alike.
 SEED = 42
 BLOCK_CHARS = 200_000
+#: Lines of an entry up to which they are compared in pairs; characters of a step of comparisons.
+FEW = 32
+CELLS = 1 << 18
 #: Removed lines up to which their list is broadcast to the documents.
 SMALL = 1_000_000
 
@@ -140,28 +144,38 @@ def _matrix(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def within(a: np.ndarray, others: np.ndarray, size: np.ndarray, distance: int) -> np.ndarray:
-    """Which rows of ``others`` are at most ``distance`` edits from ``a``.
+    """Which rows of ``others`` are at most ``distance`` edits from ``a``."""
+    return pairs_within(np.broadcast_to(np.r_[a, np.zeros(1, a.dtype)], (len(size), len(a) + 1)),
+                        np.full(len(size), len(a)), others, size, distance)
+
+
+def pairs_within(left: np.ndarray, n: np.ndarray, right: np.ndarray, size: np.ndarray,
+                 distance: int) -> np.ndarray:
+    """Which rows of ``left``, of ``n`` characters, are at most ``distance`` edits from those of ``right``.
 
     Word e of a pair has a bit for each diagonal of the band that e edits reach; a
-    step over a character of ``a`` moves all diagonals at once. Pairs start behind their
+    step over a character of ``left`` moves all diagonals at once. Pairs start behind their
     common prefix, end before their common suffix, and drop out when no diagonal is reached.
     """
-    n, k = len(a), distance
+    k = distance
     ok = np.zeros(len(size), bool)
     gap = size - n
     live = np.flatnonzero(np.abs(gap) <= k)
     if not len(live):
         return ok
-    width = others.shape[1]
-    m = min(n, width)
-    same = others[live, :m] == a[:m]
-    same &= np.arange(m) < size[live, None]
-    at = np.argmin(np.c_[same, np.zeros(len(live), bool)], axis=1)
+    width = right.shape[1]
+    m = min(left.shape[1], width)
+    least = np.minimum(n, size)[live]
+    none = np.zeros((len(live), 1), bool)
+    same = left[live, :m] == right[live, :m]
+    same &= np.arange(m) < least[:, None]
+    at = np.argmin(np.c_[same, none], axis=1)
     back = np.arange(1, m + 1)
-    tail = others[live[:, None], np.maximum(size[live, None] - back, 0)] == a[n - back]
-    tail &= back <= size[live, None]
-    suffix = np.argmin(np.c_[tail, np.zeros(len(live), bool)], axis=1)
-    end = n - np.minimum(suffix, np.minimum(n, size[live]) - at)
+    row = live[:, None]
+    tail = (right[row, np.maximum(size[row] - back, 0)] == left[row, np.maximum(n[row] - back, 0)])
+    tail &= back <= least[:, None]
+    suffix = np.argmin(np.c_[tail, none], axis=1)
+    end = n[live] - np.minimum(suffix, least - at)
     reach = np.zeros((k + 1, len(live)), np.uint64)
     for e in range(k + 1):  # edits e alone reach e diagonals to the right
         reach[e] = (1 << (k + e + 1)) - (1 << k)
@@ -178,7 +192,7 @@ def within(a: np.ndarray, others: np.ndarray, size: np.ndarray, distance: int) -
         for d in range(-k, k + 1):
             j = at + d
             inside = (j >= 0) & (j < size[live])
-            equal = inside & (others[live, np.clip(j, 0, width - 1)] == a[at])
+            equal = inside & (right[live, np.clip(j, 0, width - 1)] == left[live, at])
             match |= equal.astype(np.uint64) << np.uint64(d + k)
         last = reach[0] & match
         fresh = [last]
@@ -194,14 +208,23 @@ def within(a: np.ndarray, others: np.ndarray, size: np.ndarray, distance: int) -
     return ok
 
 
+def tallies(points: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """How many characters of each row fall into each of 16 classes; an edit changes two by one at most."""
+    row, at = np.nonzero(np.arange(points.shape[1]) < size[:, None])
+    cell = row * 16 + (points[row, at] & np.uint32(15))
+    return np.bincount(cell, minlength=16 * len(points)).reshape(-1, 16)
+
+
 def spanning(queries: list[bytes], members: list[bytes], distance: int) -> tuple:
     """(query, member) indexes of links that connect whatever links within the tile connect."""
     left, n = _matrix(queries)
     right, size = _matrix(members)
+    mine, theirs = tallies(left, n), tallies(right, size)
     root = np.arange(len(members))  # of members, as joined by queries so far
     qi, mi = [], []
     for i in range(len(queries)):
-        hit = np.flatnonzero(within(left[i, :n[i]], right, size, distance))
+        may = np.flatnonzero(np.abs(theirs - mine[i]).sum(axis=1) <= 2 * distance)
+        hit = may[within(left[i, :n[i]], right[may], size[may], distance)]
         if len(hit):
             _, first = np.unique(root[hit], return_index=True)
             chosen = hit[first]
@@ -211,6 +234,29 @@ def spanning(queries: list[bytes], members: list[bytes], distance: int) -> tuple
     return np.array(qi, np.int64), np.array(mi, np.int64)
 
 
+def paired_links(pairs: DataFrame, bodies: DataFrame, distance: int) -> DataFrame:
+    """Those of the pairs (a, b) of lines that are within the distance, written."""
+    def compare(batches):
+        for b in batches:
+            left, right = (b.column(b.schema.get_field_index(x)).to_pylist() for x in ("left", "right"))
+            size = np.array([max(len(x), len(y)) for x, y in zip(left, right)], np.int64)
+            order = np.argsort(size, kind="stable")
+            ok = np.zeros(b.num_rows, bool)
+            start = 0
+            while start < len(order):  # as many as fit; a longer pair is a step of its own
+                cells = size[order[start:]] * np.arange(1, len(order) - start + 1)
+                some = order[start:start + max(1, int(np.searchsorted(cells, CELLS, "right")))]
+                (x, n), (y, m) = (_matrix([side[i] for i in some]) for side in (left, right))
+                ok[some] = pairs_within(x, n, y, m, distance)
+                start += len(some)
+            yield b.select(["a", "b"]).filter(pa.array(ok))
+
+    sides = [bodies.select(F.col("doc").alias(i), F.col("body").alias(body))
+             for i, body in (("a", "left"), ("b", "right"))]
+    both = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "left", "right")
+    return stored(both.mapInArrow(compare, "a bigint, b bigint"), "line-pairs")
+
+
 def _lines(text: Column) -> Column:
     return F.split(text, "\n")
 
@@ -240,10 +286,10 @@ def line_links(docs: DataFrame, distance: int, least_chars: int) -> tuple[DataFr
 
     # the first line of each entry, and the lines linked to it
     leads = stored(hits.groupBy("key").agg(
-        F.min(F.when(F.col("own"), F.col("line"))).alias("lead"), F.count("*").alias("w")),
-        "line-leads")
+        F.min(F.when(F.col("own"), F.col("line"))).alias("lead"),
+        (F.count("*") <= FEW).alias("few"), F.count("*").alias("w")), "line-leads")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    led = stored(spread_lookup(hits.select("key", "line"), leads, "key", "w", hits.count(), parts,
+    led = table = stored(spread_lookup(hits.select("key", "line", "own"), leads, "key", "w", hits.count(), parts,
                                F.xxhash64("line")), "led")
     wanted = stored(hits.select("line").distinct(), "line-ids")
     release(hits)
@@ -256,6 +302,15 @@ def line_links(docs: DataFrame, distance: int, least_chars: int) -> tuple[DataFr
         F.col("s").cast("binary").alias("body")), "line-texts")
     release(wanted)
 
+    some = led.filter("few")
+    pairs = some.filter("own").select("key", F.col("line").alias("x")).join(
+        some.select("key", F.col("line").alias("y")), "key").filter("x <> y")
+    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    near = paired_links(pairs, bodies, distance)
+    led = led.filter("not few")
+    if not led.head(1):
+        return near, [table, bodies, near]
+
     def compare(left: list[bytes], right: list[bytes]) -> tuple:
         return spanning(left, right, distance)
 
@@ -275,7 +330,7 @@ def line_links(docs: DataFrame, distance: int, least_chars: int) -> tuple[DataFr
     more = tiled_links(rest, members, bodies, BLOCK_CHARS, compare)
     links = stars.unionByName(more).filter("doc <> member").select(
         F.col("doc").alias("a"), F.col("member").alias("b"))
-    return links, [led, bodies, stars, rest, more]
+    return near.unionByName(links), [table, bodies, near, stars, rest, more]
 
 
 def dedup_lines(docs: DataFrame, distance: int = 2, least_chars: int = 24,
@@ -289,7 +344,7 @@ def dedup_lines(docs: DataFrame, distance: int = 2, least_chars: int = 24,
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.drop("n_lines", "n_removed", "kept_in")
     columns = docs.columns
-    row, leaving = unused("row", columns), unused("leaving", columns)
+    row, leaving, split = (unused(x, columns) for x in ("row", "leaving", "split"))
     # the numbers have to stay the same for all readers, so the rows are written with them
     docs = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered-documents")
     seen = stored(occurrences(docs, row, min(exact_chars, least_chars)), "occurrences")
@@ -304,34 +359,41 @@ def dedup_lines(docs: DataFrame, distance: int = 2, least_chars: int = 24,
     release(classes)
     total = seen.count()
     rows = spread_lookup(seen, near, "line", "w", total, parts, F.xxhash64("row", "no"))
-    cls = F.when(F.col("root").isNotNull(), F.struct(F.col("root").alias("a"), F.lit(0).cast(
-        "bigint").alias("b"))).otherwise(F.struct(F.col("line").alias("a"),
-                                                  F.col("other").alias("b")))
-    rows = stored(rows.select("row", "doc_id", "no", cls.alias("class")), "classed")
+    rows = classed = stored(rows.select(
+        "row", "doc_id", "no", F.coalesce("root", "line").alias("a"),
+        F.when(F.col("root").isNull(), F.col("other")).otherwise(0).alias("b")), "classed")
     release(seen)
     release(near)
+    # most lines are found once, and need no first one
+    again = stored(rows.groupBy("a", "b").agg(F.count("*").alias("w")).filter("w > 1").select(
+        "a", "b"), "repeated-lines")
+    rows = stored(known_keys(rows, again, ["a", "b"]).select(
+        "row", "doc_id", "no", F.struct("a", "b").alias("class")), "repeated")
+    release(classed)
+    release(again)
+    total = rows.count()
     first = stored(rows.groupBy("class").agg(
-        F.min(F.struct("doc_id", "no", "row")).alias("first"), F.count("*").alias("w"))
-        .filter("w > 1"), "first-lines")
+        F.min(F.struct("doc_id", "no", "row")).alias("first"), F.count("*").alias("w")),
+        "first-lines")
     placed = spread_lookup(rows, first, "class", "w", total, parts, F.xxhash64("row", "no"))
-    gone = placed.filter(F.col("first").isNotNull()
-                         & ~F.struct("row", "no").eqNullSafe(F.struct("first.row", "first.no")))
-    gone = stored(gone.groupBy("row").agg(F.array_sort(F.collect_list(
+    gone = placed.filter(~F.struct("row", "no").eqNullSafe(F.struct("first.row", "first.no")))
+    gone = stored(gone.groupBy("row").agg(F.sort_array(F.collect_list(
         F.struct("no", F.col("first.doc_id").alias("kept")))).alias(leaving)), "gone")
     release(rows)
     release(first)
     size = gone.agg(F.sum(F.size(leaving))).first()[0] or 0
     gone = gone.withColumnRenamed("row", row)
     out = docs.join(F.broadcast(gone) if size <= SMALL else gone, row, "left")
-    all_lines = _lines(F.col("text"))
-    last = F.size(all_lines) - 1
+    # a column, as a function of each line would split the text for each
+    out = out.withColumn(split, _lines(F.col("text")))
+    last = F.size(split) - 1
     stay = F.array_except(F.sequence(F.lit(0).cast("bigint"), last.cast("bigint")),
                           F.transform(leaving, lambda g: g["no"]))
-    left = F.array_join(F.transform(stay, lambda i: F.get(all_lines, i.cast("int"))), "\n")
+    left = F.array_join(F.transform(stay, lambda i: F.get(F.col(split), i.cast("int"))), "\n")
     return out.select(*[
         F.when(F.col(leaving).isNull(), F.col("text")).otherwise(left).alias(c)
         if c.lower() == "text" else F.col(f"`{c}`") for c in columns],
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(all_lines)).cast("bigint").alias("n_lines"),
+        F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("bigint").alias("n_lines"),
         F.coalesce(F.size(leaving), F.lit(0)).cast("bigint").alias("n_removed"),
         F.coalesce(F.transform(leaving, lambda g: g["kept"]),
                    F.array().cast("array<bigint>")).alias("kept_in"))

@@ -273,6 +273,45 @@ def test_lines_of_a_busy_entry_are_linked_in_blocks(spark, monkeypatch):
         docs, 2, 24)
 
 
+def test_lines_of_small_entries_are_compared_in_pairs(spark, monkeypatch):
+    calls, tiled = [], lines.tiled_links
+    monkeypatch.setattr(lines, "tiled_links", lambda *a: calls.append(1) or tiled(*a))
+    rng = random.Random(8)
+
+    def texts(n):
+        head = "a first third that all of them have, "
+        return {i: head + "".join(rng.choice("xyz") for _ in range(7)) + " and the end of it \u20ac"
+                + "long " * (60 * (i % 5 == 0)) for i in range(n)}
+
+    for n, tiles_made in ((20, 0), (45, 2)):
+        docs = texts(n)
+        calls.clear()
+        got = lines.dedup_lines(spark.createDataFrame(list(docs.items()), "doc_id bigint, text string"))
+        assert {r["doc_id"]: (r["text"], r["n_removed"]) for r in got.collect()} == brute_lines(
+            docs, 2, 24)
+        assert len(calls) == tiles_made
+
+
+@pytest.mark.parametrize("distance", [1, 2, 3])
+def test_edits_of_many_pairs_at_once(distance):
+    rng = random.Random(distance)
+    pairs = []
+    for _ in range(400):
+        a = [rng.choice("abcd\u20ac") for _ in range(rng.randrange(7, 40))]
+        b = list(a)
+        for _ in range(rng.randrange(distance + 2)):
+            i = rng.randrange(len(b))
+            b[i:i + rng.randrange(2)] = rng.choice(["", "a", "d"])
+        pairs.append(("".join(a).encode(), "".join(b).encode()))
+    (x, n), (y, m) = (lines._matrix([p[i] for p in pairs]) for i in (0, 1))
+    got = lines.pairs_within(x, n, y, m, distance)
+    one_by_one = [lines.within(x[i, :n[i]], y[i:i + 1], m[i:i + 1], distance)[0]
+                  for i in range(len(pairs))]
+    assert got.tolist() == one_by_one and 0 < got.sum() < len(got)
+    far = np.abs(lines.tallies(x, n) - lines.tallies(y, m)).sum(axis=1) > 2 * distance
+    assert far.any() and not (far & got).any()
+
+
 # ---- 2 ----
 
 def test_model_scores_and_their_base(spark, odd, none, monkeypatch):
