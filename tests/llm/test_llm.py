@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 from tokenizers import Tokenizer
 
 from adspark.llm import (
@@ -578,6 +578,26 @@ def test_quality_rules_match_brute_force(spark, odd, none):
     assert quality.quality(none, empty).count() == 0
 
 
+def test_quality_trusts_every_labelled_document(spark):
+    """Words that only trusted documents beyond the first 20,000 have are as good as others."""
+    ids = spark.range(20_600).select(F.col("id").alias("doc_id"))
+    late = F.row_number().over(Window.orderBy(F.xxhash64("doc_id"), "doc_id")) > 20_000
+    docs = ids.withColumn("text", F.when(late, F.lit("late late")).otherwise(F.lit("soon soon")))
+    labels = ids.withColumn("quality", F.lit(1))
+    ratios, _ = quality.fitted(docs, labels)
+    at = spark.range(1).select(*[
+        F.xxhash64(F.lit(w)).bitwiseAND(quality.BUCKETS - 1) for w in ("late", "soon")]).first()
+    assert abs(ratios[at[0]] - ratios[at[1]]) < 0.05
+
+
+@pytest.mark.parametrize("share", [0.0, 0.002, 0.3, 0.5, 1.0])
+def test_quality_quantile_is_the_percentile(spark, share):
+    for n in (1, 2, 3, 8, 501):
+        scores = spark.range(n).select((F.xxhash64("id") % 1000 / 7).alias("s"))
+        assert quality._quantile(scores, share) == scores.agg(
+            F.percentile("s", F.lit(share))).first()[0]
+
+
 def test_quality_keeps_columns_that_clash(spark):
     names = ["_found", "_hashes", "_windows", "_lines", "_total", "_w", "score"]
     frame = spark.createDataFrame([(1, "a b", *range(7))], ["doc_id", "text", *names])
