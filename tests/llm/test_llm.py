@@ -790,6 +790,43 @@ def test_top_k_matches_brute_force(spark, monkeypatch):
     assert topk.top_k(frame.filter("false"), F.lit(True)).count() == 0
 
 
+def test_top_k_moves_no_copies_of_query_blocks(spark, tmp_path):
+    """Blocks meet shards without a join, which would be a copy of a block for each shard."""
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.integers(-9, 10, 4).astype(float).tolist()) for i in range(200)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    out = topk.top_k(frame, F.lit(True), 3, 1.0, 20, 30)
+    assert "Join" not in out._jdf.queryExecution().toString()
+    want = [sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in rows if j != i)[:3]
+            for i, q in rows]
+    got = sorted((r["query_id"], r["rank"], -r["score"], r["vec_id"]) for r in out.collect())
+    assert got == [(i, k + 1, *x) for i, best in enumerate(want) for k, x in enumerate(best)]
+
+
+@pytest.mark.parametrize("size", [3, 3_000, 30_000_000, 2.0**70])
+def test_top_k_tiles_keep_the_best(size):
+    """Floats, doubles and integers; later shards, own rows, ties and null ids."""
+    rng = np.random.default_rng(7)
+    a = np.floor(rng.uniform(-size, size, (9, 5)))
+    b = np.floor(rng.uniform(-size, size, (60, 5)))
+    b[40:50] = b[:10]
+    a[3] = b[7]
+    no, q_no = np.arange(60), np.r_[np.arange(4) * 20 + 100, 3, 44, 200:203]
+    ids = rng.permutation(60) - 30
+    null = ids == 4
+    ids[null] = topk.LOW
+    top = topk.Best(9, 3)
+    for at in (slice(0, 30), slice(30, 33), slice(33, 60)):
+        qi, ci, score = topk.tile_hits(a, q_no, b[at], no[at], 3, top.edge)
+        top.add(qi, ids[at][ci], null[at][ci], score)
+    lim = 2**63 - 1
+    score = lambda p, q: max(-lim - 1, min(lim, sum(int(x) * int(y) for x, y in zip(p, q))))
+    want = [(i, -s, j) for i in range(9) for s, j in sorted(
+        (-score(a[i], b[m]), int(ids[m])) for m in range(60) if no[m] != q_no[i])[:3]]
+    assert list(zip(top.qi.tolist(), top.score.tolist(), top.ids.tolist())) == want
+    assert (top.null == (top.ids == topk.LOW)).all()
+
+
 # ---- 8 ----
 
 def packing_is_right(rows, longest):
