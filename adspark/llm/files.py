@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import posixpath
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -26,6 +29,15 @@ def as_uri(path: str) -> str:
     return f"file://{path}" if path.startswith("/") else path
 
 
+def written_batches(uri: str, rows: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a table that Spark has written as Parquet, so many at once, in a task."""
+    fs, at = pafs.FileSystem.from_uri(uri)
+    for f in sorted(fs.get_file_info(pafs.FileSelector(at)), key=lambda f: f.path):
+        if f.base_name.startswith("part-"):
+            with fs.open_input_file(f.path) as data:
+                yield from pq.ParquetFile(data).iter_batches(rows)
+
+
 def read_files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     """path, content of the files of a folder (one row per file)."""
     return (spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)

@@ -49,6 +49,7 @@ from adspark.llm._common import (
     WordHashes, byte_texts, known_keys, mixed, shingles, spread_lookup, stored, words,
 )
 from adspark.llm.components import components
+from adspark.llm.files import as_uri, written_batches
 from adspark.llm.tiles import tiled_links, tiles
 from adspark.sources.scratch import release
 
@@ -68,6 +69,11 @@ CONNECTED = 2000
 SAMPLED = 16
 #: Coarse tokens of a part in which repeated ones are found.
 PART_TOKENS = 4_000_000
+#: Coarse tokens that a task sends to the parts at once.
+SENT_TOKENS = 2_000_000
+#: Bits of a part's filter for each repeated token, at least, and places looked up in it.
+FILTER_BITS, PROBES = 16, 3
+LOW_BITS = np.uint64((1 << 40) - 1)
 
 
 class Parts:
@@ -149,63 +155,140 @@ def sketched(docs: DataFrame, n_words: int, num: int, den: int) -> DataFrame:
     return stored(docs.select("doc_id", "text").mapInArrow(sketch, SKETCH), "sketches")
 
 
-def slot_of(sig: Column, bits: int) -> Column:
-    """The highest ``bits`` and the lowest 40 bits of a coarse token."""
-    low = sig.bitwiseAND(F.lit((1 << 40) - 1))
-    return low if not bits else F.shiftleft(F.shiftrightunsigned(sig, 64 - bits), 40).bitwiseOR(low)
+def slots_of(sigs: np.ndarray, bits: int) -> np.ndarray:
+    """The highest ``bits`` of coarse tokens, their part, and the lowest 40 bits."""
+    low = sigs & LOW_BITS
+    return low if not bits else (sigs >> np.uint64(64 - bits) << np.uint64(40)) | low
+
+
+def sent_slots(slots: np.ndarray, bits: int) -> pa.Array:
+    """For each part its slots, sorted, five bytes each; those found more than once, twice."""
+    slots = np.sort(slots)
+    if len(slots) > 2:
+        slots = slots[np.r_[True, True, slots[2:] != slots[:-2]]]
+    ends = np.searchsorted(slots, np.arange(1, (1 << bits) + 1, dtype=np.uint64) << np.uint64(40))
+    data = np.ascontiguousarray(slots.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
+    return pa.Array.from_buffers(pa.binary(), 1 << bits, [
+        None, pa.py_buffer(np.r_[0, 5 * ends].astype(np.int32)), pa.py_buffer(data)])
+
+
+def places(low: np.ndarray, i: int) -> np.ndarray:
+    """The ``i``-th place of slots in filters, of which the last bits are taken."""
+    x = mixed(low, 17)
+    return x + np.uint64(i) * (x >> np.uint64(32) | np.uint64(1))
+
+
+def repeated_slots(own: np.ndarray, up: np.ndarray) -> np.ndarray:
+    """Slots that come more than once, one of them from a document's own class."""
+    one = np.uint64(1)
+    tagged = np.sort(np.r_[own << one, up << one | one])
+    slots = tagged >> one
+    first = np.flatnonzero(np.r_[True, slots[1:] != slots[:-1]][:len(slots)])
+    count = np.diff(np.r_[first, len(slots)])
+    return slots[first[(count > 1) & (tagged[first] & one == 0)]]
 
 
 def repeated_tokens(reps: DataFrame) -> tuple[DataFrame, int]:
-    """Slots of the coarse tokens that several documents may share, and the bits of a slot's part.
+    """A filter of the coarse tokens that several documents may share, and the bits of a slot's part.
 
     Nearly all coarse tokens belong to one document, and those need not be shuffled with
-    it. Each batch sends the slots of its tokens, five bytes each, to a part by their highest
-    bits, a slot it has itself more than once twice, and the parts return those
-    that came more than once, one of them from a document's own class. Two tokens may fall
-    into a slot, so this only rules out; what stays is counted as it is.
+    it. Each task sends the slots of its tokens, five bytes each, to a part by their highest
+    bits, a slot it has itself more than once twice, and the parts find those
+    that came more than once, one of them from a document's own class. They return (part,
+    filter): a Bloom filter, two bytes for a token, which tasks read whatever their number.
+    Two tokens may fall into a slot, and others pass the filter, so this only rules out;
+    what stays is counted as it is.
     """
     n = reps.agg(F.sum(F.size("own") + F.size("up"))).first()[0] or 0
     bits = max(0, math.ceil(math.log2(max(1, n) / PART_TOKENS)))
 
-    def packed(slots: np.ndarray) -> bytes:
-        return np.ascontiguousarray(
-            slots.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
-
-    def unpacked(raw: list[bytes]) -> np.ndarray:
-        data = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, 5)
-        out = np.zeros((len(data), 8), np.uint8)
-        out[:, :5] = data
-        return out.reshape(-1).view("<u8")
+    def sent(held):
+        cells = [sent_slots(np.concatenate(side), bits) for side in held]
+        table = pa.table([pa.array(np.arange(1 << bits)), *cells], names=["part", "own", "up"])
+        some = np.diff(np.asarray(cells[0].buffers()[1]).view(np.int32)) + np.diff(
+            np.asarray(cells[1].buffers()[1]).view(np.int32))
+        return table.filter(pa.array(some > 0)).combine_chunks().to_batches()
 
     def send(batches):
+        held, size = ([], []), 0
         for b in batches:
-            sides = [b.column(i).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-                     for i in (0, 1)]
-            rows = []
-            parts = [s >> np.uint64(64 - bits) if bits else np.zeros_like(s) for s in sides]
-            for part in range(1 << bits):
-                cells = []
-                for s, at in zip(sides, parts):
-                    own, count = np.unique(s[at == part] & np.uint64((1 << 40) - 1),
-                                           return_counts=True)
-                    cells.append(packed(np.r_[own, own[count > 1]]))
-                if any(cells):
-                    rows.append((part, *cells))
-            if rows:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(zip(*rows), (
-                        pa.int64(), pa.binary(), pa.binary()))], names=["part", "own", "up"])
+            for i, side in enumerate(held):
+                sigs = b.column(i).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+                side.append(slots_of(sigs, bits))
+                size += len(sigs)
+            if size >= SENT_TOKENS:
+                yield from sent(held)
+                held, size = ([], []), 0
+        if size:
+            yield from sent(held)
 
     def find(table: pa.Table) -> pa.Table:
-        own, up = (unpacked(table.column(c).to_pylist()) for c in ("own", "up"))
-        slots, count = np.unique(np.r_[own, up], return_counts=True)
-        slots = slots[count > 1]
-        slots = slots[np.isin(slots, own)]
-        part = np.uint64(table.column("part")[0].as_py())
-        return pa.table({"slot": pa.array((slots | part << np.uint64(40)).view(np.int64))})
+        own, up = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.uint8).reshape(-1, 5)
+                   for c in ("own", "up"))
+        wide = [np.zeros((len(x), 8), np.uint8) for x in (own, up)]
+        for to, x in zip(wide, (own, up)):
+            to[:, :5] = x
+        slots = repeated_slots(*[x.reshape(-1).view("<u8") for x in wide])
+        size = max(64, 1 << math.ceil(math.log2(FILTER_BITS * max(1, len(slots)))))
+        full = np.zeros(size, bool)
+        for i in range(PROBES if len(slots) else 0):
+            full[places(slots, i) & np.uint64(size - 1)] = True
+        return pa.table({"part": table.column("part")[:1],
+                         "filter": pa.array([np.packbits(full, bitorder="little").tobytes()])})
+
+    out = reps.select("own", "up").mapInArrow(send, "part bigint, own binary, up binary")
+    return stored(out.groupBy("part").applyInArrow(find, "part bigint, filter binary"),
+                  "repeated-tokens"), bits
+
+
+class Filters:
+    """The filters of all parts."""
+
+    def __init__(self, rows: list[tuple[int, bytes]], bits: int):
+        self.bits = bits
+        self.start, self.mask = np.zeros((2, 1 << bits), np.uint64)
+        held, at = [b"\0"], 1  # an empty byte, for parts without a filter
+        for part, data in rows:
+            self.start[part], self.mask[part] = at, 8 * len(data) - 1
+            held.append(data)
+            at += len(data)
+        self.data = np.frombuffer(b"".join(held), np.uint8)
+
+    def passed(self, sigs: np.ndarray) -> np.ndarray:
+        """Indexes of the coarse tokens that several documents may share."""
+        at = np.arange(len(sigs))
+        slots = slots_of(sigs, self.bits)
+        part, low = (slots >> np.uint64(40)).astype(np.int64), slots & LOW_BITS
+        for i in range(PROBES):
+            place = places(low, i) & self.mask[part]
+            cell = self.data[self.start[part] + (place >> np.uint64(3))]
+            good = cell >> (place & np.uint64(7)).astype(np.uint8) & 1 == 1
+            at, part, low = at[good], part[good], low[good]
+        return at
+
+
+def shared_tokens(reps: DataFrame, maybe: DataFrame, bits: int) -> DataFrame:
+    """(doc, least, index, sig): the coarse tokens that pass the filter ``maybe``, a row each."""
+    folder = as_uri(maybe.__dict__["_scratch_path"])
+
+    def pick(batches):
+        filters = None
+        for b in batches:
+            if filters is None:
+                filters = Filters([(r["part"], r["filter"]) for x in written_batches(folder, 64)
+                                   for r in x.to_pylist()], bits)
+            for at, index in ((1, True), (3, False)):
+                sigs = b.column(at).flatten().to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(b.num_rows), b.column(at).value_lengths())
+                good = filters.passed(sigs.view(np.uint64))
+                row = pa.array(row[good])
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(row), b.column(at + 1).take(row),
+                     pa.array(np.full(len(good), index)), pa.array(sigs[good])],
+                    names=["doc", "least", "index", "sig"])
 
-    sent = reps.select("own", "up").mapInArrow(send, "part bigint, own binary, up binary")
-    return stored(sent.groupBy("part").applyInArrow(find, "slot bigint"), "repeated-tokens"), bits
+    return reps.select("doc_id", "own", "own_least", "up", "up_least").mapInArrow(
+        pick, "doc bigint, least int, index boolean, sig bigint")
 
 
 def set_table(docs: DataFrame, ids: DataFrame, n_words: int) -> DataFrame:
@@ -456,15 +539,8 @@ def jaccard_components(docs: DataFrame, n_words: int = 3, num: int = 9,
     reps = known_keys(sketches.filter(known), copies, ["doc_id", "k1", "k2"], "left_anti")
 
     # the matrix: coarse tokens that more than one document has, one of them in its own class
-    each = reps.select(F.col("doc_id").alias("doc"), F.explode(F.array(
-        F.struct(F.col("own").alias("sigs"), F.col("own_least").alias("least"),
-                 F.lit(True).alias("index")),
-        F.struct(F.col("up").alias("sigs"), F.col("up_least").alias("least"),
-                 F.lit(False).alias("index")))).alias("x"))
     maybe, bits = repeated_tokens(reps)
-    each = each.select("doc", "x.least", "x.index", F.explode("x.sigs").alias("sig")).withColumn(
-        "slot", slot_of(F.col("sig"), bits))
-    each = stored(known_keys(each, maybe, "slot").drop("slot"), "tokens")
+    each = stored(shared_tokens(reps, maybe, bits), "tokens")
     for table in (sketches, copies, maybe):
         release(table)
     live = stored(

@@ -22,13 +22,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
-import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from adspark.llm._common import parts_for, stored
-from adspark.llm.files import as_uri
+from adspark.llm.files import as_uri, written_batches
 from adspark.sources.scratch import release
 
 SHARD_ROWS = 4096
@@ -161,12 +159,8 @@ def top_k(embeddings: DataFrame, is_query: Column, k: int = 5, scale: float = 25
                 m[i].as_py()).reshape(len(no), dim[i].as_py())
 
     def query_blocks():
-        fs, at = pafs.FileSystem.from_uri(folder)
-        for f in sorted(fs.get_file_info(pafs.FileSelector(at)), key=lambda f: f.path):
-            if f.base_name.startswith("part-"):
-                with fs.open_input_file(f.path) as data:
-                    for batch in pq.ParquetFile(data).iter_batches(1):
-                        yield from matrices(batch)
+        for batch in written_batches(folder, 1):
+            yield from matrices(batch)
 
     def search(batches):
         best, names = {}, {}

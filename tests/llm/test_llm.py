@@ -598,6 +598,13 @@ def test_quality_quantile_is_the_percentile(spark, share):
             F.percentile("s", F.lit(share))).first()[0]
 
 
+def test_quality_sorts_windows_once(spark):
+    """Functions with lambdas evaluate an argument as often as it is written."""
+    frame = spark.createDataFrame([(1, "a b c " * 30)], "doc_id bigint, text string")
+    plan = quality.judge(frame, [0.0] * 4, 0.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sort_array(transform(") == 2  # of short texts and of long ones
+
+
 def test_quality_keeps_columns_that_clash(spark):
     names = ["_found", "_hashes", "_windows", "_lines", "_total", "_w", "score"]
     frame = spark.createDataFrame([(1, "a b", *range(7))], ["doc_id", "text", *names])
@@ -975,6 +982,35 @@ def test_jaccard_components_match_brute_force(spark, odd, none, n, num, den, mon
     assert jaccard.jaccard_components(none).count() == 0
 
 
+@pytest.mark.parametrize("part_tokens", [10**6, 500])
+def test_jaccard_tokens_are_filtered_without_a_join(spark, part_tokens, monkeypatch):
+    """All repeated tokens pass, hardly any other, and the tokens' rows are not joined."""
+    monkeypatch.setattr(jaccard, "PART_TOKENS", part_tokens)
+    monkeypatch.setattr(jaccard, "SENT_TOKENS", 700)
+    rng = np.random.default_rng(8)
+    common = rng.integers(-2**63, 2**63, 50)
+    rows = [(i, np.r_[rng.integers(-2**63, 2**63, 20), rng.choice(common, i % 3)].tolist(), 2,
+             rng.choice(common, i % 2).tolist(), 1) for i in range(200)]
+    rows += [(200, [], 1, [], 1), (201, [], 1, [7], 1), (202, [], 1, [7], 1)]
+    reps = spark.createDataFrame(rows, jaccard.SKETCH.replace(" n bigint, k1 bigint, k2 bigint,", ""))
+    maybe, bits = jaccard.repeated_tokens(reps.repartition(5))
+    assert bits == (0 if part_tokens == 10**6 else 4)
+    out = jaccard.shared_tokens(reps, maybe, bits)
+    assert "Join" not in out._jdf.queryExecution().toString()
+    got = Counter((r["doc"], r["least"], r["index"], r["sig"]) for r in out.collect())
+    every = Counter((r[0], r[2], True, x) for r in rows for x in r[1])
+    every += Counter((r[0], r[4], False, x) for r in rows for x in r[3])
+    assert not got - every
+    count, own = Counter(), set()
+    for (_, _, index, sig), n in every.items():
+        count[sig] += n
+        own |= {sig} if index else set()
+    shared = {sig for sig in own if count[sig] > 1}
+    assert 20 < len(shared) < 60
+    assert {k for k in every if k[3] in shared} <= set(got)
+    assert len({k for k in got if k[3] not in shared}) < 200  # of 4,000
+
+
 def near_copies(rng, size, copies, edits, first=0):
     """Copies of one text, each with edits of its own."""
     base = [f"w{i}" for i in range(size)]
